@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import table
+from ridgeline.llm.decontam import contamination
 from ridgeline.llm.line_dedup import dedup_lines
 from ridgeline.llm.minhash import near_duplicates
+from ridgeline.llm.quality import judge
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +69,58 @@ FROM s JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) c
 """
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = contamination(docs, table(spark, sf_dir, "benchmark"), window=13, one_in=20)
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+SQL_OP4 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM benchmark
+), bw AS (
+  SELECT DISTINCT item, size, w FROM (
+    SELECT item, least(len(ws), 13) AS size,
+      unnest(list_transform(range(1, len(ws) - least(len(ws), 13) + 2), lambda i: array_to_string(ws[i:i + least(len(ws), 13) - 1], ' '))) AS w
+    FROM b WHERE len(ws) > 0)
+), dw AS (
+  SELECT d.doc_id, s.size, unnest(range(1, len(ws) - s.size + 2)) AS i,
+    unnest(list_transform(range(1, len(ws) - s.size + 2), lambda i: array_to_string(ws[i:i + s.size - 1], ' '))) AS w
+  FROM d, (SELECT DISTINCT size FROM bw) s WHERE len(ws) >= s.size
+), hit AS (
+  SELECT dw.doc_id, dw.i, dw.size, bw.item FROM dw JOIN bw ON dw.w = bw.w AND dw.size = bw.size
+), pos AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT doc_id, i, size FROM hit)) GROUP BY doc_id
+), its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.ws) AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge(docs).drop("votes")
+
+
+_ALL = (op1_line_dedup, op2_minhash_near_dedup, op4_decontamination, op10_quality_rules)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_minhash_near_dedup": op2_minhash_near_dedup}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": SQL_OP1, "op2_minhash_near_dedup": SQL_OP2}
+    return {"op1_line_dedup": SQL_OP1, "op2_minhash_near_dedup": SQL_OP2, "op4_decontamination": SQL_OP4}
