@@ -41,6 +41,8 @@ RULES = (
     Rule("length", f"n_words < {MIN_WORDS}", "n_words >= 80"),
     Rule("word_length", "word_chars < 2.5 * n_words OR word_chars > 10 * n_words", "word_chars BETWEEN 3 * n_words AND 8 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
+    Rule("symbol_chars", "50 * n_symbols > word_chars", "1000 * n_symbols <= word_chars"),
+    Rule("symbol_words", "4 * n_symbol_words > n_words", "50 * n_symbol_words <= n_words"),
     Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0 AND n_lines > 2"),
     Rule("repeated_words", "10 * n_repeat_words > 3 * n_words", "20 * n_repeat_words <= n_words"),
     Rule("line_ends", "5 * n_ended < n_lines", "10 * n_ended >= 8 * n_lines AND n_lines > 0"),
@@ -90,6 +92,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         count(F.filter("lines", lambda l: l.rlike(r"[.!?:;\"'’”)][\x20\x09-\x0D]*$"))).alias("n_ended"),
         count(F.array_distinct("h")).alias("n_distinct"),
         F.col("n_digits").cast("long").alias("n_digits"),
+        F.when(F.col("n_symbols") > 0, count(F.filter("words", lambda w: w.rlike(r"[#*$%&|<>]")))).otherwise(0).alias("n_symbol_words"),
     )
 
 
