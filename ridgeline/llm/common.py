@@ -92,26 +92,19 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array], without: Iterable[str] = ()) -> pa.RecordBatch:
-    """``batch`` with columns replaced in place or added at the end."""
+    """``batch`` with columns replaced in place, taken out or added at the end."""
     gone = set(without)
-    names, arrays = [], []
-    for name, array in zip(batch.schema.names, batch.columns):
-        if name in gone:
-            continue
-        names.append(name)
-        arrays.append(new.get(name, array))
-    for name, array in new.items():
-        if name not in names:
-            names.append(name)
-            arrays.append(array)
+    names = [n for n in batch.schema.names if n not in gone]
+    names += [n for n in new if n not in names]
+    arrays = [new[n] if n in new else batch.column(batch.schema.get_field_index(n)) for n in names]
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def extended(schema: T.StructType, *more: tuple[str, T.DataType], without: Iterable[str] = ()) -> T.StructType:
-    """``schema`` minus and plus fields; an added field replaces a namesake."""
-    gone, added = set(without), {n for n, _ in more}
-    out = [f for f in schema.fields if f.name not in gone and f.name not in added]
-    return T.StructType(out + [T.StructField(n, k, True) for n, k in more])
+    """The schema that ``with_columns`` gives for the same changes."""
+    gone, added = set(without), dict(more)
+    out = [T.StructField(f.name, added.get(f.name, f.dataType), True) for f in schema.fields if f.name not in gone]
+    return T.StructType(out + [T.StructField(n, k, True) for n, k in more if n not in schema.fieldNames()])
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:

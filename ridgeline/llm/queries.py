@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import table
+from ridgeline.llm import bpe, rans
+from ridgeline.llm.common import table, work_dir
 from ridgeline.llm.decontam import contamination
 from ridgeline.llm.line_dedup import dedup_lines
 from ridgeline.llm.minhash import near_duplicates
@@ -110,12 +112,29 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN).drop("text"), path, public_tokenizers.PATTERN)
+    return out.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = work_dir(spark, "ids")
+    rans.write_ids(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return rans.read_ids(spark, path)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge(docs).drop("votes")
 
 
-_ALL = (op1_line_dedup, op2_minhash_near_dedup, op4_decontamination, op10_quality_rules)
+_ALL = (op1_line_dedup, op2_minhash_near_dedup, op4_decontamination, op6_byte_bpe, op9_token_files, op10_quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
