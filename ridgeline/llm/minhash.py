@@ -8,14 +8,16 @@ with the probability of their Jaccard similarity.  Sketches are cut into bands;
 texts that agree on a whole band are candidates.
 
 Texts with the same shingle set form one class, which only its smallest id
-represents.  Within a band's bucket not all pairs are made: in round i the next
-2**i members in id order are compared with later members that are not yet in
-the same component.  Pairs of one component need no check, pairs of different
-components all come up in the end, so nothing is capped and no component is
-missed.  Every link is confirmed on full shingle sets.
+represents.  Within a band's bucket not all pairs are made: the first member is
+compared with all others, then the next 16 with later members that are not yet
+in the same component, then the next 256, and so on.  Pairs of one component
+need no check, pairs of different components all come up in the end, so nothing
+is capped and no component is missed.  A pair is compared on its sketches
+first and, unless these agree in too few places for its similarity, confirmed
+on full shingle sets.
 
 With 32 bands of 4 rows, a pair of similarity 0.8 shares no band with
-probability 5e-8.
+probability 5e-8, and its sketches fail with probability ``MISS`` at most.
 
 Defined results: a null or empty text has no shingles, links with nothing and
 is its own component; a null id acts as one document before all others; rows
@@ -25,6 +27,7 @@ empty table.  Only id and text are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +44,21 @@ _U = np.uint64
 STEP_BYTES = 2 << 20
 #: Members compared in one task with one copy of their pivot.
 SHARE = 256
+#: Bound for the probability that the sketches of a linked pair agree too little.
+MISS = 1e-8
+#: Growth of the number of pivots of a bucket from round to round.
+GROWTH = 16
+
+
+def least_agreement(t: int, percent: int) -> int:
+    """Coordinates, of t, in which a pair of that similarity agrees at least,
+    but for a probability of ``MISS``."""
+    p, total = percent / 100, 0.0
+    for x in range(t + 1):
+        total += math.comb(t, x) * p**x * (1 - p) ** (t - x)
+        if total > MISS:
+            return x
+    return t
 
 
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -82,12 +100,26 @@ def _sketcher(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", STEP_BYTES):
             sets = shingle_sets(as_bytes(batch.column(1)), words)
-            keys = band_keys(sketches(sets, bands * rows), bands).astype(np.int64)
+            drawn = sketches(sets, bands * rows)
+            keys = band_keys(drawn, bands).astype(np.int64)
+            marks = pa.array([x.tobytes() for x in drawn.astype(np.uint8)], pa.binary())
             n = np.array([len(s) for s in sets], np.int64)
             f1 = np.array([mix(s + _U(1)).sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64)
             f2 = np.array([mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f1), pa.array(f2), lists], names=["doc", "n", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f1), pa.array(f2), lists, marks], names=["doc", "n", "f1", "f2", "bands", "marks"])
+
+    return run
+
+
+def _agreeing(least: int):
+    """Keep pairs whose sketches agree in at least ``least`` places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (4, 5))
+            keep = pa.array((a == b).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(4)], names=["a", "fa", "b", "fb"])
 
     return run
 
@@ -134,7 +166,7 @@ def near_duplicates(
     tune(spark)
     root = work_dir(spark, "minhash")
     texts = docs.select(id_key(id_col).alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    drawn = spool(texts.mapInArrow(_sketcher(words, bands, rows), "doc long, n long, f1 long, f2 long, bands array<long>"), f"{root}/sketches")
+    drawn = spool(texts.mapInArrow(_sketcher(words, bands, rows), "doc long, n long, f1 long, f2 long, bands array<long>, marks binary"), f"{root}/sketches")
 
     full = drawn.where("n > 0")
     classes = spool(full.groupBy("f1", "f2").agg(F.min("doc").alias("rep")), f"{root}/classes")
@@ -144,9 +176,9 @@ def near_duplicates(
     ranked = keyed.join(shared, "key").selectExpr("key", "m", "f1", "n", "size", "row_number() OVER (PARTITION BY key ORDER BY m, f1) - 1 AS at")
     members = spool(ranked, f"{root}/members")
 
-    ends = members.select(F.col("m").alias("doc"), "f1").distinct()
+    ends = spool(reps.join(members.select("m", "f1").distinct(), (F.col("doc") == F.col("m")) & (reps.f1 == members.f1), "left_semi").select("doc", "f1", "marks"), f"{root}/ends")
     # the text of a class comes from one row of its representative
-    wanted = drawn.select("doc", "f1").join(ends, ["doc", "f1"], "left_semi").distinct()
+    wanted = ends.select("doc", "f1")
     held = texts.join(wanted.select("doc").distinct(), "doc", "left_semi")
     held = spool(held.mapInArrow(_fingerprinter(words), "doc long, f1 long, text string"), f"{root}/texts")
     held = held.join(wanted, ["doc", "f1"], "left_semi").dropDuplicates(["doc", "f1"])
@@ -156,18 +188,18 @@ def near_duplicates(
     links = full.join(twice, "doc", "left_semi").join(classes, ["f1", "f2"]).select(F.col("doc").alias("a"), F.col("rep").alias("b")).where("a <> b")
     links = spool(links, f"{root}/links_ids")
 
+    least = least_agreement(bands * rows, percent)
     most = members.agg(F.max("size")).first()[0] or 0
-    checked = None
-    labels = None
+    labels = components(spark, links, f"{root}/components") if not links.isEmpty() else None
     begin, width, i = 0, 1, 0
     while begin < most - 1:
-        now = members.where(F.col("size") > begin + 1)
-        if labels is not None:
-            now = now.join(labels.withColumnRenamed("node", "m"), "m", "left").withColumn("label", F.coalesce("label", "m"))
+        now = _labelled(members.where(F.col("size") > begin + 1), labels)
+        if i:
             open_ = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-            now = now.join(open_, "key", "left_semi")
-        else:
-            now = now.withColumn("label", F.col("m"))
+            now = spool(now.join(open_, "key", "left_semi"), f"{root}/open{i}")
+            most = now.agg(F.max("size")).first()[0] or 0
+            if begin >= most - 1:
+                break
         pivots = now.where((F.col("at") >= begin) & (F.col("at") < begin + width)).select(
             "key", F.col("m").alias("a"), F.col("f1").alias("fa"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("label").alias("la")
         )
@@ -175,19 +207,14 @@ def near_duplicates(
             (F.col("at") > F.col("pa")) & (F.col("la") != F.col("label")) & (100 * F.least("na", "n") >= percent * F.greatest("na", "n"))
         )
         pairs = pairs.select("a", "fa", F.col("m").alias("b"), F.col("f1").alias("fb")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "fa", "b", "fb"], "left_anti")
-        pairs = spool(pairs, f"{root}/pairs{i}")
-        if not pairs.isEmpty():
-            found = spool(_verify(pairs, held, words, percent), f"{root}/links{i}")
+        pairs = pairs.join(ends.select(F.col("doc").alias("a"), F.col("f1").alias("fa"), F.col("marks").alias("ma")), ["a", "fa"])
+        pairs = pairs.join(ends.select(F.col("doc").alias("b"), F.col("f1").alias("fb"), F.col("marks").alias("mb")), ["b", "fb"])
+        pairs = spool(pairs.select("a", "fa", "b", "fb", "ma", "mb").mapInArrow(_agreeing(least), "a long, fa long, b long, fb long"), f"{root}/pairs{i}")
+        found = spool(_verify(pairs, held, words, percent), f"{root}/links{i}")
+        if not found.isEmpty():
             links = links.union(found)
             labels = components(spark, links, f"{root}/components{i}")
-        checked = pairs if checked is None else checked.union(pairs)
-        begin, width, i = begin + width, 2 * width, i + 1
-        if labels is not None and begin < most - 1:
-            seen = members.where(F.col("size") > begin + 1).join(labels.withColumnRenamed("node", "m"), "m", "left")
-            seen = seen.groupBy("key", "size").agg(F.min(F.coalesce("label", "m")).alias("lo"), F.max(F.coalesce("label", "m")).alias("hi"))
-            most = seen.where("lo <> hi").agg(F.max("size")).first()[0] or 0
+        begin, width, i = begin + width, GROWTH * width, i + 1
 
     if labels is None:
         labels = components(spark, links, f"{root}/components")
@@ -201,6 +228,14 @@ def near_duplicates(
     )
 
 
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``members`` with the label of the component they are in so far."""
+    if labels is None:
+        return members.withColumn("label", F.col("m"))
+    named = labels.select(F.col("node").alias("m"), "label")
+    return members.join(named, "m", "left").withColumn("label", F.coalesce("label", "m"))
+
+
 def _fingerprinter(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", STEP_BYTES):

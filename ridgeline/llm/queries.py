@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, rans
+from ridgeline.llm import bpe, chat, rans, toxicity
 from ridgeline.llm.common import table, work_dir
 from ridgeline.llm.decontam import contamination
 from ridgeline.llm.line_dedup import dedup_lines
@@ -122,6 +122,43 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model, spans=True)
+    return out.select(
+        "doc_id", (~toxicity.in_training(F.col("doc_id"))).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("toxic_spans").cast("long").alias("n_spans"),
+    )
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.sql(
+        "SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(turn, role)"
+    )
+    return chat.read_chats(chat.format_chats(turns.unionByName(own)))
+
+
+SQL_OP8 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + len(regexp_extract_all(replace(text, '\', '\\'),
+      '<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<<ROLE:|<</ROLE>>|>>')) AS n,
+    CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 WHEN 'system' THEN 15 ELSE 19 + length(role) END AS w
+  FROM t
+)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n + w) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = work_dir(spark, "ids")
@@ -134,7 +171,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs).drop("votes")
 
 
-_ALL = (op1_line_dedup, op2_minhash_near_dedup, op4_decontamination, op6_byte_bpe, op9_token_files, op10_quality_rules)
+_ALL = (op1_line_dedup, op2_minhash_near_dedup, op4_decontamination, op6_byte_bpe, op7_toxicity, op8_chat_format, op9_token_files, op10_quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -142,4 +179,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": SQL_OP1, "op2_minhash_near_dedup": SQL_OP2, "op4_decontamination": SQL_OP4}
+    return {"op1_line_dedup": SQL_OP1, "op2_minhash_near_dedup": SQL_OP2, "op4_decontamination": SQL_OP4, "op8_chat_format": SQL_OP8}
