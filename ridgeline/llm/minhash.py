@@ -8,13 +8,15 @@ with the probability of their Jaccard similarity.  Sketches are cut into bands;
 texts that agree on a whole band are candidates.
 
 Texts with the same shingle set form one class, which only its smallest id
-represents.  Within a band's bucket not all pairs are made: the first member is
-compared with all others, then the next 16 with later members that are not yet
-in the same component, then the next 256, and so on.  Pairs of one component
-need no check, pairs of different components all come up in the end, so nothing
-is capped and no component is missed.  A pair is compared on its sketches
-first and, unless these agree in too few places for its similarity, confirmed
-on full shingle sets.
+represents.  Within a band's bucket the first member is compared with all
+others.  Buckets whose members are then still in different components are cut
+into blocks, and pairs of blocks are compared in one task each: only pairs of
+different components, in the first bucket that they share, whose sketches agree
+in enough places for the similarity.  Documents without such a pair drop out
+before texts are fetched; the rest are compared block by block on full shingle
+sets, and a block pair gives at most one link per merged component.  Nothing is
+capped, and no pair is ever a row of a table unless it is a link or involves a
+bucket's first member.
 
 With 32 bands of 4 rows, a pair of similarity 0.8 shares no band with
 probability 5e-8, and its sketches fail with probability ``MISS`` at most.
@@ -46,8 +48,8 @@ STEP_BYTES = 2 << 20
 SHARE = 256
 #: Bound for the probability that the sketches of a linked pair agree too little.
 MISS = 1e-8
-#: Growth of the number of pivots of a bucket from round to round.
-GROWTH = 16
+#: Members of a bucket in one block.
+BLOCK = 256
 
 
 def least_agreement(t: int, percent: int) -> int:
@@ -124,6 +126,105 @@ def _agreeing(least: int):
     return run
 
 
+def _pairs(key: int, left: list[dict], right: list[dict], least: int, percent: int) -> np.ndarray:
+    """Positions (i, j) in two blocks of a bucket that must be verified."""
+    same = left is right
+    get = lambda rows, name, kind: np.array([r[name] for r in rows], kind)
+    la, lb, na, nb = get(left, "label", np.int64), get(right, "label", np.int64), get(left, "n", np.int64), get(right, "n", np.int64)
+    todo = la[:, None] != lb[None, :]
+    todo &= 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
+    if same:
+        todo &= np.triu(np.ones(todo.shape, bool), 1)
+    at = np.argwhere(todo)
+    if not len(at):
+        return at
+    ka, kb = get(left, "bands", np.int64), get(right, "bands", np.int64)
+    ma, mb = (np.frombuffer(b"".join(r["marks"] for r in rows), np.uint8).reshape(len(rows), -1) for rows in (left, right))
+    band = int(np.flatnonzero(ka[0] == key)[0])
+    out = []
+    for c in range(0, len(at), 20_000):
+        i, j = at[c : c + 20_000].T
+        ok = (ma[i] == mb[j]).sum(axis=1) >= least
+        i, j = i[ok], j[ok]
+        ok = ~(ka[i, :band] == kb[j, :band]).any(axis=1)
+        out.append(np.stack([i[ok], j[ok]], axis=1))
+    return np.concatenate(out)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict], list[dict]]]:
+    """Groups of rows that come sorted by (key, bi, bj): key and two blocks."""
+    now, rows = None, []
+
+    def sides():
+        key, bi, bj = now
+        left = [r for r in rows if r["block"] == bi]
+        return key, left, left if bi == bj else [r for r in rows if r["block"] == bj]
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            group = (r["key"], r["bi"], r["bj"])
+            if group != now and rows:
+                yield sides()
+                rows = []
+            now = group
+            rows.append(r)
+    if rows:
+        yield sides()
+
+
+def _candidates(least: int, percent: int):
+    """(key, m, f1) of members with a pair to verify in that bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, left, right in _blocks(batches):
+            at = _pairs(key, left, right, least, percent)
+            some = {(r["m"], r["f1"]) for r in [*(left[i] for i in set(at[:, 0])), *(right[j] for j in set(at[:, 1]))]}
+            m, f1 = [x for x, _ in some], [x for _, x in some]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([key] * len(m), m, f1)], names=["key", "m", "f1"])
+
+    return run
+
+
+def _linker(words: int, least: int, percent: int):
+    """Links (a, b) between components, confirmed on full shingle sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, left, right in _blocks(batches):
+            at = _pairs(key, left, right, least, percent)
+            sets = [shingle_sets([r["text"].encode() for r in rows], words) for rows in ((left,) if left is right else (left, right))]
+            to: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (up := to.get(x, x)) != x:
+                    to[x] = up = to.get(up, up)
+                    x = up
+                return x
+
+            a, b = [], []
+            for i, j in at.tolist():
+                x, y = root(left[i]["label"]), root(right[j]["label"])
+                if x == y:
+                    continue
+                p, q = sets[0][i], sets[-1][j]
+                both = overlap(p, q)
+                if 100 * both >= percent * (len(p) + len(q) - both):
+                    to[max(x, y)] = min(x, y)
+                    a.append(left[i]["m"])
+                    b.append(right[j]["m"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _paired_blocks(rows: DataFrame) -> DataFrame:
+    """Copy each member to all pairs of blocks of its bucket; ``at`` counts the
+    bucket's members from 0 and ``size`` is their number."""
+    block, blocks = F.expr(f"int(at div {BLOCK})"), F.expr(f"int((size - 1) div {BLOCK}) + 1")
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("other", "at", "size")
+    return rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "block", "m", "f1")
+
+
 def _verifier(words: int, percent: int):
     """Rows come sorted by (a, salt, role): the pivot, then its members."""
 
@@ -176,7 +277,7 @@ def near_duplicates(
     ranked = keyed.join(shared, "key").selectExpr("key", "m", "f1", "n", "size", "row_number() OVER (PARTITION BY key ORDER BY m, f1) - 1 AS at")
     members = spool(ranked, f"{root}/members")
 
-    ends = spool(reps.join(members.select("m", "f1").distinct(), (F.col("doc") == F.col("m")) & (reps.f1 == members.f1), "left_semi").select("doc", "f1", "marks"), f"{root}/ends")
+    ends = spool(reps.join(members.select("m", "f1").distinct(), (F.col("doc") == F.col("m")) & (reps.f1 == members.f1), "left_semi").select("doc", "f1", "marks", "bands"), f"{root}/ends")
     # the text of a class comes from one row of its representative
     wanted = ends.select("doc", "f1")
     held = texts.join(wanted.select("doc").distinct(), "doc", "left_semi")
@@ -188,33 +289,36 @@ def near_duplicates(
     links = full.join(twice, "doc", "left_semi").join(classes, ["f1", "f2"]).select(F.col("doc").alias("a"), F.col("rep").alias("b")).where("a <> b")
     links = spool(links, f"{root}/links_ids")
 
+    # the first member of each bucket against the others
     least = least_agreement(bands * rows, percent)
-    most = members.agg(F.max("size")).first()[0] or 0
     labels = components(spark, links, f"{root}/components") if not links.isEmpty() else None
-    begin, width, i = 0, 1, 0
-    while begin < most - 1:
-        now = _labelled(members.where(F.col("size") > begin + 1), labels)
-        if i:
-            open_ = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-            now = spool(now.join(open_, "key", "left_semi"), f"{root}/open{i}")
-            most = now.agg(F.max("size")).first()[0] or 0
-            if begin >= most - 1:
-                break
-        pivots = now.where((F.col("at") >= begin) & (F.col("at") < begin + width)).select(
-            "key", F.col("m").alias("a"), F.col("f1").alias("fa"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("label").alias("la")
-        )
-        pairs = pivots.join(now, "key").where(
-            (F.col("at") > F.col("pa")) & (F.col("la") != F.col("label")) & (100 * F.least("na", "n") >= percent * F.greatest("na", "n"))
-        )
-        pairs = pairs.select("a", "fa", F.col("m").alias("b"), F.col("f1").alias("fb")).distinct()
-        pairs = pairs.join(ends.select(F.col("doc").alias("a"), F.col("f1").alias("fa"), F.col("marks").alias("ma")), ["a", "fa"])
-        pairs = pairs.join(ends.select(F.col("doc").alias("b"), F.col("f1").alias("fb"), F.col("marks").alias("mb")), ["b", "fb"])
-        pairs = spool(pairs.select("a", "fa", "b", "fb", "ma", "mb").mapInArrow(_agreeing(least), "a long, fa long, b long, fb long"), f"{root}/pairs{i}")
-        found = spool(_verify(pairs, held, words, percent), f"{root}/links{i}")
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(spark, links, f"{root}/components{i}")
-        begin, width, i = begin + width, GROWTH * width, i + 1
+    first = members.where("at = 0").select("key", F.col("m").alias("a"), F.col("f1").alias("fa"), F.col("n").alias("na"))
+    pairs = first.join(members.where("at > 0"), "key").where(100 * F.least("na", "n") >= percent * F.greatest("na", "n"))
+    pairs = pairs.select("a", "fa", F.col("m").alias("b"), F.col("f1").alias("fb")).distinct()
+    pairs = pairs.join(ends.select(F.col("doc").alias("a"), F.col("f1").alias("fa"), F.col("marks").alias("ma")), ["a", "fa"])
+    pairs = pairs.join(ends.select(F.col("doc").alias("b"), F.col("f1").alias("fb"), F.col("marks").alias("mb")), ["b", "fb"])
+    pairs = spool(pairs.select("a", "fa", "b", "fb", "ma", "mb").mapInArrow(_agreeing(least), "a long, fa long, b long, fb long"), f"{root}/pairs")
+    found = spool(_verify(pairs, held, words, percent), f"{root}/links")
+    if not found.isEmpty():
+        links = links.union(found)
+        labels = components(spark, links, f"{root}/components1")
+
+    # what is still apart in a bucket of three or more, block by block
+    now = _labelled(members.where("size > 2"), labels)
+    apart = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    now = spool(now.join(apart, "key", "left_semi"), f"{root}/apart")
+    if not now.isEmpty():
+        marked = now.join(ends.select(F.col("doc").alias("m"), "f1", "marks", "bands"), ["m", "f1"])
+        kept = _paired_blocks(marked).mapInArrow(_candidates(least, percent), "key long, m long, f1 long").distinct()
+        kept = spool(kept, f"{root}/candidates")
+        if not kept.isEmpty():
+            again = marked.join(kept, ["key", "m", "f1"], "left_semi").drop("at", "size")
+            again = again.selectExpr("*", "row_number() OVER (PARTITION BY key ORDER BY m, f1) - 1 AS at", "count(*) OVER (PARTITION BY key) AS size")
+            again = again.join(held.select(F.col("doc").alias("m"), "f1", "text"), ["m", "f1"])
+            found = spool(_paired_blocks(again).mapInArrow(_linker(words, least, percent), "a long, b long").distinct(), f"{root}/links2")
+            if not found.isEmpty():
+                links = links.union(found)
+                labels = components(spark, links, f"{root}/components2")
 
     if labels is None:
         labels = components(spark, links, f"{root}/components")
