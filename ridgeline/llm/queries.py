@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, chat, rans, toxicity
+from ridgeline.llm import bpe, chat, pii, rans, toxicity
 from ridgeline.llm.common import table, work_dir
 from ridgeline.llm.decontam import contamination
 from ridgeline.llm.line_dedup import dedup_lines
@@ -71,6 +71,16 @@ FROM s JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) c
 """
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
+    base = F.sort_array(F.transform("base", lambda x: F.struct(x["s"], x["k"], x["e"])))
+    return out.select(
+        "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
+        F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = contamination(docs, table(spark, sf_dir, "benchmark"), window=13, one_in=20)
@@ -171,7 +181,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs).drop("votes")
 
 
-_ALL = (op1_line_dedup, op2_minhash_near_dedup, op4_decontamination, op6_byte_bpe, op7_toxicity, op8_chat_format, op9_token_files, op10_quality_rules)
+_ALL = (op1_line_dedup, op2_minhash_near_dedup, op3_pii, op4_decontamination, op6_byte_bpe, op7_toxicity, op8_chat_format, op9_token_files, op10_quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
