@@ -14,6 +14,7 @@ from ridgeline.llm.decontam import contamination
 from ridgeline.llm.line_dedup import dedup_lines
 from ridgeline.llm.minhash import near_duplicates
 from ridgeline.llm.quality import judge
+from ridgeline.llm.substrings import repeated_passages
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +123,10 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -181,7 +186,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs).drop("votes")
 
 
-_ALL = (op1_line_dedup, op2_minhash_near_dedup, op3_pii, op4_decontamination, op6_byte_bpe, op7_toxicity, op8_chat_format, op9_token_files, op10_quality_rules)
+_ALL = (op1_line_dedup, op2_minhash_near_dedup, op3_pii, op4_decontamination, op5_substring_dedup, op6_byte_bpe, op7_toxicity, op8_chat_format, op9_token_files, op10_quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
