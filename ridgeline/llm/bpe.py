@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding.
 
 A pre-token's bytes form a linked list.  Each adjacent pair that has a merge
-rank lies in the bucket of its rank; a hierarchical bitmap over ranks (64-way)
-finds the lowest non-empty bucket with find-first-set, so that a merge costs a
-few steps however long the pre-token is.  Entries of a bucket that no longer
-describe a pair are skipped when they come up.
+rank lies in the bucket of its rank; a hierarchical bitmap over ranks, two
+levels of 256-bit words, finds the lowest non-empty bucket with find-first-set,
+so that a merge costs a few steps however long the pre-token is.  Entries of a
+bucket that no longer describe a pair are skipped when they come up.
 
 Defined results: a null or empty text has no ids; ids decode to the bytes of
 the text; special tokens are never produced.
@@ -13,8 +13,8 @@ the text; special tokens are never produced.
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -23,7 +23,10 @@ from pyspark.sql import types as T
 
 from ridgeline.llm.common import extended, slices, tune, with_columns
 
-#: Pre-tokens whose ids a worker remembers before it starts anew.
+#: Ranks in one word of the bitmap, as a power of two.
+SHIFT = 8
+MASK = (1 << SHIFT) - 1
+#: Pre-tokens in each of two generations whose ids a worker remembers.
 MEMORY = 400_000
 STEP_BYTES = 4 << 20
 
@@ -34,116 +37,108 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-class RankQueue:
-    """Positions by merge rank; the lowest rank, leftmost position comes first."""
-
-    def __init__(self, ranks: int):
-        self.levels: list[list[int]] = []
-        n = max(ranks, 1)
-        while True:
-            n = (n + 63) // 64
-            self.levels.append([0] * n)
-            if n == 1:
-                break
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        at = rank
-        for level in self.levels:
-            word = at >> 6
-            was = level[word]
-            level[word] = was | 1 << (at & 63)
-            if was:
-                return
-            at = word
-
-    def pop(self) -> tuple[int, int] | None:
-        """(rank, position) of the first entry, or None."""
-        if not self.levels[-1][0]:
-            return None
-        at = 0
-        for level in reversed(self.levels):
-            word = level[at]
-            at = at << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[at]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            rest = at
-            for level in self.levels:
-                level[rest >> 6] &= ~(1 << (rest & 63))
-                if level[rest >> 6]:
-                    break
-                rest >>= 6
-        return at, position
-
-
 class BytePairs:
     """Encoder and decoder for one table of ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.single = [ranks.get(bytes([i])) for i in range(256)]
+        # the lower level of the bitmap; every merge leaves it empty
+        self.words = [0] * ((max(ranks.values(), default=0) >> SHIFT) + 1)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        ranks, queue = self.ranks, self.queue
-        whole = ranks.get(piece)
+        """Ids of one pre-token.
+
+        ``buckets`` has positions by rank, leftmost first; ``top`` has a bit
+        per word of ranks in use, ``words`` a bit per rank.
+        """
+        get = self.ranks.get
+        whole = get(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair: list[int | None] = [None] * n
+        n, words, top = len(piece), self.words, 0
+        buckets: dict[int, list[int]] = {}
+        ids, pair = [self.single[x] for x in piece], [-1] * (n + 1)
+        after, before = list(range(1, n + 2)), list(range(-1, n))
         for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
+            rank = get(piece[i : i + 2])
             if rank is not None:
                 pair[i] = rank
-                queue.push(rank, i)
-        while (top := queue.pop()) is not None:
-            rank, i = top
+                bucket = buckets.get(rank)
+                if bucket is None:
+                    buckets[rank] = [i]
+                    words[rank >> SHIFT] |= 1 << (rank & MASK)
+                    top |= 1 << (rank >> SHIFT)
+                else:
+                    bucket.append(i)
+        while top:
+            at = (top & -top).bit_length() - 1
+            first = words[at] & -words[at]
+            rank = at << SHIFT | first.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                words[at] ^= first
+                if not words[at]:
+                    top ^= 1 << at
             if pair[i] != rank:
                 continue  # merged away or paired anew since it was queued
             j = after[i]
             end = after[i] = after[j]
-            pair[j] = None
+            ids[i], pair[i], pair[j] = rank, -1, -1
+            h = before[i]
             if end < n:
                 before[end] = i
-                new = ranks.get(piece[i : after[end]])
-                pair[i] = new
-                if new is not None:
-                    queue.push(new, i)
+                changed = ((i, piece[i : after[end]]), (h, piece[h:end])) if h >= 0 else ((i, piece[i : after[end]]),)
+            elif h >= 0:
+                changed = ((h, piece[h:end]),)
             else:
-                pair[i] = None
-            h = before[i]
-            if h >= 0:
-                new = ranks.get(piece[h:end])
-                pair[h] = new
-                if new is not None:
-                    queue.push(new, h)
+                continue
+            for i, joined in changed:
+                rank = get(joined)
+                if rank is None:
+                    pair[i] = -1
+                    continue
+                pair[i] = rank
+                bucket = buckets.get(rank)
+                if bucket is None:
+                    buckets[rank] = [i]
+                    words[rank >> SHIFT] |= 1 << (rank & MASK)
+                    top |= 1 << (rank >> SHIFT)
+                else:
+                    heappush(bucket, i)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
+            out.append(ids[i])
             i = after[i]
         return out
 
+    def _ids(self, piece: str) -> bytes:
+        """Ids of a pre-token that ``known`` lacks; of pre-tokens seen since
+        the memory was last full, none is forgotten."""
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = b"".join([i.to_bytes(4, "little") for i in self.merge(piece.encode("utf-8"))])
+        if len(piece) <= 64:
+            if len(self.known) >= MEMORY:
+                self.known, self.older = {}, self.known
+            self.known[piece] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known, parts = self.known, []
+        got, parts = self.known.get, []
         for piece in self.pattern.findall(text):
-            ids = known.get(piece)
+            ids = got(piece)
             if ids is None:
-                if len(known) >= MEMORY:
-                    known.clear()
-                ids = b"".join(i.to_bytes(4, "little") for i in self.merge(piece.encode("utf-8")))
-                if len(piece) <= 64:
-                    known[piece] = ids
+                ids = self._ids(piece)
+                got = self.known.get
             parts.append(ids)
         return b"".join(parts)
 
