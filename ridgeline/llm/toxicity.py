@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,17 +37,18 @@ from ridgeline.llm.common import extended, slices, tune, with_columns
 CHAIN = 64
 BITS = 20
 TRAIN_ROWS = 2500
-TRAIN_CHARS = 16 << 20
+TRAIN_CHARS = 12 << 20
 MEMORY = 400_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
-def word_features(token: str) -> list[str]:
-    """Features of one token between white space."""
+def word_slots(token: str) -> list[int]:
+    """Hashed features of one token between white space: the word, its last
+    three characters, and prefixes of three to six."""
     w = _EDGE.sub("", token.lower())
     if not w:
-        return ["none"]
-    return ["w=" + w, "s=" + w[-3:], *(f"p{n}=" + w[:n] for n in (3, 4, 5, 6) if len(w) > n)]
+        return [_slot("none")]
+    return [_slot("w=" + w), _slot("s=" + w[-3:]), *(_slot(f"p{n}=" + w[:n]) for n in (3, 4, 5, 6) if len(w) > n)]
 
 
 def _slot(feature: str) -> int:
@@ -127,7 +127,7 @@ class Model:
         if got is None:
             if len(self.known) >= MEMORY:
                 self.known.clear()
-            got = float(sum(self.weights[_slot(f)] for f in word_features(token)))
+            got = float(sum(self.weights[i] for i in word_slots(token)))
             if len(token) <= 64:
                 self.known[token] = got
         return got
@@ -169,34 +169,33 @@ def fit(texts: list[str], toxic: list[int], prior: float, epochs: int = 40) -> M
     zero = Model(np.zeros(1 << BITS, np.float32), np.zeros((2, 2)), 0.0, np.array([-40.0, 0, 0, 0, 0, 0]))
     if len(set(toxic)) < 2:
         return zero
-    held = np.arange(len(texts)) % 4 == 3
-    tokens = [t.split() for t in texts]
-    by_word: dict[str, list[str]] = {}
-    for t in tokens:
-        for w in t:
-            if w not in by_word:
-                by_word[w] = word_features(w)
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    train = [i for i in range(len(texts)) if not held[i]]
+    # every token is a number; features hang on distinct words only
+    ids: dict[str, int] = {}
+    docs = [np.fromiter((ids.setdefault(w, len(ids)) for w in t.split()), np.int32) for t in texts]
+    none = 1 << BITS  # a slot whose weight stays zero
+    slots = np.full((len(ids), 6), none, np.int32)
+    for w, i in ids.items():
+        found = word_slots(w)
+        slots[i, : len(found)] = found
+    del ids
+    hints = slots[:, [0, 2, 3, 4, 5]]
+    train = [i for i in range(len(texts)) if i % 4 != 3]
     n = [sum(1 for i in train if toxic[i] == y) for y in (0, 1)]
+    seen = np.zeros((2, none + 1), np.int32)
     for i in train:
-        seen[toxic[i]].update({f for w in set(tokens[i]) for f in by_word[w]})
+        seen[toxic[i], np.unique(hints[np.unique(docs[i])])] += 1
     # share of toxic documents among those with the feature, as in the population
     up = prior / (1 - prior) * (n[0] + 1) / (n[1] + 1)
-    seeds = {f for f, c in seen[1].items() if c >= 4 and f[0] != "s" and up * (c - 1) > seen[0][f] + 1}
-    slots = {w: np.array([_slot(f) for f in fs]) for w, fs in by_word.items()}
-    marked = {w for w, fs in by_word.items() if any(f in seeds for f in fs)}
-
-    order = [tokens[i] for i in train]
-    lengths = np.array([len(t) for t in order], np.int64)
-    flat = [w for t in order for w in t]
-    sizes = np.array([len(slots[w]) for w in flat])
-    which = np.concatenate([slots[w] for w in flat]) if flat else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(flat)), sizes)
-    in_toxic = np.repeat(np.array([toxic[i] for i in train]), lengths)
-    y = np.array([w in marked for w in flat], dtype=np.float64) * in_toxic
+    seed = (seen[1] >= 4) & (up * (seen[1] - 1.0) > seen[0] + 1.0)
+    seed[none] = False
+    marked = seed[hints].any(axis=1)
+
+    lengths = np.array([len(docs[i]) for i in train], np.int64)
+    flat = np.concatenate([docs[i] for i in train])
+    in_toxic = np.repeat(np.array([toxic[i] for i in train], np.int8), lengths)
+    y = (marked[flat] & (in_toxic == 1)).astype(np.float64)
     # a toxic document counts as in the population, a word once per document
-    again = np.concatenate([[1 / c[w] for w in t] for t in order for c in [Counter(t)]]) if flat else np.zeros(0)
+    again = np.concatenate([1 / c[x] for d in (docs[i] for i in train) for _, x, c in [np.unique(d, return_inverse=True, return_counts=True)]])
     importance = np.where(in_toxic == 1, up, 1.0) * again
     first, size = chains(lengths)
     inner = np.ones(len(flat), bool)
@@ -205,23 +204,24 @@ def fit(texts: list[str], toxic: list[int], prior: float, epochs: int = 40) -> M
     observed = np.zeros((2, 2))
     np.add.at(observed, (y[nxt - 1].astype(int), y[nxt].astype(int)), 1)
 
-    w = np.zeros(1 << BITS)
-    theta, grad2, grad2t = np.zeros(5), np.full(1 << BITS, 1e-6), np.full(5, 1e-6)
-    theta[:] = [0.0, -3.0, 0.0, -1.0, -3.0]
+    w = np.zeros(none + 1)
+    grad2, grad2t = np.full(none + 1, 1e-6), np.full(5, 1e-6)
+    theta = np.array([0.0, -3.0, 0.0, -1.0, -3.0])
     for _ in range(epochs):
-        emit = np.bincount(owner, w[which], minlength=len(flat))
-        trans = theta[:4].reshape(2, 2)
-        p, expected, starts = marginals(emit, lengths, trans, theta[4], pairs=True)
-        g = np.bincount(which, ((y - p) * importance)[owner], minlength=1 << BITS) - 0.01 * w
+        emit = w[slots].sum(axis=1)[flat]
+        p, expected, starts = marginals(emit, lengths, theta[:4].reshape(2, 2), theta[4], pairs=True)
+        per_word = np.bincount(flat, (y - p) * importance, minlength=len(slots))
+        g = np.bincount(slots.reshape(-1), np.repeat(per_word, slots.shape[1]), minlength=none + 1) - 0.01 * w
+        g[none] = 0
         grad2 += g * g
         w += 0.5 * g / np.sqrt(grad2)
         gt = np.concatenate([(observed - expected).reshape(-1), [y[first].sum() - starts]]) / max(1, len(first)) - 0.001 * theta
         grad2t += gt * gt
         theta += 0.2 * gt / np.sqrt(grad2t)
-    model = Model(w.astype(np.float32), theta[:4].reshape(2, 2).copy(), float(theta[4]), np.zeros(6))
+    model = Model(w[:none].astype(np.float32), theta[:4].reshape(2, 2).copy(), float(theta[4]), np.zeros(6))
 
-    check = [i for i in range(len(texts)) if held[i]]
-    some = [tokens[i] for i in check]
+    check = range(3, len(texts), 4)
+    some = [texts[i].split() for i in check]
     x, t = _summaries(some, model.token_marginals(some)), np.array([toxic[i] for i in check], float)
     share = np.where(t == 1, prior, 1 - prior) / np.where(t == 1, max(t.sum(), 1), max((1 - t).sum(), 1))
     weight = share * len(t)
