@@ -24,7 +24,9 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,11 @@ LANES = 512
 STRIDE = 256
 #: Tokens after which a block closes, at a document's end.
 BLOCK = 1 << 18
-#: Chunks of text whose ids a worker remembers before it starts anew.
+#: Chunks of text in each of two generations whose ids a worker remembers.
 MEMORY = 400_000
+#: Punctuation that may close a chunk of letters, and the end of Latin letters.
+CLOSING = b".,;:!?"
+LATIN = "\u0250"
 _HEAD = struct.Struct("<4s5I")
 _U = np.uint64
 LOW = 1 << 31
@@ -142,8 +147,20 @@ class Coder:
         return docs, sizes, out.reshape(-1)[:n]
 
 
+def _byte_names() -> dict[int, str]:
+    """The printable stand-ins that byte-level vocabularies use for bytes."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [x for x in range(256) if x not in plain]
+    return {x: chr(x) for x in plain} | {x: chr(256 + i) for i, x in enumerate(rest)}
+
+
 class ChunkTokenizer:
-    """Ids by chunks between ASCII white space, which no token crosses."""
+    """Ids by chunks between ASCII white space, which no token crosses.
+
+    A chunk of Latin letters, composed, with or without closing punctuation,
+    is two pre-tokens at most; these go straight to the library's model.  All
+    other chunks go through its whole pipeline.
+    """
 
     def __init__(self, text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -151,19 +168,59 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.encode_special_tokens = True  # in a text, their strings are plain text
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
+        self.names = _byte_names()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-token."""
+        got = self.pieces.get(piece)
+        if got is None:
+            if len(self.pieces) >= MEMORY:
+                self.pieces.clear()
+            name = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.names)
+            got = array(self.code, [t.id for t in self.model.tokenize(name)]).tobytes()
+            self.pieces[piece] = got
+        return got
+
+    def _simple(self, chunk: bytes) -> bytes | None:
+        """Ids of a chunk of letters and closing punctuation, else None."""
+        core = chunk.rstrip(CLOSING)
+        word = core.decode("utf-8")
+        if not word.isalpha():
+            return None
+        if word.isascii():
+            word = word.lower()
+        elif max(word) < LATIN and is_normalized("NFC", word):
+            word = word.lower()  # no letter here has a lower case that depends on its place
+            if not word.isalpha():
+                return None
+        else:
+            return None
+        ids = self._piece(word)
+        return ids if len(core) == len(chunk) else ids + self._piece(chunk[len(core) :].decode("utf-8"))
 
     def encode(self, texts: list[bytes | None], end_id: int) -> list[bytes]:
         end = np.array([end_id], self.kind).tobytes()
         split = [(t or b"").split() for t in texts]
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        new = list({c for chunks in split for c in chunks if c not in known})
-        got = self.tokenizer.encode_batch([c.decode("utf-8") for c in new], add_special_tokens=False)
-        known.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(new, got))
+        if len(self.known) > MEMORY:
+            self.known, self.older = {}, self.known
+        known, older, hard = self.known, self.older, []
+        for c in {c for chunks in split for c in chunks if c not in known}:
+            ids = older.get(c)
+            if ids is None:
+                ids = self._simple(c)
+            if ids is None:
+                hard.append(c)
+            else:
+                known[c] = ids
+        got = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in hard], add_special_tokens=False)
+        known.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(hard, got))
         return [b"".join(map(known.__getitem__, chunks)) + end for chunks in split]
 
 
@@ -241,7 +298,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
             yield close()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.repartitionByRange(parts, "doc", "ids").sortWithinPartitions("doc", "ids")
+    ordered = tokens.repartitionByRange(parts, "doc").sortWithinPartitions("doc", "ids")
     ordered.mapInArrow(pack, "shard long, block long, before long, n_docs long, n_tokens long, payload binary").write.parquet(f"{path}/blocks")
     drop(spark, f"{path}/tokens")
 
