@@ -109,7 +109,7 @@ def _sketcher(words: int, bands: int, rows: int):
             f1 = np.array([mix(s + _U(1)).sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64)
             f2 = np.array([mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f1), pa.array(f2), lists, marks], names=["doc", "n", "f1", "f2", "bands", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f1), pa.array(f2), lists, marks, batch.column(2)], names=["doc", "n", "f1", "f2", "bands", "marks", "fp"])
 
     return run
 
@@ -267,27 +267,27 @@ def near_duplicates(
     tune(spark)
     root = work_dir(spark, "minhash")
     texts = docs.select(id_key(id_col).alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    drawn = spool(texts.mapInArrow(_sketcher(words, bands, rows), "doc long, n long, f1 long, f2 long, bands array<long>, marks binary"), f"{root}/sketches")
+    texts = texts.select("doc", "text", F.xxhash64("text").alias("fp"))
+    drawn = spool(texts.mapInArrow(_sketcher(words, bands, rows), "doc long, n long, f1 long, f2 long, bands array<long>, marks binary, fp long"), f"{root}/sketches")
 
     full = drawn.where("n > 0")
-    classes = spool(full.groupBy("f1", "f2").agg(F.min("doc").alias("rep")), f"{root}/classes")
-    reps = full.join(classes, ["f1", "f2"]).where("doc = rep").dropDuplicates(["doc", "f1", "f2"])
+    # the row with the smallest id stands for its class
+    reps = full.groupBy("f1", "f2").agg(F.min_by(F.struct("doc", "n", "bands", "marks", "fp"), "doc").alias("r"))
+    reps = spool(reps.select("f1", "f2", "r.*"), f"{root}/classes")
+    classes = reps.select("f1", "f2", F.col("doc").alias("rep"))
     keyed = reps.select(F.explode("bands").alias("key"), F.col("doc").alias("m"), "f1", "n")
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     ranked = keyed.join(shared, "key").selectExpr("key", "m", "f1", "n", "size", "row_number() OVER (PARTITION BY key ORDER BY m, f1) - 1 AS at")
     members = spool(ranked, f"{root}/members")
+    ends = reps.join(members.select(F.col("m").alias("doc"), "f1"), ["doc", "f1"], "left_semi").select("doc", "f1", "marks", "bands", "fp")
+    ends = spool(ends, f"{root}/ends")
+    held = spool(texts.join(ends.select("doc", "f1", "fp"), ["doc", "fp"]).select("doc", "f1", "text"), f"{root}/texts")
 
-    ends = spool(reps.join(members.select("m", "f1").distinct(), (F.col("doc") == F.col("m")) & (reps.f1 == members.f1), "left_semi").select("doc", "f1", "marks", "bands"), f"{root}/ends")
-    # the text of a class comes from one row of its representative
-    wanted = ends.select("doc", "f1")
-    held = texts.join(wanted.select("doc").distinct(), "doc", "left_semi")
-    held = spool(held.mapInArrow(_fingerprinter(words), "doc long, f1 long, text string"), f"{root}/texts")
-    held = held.join(wanted, ["doc", "f1"], "left_semi").dropDuplicates(["doc", "f1"])
-    held = spool(held, f"{root}/class_texts")
-
-    twice = drawn.groupBy("doc").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc")
-    links = full.join(twice, "doc", "left_semi").join(classes, ["f1", "f2"]).select(F.col("doc").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    links = spool(links, f"{root}/links_ids")
+    twice = spool(drawn.groupBy("doc").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc"), f"{root}/twice")
+    links = spark.createDataFrame([], "a long, b long")
+    if not twice.isEmpty():
+        again = full.join(twice, "doc", "left_semi").join(classes, ["f1", "f2"]).select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+        links = spool(again.where("a <> b"), f"{root}/links_ids")
 
     # the first member of each bucket against the others
     least = least_agreement(bands * rows, percent)
@@ -340,16 +340,6 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(named, "m", "left").withColumn("label", F.coalesce("label", "m"))
 
 
-def _fingerprinter(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", STEP_BYTES):
-            sets = shingle_sets(as_bytes(batch.column(1)), words)
-            f1 = np.array([mix(s + _U(1)).sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f1), batch.column(1)], names=["doc", "f1", "text"])
-
-    return run
-
-
 def _verify(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
     """Links among ``pairs`` (a, fa, b, fb); a pivot with many members is
     copied to as many shares, so that no task holds all of them."""
