@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.plans import scoring
+from ridgeline.plans import scoring, terrain
 
-_MODULES = (scoring,)
+_MODULES = (scoring, terrain)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

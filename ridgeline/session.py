@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+_own: str | None = None
+
 
 def session(master: str = "local[*]", partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; ``conf`` keys use ``__`` for dots."""
@@ -18,3 +24,18 @@ def session(master: str = "local[*]", partitions: int | None = None, **conf: str
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a folder, on any filesystem that Spark reads."""
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it from there.
+
+    Where ``spark.checkpoint.dir`` is unset (local tests) a temporary folder
+    is set first and removed at exit.
+    """
+    global _own
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and _own is None:
+        _own = tempfile.mkdtemp(prefix="ridgeline-")
+        atexit.register(shutil.rmtree, _own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(f"file://{_own}")
+    return df.checkpoint()
