@@ -61,11 +61,15 @@ d AS (SELECT row, col, (CASE WHEN w IS NULL THEN e - z WHEN e IS NULL THEN z - w
 
 
 def bilinear_sql(points: str, keys: str, out: str = "z") -> str:
-    """``points`` has keys, r and c; grid ``g`` is defined."""
+    """``points`` has keys, r and c; ``h`` is the grid as (k, z), k being
+    row * width + column."""
     return f"""
 (SELECT {keys}, (a.z * (1 - fc) + b.z * fc) * (1 - fr) + (d.z * (1 - fc) + e.z * fc) * fr AS {out} FROM
-  (SELECT *, r - r0 AS fr, c - c0 AS fc FROM (SELECT *, CAST(greatest(0, least({HEIGHT - 2}, floor(r))) AS INT) AS r0, CAST(greatest(0, least({WIDTH - 2}, floor(c))) AS INT) AS c0 FROM {points}))
-  JOIN g a ON a.row = r0 AND a.col = c0 JOIN g b ON b.row = r0 AND b.col = c0 + 1 JOIN g d ON d.row = r0 + 1 AND d.col = c0 JOIN g e ON e.row = r0 + 1 AND e.col = c0 + 1)"""
+  (SELECT *, r - r0 AS fr, c - c0 AS fc, r0 * {WIDTH} + c0 AS at FROM (SELECT *, CAST(greatest(0, least({HEIGHT - 2}, floor(r))) AS INT) AS r0, CAST(greatest(0, least({WIDTH - 2}, floor(c))) AS INT) AS c0 FROM {points})) q
+  JOIN h a ON a.k = q.at JOIN h b ON b.k = q.at + 1 JOIN h d ON d.k = q.at + {WIDTH} JOIN h e ON e.k = q.at + {WIDTH + 1})"""
+
+
+_H = f"h AS MATERIALIZED (SELECT row * {WIDTH} + col AS k, z FROM g)"
 
 
 # --- polygons ----------------------------------------------------------------
@@ -235,7 +239,7 @@ def _sight_sql(step: float, up: bool) -> str:
     n = f"CAST(greatest(2, {'ceil' if up else 'floor'}(distance / {step}::DOUBLE)) AS INT)"
     c, r = visibility.CURVATURE, visibility.RADIUS
     rays = f"""
-g AS ({GRID_SQL}), pairs AS (SELECT orow, ocol, trow, tcol, sqrt((trow - orow) * (trow - orow) + (tcol - ocol) * (tcol - ocol)) * 10 AS distance FROM
+g AS ({GRID_SQL}), {_H}, pairs AS (SELECT orow, ocol, trow, tcol, sqrt((trow - orow) * (trow - orow) + (tcol - ocol) * (tcol - ocol)) * 10 AS distance FROM
   (SELECT unnest([5, 100, 321]) AS orow, 30 AS ocol), (SELECT CAST(unnest(range(0, {HEIGHT}, 35)) AS INT) AS trow), (SELECT unnest([3, 31, 60]) AS tcol)),
 rays AS (SELECT *, {_EYE}::DOUBLE AS eye, {_TARGET}::DOUBLE - {c}::DOUBLE * distance * distance / (2 * {r}::DOUBLE) AS sunk, {n} AS n FROM pairs WHERE distance > 0),
 march AS (SELECT *, k / n::DOUBLE AS t FROM (SELECT *, unnest(range(1, n)) AS k FROM rays)),
@@ -344,7 +348,7 @@ def json_config(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL: dict[str, str] = {
     "grid_slope": f"WITH {_NEIGHBOURS} SELECT row, col, {_q('sqrt(dx * dx + dy * dy) * 100', 4)} AS slope FROM d",
-    "grid_bilinear": f"WITH g AS ({GRID_SQL}), p AS (SELECT id, y / 20 AS r, x / 160 AS c FROM ({fill(POINTS)}) WHERE y / 20 BETWEEN 0 AND {HEIGHT - 1} AND x / 160 BETWEEN 0 AND {WIDTH - 1}) SELECT id, {_q('z', 6)} AS z FROM {bilinear_sql('p', 'id')}",
+    "grid_bilinear": f"WITH g AS ({GRID_SQL}), {_H}, p AS (SELECT id, y / 20 AS r, x / 160 AS c FROM ({fill(POINTS)}) WHERE y / 20 BETWEEN 0 AND {HEIGHT - 1} AND x / 160 BETWEEN 0 AND {WIDTH - 1}) SELECT id, {_q('z', 6)} AS z FROM {bilinear_sql('p', 'id')}",
     "grid_dilate": f"WITH g AS ({GRID_SQL}), s AS (SELECT row, col FROM g WHERE z > 25) SELECT DISTINCT g.row, g.col FROM g JOIN s ON abs(g.row - s.row) + abs(g.col - s.col) <= 2",
     "grid_flatten": f"WITH g AS ({GRID_SQL}) SELECT row, col, {_q('CASE WHEN z < -10 THEN (SELECT median(z) FROM g WHERE z < -10) ELSE z END', 6)} AS z, z < -10 AS lake FROM g",
     "grid_masks": f"WITH g AS ({GRID_SQL}), s AS (SELECT row, col FROM g WHERE z < -20), n AS (SELECT DISTINCT g.row, g.col FROM g JOIN s ON abs(g.row - s.row) + abs(g.col - s.col) <= 1) SELECT row, CAST(count(*) AS BIGINT) AS cells FROM n JOIN g USING (row, col) WHERE NOT z < -20 GROUP BY row",

@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+#: The folder that holds this package.
+HOME = str(Path(__file__).resolve().parents[1])
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver was started;
+    a cluster that installs it needs nothing."""
+    env = spark.sparkContext.environment
+    if HOME not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), HOME]))
 
 
 def session(master: str = "local[*]", partitions: int | None = None, **conf: str) -> SparkSession:
