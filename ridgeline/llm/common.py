@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ridgeline.session import importable
+
 #: Rows in one Arrow batch sent to Python; with texts of up to about a
 #: megabyte this bounds a worker's memory.
 ARROW_ROWS = 256
@@ -35,7 +37,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session; a smaller user value stays."""
+    """Bound the Arrow batches of this session; a smaller user value stays.
+    Let workers import this package."""
+    importable(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS),):
         now = spark.conf.get(key, None)
         if now is None or int(now) <= 0 or int(now) > most:
