@@ -5,7 +5,7 @@ Turns become segments of one text per conversation:
     user       ``<s>[INST] `` text `` [/INST]``
     assistant  `` `` text `` </s>``
     system     ``<<SYS>>`` text ``<</SYS>>``
-    other      ``<<ROLE:`` role ``>>`` text ``<</ROLE>>``
+    other      ``<<ROLE:`` role ``:>>`` text ``<</ROLE>>``
 
 Inside texts a backslash is doubled and a control string gets a backslash after
 its first character, so that no control string survives and the text can be
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ridgeline.llm.common import as_bytes, slices, tune
 
 #: The control strings; fixed values of the format.
-CONTROL = (b"<s>", b"</s>", b"[INST]", b"[/INST]", b"<<SYS>>", b"<</SYS>>", b"<<ROLE:", b"<</ROLE>>", b">>")
+CONTROL = (b"<s>", b"</s>", b"[INST]", b"[/INST]", b"<<SYS>>", b"<</SYS>>", b"<<ROLE:", b"<</ROLE>>", b":>>")
 _ANY = re.compile(b"|".join(map(re.escape, sorted(CONTROL, key=len, reverse=True))))
 _HINT = re.compile(rb"[\\<>\[]")
 WRAP = {b"user": (b"<s>[INST] ", b" [/INST]"), b"assistant": (b" ", b" </s>"), b"system": (b"<<SYS>>", b"<</SYS>>")}
@@ -59,7 +59,7 @@ def unescape(text: bytes) -> bytes:
 
 def wrap(role: bytes) -> tuple[bytes, bytes]:
     """Header and trailer of a turn."""
-    return WRAP.get(role) or (b"<<ROLE:" + escape(role) + b">>", b"<</ROLE>>")
+    return WRAP.get(role) or (b"<<ROLE:" + escape(role) + b":>>", b"<</ROLE>>")
 
 
 def assemble(parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,8 +125,8 @@ def parse(text: bytes) -> Iterator[tuple[bytes, bytes]]:
                 break
         else:
             if text.startswith(b"<<ROLE:", at):
-                end = text.index(b">>", at)
-                role, head, tail = unescape(text[at + 7 : end]), text[at : end + 2], b"<</ROLE>>"
+                end = text.index(b":>>", at)
+                role, head, tail = unescape(text[at + 7 : end]), text[at : end + 3], b"<</ROLE>>"
             else:
                 role, (head, tail) = b"assistant", WRAP[b"assistant"]
         begin = at + len(head)

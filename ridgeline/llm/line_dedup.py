@@ -148,8 +148,9 @@ def dedup_lines(
     cut = feed.select("h1", "h2", "doc").join(repeated, ["h1", "h2"]).where(F.col("doc") != F.col("owner"))
     cut = cut.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("__rl_cut")).withColumnRenamed("doc", "__rl_key")
     out = docs.withColumn("__rl_key", key).join(cut, "__rl_key", "left").drop("__rl_key")
-    schema = extended(docs.schema, ("n_lines", T.LongType()), ("n_dropped", T.LongType()))
-    return out.select(*[f"`{c}`" for c in docs.columns if c not in ("n_lines", "n_dropped")], "__rl_cut").mapInArrow(_remover(text_col, min_chars), schema)
+    own = docs.drop("n_lines", "n_dropped")
+    schema = extended(own.schema, ("n_lines", T.LongType()), ("n_dropped", T.LongType()))
+    return out.select(*[f"`{c}`" for c in own.columns], "__rl_cut").mapInArrow(_remover(text_col, min_chars), schema)
 
 
 def _remover(text_col: str, min_chars: int):

@@ -161,8 +161,8 @@ WITH t AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), e AS (
   SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + len(regexp_extract_all(replace(text, '\', '\\'),
-      '<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<<ROLE:|<</ROLE>>|>>')) AS n,
-    CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 WHEN 'system' THEN 15 ELSE 19 + length(role) END AS w
+      '<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<<ROLE:|<</ROLE>>|:>>')) AS n,
+    CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 WHEN 'system' THEN 15 ELSE 20 + length(role) END AS w
   FROM t
 )
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
