@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import NULL_ID, as_bytes, drop, extended, id_key, spool, tune, with_columns, work_dir
+from ridgeline.llm.common import as_bytes, drop, extended, id_key, spool, tune, with_columns, work_dir
 
 SPACE = b" \t\n\x0b\x0c\r"
 _MAX_UTF8 = 4
