@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.scalar import finite, round_up
+from ridgeline.session import cut
 
 #: Cut points per metric that spread a population over tasks.
 CUTS = 32
@@ -129,7 +130,8 @@ def score(df: DataFrame, id_col: str, registry: list[Metric], weights: dict[str,
     if not active:
         empty = df.limit(0).withColumn("score", F.lit(None).cast("double"))
         return empty.withColumn("breakdown", F.lit(None).cast("array<struct<label:string,value:double,utility:double,weight:int>>"))
-    ranks = midpoint_percentiles(long_form(df, id_col, active))
+    df = cut(df)  # the population is read for cut points, counts, ranks and candidates
+    ranks = midpoint_percentiles(cut(long_form(df, id_col, active)))
     wide = ranks.groupBy("id").pivot("metric", [m.id for m in active]).agg(F.first("p"))
     wide = wide.select(F.col("id").alias(id_col), *[F.col(m.id).alias(f"__p_{m.id}") for m in active])
     kept = df if keep is None else df.where(keep)
