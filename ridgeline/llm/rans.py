@@ -154,6 +154,17 @@ def _byte_names() -> dict[int, str]:
     return {x: chr(x) for x in plain} | {x: chr(256 + i) for i, x in enumerate(rest)}
 
 
+class Known(dict):
+    """A dictionary that makes and keeps what it lacks."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self[key] = self.make(key)
+        return value
+
+
 class ChunkTokenizer:
     """Ids by chunks between ASCII white space, which no token crosses.
 
@@ -173,9 +184,10 @@ class ChunkTokenizer:
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
         self.code = "H" if self.kind == "<u2" else "I"
         self.names = _byte_names()
-        self.known: dict[bytes, bytes] = {}
+        self.known = Known(self._make)
         self.older: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.closing: dict[bytes, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one pre-token."""
@@ -203,25 +215,31 @@ class ChunkTokenizer:
         else:
             return None
         ids = self._piece(word)
-        return ids if len(core) == len(chunk) else ids + self._piece(chunk[len(core) :].decode("utf-8"))
+        if len(core) == len(chunk):
+            return ids
+        after = chunk[len(core) :]
+        closing = self.closing.get(after)
+        if closing is None:
+            closing = self._piece(after.decode("utf-8"))
+            if len(self.closing) < MEMORY:
+                self.closing[after] = closing
+        return ids + closing
+
+    def _make(self, chunk: bytes) -> bytes:
+        """Ids of a chunk that this generation lacks."""
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self._simple(chunk)
+        if ids is None:
+            got = self.tokenizer.encode_batch_fast([chunk.decode("utf-8")], add_special_tokens=False)
+            ids = array(self.code, got[0].ids).tobytes()
+        return ids
 
     def encode(self, texts: list[bytes | None], end_id: int) -> list[bytes]:
-        end = np.array([end_id], self.kind).tobytes()
-        split = [(t or b"").split() for t in texts]
         if len(self.known) > MEMORY:
-            self.known, self.older = {}, self.known
-        known, older, hard = self.known, self.older, []
-        for c in {c for chunks in split for c in chunks if c not in known}:
-            ids = older.get(c)
-            if ids is None:
-                ids = self._simple(c)
-            if ids is None:
-                hard.append(c)
-            else:
-                known[c] = ids
-        got = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in hard], add_special_tokens=False)
-        known.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(hard, got))
-        return [b"".join(map(known.__getitem__, chunks)) + end for chunks in split]
+            self.known, self.older = Known(self._make), self.known
+        end, get = array(self.code, [end_id]).tobytes(), self.known.__getitem__
+        return [b"".join(map(get, (t or b"").split())) + end for t in texts]
 
 
 _tokenizers: dict[int, ChunkTokenizer] = {}
