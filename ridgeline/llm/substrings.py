@@ -4,7 +4,10 @@ Seeds are the least of every ``window`` consecutive hashes of k words, so that
 texts with ``window + k - 1`` words in common have a seed in common.  All
 occurrences of a seed are paired with its owner, the smallest document that has
 it, so a passage of a million documents gives a million anchors and no pairs
-among copies.  The anchors of a pair of documents are chained in both orders at
+among copies.  An owner may share less than a stretch that counts, so they are
+also paired with the owner of the seed together with the first seed ``piece``
+words on: whoever owns both has a stretch, unless the words between differ.
+The anchors of a pair of documents are chained in both orders at
 once, with a cost for gaps, by dynamic programming over a Fenwick tree of
 prefix maxima.  Chains are then aligned on the words: gaps between anchors by
 edit distance, both ends word by word until mismatches outweigh matches.
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import NULL_ID, as_bytes, id_key, slices, spool, tune, work_dir
@@ -38,22 +41,30 @@ GAP = 0.01
 BRIDGE = 64
 #: Pairs in one task with one copy of their owner's text.
 SHARE = 64
+#: More than the words from a seed to its second one.
+STEP = 1 << 16
 #: Falls of the score by which an end is given up.
 DROP = 4
 
 
-def minimisers(hashes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds of one text and where each first occurs."""
+def minimisers(hashes: np.ndarray, k: int, window: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds of one text, where each first occurs, and how far on the first
+    seed is that ends ``piece`` words or more on, with a hash of both (-1 if
+    there is none)."""
     h = windows(hashes, k)
     if not len(h):
-        return h, np.zeros(0, np.int64)
+        return h, *(np.zeros(0, np.int64) for _ in range(3))
     if len(h) <= window:
         at = np.array([int(h.argmin())])
     else:
         view = np.lib.stride_tricks.sliding_window_view(h, window)
         at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
     seeds, first = np.unique(h[at], return_index=True)
-    return seeds, at[first]
+    there = np.searchsorted(at, at[first] + max(1, piece - k))
+    some = there < len(at)
+    there = at[np.minimum(there, len(at) - 1)]
+    both = (windows(np.stack([seeds, h[there]], axis=1).ravel(), 2)[::2] >> np.uint64(33)).astype(np.int64)
+    return seeds, at[first], np.where(some, there - at[first], 0), np.where(some, both, -1)
 
 
 def chain(a: list[int], b: list[int], gap: float = GAP) -> list[list[int]]:
@@ -114,6 +125,18 @@ def edits(x: np.ndarray, y: np.ndarray) -> int:
     return int(row[-1])
 
 
+def _alike(x: np.ndarray, y: np.ndarray) -> int:
+    """Number of words that two sequences have alike at their beginning."""
+    n, at, size = min(len(x), len(y)), 0, 32
+    while at < n:
+        end = min(n, at + size)
+        differ = x[at:end] != y[at:end]
+        if differ.any():
+            return at + int(differ.argmax())
+        at, size = end, 4 * size
+    return n
+
+
 def _extend(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
     """How far two word sequences go on alike, with single edits."""
     i = j = score = best = 0
@@ -121,7 +144,8 @@ def _extend(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
     n, m = len(x), len(y)
     while i < n and j < m and score > best - DROP:
         if x[i] == y[j]:
-            i, j, score = i + 1, j + 1, score + 1
+            run = _alike(x[i:], y[j:])
+            i, j, score = i + run, j + run, score + run
             if score > best:
                 best, end = score, (i, j)
             continue
@@ -169,20 +193,51 @@ def align(x: np.ndarray, y: np.ndarray, a: list[int], b: list[int], k: int, iden
     return out
 
 
-def _seeder(k: int, window: int):
+def _seeder(k: int, window: int, piece: int):
+    """``at`` is the place times ``STEP`` plus how far on the second seed is."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", STEP_BYTES):
             hashes, at = words(as_bytes(batch.column(1)))
             docs, out = batch.column(0).to_numpy(zero_copy_only=False), []
             for i in range(len(docs)):
-                seeds, first = minimisers(hashes[at[i] : at[i + 1]], k, window)
-                out.append((seeds, np.full(len(seeds), docs[i]), first))
-            s, d, p = (np.concatenate(c) for c in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64)), pa.array(d.astype(np.int64)), pa.array(p.astype(np.int32))], names=["seed", "doc", "pos"])
+                seeds, pos, step, both = minimisers(hashes[at[i] : at[i + 1]], k, window, piece)
+                out.append((seeds, both, np.full(len(seeds), docs[i]), pos * STEP + step))
+            s, f, d, p = (np.concatenate(c) for c in zip(*out))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(s.astype(np.int64)), pa.array(f.astype(np.int32)), pa.array(d.astype(np.int64)), pa.array(p.astype(np.int64))], names=["seed", "both", "doc", "at"]
+            )
 
     return run
 
 
+def _partner(seeds: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Add the place to pair a row with: the key's owner."""
+    over, place = Window.partitionBy(*key), F.struct("doc", "at")
+    out = seeds.withColumn("o", F.min(place).over(over))
+    return out.withColumn(name, F.when(F.col("doc") != F.col("o.doc"), F.col("o"))).drop("o")
+
+
+def _anchors(seeds: DataFrame) -> DataFrame:
+    """Anchors (a, b, pa, pb), ``a`` before ``b``; some come twice."""
+    last = F.max("doc").over(Window.partitionBy("seed"))
+    x = _partner(seeds.withColumn("last", last).withColumn("first", F.min("doc").over(Window.partitionBy("seed"))).where("first <> last").drop("first", "last"), ["seed"], "one")
+    x = _partner(x, ["seed", "both"], "two").withColumn("two", F.when(F.col("both") >= 0, F.col("two")))
+
+    def anchor(other: str, far: bool) -> Column:
+        at = lambda c: F.floor(c / STEP) if not far else F.floor(c / STEP) + c % STEP
+        mine, its = at(F.col("at")).cast("int"), at(F.col(f"{other}.at")).cast("int")
+        swap = F.col("doc") < F.col(f"{other}.doc")
+        made = F.struct(
+            F.least("doc", f"{other}.doc").alias("a"), F.greatest("doc", f"{other}.doc").alias("b"), F.when(swap, mine).otherwise(its).alias("pa"), F.when(swap, its).otherwise(mine).alias("pb")
+        )
+        return F.when(F.col(other).isNotNull(), made)
+
+    new = F.when(F.col("one").isNull() | (F.col("one") != F.col("two")), anchor("two", False))
+    every = F.array(anchor("one", False), new, anchor("two", True))
+    return x.select(F.explode(F.filter(every, lambda v: v.isNotNull())).alias("v")).select("v.*")
+
+
 def _chainer(k: int, piece: int, window: int):
     """Rows come sorted by (a, b, pa, pb); one row per pair with its chains."""
     # a stretch of ``piece`` words may have its first and last seed this far in
@@ -211,6 +266,8 @@ def _chainer(k: int, piece: int, window: int):
                     if now is not None:
                         close()
                     now, x, y = (a, b), [], []
+                elif x[-1] == p and y[-1] == q:
+                    continue
                 x.append(p)
                 y.append(q)
             if out:
@@ -267,11 +324,8 @@ def repeated_passages(
     tune(spark)
     root = work_dir(spark, "substrings")
     texts = docs.select(id_key(id_col).alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    seeds = spool(texts.mapInArrow(_seeder(k, window), "seed long, doc long, pos int"), f"{root}/seeds")
-    owners = seeds.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("o"), F.max("doc").alias("last")).where("last <> o.doc")
-    owners = owners.select("seed", F.col("o.doc").alias("a"), F.col("o.pos").alias("pa"))
-    anchors = seeds.join(owners, "seed").where("doc <> a").select("a", F.col("doc").alias("b"), "pa", F.col("pos").alias("pb"))
-    anchors = anchors.repartition("a", "b").sortWithinPartitions("a", "b", "pa", "pb")
+    seeds = texts.mapInArrow(_seeder(k, window, piece), "seed long, both int, doc long, at long")
+    anchors = _anchors(seeds).repartition("a", "b").sortWithinPartitions("a", "b", "pa", "pb")
     pairs = spool(anchors.mapInArrow(_chainer(k, piece, window), "a long, b long, chains array<array<int>>"), f"{root}/pairs")
 
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()

@@ -166,6 +166,18 @@ def test_passages_are_found_and_clean_documents_left(spark):
     assert (by[3].begin, by[3].end) == (100, 160) and by[5].begin == 100 and by[5].end == 170 and by[6].n_words == 71
 
 
+def test_passages_are_found_beside_short_excerpts(spark):
+    """Two documents share a passage; smaller ids have 8 to 19 words of it each."""
+    r = random.Random(16)
+    noise = lambda n: words(r, n, 10**6)
+    passage = noise(70)
+    parts = [passage[at : at + 19] for at in range(52)] + [part for n in range(8, 20) for part in (passage[:n], passage[-n:]) for _ in range(2)]
+    docs = [(i, " ".join(noise(60) + part + noise(60))) for i, part in enumerate(parts)]
+    docs += [(100, " ".join(noise(30) + passage + noise(30))), (101, " ".join(noise(50) + passage + noise(30)))]
+    got = sorted((x.doc_id, x.begin, x.end, x.other_id) for x in repeated_passages(frame(spark, docs)).collect())
+    assert got == [(100, 30, 100, 101), (101, 50, 120, 100)]
+
+
 def test_chains_and_alignment():
     a, b = [0, 10, 20, 30, 40, 50], [100, 110, 5, 130, 15, 150]
     best = chain(a, b)[0]
