@@ -44,7 +44,7 @@ SHARE = 64
 #: More than the words from a seed to its second one.
 STEP = 1 << 16
 #: Falls of the score by which an end is given up.
-DROP = 4
+DROP = 8
 
 
 def minimisers(hashes: np.ndarray, k: int, window: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -313,8 +313,8 @@ def repeated_passages(
     text_col: str = "text",
     least: int = 51,
     piece: int = 20,
-    k: int = 8,
-    window: int = 12,
+    k: int = 5,
+    window: int = 4,
     identity: float = 0.8,
 ) -> DataFrame:
     """One row per document and repeated passage: id, ``begin`` and ``end`` in

@@ -178,6 +178,23 @@ def test_passages_are_found_beside_short_excerpts(spark):
     assert got == [(100, 30, 100, 101), (101, 50, 120, 100)]
 
 
+def test_fuzzy_passages_are_found(spark):
+    """Pairs of documents share 60 to 80 words, one in ten of them changed."""
+    r, docs, spans = random.Random(26), [], {}
+    noise = lambda n: words(r, n, 10**6)
+    for i in range(0, 200, 2):
+        n = r.randrange(60, 81)
+        passage = noise(n)
+        other = list(passage)
+        for at in r.sample(range(3, n - 3), n // 10):
+            other[at] = "changed"
+        docs += [(i, " ".join(noise(40) + passage + noise(40))), (i + 1, " ".join(noise(60) + other + noise(20)))]
+        spans |= {i: (40, 40 + n), i + 1: (60, 60 + n)}
+    got = repeated_passages(frame(spark, docs)).collect()
+    assert all(spans[x.doc_id][0] <= x.begin and x.end <= spans[x.doc_id][1] for x in got)
+    assert len(got) >= 196
+
+
 def test_chains_and_alignment():
     a, b = [0, 10, 20, 30, 40, 50], [100, 110, 5, 130, 15, 150]
     best = chain(a, b)[0]
