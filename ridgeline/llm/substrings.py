@@ -17,9 +17,10 @@ stretches that touch are joined, since parts of one passage may have different
 owners.  What is at least ``least`` words long is a repeated passage.
 
 Defined results: words are split at white space, A-Z lower-cased; null, empty
-and short texts give no rows; a passage that a document has several times is
-found at its first place; rows that share an id must share the text, or the
-first text by its hash counts; a null id acts as one document.
+and short texts give no rows; a passage that a document shares with another is
+found at every place, one that no other document has at none; rows that share
+an id must share the text, or the first text by its hash counts; a null id acts
+as one document.
 """
 
 from __future__ import annotations
@@ -48,9 +49,9 @@ DROP = 8
 
 
 def minimisers(hashes: np.ndarray, k: int, window: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Seeds of one text, where each first occurs, and how far on the first
-    seed is that ends ``piece`` words or more on, with a hash of both (-1 if
-    there is none)."""
+    """Seeds of one text, where each occurs, and how far on the first seed is
+    that ends ``piece`` words or more on, with a hash of both (-1 if there is
+    none).  Of places of one seed that overlap, every k-th word has one."""
     h = windows(hashes, k)
     if not len(h):
         return h, *(np.zeros(0, np.int64) for _ in range(3))
@@ -59,12 +60,18 @@ def minimisers(hashes: np.ndarray, k: int, window: int, piece: int) -> tuple[np.
     else:
         view = np.lib.stride_tricks.sliding_window_view(h, window)
         at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
-    seeds, first = np.unique(h[at], return_index=True)
-    there = np.searchsorted(at, at[first] + max(1, piece - k))
+    order = np.lexsort((at, h[at]))
+    pos, seeds = at[order], h[at][order]
+    # a run of overlapping places is of a text that repeats within k words
+    new = np.concatenate([[True], (seeds[1:] != seeds[:-1]) | (np.diff(pos) >= k)])
+    stretch = (pos - pos[np.maximum.accumulate(np.where(new, np.arange(len(pos)), 0))]) // k
+    keep = new | np.concatenate([[True], stretch[1:] != stretch[:-1]])
+    pos, seeds = pos[keep], seeds[keep]
+    there = np.searchsorted(at, pos + max(1, piece - k))
     some = there < len(at)
     there = at[np.minimum(there, len(at) - 1)]
     both = (windows(np.stack([seeds, h[there]], axis=1).ravel(), 2)[::2] >> np.uint64(33)).astype(np.int64)
-    return seeds, at[first], np.where(some, there - at[first], 0), np.where(some, both, -1)
+    return seeds, pos, np.where(some, there - pos, 0), np.where(some, both, -1)
 
 
 def chain(a: list[int], b: list[int], gap: float = GAP) -> list[list[int]]:
@@ -212,10 +219,13 @@ def _seeder(k: int, window: int, piece: int):
 
 
 def _partner(seeds: DataFrame, key: list[str], name: str) -> DataFrame:
-    """Add the place to pair a row with: the key's owner."""
+    """Add the place to pair a row with: the key's first place, or for other
+    places of its document the first in the next document; null if none."""
     over, place = Window.partitionBy(*key), F.struct("doc", "at")
     out = seeds.withColumn("o", F.min(place).over(over))
-    return out.withColumn(name, F.when(F.col("doc") != F.col("o.doc"), F.col("o"))).drop("o")
+    out = out.withColumn("n", F.min(F.when(F.col("doc") != F.col("o.doc"), place)).over(over))
+    out = out.withColumn(name, F.when(F.col("doc") != F.col("o.doc"), F.col("o")).when(F.col("at") != F.col("o.at"), F.col("n")))
+    return out.drop("o", "n")
 
 
 def _anchors(seeds: DataFrame) -> DataFrame:
@@ -250,7 +260,8 @@ def _chainer(k: int, piece: int, window: int):
         def close() -> None:
             flat = []
             for c in chain(x, y):
-                if x[c[-1]] + k - x[c[0]] >= least:
+                # in text that repeats, one side of a chain may stand nearly still
+                if max(x[c[-1]] - x[c[0]], y[c[-1]] - y[c[0]]) + k >= least:
                     flat.append([v for i in c for v in (x[i], y[i])])
             if flat:
                 out.append((*now, flat))

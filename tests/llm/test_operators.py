@@ -195,6 +195,18 @@ def test_fuzzy_passages_are_found(spark):
     assert len(got) >= 196
 
 
+def test_passages_are_found_at_every_place(spark):
+    """Three places in the first document, two in the second, one in a third."""
+    r = random.Random(36)
+    noise = lambda n: words(r, n, 10**6)
+    p, own = noise(60), noise(60)
+    docs = [(1, p + noise(40) + p + noise(30) + p), (2, noise(20) + p + noise(80) + p), (3, noise(10) + p), (4, own + noise(40) + own), (5, ["a"] * 300), (6, noise(10) + ["a"] * 100)]
+    got = repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in docs])).collect()
+    assert sorted((x.doc_id, x.begin, x.end, x.other_id) for x in got) == [
+        (1, 0, 60, 2), (1, 100, 160, 2), (1, 190, 250, 2), (2, 20, 80, 1), (2, 160, 220, 1), (3, 10, 70, 1), (5, 0, 300, 6), (6, 10, 110, 5),
+    ]
+
+
 def test_chains_and_alignment():
     a, b = [0, 10, 20, 30, 40, 50], [100, 110, 5, 130, 15, 150]
     best = chain(a, b)[0]
