@@ -35,9 +35,15 @@ def grid_bilinear(spark: SparkSession, folder: str) -> DataFrame:
     return G.bilinear(at, ["id"], grid(spark, folder)).select("id", S.round_even(F.col("z"), 6).alias("z"))
 
 
+def _shape(g: DataFrame) -> tuple[int, int]:
+    """Height and width of a raster; 0 and 0 if it is empty."""
+    row, col = g.agg(F.max("row"), F.max("col")).first()
+    return (0, 0) if row is None else (row + 1, col + 1)
+
+
 def grid_dilate(spark: SparkSession, folder: str) -> DataFrame:
-    seed = grid(spark, folder).where("z > 25").select("row", "col")
-    return G.dilate(seed, 2, HEIGHT, WIDTH)
+    g = grid(spark, folder)
+    return G.dilate(g.where("z > 25").select("row", "col"), 2, *_shape(g))
 
 
 def grid_flatten(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,7 +54,7 @@ def grid_flatten(spark: SparkSession, folder: str) -> DataFrame:
 def grid_masks(spark: SparkSession, folder: str) -> DataFrame:
     """Analysis mask: near the lake, but not of it; and its size."""
     g = grid(spark, folder).withColumn("lake", F.col("z") < -20)
-    near = G.dilate(g.where("lake").select("row", "col"), 1, HEIGHT, WIDTH).withColumn("near", F.lit(True))
+    near = G.dilate(g.where("lake").select("row", "col"), 1, *_shape(g)).withColumn("near", F.lit(True))
     both = g.join(near, ["row", "col"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
     return both.where("near AND NOT lake").groupBy("row").agg(F.count("*").alias("cells"))
 

@@ -189,3 +189,30 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def raster(spark, folder, spread):
+    """Heights in metres of 700 rows of 64 columns, written to ``folder``."""
+    z = np.random.default_rng(7).normal(0, spread, (700, 64)).round(3)
+    rows = [(i, [float(v) for v in line]) for i, line in enumerate(z)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{folder}/embeddings.parquet")
+    return z * 100
+
+
+def ball(cells, steps, shape):
+    out = set()
+    for r, c in cells:
+        for i in range(-steps, steps + 1):
+            for j in range(abs(i) - steps, steps - abs(i) + 1):
+                if 0 <= r + i < shape[0] and 0 <= c + j < shape[1]:
+                    out.add((r + i, c + j))
+    return out
+
+
+def test_masks_reach_the_last_row_of_the_raster(spark, tmp_path):
+    folder = str(tmp_path)
+    z = raster(spark, folder, 0.2)
+    assert {(x.row, x.col) for x in terrain.grid_dilate(spark, folder).collect()} == ball(np.argwhere(z > 25).tolist(), 2, z.shape)
+    near = [(r, c) for r, c in ball(np.argwhere(z < -20).tolist(), 1, z.shape) if not z[r, c] < -20]
+    want = {r: sum(1 for a, _ in near if a == r) for r, _ in near}
+    assert {x.row: x.cells for x in terrain.grid_masks(spark, folder).collect()} == want
