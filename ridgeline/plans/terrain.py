@@ -234,9 +234,12 @@ def cumulative_view(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def viewshed_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    """Cumulative layers of a few lake points over the upper raster."""
-    rows = grid(spark, folder).where("row < 64").orderBy("row", "col").collect()  # a raster that is broadcast
-    z = np.array([r["z"] for r in rows]).reshape(64, WIDTH)
+    """Cumulative layers of a few lake points over the whole raster."""
+    g = grid(spark, folder)
+    z = np.full(_shape(g), np.nan)  # a raster that is broadcast
+    for batch in g.select("row", "col", "z").toArrow().to_batches():
+        row, col, height = (c.to_numpy() for c in batch.columns)
+        z[row, col] = height
     pts = spark.createDataFrame([(0, 10, 10), (1, 40, 50), (2, 63, 0)], "pt_id long, row int, col int")
     return visibility.summed_views(pts, z, 10.0, {"2m": 2.0, "8m": 8.0})
 

@@ -216,3 +216,14 @@ def test_masks_reach_the_last_row_of_the_raster(spark, tmp_path):
     near = [(r, c) for r, c in ball(np.argwhere(z < -20).tolist(), 1, z.shape) if not z[r, c] < -20]
     want = {r: sum(1 for a, _ in near if a == r) for r, _ in near}
     assert {x.row: x.cells for x in terrain.grid_masks(spark, folder).collect()} == want
+
+
+def test_sweep_takes_the_whole_raster(spark, tmp_path):
+    folder = str(tmp_path)
+    z = raster(spark, folder, 0.01)
+    want = np.zeros(z.shape)
+    for r, c in ((10, 10), (40, 50), (63, 0)):
+        want += np.where(visibility.sweep(z, r, c, 10.0 + visibility.TARGET_HEIGHT, 10.0) <= 8.0, visibility.SAMPLE_AREA, 0.0)
+    got = {(x.row, x.col): x.area_8m for x in terrain.viewshed_sweep(spark, folder).collect()}
+    assert max(r for r, _ in got) > 500
+    assert {k: v for k, v in got.items() if v} == {(int(r), int(c)): float(want[r, c]) for r, c in np.argwhere(want)}
