@@ -95,11 +95,34 @@ def lattice(box: DataFrame, step: float) -> DataFrame:
     return out.select((F.col("ox") + F.col("i") * step).cast("double").alias("x"), (F.col("oy") + F.col("j") * step).cast("double").alias("y"))
 
 
-def boundary_distance(points: DataFrame, edge: DataFrame, id_col: str = "id", reach: float = 1000.0) -> DataFrame:
-    """Smallest distance from each point to a polygon's edges, up to ``reach``.
+def boundary_distance(points: DataFrame, edge: DataFrame, id_col: str = "id", reach: float | None = None, cell: float = 1000.0) -> DataFrame:
+    """Smallest distance from each point to a polygon's edges; with ``reach``
+    only for points no farther than that.
 
-    Points meet the edges whose box, widened by ``reach``, has their bucket.
+    Points meet the edges whose box, widened by ``cell``, has their bucket.
+    Points without an edge that near try again with ``cell`` four times as
+    wide, until all are done or it spans points and edges.
     """
+    if reach is not None:
+        return _boundary_within(points, edge, id_col, reach)
+    around = lambda df, xs, ys: df.agg(F.least(*map(F.min, xs)), F.greatest(*map(F.max, xs)), F.least(*map(F.min, ys)), F.greatest(*map(F.max, ys))).first()
+    p, e = around(points, ("x", "x"), ("y", "y")), around(edge, ("x1", "x2"), ("y1", "y2"))
+    todo, parts = points.where("x IS NOT NULL AND y IS NOT NULL"), []
+    if None in (*p, *e):
+        return _boundary_within(points, edge, id_col, cell)
+    span = max(p[1], e[1]) - min(p[0], e[0]) + max(p[3], e[3]) - min(p[2], e[2])
+    while True:
+        parts.append(_boundary_within(todo, edge, id_col, cell))
+        if cell >= span:
+            break
+        todo = todo.join(parts[-1].select(id_col), id_col, "left_anti")
+        if todo.isEmpty():
+            break
+        cell *= 4
+    return reduce(DataFrame.union, parts)
+
+
+def _boundary_within(points: DataFrame, edge: DataFrame, id_col: str, reach: float) -> DataFrame:
     tile = lambda c: F.floor(c / reach)
     lo, hi = (lambda a, b: F.least(a, b) - reach), (lambda a, b: F.greatest(a, b) + reach)
     e = edge.withColumn("tx", F.explode(F.sequence(tile(lo("x1", "x2")), tile(hi("x1", "x2"))))).withColumn("ty", F.explode(F.sequence(tile(lo("y1", "y2")), tile(hi("y1", "y2")))))

@@ -227,3 +227,21 @@ def test_sweep_takes_the_whole_raster(spark, tmp_path):
     got = {(x.row, x.col): x.area_8m for x in terrain.viewshed_sweep(spark, folder).collect()}
     assert max(r for r, _ in got) > 500
     assert {k: v for k, v in got.items() if v} == {(int(r), int(c)): float(want[r, c]) for r, c in np.argwhere(want)}
+
+
+def test_boundary_distance_reaches_far_points(spark):
+    r = random.Random(8)
+    pts = [(i, r.uniform(-1, 1) * 10 ** r.randrange(2, 6), r.uniform(-1, 1) * 10 ** r.randrange(2, 6)) for i in range(60)]
+    lines = [(1, 0.0, 0.0, 900.0, 100.0), (1, 900.0, 100.0, 300.0, 2500.0), (1, 300.0, 2500.0, 0.0, 0.0), (2, -4000.0, 10.0, -4000.0, 70.0)]
+
+    def plain(x, y):
+        out = []
+        for _, x1, y1, x2, y2 in lines:
+            dx, dy = x2 - x1, y2 - y1
+            t = max(0.0, min(1.0, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy)))
+            out.append(math.hypot(x - x1 - t * dx, y - y1 - t * dy))
+        return min(out)
+
+    edge = spark.createDataFrame(lines, "poly int, x1 double, y1 double, x2 double, y2 double")
+    got = {x.id: x.distance for x in vector.boundary_distance(spark.createDataFrame(pts, "id long, x double, y double"), edge).collect()}
+    assert got == pytest.approx({i: plain(x, y) for i, x, y in pts})
