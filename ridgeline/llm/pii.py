@@ -45,7 +45,8 @@ GENERATORS = {
     "card": r"(?<![0-9])[0-9]{4}([ ._/-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}|00[1-9](?:[ .-]?[0-9]){8,13})(?![0-9])",
 }
-_HINTS = {"email": r"[\[({]at[\])}]| at [A-Za-z0-9-]+(?: dot |\.[A-Za-z])", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"}
+#: Every text with a match of the generator has one of its hint.
+_HINTS = {"email": r"[\[({]at[\])}]| at  ?[A-Za-z0-9-]+(?: ?[\[({]dot[\])}]| dot |\.) ?[A-Za-z0-9-]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"}
 CONTEXT = 24
 TRAIN_ROWS = 1200
 PRECISION = 0.97

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -148,6 +149,18 @@ def test_personal_data_matches_brute_force(spark, folder, tmp_path):
     assert [x.redacted for x in red] == ["to [email] from [ip]", ""]
 
 
+def test_hints_miss_no_text_of_their_generators():
+    r, n = random.Random(46), 0
+    parts = ["john", "jane.roe", "x-1", "com", "9", " ", " ", "  ", " at ", "(at)", "[at]", "{at}", " (dot) ", "[dot]", "{dot}", " dot ", ".", ". "] + ["1:", "ab:", "2001:"]
+    texts = ["john at example (dot) com", "jane.roe at example[dot]org", "john at  example. com"] + ["".join(r.choices(parts, k=9)) for _ in range(30000)]
+    for kind, hint in pii._HINTS.items():
+        for t in texts:
+            if re.search(pii.GENERATORS[kind], t):
+                n += 1
+                assert re.search(hint, t), t
+    assert n > 1000
+
+
 def test_passages_are_found_and_clean_documents_left(spark):
     r = random.Random(6)
     a, b = words(r, 60, 10**6), words(r, 70, 10**6)
