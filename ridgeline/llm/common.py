@@ -49,12 +49,15 @@ def tune(spark: SparkSession) -> None:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder path in the folder of ``spark.checkpoint.dir``.
 
-    Where that is unset (local tests) a temporary folder is made, set as
-    checkpoint folder, and removed at exit.
+    Where that is unset a temporary folder is made, set as checkpoint folder,
+    and removed at exit; only a local master may do so, since executors of a
+    cluster do not share it.
     """
     global _own_root
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if _own_root is None:
             _own_root = tempfile.mkdtemp(prefix="ridgeline-")
             atexit.register(shutil.rmtree, _own_root, ignore_errors=True)
@@ -70,6 +73,26 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(conf).delete(p, True)
 
 
+_results: list[str] = []
+
+
+def result(df: DataFrame, *roots: str) -> DataFrame:
+    """Write what an operator returns to a folder of its own and drop the work
+    folders it came from; ``release`` drops results that are not read again."""
+    spark = df.sparkSession
+    _results.append(path := work_dir(spark, "result"))
+    out = spool(df, path)
+    for root in roots:
+        drop(spark, root)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Drop the folders of all results so far."""
+    while _results:
+        drop(spark, _results.pop())
+
+
 def spool(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to ``path`` and return the table read back with its schema."""
     writer = df.write.mode("overwrite").option("compression", "zstd")

@@ -7,14 +7,17 @@ into bin r - t, so that every coordinate fills.  Coordinates of two sets agree
 with the probability of their Jaccard similarity.  Sketches are cut into bands;
 texts that agree on a whole band are candidates.
 
-Texts with the same shingle set form one class, which only its smallest id
-represents.  Within a band's bucket the first member is compared with all
-others.  Buckets whose members are then still in different components are cut
-into blocks, and pairs of blocks are compared in one task each: only pairs of
-different components, in the first bucket that they share, whose sketches agree
-in enough places for the similarity.  Documents without such a pair drop out
-before texts are fetched; the rest are compared block by block on full shingle
-sets, and a block pair gives at most one link per merged component.  Nothing is
+Texts with the same shingle set - by 128 bits of a keyed hash, whose key is
+drawn per run - form one class, which only its smallest id represents.  Within
+a band's bucket the first member is compared with all others.  Buckets whose
+members are then still in different components are cut into blocks, and pairs
+of blocks are compared in one task each: only pairs of different components, in
+the first bucket that they share, whose sketches agree in enough places for the
+similarity.  Members of a bucket's largest component meet only blocks of other
+components, so a large component with a few outliers costs one copy per member.
+Documents without such a pair drop out before texts are fetched; the rest are
+compared block by block, and a block pair gives at most one link per merged
+component.  Every link is confirmed on the words of both texts.  Nothing is
 capped, and no pair is ever a row of a table unless it is a link or involves a
 bucket's first member.
 
@@ -24,7 +27,9 @@ probability 5e-8, and its sketches fail with probability ``MISS`` at most.
 Defined results: a null or empty text has no shingles, links with nothing and
 is its own component; a null id acts as one document before all others; rows
 that share an id are one document and count as linked; an empty table gives an
-empty table.  Only id and text are read, so other columns cannot clash.
+empty table; a component is named by its smallest id, so ties cannot occur;
+very long texts are whole sets in one worker.  Only id and text are read, so
+other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -34,12 +39,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import NULL_ID, as_bytes, id_key, slices, spool, tune, work_dir
+from ridgeline.llm.common import NULL_ID, as_bytes, id_key, result, slices, spool, tune, work_dir
 from ridgeline.llm.components import components
-from ridgeline.llm.shingles import mix, overlap, shingle_sets
+from ridgeline.llm.shingles import Hasher, common_shingles, mix, new_key, overlap, shingle_sets
 
 _U = np.uint64
 #: Bytes of text that are hashed at once in a Python worker.
@@ -48,8 +53,9 @@ STEP_BYTES = 2 << 20
 SHARE = 256
 #: Bound for the probability that the sketches of a linked pair agree too little.
 MISS = 1e-8
-#: Members of a bucket in one block.
-BLOCK = 256
+#: Members of a bucket, and bytes of their texts, that make one block.
+BLOCK = 512
+BLOCK_BYTES = 1 << 20
 
 
 def least_agreement(t: int, percent: int) -> int:
@@ -98,22 +104,29 @@ def band_keys(sketch: np.ndarray, bands: int) -> np.ndarray:
     return key
 
 
-def _sketcher(words: int, bands: int, rows: int):
+def _sketcher(words: int, bands: int, rows: int, secret: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(secret)
         for batch in slices(batches, "text", STEP_BYTES):
-            sets = shingle_sets(as_bytes(batch.column(1)), words)
+            found = shingle_sets(as_bytes(batch.column(1)), words, hasher)
+            sets = [s for s, _ in found]
             drawn = sketches(sets, bands * rows)
             keys = band_keys(drawn, bands).astype(np.int64)
             marks = pa.array([x.tobytes() for x in drawn.astype(np.uint8)], pa.binary())
             n = np.array([len(s) for s in sets], np.int64)
-            f1 = np.array([mix(s + _U(1)).sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64)
-            f2 = np.array([mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64)
+            f = np.frombuffer(b"".join(d for _, d in found), "<i8").reshape(-1, 2)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f1), pa.array(f2), lists, marks, batch.column(2)], names=["doc", "n", "f1", "f2", "bands", "marks", "fp"])
+            columns = [batch.column(0), pa.array(n), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), lists, marks, batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "f1", "f2", "bands", "marks", "fp"])
 
     return run
 
 
+def _linked(a: bytes, b: bytes, words: int, percent: int) -> bool:
+    n, m, both = common_shingles(a, b, words)
+    return both > 0 and 100 * both >= percent * (n + m - both)
+
+
 def _agreeing(least: int):
     """Keep pairs whose sketches agree in at least ``least`` places."""
 
@@ -185,13 +198,15 @@ def _candidates(least: int, percent: int):
     return run
 
 
-def _linker(words: int, least: int, percent: int):
+def _linker(words: int, least: int, percent: int, secret: bytes):
     """Links (a, b) between components, confirmed on full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(secret)
         for key, left, right in _blocks(batches):
             at = _pairs(key, left, right, least, percent)
-            sets = [shingle_sets([r["text"].encode() for r in rows], words) for rows in ((left,) if left is right else (left, right))]
+            texts = [[r["text"].encode() for r in rows] for rows in ((left,) if left is right else (left, right))]
+            sets = [[s for s, _ in shingle_sets(x, words, hasher)] for x in texts]
             to: dict[int, int] = {}
 
             def root(x: int) -> int:
@@ -207,7 +222,7 @@ def _linker(words: int, least: int, percent: int):
                     continue
                 p, q = sets[0][i], sets[-1][j]
                 both = overlap(p, q)
-                if 100 * both >= percent * (len(p) + len(q) - both):
+                if 100 * both >= percent * (len(p) + len(q) - both) and _linked(texts[0][i], texts[-1][j], words, percent):
                     to[max(x, y)] = min(x, y)
                     a.append(left[i]["m"])
                     b.append(right[j]["m"])
@@ -216,32 +231,44 @@ def _linker(words: int, least: int, percent: int):
     return run
 
 
-def _paired_blocks(rows: DataFrame) -> DataFrame:
-    """Copy each member to all pairs of blocks of its bucket; ``at`` counts the
-    bucket's members from 0 and ``size`` is their number."""
-    block, blocks = F.expr(f"int(at div {BLOCK})"), F.expr(f"int((size - 1) div {BLOCK}) + 1")
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("other", "at", "size")
+def _paired_blocks(rows: DataFrame, size: Column) -> DataFrame:
+    """Copy members (key, m, f1, label, ...) to the pairs of blocks of their
+    bucket that hold unlike components.
+
+    A member's block is drawn by its hash, so no task numbers a whole bucket;
+    ``size`` of a bucket's members in all, by side, gives the number of blocks.
+    Members of the largest component are one side and meet the other's blocks.
+    """
+    per = rows.groupBy("key", "label").agg(size.alias("size"), F.count("*").alias("n"))
+    top = per.groupBy("key").agg(F.max_by(F.struct("label", "size"), F.struct("n", "label")).alias("top"), F.sum("size").alias("whole"), F.count("*").alias("labels"))
+    cut = top.where("labels > 1").select("key", F.col("top.label").alias("top"), F.ceil("top.size").cast("int").alias("many"), F.ceil(F.col("whole") - F.col("top.size")).cast("int").alias("few"))
+    rows = rows.join(cut.hint("merge"), "key").withColumn("side", F.col("label") == F.col("top"))
+    drawn = F.xxhash64("m", "f1")
+    block = F.when(F.col("side"), F.pmod(drawn, F.col("many"))).otherwise(F.col("many") + F.pmod(drawn, F.col("few"))).cast("int")
+    first = F.when(F.col("side"), F.col("many")).otherwise(F.lit(0))
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(first, F.col("many") + F.col("few") - 1)))
+    rows = rows.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("other", "top", "many", "few", "side")
     return rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "block", "m", "f1")
 
 
-def _verifier(words: int, percent: int):
+def _verifier(words: int, percent: int, secret: bytes):
     """Rows come sorted by (a, salt, role): the pivot, then its members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, pivot = None, np.zeros(0, np.uint64)
+        now, pivot, whole, hasher = None, np.zeros(0, np.uint64), b"", Hasher(secret)
         for batch in slices(batches, "text", STEP_BYTES):
-            sets = shingle_sets(as_bytes(batch.column(batch.schema.get_field_index("text"))), words)
+            texts = as_bytes(batch.column(batch.schema.get_field_index("text")))
+            sets = [s for s, _ in shingle_sets(texts, words, hasher)]
             a, fa, b, salt, role = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "fa", "b", "salt", "role"))
             left, right = [], []
             for i, s in enumerate(sets):
                 if role[i] == 0:
-                    now, pivot = (a[i], fa[i], salt[i]), s
+                    now, pivot, whole = (a[i], fa[i], salt[i]), s, texts[i]
                     continue
                 if now != (a[i], fa[i], salt[i]):
                     raise RuntimeError("a member came without its pivot")
                 both = overlap(pivot, s)
-                if 100 * both >= percent * (len(pivot) + len(s) - both):
+                if 100 * both >= percent * (len(pivot) + len(s) - both) and _linked(whole, texts[i], words, percent):
                     left.append(a[i])
                     right.append(b[i])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
@@ -265,10 +292,10 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     tune(spark)
-    root = work_dir(spark, "minhash")
+    root, secret = work_dir(spark, "minhash"), new_key()
     texts = docs.select(id_key(id_col).alias("doc"), F.col(f"`{text_col}`").alias("text"))
     texts = texts.select("doc", "text", F.xxhash64("text").alias("fp"))
-    drawn = spool(texts.mapInArrow(_sketcher(words, bands, rows), "doc long, n long, f1 long, f2 long, bands array<long>, marks binary, fp long"), f"{root}/sketches")
+    drawn = spool(texts.mapInArrow(_sketcher(words, bands, rows, secret), "doc long, n long, f1 long, f2 long, bands array<long>, marks binary, fp long"), f"{root}/sketches")
 
     full = drawn.where("n > 0")
     # the row with the smallest id stands for its class
@@ -276,9 +303,8 @@ def near_duplicates(
     reps = spool(reps.select("f1", "f2", "r.*"), f"{root}/classes")
     classes = reps.select("f1", "f2", F.col("doc").alias("rep"))
     keyed = reps.select(F.explode("bands").alias("key"), F.col("doc").alias("m"), "f1", "n")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    ranked = keyed.join(shared, "key").selectExpr("key", "m", "f1", "n", "size", "row_number() OVER (PARTITION BY key ORDER BY m, f1) - 1 AS at")
-    members = spool(ranked, f"{root}/members")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("m", "f1", "n")).alias("o")).where("size > 1")
+    members = spool(keyed.join(shared.hint("merge"), "key").select("key", "m", "f1", "n", "size", "o"), f"{root}/members")
     ends = reps.join(members.select(F.col("m").alias("doc"), "f1"), ["doc", "f1"], "left_semi").select("doc", "f1", "marks", "bands", "fp")
     ends = spool(ends, f"{root}/ends")
     held = spool(texts.join(ends.select("doc", "f1", "fp"), ["doc", "fp"]).select("doc", "f1", "text"), f"{root}/texts")
@@ -292,30 +318,28 @@ def near_duplicates(
     # the first member of each bucket against the others
     least = least_agreement(bands * rows, percent)
     labels = components(spark, links, f"{root}/components") if not links.isEmpty() else None
-    first = members.where("at = 0").select("key", F.col("m").alias("a"), F.col("f1").alias("fa"), F.col("n").alias("na"))
-    pairs = first.join(members.where("at > 0"), "key").where(100 * F.least("na", "n") >= percent * F.greatest("na", "n"))
-    pairs = pairs.select("a", "fa", F.col("m").alias("b"), F.col("f1").alias("fb")).distinct()
+    pairs = members.where("(o.m <> m OR o.f1 <> f1)").where(100 * F.least("o.n", "n") >= percent * F.greatest("o.n", "n"))
+    pairs = pairs.select(F.col("o.m").alias("a"), F.col("o.f1").alias("fa"), F.col("m").alias("b"), F.col("f1").alias("fb")).distinct()
     pairs = pairs.join(ends.select(F.col("doc").alias("a"), F.col("f1").alias("fa"), F.col("marks").alias("ma")), ["a", "fa"])
     pairs = pairs.join(ends.select(F.col("doc").alias("b"), F.col("f1").alias("fb"), F.col("marks").alias("mb")), ["b", "fb"])
     pairs = spool(pairs.select("a", "fa", "b", "fb", "ma", "mb").mapInArrow(_agreeing(least), "a long, fa long, b long, fb long"), f"{root}/pairs")
-    found = spool(_verify(pairs, held, words, percent), f"{root}/links")
+    found = spool(_verify(pairs, held, words, percent, secret), f"{root}/links")
     if not found.isEmpty():
         links = links.union(found)
         labels = components(spark, links, f"{root}/components1")
 
     # what is still apart in a bucket of three or more, block by block
-    now = _labelled(members.where("size > 2"), labels)
+    now = _labelled(members.where("size > 2").drop("size", "o"), labels)
     apart = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    now = spool(now.join(apart, "key", "left_semi"), f"{root}/apart")
+    now = spool(now.join(apart.hint("merge"), "key", "left_semi"), f"{root}/apart")
     if not now.isEmpty():
         marked = now.join(ends.select(F.col("doc").alias("m"), "f1", "marks", "bands"), ["m", "f1"])
-        kept = _paired_blocks(marked).mapInArrow(_candidates(least, percent), "key long, m long, f1 long").distinct()
+        kept = _paired_blocks(marked, F.count("*") / BLOCK).mapInArrow(_candidates(least, percent), "key long, m long, f1 long").distinct()
         kept = spool(kept, f"{root}/candidates")
         if not kept.isEmpty():
-            again = marked.join(kept, ["key", "m", "f1"], "left_semi").drop("at", "size")
-            again = again.selectExpr("*", "row_number() OVER (PARTITION BY key ORDER BY m, f1) - 1 AS at", "count(*) OVER (PARTITION BY key) AS size")
-            again = again.join(held.select(F.col("doc").alias("m"), "f1", "text"), ["m", "f1"])
-            found = spool(_paired_blocks(again).mapInArrow(_linker(words, least, percent), "a long, b long").distinct(), f"{root}/links2")
+            again = marked.join(kept, ["key", "m", "f1"], "left_semi").join(held.select(F.col("doc").alias("m"), "f1", "text"), ["m", "f1"])
+            size = F.sum(F.octet_length("text")) / BLOCK_BYTES + F.count("*") / BLOCK
+            found = spool(_paired_blocks(again, size).mapInArrow(_linker(words, least, percent, secret), "a long, b long").distinct(), f"{root}/links2")
             if not found.isEmpty():
                 links = links.union(found)
                 labels = components(spark, links, f"{root}/components2")
@@ -324,6 +348,7 @@ def near_duplicates(
         labels = components(spark, links, f"{root}/components")
     ids = drawn.select("doc", "n", "f1", "f2").join(classes, ["f1", "f2"], "left").withColumn("node", F.coalesce("rep", "doc"))
     ids = ids.join(labels, "node", "left").select("doc", "n", F.coalesce("label", "node").alias("component"))
+    ids = result(ids, root)
     return ids.select(
         F.nullif("doc", F.lit(NULL_ID)).alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -340,7 +365,7 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(named, "m", "left").withColumn("label", F.coalesce("label", "m"))
 
 
-def _verify(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, held: DataFrame, words: int, percent: int, secret: bytes) -> DataFrame:
     """Links among ``pairs`` (a, fa, b, fb); a pivot with many members is
     copied to as many shares, so that no task holds all of them."""
     spread = pairs.groupBy("a", "fa").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
@@ -349,4 +374,4 @@ def _verify(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> Data
     rest = pairs.join(spread, ["a", "fa"]).join(held.select(F.col("doc").alias("b"), F.col("f1").alias("fb"), "text"), ["b", "fb"])
     rest = rest.select("a", "fa", "b", F.pmod(F.hash("b", "fb"), F.col("shares")).alias("salt"), F.lit(1).alias("role"), "text")
     rows = pivots.union(rest).repartition("a", "fa", "salt").sortWithinPartitions("a", "fa", "salt", "role")
-    return rows.mapInArrow(_verifier(words, percent), "a long, b long")
+    return rows.mapInArrow(_verifier(words, percent, secret), "a long, b long")

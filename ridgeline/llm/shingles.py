@@ -1,16 +1,20 @@
-"""Vectorised word and shingle hashing over a batch of UTF-8 texts."""
+"""Word and shingle hashing over a batch of UTF-8 texts.
+
+A word is hashed by keyed BLAKE2b with a key drawn per run, so that nobody can
+write two words of one hash; shingles are mixed from such hashes.  Where a
+result must not rest on hashes at all, ``common_shingles`` counts on the words.
+"""
 
 from __future__ import annotations
 
+import secrets
+from hashlib import blake2b
+
 import numpy as np
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_BYTE = np.random.default_rng(20240517).integers(1, 2**63, 256, dtype=np.uint64)
 _U = np.uint64
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+#: Words that a worker remembers between batches, and their bytes.
+MEMORY, MEMORY_BYTES = 200_000, 16 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,37 +24,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse, modulo 2**64."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        out = []
-        for b in (_BASE, _INVERSE):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _powers = (out[0], out[1])
-    return _powers
+def new_key() -> bytes:
+    return secrets.token_bytes(16)
 
 
-def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, A-Z lower-cased, and where each text
-    starts among them (one more entry than texts).
+def split(text: bytes | None) -> list[bytes]:
+    """Words of a text, runs of anything but ``[\\x20\\x09-\\x0D]``, with A-Z
+    lower-cased; null has none."""
+    return text.lower().split() if text else []
 
-    Words are runs of anything but ``[\\x20\\x09-\\x0D]``.  Null has no words.
-    """
-    texts = [t or b"" for t in texts]
-    sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    data = np.frombuffer(b"\n".join([*texts, b""]).lower(), dtype=np.uint8)
-    gap = _SPACE[data]
-    edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    power, inverse = _pow(len(data) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64)])
-    hashes = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
-    return hashes, np.searchsorted(start, begins)
+
+class Hasher(dict):
+    """Numbers of words, and 128 bits of hash for each number."""
+
+    def __init__(self, key: bytes):
+        super().__init__()
+        self.key, self._digests, self._bytes = key, bytearray(), 0
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self._digests += blake2b(word, digest_size=16, key=self.key).digest()
+        self._bytes += len(word)
+        return n
+
+    def words(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes (n, 2) of the words of all texts, and where each text starts
+        among them (one more entry than texts)."""
+        if len(self) > MEMORY or self._bytes > MEMORY_BYTES:
+            self.clear()
+            self._digests, self._bytes = bytearray(), 0
+        numbers = [np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in map(split, texts)]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in numbers], dtype=np.int64)])
+        table = np.frombuffer(bytes(self._digests), "<u8").reshape(-1, 2)
+        return table[np.concatenate(numbers)] if at[-1] else np.zeros((0, 2), np.uint64), at
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -64,18 +70,25 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text.
+def shingle_sets(texts: list[bytes | None], k: int, hasher: Hasher) -> list[tuple[np.ndarray, bytes]]:
+    """Per text the sorted distinct shingle hashes, and 128 bits that stand for
+    the whole set.
 
     A text of fewer than ``k`` words, but not none, has its whole word
     sequence as its one shingle.
     """
-    hashes, at = words(texts)
-    rolled = windows(hashes, k)
+    hashes, at = hasher.words(texts)
+    one, two = (np.ascontiguousarray(hashes[:, i]) for i in (0, 1))
+    rolled, more = windows(one, k), windows(two, k)
     out = []
-    for i in range(len(texts)):
-        a, b = int(at[i]), int(at[i + 1])
-        out.append(np.unique(rolled[a : b - k + 1]) if b - a >= k else windows(hashes[a:b], b - a) if b > a else np.zeros(0, np.uint64))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        if b - a >= k:
+            s, first = np.unique(rolled[a : b - k + 1], return_index=True)
+            t = more[a : b - k + 1][first]
+        else:
+            s, t = windows(one[a:b], b - a), windows(two[a:b], b - a)
+            s, t = s[: b > a], t[: b > a]
+        out.append((s, blake2b(t.tobytes() + s.tobytes(), digest_size=16).digest()))
     return out
 
 
@@ -88,3 +101,22 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     return int((b[at] == a).sum())
+
+
+def common_shingles(a: bytes | None, b: bytes | None, k: int) -> tuple[int, int, int]:
+    """Sizes of the shingle sets of two texts and of their intersection,
+    compared word by word: words are numbered and windows of numbers renumbered
+    step by step, so that no two unlike shingles share a number."""
+    numbers: dict[bytes, int] = {}
+    x, y = ([numbers.setdefault(w, len(numbers)) for w in split(t)] for t in (a, b))
+    if len(x) < k or len(y) < k:
+        size = lambda z: max(len(z) - k + 1, min(1, len(z)))
+        if len(x) < k and len(y) < k:
+            return size(x), size(y), int(bool(x) and x == y)
+        return *(size(z) if len(z) < k else common_shingles(t, t, k)[0] for z, t in ((x, a), (y, b))), 0
+    z = np.array(x + y, np.int64)
+    code = z
+    for i in range(1, k):
+        code = np.unique(code[: len(z) - i] * len(numbers) + z[i:], return_inverse=True)[1]
+    left, right = np.unique(code[: len(x) - k + 1]), np.unique(code[len(x) :])
+    return len(left), len(right), overlap(left, right)

@@ -19,8 +19,10 @@ owners.  What is at least ``least`` words long is a repeated passage.
 Defined results: words are split at white space, A-Z lower-cased; null, empty
 and short texts give no rows; a passage that a document shares with another is
 found at every place, one that no other document has at none; rows that share
-an id must share the text, or the first text by its hash counts; a null id acts
-as one document.
+an id are one document, with the text of the least hash among them; a null id
+acts as one document; of documents tied as owner the smallest id is it; very
+long texts are whole in one worker; an empty table gives an empty table.  Only
+id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import NULL_ID, as_bytes, id_key, slices, spool, tune, work_dir
-from ridgeline.llm.shingles import windows, words
+from ridgeline.llm.common import NULL_ID, as_bytes, id_key, result, slices, spool, tune, work_dir
+from ridgeline.llm.shingles import Hasher, new_key, windows
 
 STEP_BYTES = 2 << 20
 #: Cost of a word of gap, against 1 for an anchor.
@@ -42,6 +44,10 @@ GAP = 0.01
 BRIDGE = 64
 #: Pairs in one task with one copy of their owner's text.
 SHARE = 64
+#: Parts of a document's stretches that are joined before all of them.
+PARTS = 32
+#: Rows of repeated ids that may be broadcast.
+FEW = 100_000
 #: More than the words from a seed to its second one.
 STEP = 1 << 16
 #: Falls of the score by which an end is given up.
@@ -200,12 +206,14 @@ def align(x: np.ndarray, y: np.ndarray, a: list[int], b: list[int], k: int, iden
     return out
 
 
-def _seeder(k: int, window: int, piece: int):
+def _seeder(k: int, window: int, piece: int, secret: bytes):
     """``at`` is the place times ``STEP`` plus how far on the second seed is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(secret)
         for batch in slices(batches, "text", STEP_BYTES):
-            hashes, at = words(as_bytes(batch.column(1)))
+            hashes, at = hasher.words(as_bytes(batch.column(1)))
+            hashes = np.ascontiguousarray(hashes[:, 0])
             docs, out = batch.column(0).to_numpy(zero_copy_only=False), []
             for i in range(len(docs)):
                 seeds, pos, step, both = minimisers(hashes[at[i] : at[i + 1]], k, window, piece)
@@ -291,14 +299,15 @@ def _chainer(k: int, piece: int, window: int):
     return run
 
 
-def _aligner(k: int, piece: int, identity: float):
+def _aligner(k: int, piece: int, identity: float, secret: bytes):
     """Rows come sorted by (a, salt, role): the owner's text, then its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, owner = None, np.zeros(0, np.uint64)
+        now, owner, hasher = None, np.zeros(0, np.uint64), Hasher(secret)
         for batch in slices(batches, "text", STEP_BYTES):
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            hashes, at = words(as_bytes(col["text"]))
+            hashes, at = hasher.words(as_bytes(col["text"]))
+            hashes = np.ascontiguousarray(hashes[:, 0])
             rows = zip(*(col[n].to_pylist() for n in ("a", "salt", "role", "b", "chains")))
             out: list[tuple[int, int, int, int]] = []
             for i, (a, salt, role, b, chains) in enumerate(rows):
@@ -333,32 +342,46 @@ def repeated_passages(
     part of it, and the number of stretches found."""
     spark = docs.sparkSession
     tune(spark)
-    root = work_dir(spark, "substrings")
+    root, secret = work_dir(spark, "substrings"), new_key()
     texts = docs.select(id_key(id_col).alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    seeds = texts.mapInArrow(_seeder(k, window, piece), "seed long, both int, doc long, at long")
+    again = texts.select("doc", F.xxhash64("text").alias("h")).groupBy("doc").agg(F.min("h").alias("h"), F.count("*").alias("n")).where("n > 1")
+    again = spool(again.select("doc", "h"), f"{root}/again")
+    if n := again.count():
+        # one row per id that comes more than once, then all others
+        some = texts.join(F.broadcast(again) if n <= FEW else again, "doc", "left")
+        one = some.where("h is not null AND xxhash64(text) = h").dropDuplicates(["doc"])
+        texts = some.where("h is null").union(one).select("doc", "text")
+    seeds = texts.mapInArrow(_seeder(k, window, piece, secret), "seed long, both int, doc long, at long")
     anchors = _anchors(seeds).repartition("a", "b").sortWithinPartitions("a", "b", "pa", "pb")
     pairs = spool(anchors.mapInArrow(_chainer(k, piece, window), "a long, b long, chains array<array<int>>"), f"{root}/pairs")
 
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    held = texts.join(wanted, "doc", "left_semi")
-    held = spool(held.groupBy("doc").agg(F.min_by("text", F.xxhash64("text")).alias("text")), f"{root}/texts")
-    spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    held = spool(texts.join(wanted, "doc", "left_semi"), f"{root}/texts")
+    # written first, so that the join by owner can be split where an owner has many pairs
+    spread = spool(pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")), f"{root}/shares")
     none = F.lit(None).cast("array<array<int>>")
     front = spread.join(held.withColumnRenamed("doc", "a"), "a").select(
         "a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.lit(0).alias("role"), F.lit(0).cast("long").alias("b"), none.alias("chains"), "text"
     )
-    rest = pairs.join(spread, "a").join(held.withColumnRenamed("doc", "b"), "b")
-    rest = rest.select("a", F.pmod(F.hash("b"), F.col("shares")).alias("salt"), F.lit(1).alias("role"), "b", "chains", "text")
+    rest = pairs.join(spread.hint("merge"), "a").join(held.withColumnRenamed("doc", "b"), "b")
+    rest = rest.select("a", F.pmod(F.xxhash64("b"), F.col("shares")).alias("salt"), F.lit(1).alias("role"), "b", "chains", "text")
     rows = front.union(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-    found = rows.mapInArrow(_aligner(k, piece, identity), "doc long, begin long, end long, other long")
+    found = rows.mapInArrow(_aligner(k, piece, identity, secret), "doc long, begin long, end long, other long")
     found = found.groupBy("doc", "begin", "end").agg(F.min("other").alias("other"), F.count("*").alias("n"))
 
-    order = Window.partitionBy("doc").orderBy("begin", "end")
-    upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    joined = found.withColumn("new", (F.coalesce(upto, F.lit(-1).cast("long")) < F.col("begin")).cast("int"))
-    joined = joined.withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = joined.groupBy("doc", "passage").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("other").alias("other"), F.sum("n").alias("n_stretches"))
-    return out.where(F.col("end") - F.col("begin") >= least).select(
+    # parts of a document's stretches are joined first, so that no task sees all
+    found = _joined(found.withColumn("part", F.pmod(F.xxhash64("begin", "end"), F.lit(PARTS))), ["doc", "part"])
+    out = _joined(found, ["doc"]).where(F.col("end") - F.col("begin") >= least).select(
         F.nullif("doc", F.lit(NULL_ID)).alias(id_col), "begin", "end", (F.col("end") - F.col("begin")).alias("n_words"),
-        F.nullif("other", F.lit(NULL_ID)).alias("other_id"), "n_stretches",
+        F.nullif("other", F.lit(NULL_ID)).alias("other_id"), F.col("n").alias("n_stretches"),
     )
+    return result(out, root)
+
+
+def _joined(found: DataFrame, by: list[str]) -> DataFrame:
+    """Stretches (doc, begin, end, other, n) with those that touch joined."""
+    order = Window.partitionBy(*by).orderBy("begin", "end")
+    upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("new", (F.coalesce(upto, F.lit(-1).cast("long")) < F.col("begin")).cast("int"))
+    found = found.withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return found.groupBy(*by, "passage").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("other").alias("other"), F.sum("n").alias("n")).drop("passage")

@@ -114,3 +114,18 @@ def statistics(text):
             cov |= {i, i + 1, i + 2}
     ls = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(ls) - len(set(ls)), len(cov)
+
+
+def repeats(docs, n=51):
+    """{id: places of words in ``n`` words in a row that another document has}."""
+    where = defaultdict(set)
+    split = {i: re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")) for i, t in docs}
+    for i, w in split.items():
+        for at in range(len(w) - n + 1):
+            where[tuple(w[at : at + n])].add(i)
+    out = {}
+    for i, w in split.items():
+        for at in range(len(w) - n + 1):
+            if len(where[tuple(w[at : at + n])]) > 1:
+                out.setdefault(i, set()).update(range(at, at + n))
+    return out

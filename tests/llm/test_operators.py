@@ -14,8 +14,9 @@ from ridgeline.llm.common import table
 from ridgeline.llm.components import components
 from ridgeline.llm.decontam import contamination, decontaminate
 from ridgeline.llm.line_dedup import dedup_lines
-from ridgeline.llm.minhash import least_agreement, near_duplicates, sketches
+from ridgeline.llm.minhash import _paired_blocks, least_agreement, near_duplicates, sketches
 from ridgeline.llm.queries import op3_pii, op6_byte_bpe, op7_toxicity, op9_token_files, op10_quality_rules
+from ridgeline.llm.shingles import common_shingles
 from ridgeline.llm.substrings import align, chain, edits, repeated_passages
 
 from . import brute
@@ -90,6 +91,41 @@ def test_dense_group_of_near_copies(spark):
     assert got == {i: c for i, (_, c) in want.items()}
 
 
+def test_words_of_one_polynomial_hash_are_not_linked(spark):
+    """Two words that agree in every polynomial hash modulo a power of two."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, b), (3, f"x y z {a} u"), (4, f"x y z {b} u"), (5, f"{a} {b}"), (6, f"{b} {a}"), (7, a)]
+    got = {x.doc_id: x.component_id for x in near_duplicates(frame(spark, rows), words=4).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 1}
+
+
+def test_common_shingles_match_sets():
+    r = random.Random(12)
+    for _ in range(300):
+        k = r.choice([1, 2, 4, 5])
+        a, b = (" ".join(r.choice("abC") for _ in range(r.randrange(12))) for _ in range(2))
+        x, y = brute.shingles(a, k), brute.shingles(b, k)
+        assert common_shingles(a.encode(), b.encode(), k) == (len(x), len(y), len(x & y))
+    assert common_shingles(None, b"a", 4) == (0, 1, 0)
+
+
+def test_large_component_with_outliers_is_copied_once(spark):
+    """A bucket of 4,000 members of one component and three others."""
+    rows = [(7, i, i, 0 if i < 4000 else i) for i in range(4003)]
+    out = _paired_blocks(spark.createDataFrame(rows, "key long, m long, f1 long, label long"), F.count("*") / 256)
+    assert out.where("label = 0").count() == 4000 and out.count() < 4000 + 3 * 20
+    rows = [(7, i, i, i % 3) for i in range(300)]
+    out = _paired_blocks(spark.createDataFrame(rows, "key long, m long, f1 long, label long"), F.count("*") / 32).collect()
+    met = {}
+    for x in out:
+        met.setdefault((x.bi, x.bj), []).append((x.block, x.m, x.label))
+    pairs = {(p[1], q[1]) for (i, j), v in met.items() for p in v for q in v if p[0] == i and q[0] == j and p[2] != q[2]}
+    assert all((a, b) in pairs or (b, a) in pairs for a in range(300) for b in range(a) if a % 3 != b % 3)
+
+
 def test_rows_with_one_id_are_linked(spark):
     rows = [(2, "alpha beta gamma delta epsilon"), (2, "one two three four five"), (1, "one two three four five"), (None, "alpha beta gamma delta epsilon"), (None, None)]
     got = near_duplicates(frame(spark, rows), words=4).collect()
@@ -220,6 +256,33 @@ def test_passages_are_found_at_every_place(spark):
     ]
 
 
+def test_passages_against_brute_force(spark):
+    """Every word in 51 or more words in a row that another document has too is
+    in a passage, and nearly every word of a passage in such a run."""
+    docs = [(x.doc_id, x.text) for x in table(spark, "/root/testdata/sf0.001", "documents").collect()]
+    want = brute.repeats(docs)
+    got = {}
+    for x in repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got.setdefault(x.doc_id, set()).update(range(x.begin, x.end))
+    n = sum(map(len, want.values()))
+    hit = sum(len(w & got.get(i, set())) for i, w in want.items())
+    assert n > 1000 and hit >= 0.999 * n
+    # what is not an exact run is fuzzy: most of its words are in shared runs of five
+    loose = brute.repeats(docs, 5)
+    extra = {i: w - want.get(i, set()) for i, w in got.items()}
+    assert sum(len(w & loose.get(i, set())) for i, w in extra.items()) >= 0.8 * sum(map(len, extra.values()))
+
+
+def test_rows_of_one_id_count_as_one_document(spark):
+    r = random.Random(46)
+    a, b, c = (" ".join(words(r, 70, 10**6)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, b), (3, a), (4, c), (4, c), (5, None), (5, c)]
+    df = frame(spark, rows)
+    first = {x.doc_id: x.text for x in df.where("doc_id in (1, 5)").orderBy(F.xxhash64("text").desc()).collect()}
+    got = {(x.doc_id, x.other_id) for x in repeated_passages(df).collect()}
+    assert got == ({(1, 3), (3, 1)} if first[1] == a else {(1, 2), (2, 1)}) | ({(4, 5), (5, 4)} if first[5] == c else set())
+
+
 def test_chains_and_alignment():
     a, b = [0, 10, 20, 30, 40, 50], [100, 110, 5, 130, 15, 150]
     best = chain(a, b)[0]
