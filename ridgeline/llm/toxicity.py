@@ -11,12 +11,17 @@ Chains are stretches of at most ``CHAIN`` tokens, cut so that a batch is one
 matrix; every token of a text is in one.
 
 Training reads at most ``TRAIN_ROWS`` labelled documents per label, the first
-by a hash of their id, and at most ``TRAIN_CHARS`` of text in all; whatever is
-scored is scored whole.
+by a hash of their id.  Of a text of more than ``TRAIN_PIECES`` times
+``TRAIN_CHARS`` it learns from that many pieces, evenly spaced from beginning
+to end, so that no text takes another's place; whatever is scored is scored
+whole.
 
 Defined results: null and empty texts have no tokens and the score of a text
-without toxic tokens; without labels of both kinds every score is 0; rows are
-scored by text alone.
+without toxic tokens; without labels of both kinds, as in an empty table, every
+score is 0; rows are scored by text alone, so repeated rows score alike; an id
+with several labels is toxic if one of them says so, and of rows that share an
+id the text of the least hash is learned from; ties of the hash order go by id;
+a column ``score`` or ``toxic_spans`` of the input is replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -37,7 +42,8 @@ from ridgeline.llm.common import extended, slices, tune, with_columns
 CHAIN = 64
 BITS = 20
 TRAIN_ROWS = 2500
-TRAIN_CHARS = 12 << 20
+TRAIN_PIECES = 4
+TRAIN_CHARS = 2048
 MEMORY = 400_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -259,21 +265,23 @@ def in_training(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on a bounded sample of the labelled rows of ``docs``."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where(in_training(F.col("id")) & F.col("y").isin(0, 1))
+    known = known.groupBy("id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     some = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS) for y in (0, 1)]
     sample = some[0].union(some[1])
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(sample), "id").where("text is not null")
-    before = F.sum(F.length("text")).over(_by_hash())
-    got = rows.select("id", "text", "y", F.xxhash64("id").alias("h")).withColumn("upto", before).where(F.col("upto") <= TRAIN_CHARS).orderBy("h", "id").collect()
+    rows = rows.select("id", "y", _pieces("text").alias("text"), F.xxhash64("text").alias("h"))
+    got = rows.groupBy("id", "y").agg(F.min_by("text", "h").alias("text")).orderBy(F.xxhash64("id"), "id").collect()
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
     return fit([r["text"] for r in got], [r["y"] for r in got], min(max(prior, 1e-4), 1 - 1e-4))
 
 
-def _by_hash():
-    from pyspark.sql import Window
-
-    return Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
+def _pieces(text: str) -> Column:
+    """A text of bounded length whole, of a longer one pieces spread over it."""
+    step = f"(length({text}) - {TRAIN_CHARS}) div {TRAIN_PIECES - 1}"
+    pieces = f"transform(sequence(0, {TRAIN_PIECES - 1}), i -> substring({text}, 1 + int(i * ({step})), {TRAIN_CHARS}))"
+    return F.expr(f"CASE WHEN length({text}) <= {TRAIN_PIECES * TRAIN_CHARS} THEN {text} ELSE array_join({pieces}, ' ') END")
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False) -> DataFrame:

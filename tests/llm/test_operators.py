@@ -355,6 +355,16 @@ def test_toxicity_learns_and_rejects(spark):
     assert last[600].score == last[601].score < 0.5
     some = next(x for x in got if x.doc_id == 5)
     assert some.toxic_spans and all(docs[5][1][s.start : s.end] in ("vile", "scumbag", "nasty", "hateful") for s in some.toxic_spans)
+    # a labelled text of 13 MB, wherever it stands, takes nothing from the others
+    long = [(i, 1, i % 2) for i in range(700, 712)]
+    more = frame(spark, docs + [(i, None) for i, _, _ in long]).withColumn("text", F.when(F.col("doc_id") >= 700, F.repeat(F.lit("plain words here "), 800_000)).otherwise(F.col("text")))
+    taught = toxicity.train(more, lab.union(spark.createDataFrame(long, lab.schema)))
+    for x in toxicity.score(frame(spark, docs), taught).collect():
+        if x.doc_id < 600 and zlib.crc32(str(x.doc_id).encode()) % 3 == 1:
+            right -= (x.score >= 0.7) == (x.doc_id % 5 == 0)
+    assert abs(right) <= 0.05 * len(held)
+    twice = toxicity.train(frame(spark, docs), lab.union(lab).union(lab.where("toxic = 1").withColumn("toxic", F.lit(0))))
+    assert np.array_equal(twice.weights, model.weights) and np.array_equal(twice.doc, model.doc)
     none = toxicity.train(frame(spark, docs), lab.where("toxic = 0"))
     assert max(x.score for x in toxicity.score(frame(spark, docs), none).collect()) < 1e-6
 
