@@ -74,11 +74,11 @@ FROM s JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) c
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
-    base = F.sort_array(F.transform("base", lambda x: F.struct(x["s"], x["k"], x["e"])))
+    count = lambda spans, k: F.size(F.filter(spans, lambda x: x["k"] == k)).cast("long")
     return out.select(
-        "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
-        F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"),
+        "doc_id", *[count("base", i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"), count("spans", pii.ALL_KINDS.index("secret")).alias("n_secret"),
     )
 
 
