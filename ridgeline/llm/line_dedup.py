@@ -15,7 +15,10 @@ repeat an id count as one document; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import secrets
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import as_bytes, drop, extended, id_key, spool, tune, with_columns, work_dir
+from ridgeline.llm.common import as_bytes, drop, extended, id_key, result, spool, tune, with_columns, work_dir
 
 SPACE = b" \t\n\x0b\x0c\r"
 _MAX_UTF8 = 4
+#: Lines that are broadcast at most (32 bytes each).
+HOT = 50_000
+_ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_key(line: bytes) -> bytes:
@@ -42,13 +48,13 @@ def long_enough(key: bytes, min_chars: int) -> bool:
     return len(key) >= _MAX_UTF8 * min_chars or len(key.decode("utf-8", "replace")) >= min_chars
 
 
-def _hasher(min_chars: int):
+def _hasher(min_chars: int, seed: int):
     def hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, parts, digests = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
             owner, part = [], []
             for doc, text, p in zip(docs, as_bytes(batch.column(1)), parts):
-                found = {xxhash.xxh3_128_digest(k) for k in map(line_key, (text or b"").split(b"\n")) if long_enough(k, min_chars)}
+                found = {xxhash.xxh3_128_digest(k, seed) for k in map(line_key, (text or b"").split(b"\n")) if long_enough(k, min_chars)}
                 digests.extend(found)
                 owner.extend([doc] * len(found))
                 part.extend([p] * len(found))
@@ -68,46 +74,61 @@ FEED = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.Lo
 class LineStore:
     """Sorted runs of (h1, h2, n, owner), in levels, under one shared folder."""
 
-    def __init__(self, spark: SparkSession, path: str, min_docs: int = 3, fanout: int = 3):
+    def __init__(self, spark: SparkSession, path: str, min_docs: int = 3, fanout: int = 2):
         self.spark, self.path, self.min_docs, self.fanout = spark, path, min_docs, fanout
         self.levels: list[list[str]] = []
-        self._made = 0
+        self.name, self._made = f"ridgeline_lines_{uuid.uuid4().hex}", 0
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # each bucket is one sorted file
+        self._was = spark.conf.get(_ORDERED)
+        spark.conf.set(_ORDERED, "true")
 
-    def runs(self) -> DataFrame | None:
-        """All entries of all runs, unmerged."""
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.schema("h1 long, h2 long, n long, owner long").parquet(*paths) if paths else None
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(t) for level in self.levels for t in level]
 
     def ingest(self, entries: DataFrame) -> None:
         """Add a batch: ``entries`` has one row (h1, h2, n, owner) per key."""
-        stored = self.runs()
-        if stored is not None:
-            settled = stored.where(F.col("n") >= self.min_docs).select("h1", "h2")
+        for run in self.runs():
+            settled = run.where(F.col("n") >= self.min_docs).select("h1", "h2")
             entries = entries.join(settled.hint("merge"), ["h1", "h2"], "left_anti")
         self._add(0, entries)
 
-    def merged(self) -> DataFrame | None:
+    def merged(self) -> DataFrame:
         """One entry per key over all runs."""
-        stored = self.runs()
-        return None if stored is None else self._merge(stored)
+        return self._merge(self.runs())
 
-    @staticmethod
-    def _merge(entries: DataFrame) -> DataFrame:
-        return entries.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("owner").alias("owner"))
+    def close(self) -> None:
+        for level in self.levels:
+            for t in level:
+                self._drop(t)
+        self.levels = []
+        self.spark.conf.set(_ORDERED, self._was)
+
+    def _merge(self, runs: list[DataFrame]) -> DataFrame:
+        def two(a: DataFrame, b: DataFrame) -> DataFrame:
+            b = b.select("h1", "h2", F.col("n").alias("more"), F.col("owner").alias("other"))
+            n = F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))
+            owner = F.greatest("owner", "other")
+            return a.join(b.hint("merge"), ["h1", "h2"], "full").select("h1", "h2", n.alias("n"), owner.alias("owner"))
+
+        return reduce(two, runs)
 
     def _add(self, level: int, entries: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        path = f"{self.path}/level{level}/run{self._made}"
-        self._made += 1
-        spool(entries.select("h1", "h2", "n", "owner").sortWithinPartitions("h1", "h2"), path)
-        self.levels[level].append(path)
+        run, self._made = f"{self.name}_{self._made}", self._made + 1
+        writer = entries.select("h1", "h2", "n", "owner").write.format("parquet").option("path", f"{self.path}/{run}").option("compression", "zstd")
+        writer.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(run)
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            both = self.spark.read.schema("h1 long, h2 long, n long, owner long").parquet(*old)
-            self._add(level + 1, self._merge(both))
-            for p in old:
-                drop(self.spark, p)
+            self._add(level + 1, self._merge([self.spark.table(t) for t in old]))
+            for t in old:
+                self._drop(t)
+
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        drop(self.spark, f"{self.path}/{run}")
 
 
 def dedup_lines(
@@ -117,7 +138,7 @@ def dedup_lines(
     min_docs: int = 3,
     min_chars: int = 20,
     batches: int = 4,
-    fanout: int = 3,
+    fanout: int = 2,
 ) -> DataFrame:
     """Drop lines found in at least ``min_docs`` documents but for their last.
 
@@ -127,33 +148,38 @@ def dedup_lines(
     """
     spark = docs.sparkSession
     tune(spark)
-    root = work_dir(spark, "lines")
+    root, seed = work_dir(spark, "lines"), secrets.randbits(63)  # nobody can write lines of one hash
     key = id_key(id_col)
     cuts = sorted(set(docs.select(key.alias("k")).approxQuantile("k", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     part = F.lit(len(cuts)).cast("int")
     for cut in cuts:
         part = part - (F.col("doc") > F.lit(cut)).cast("int")
     feed = docs.select(key.alias("doc"), F.col(f"`{text_col}`").alias("text")).select("doc", "text", part.alias("part"))
-    feed = spool(feed.mapInArrow(_hasher(min_chars), FEED), f"{root}/feed", "part")
+    feed = spool(feed.mapInArrow(_hasher(min_chars, seed), FEED), f"{root}/feed", "part")
 
     store = LineStore(spark, f"{root}/store", min_docs, fanout)
-    for k in range(len(cuts) + 1):
-        batch = feed.where(F.col("part") == k)
-        # a row lists a key once, but several rows may share an id
-        one = batch.select("h1", "h2", "doc").distinct().groupBy("h1", "h2").agg(F.max("doc").alias("owner"), F.count("*").alias("n"))
-        store.ingest(one.select("h1", "h2", "n", "owner"))
-
-    repeated = store.merged().where(F.col("n") >= min_docs).select("h1", "h2", "owner")
-    repeated = spool(repeated, f"{root}/repeated")
-    cut = feed.select("h1", "h2", "doc").join(repeated, ["h1", "h2"]).where(F.col("doc") != F.col("owner"))
+    try:
+        for k in range(len(cuts) + 1):
+            batch = feed.where(F.col("part") == k)
+            # a row lists a key once, but several rows may share an id
+            one = batch.select("h1", "h2", "doc").distinct().groupBy("h1", "h2").agg(F.max("doc").alias("owner"), F.count("*").alias("n"))
+            store.ingest(one.select("h1", "h2", "n", "owner"))
+        repeated = spool(store.merged().where(F.col("n") >= min_docs).select("h1", "h2", "n", "owner"), f"{root}/repeated")
+    finally:
+        store.close()
+    lines, hot = feed.select("h1", "h2", "doc"), F.col("n") > -(-feed.count() // HOT)
+    often = F.broadcast(repeated.where(hot).drop("n"))
+    seldom = lines.join(often, ["h1", "h2"], "left_anti").join(repeated.where(~hot).drop("n"), ["h1", "h2"])
+    cut = lines.join(often, ["h1", "h2"]).union(seldom).where(F.col("doc") != F.col("owner"))
     cut = cut.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("__rl_cut")).withColumnRenamed("doc", "__rl_key")
+    cut = result(cut, root)
     out = docs.withColumn("__rl_key", key).join(cut, "__rl_key", "left").drop("__rl_key")
     own = docs.drop("n_lines", "n_dropped")
     schema = extended(own.schema, ("n_lines", T.LongType()), ("n_dropped", T.LongType()))
-    return out.select(*[f"`{c}`" for c in own.columns], "__rl_cut").mapInArrow(_remover(text_col, min_chars), schema)
+    return out.select(*[f"`{c}`" for c in own.columns], "__rl_cut").mapInArrow(_remover(text_col, min_chars, seed), schema)
 
 
-def _remover(text_col: str, min_chars: int):
+def _remover(text_col: str, min_chars: int, seed: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
@@ -164,7 +190,7 @@ def _remover(text_col: str, min_chars: int):
                 kept = lines
                 if cut:
                     gone = {np.array([c["h1"], c["h2"]], dtype="<i8").tobytes() for c in cut}
-                    kept = [x for x in lines if not (long_enough(k := line_key(x), min_chars) and xxhash.xxh3_128_digest(k) in gone)]
+                    kept = [x for x in lines if not (long_enough(k := line_key(x), min_chars) and xxhash.xxh3_128_digest(k, seed) in gone)]
                     text = b"\n".join(kept)
                 texts.append(text)
                 n_lines.append(len(lines))

@@ -13,7 +13,7 @@ from ridgeline.llm import bpe, chat, pii, quality, rans, toxicity
 from ridgeline.llm.common import table
 from ridgeline.llm.components import components
 from ridgeline.llm.decontam import contamination, decontaminate
-from ridgeline.llm.line_dedup import dedup_lines
+from ridgeline.llm.line_dedup import LineStore, dedup_lines
 from ridgeline.llm.minhash import _paired_blocks, least_agreement, near_duplicates, sketches
 from ridgeline.llm.queries import op3_pii, op6_byte_bpe, op7_toxicity, op9_token_files, op10_quality_rules
 from ridgeline.llm.shingles import common_shingles
@@ -63,6 +63,25 @@ def test_lines_match_brute_force(spark, corpus):
     assert set(CLASH) <= set(out.columns) and out.first()["key"] == "own key"
 
 
+def test_stored_runs_are_merged_without_shuffle_or_sort(spark, tmp_path, monkeypatch):
+    """Plans of the anti-join and the merge read runs as they lie."""
+    seen = []
+    real = LineStore._add
+
+    def add(self, level, entries):
+        seen.append((level, len(self.runs()), entries._jdf.queryExecution().executedPlan().toString()))
+        return real(self, level, entries)
+
+    monkeypatch.setattr(LineStore, "_add", add)
+    rows = [(i, f"a line of text number {i % 7}\nanother line of text {i % 5}") for i in range(200)]
+    got = {(r.doc_id, r.text or "") for r in dedup_lines(frame(spark, rows), batches=4).collect()}
+    assert got == {(i, t) for i, _, _, t in brute.lines(rows)}
+    merges = [p for level, _, p in seen if level > 0]
+    assert merges and all("FullOuter" in p and "Exchange" not in p and "Sort [" not in p for p in merges)
+    # a batch is shuffled by its keys once, whatever it is compared with
+    assert any(n > 0 for _, n, _ in seen) and all(p.count("Exchange hashpartitioning(h1#") <= 2 for level, n, p in seen if level == 0)
+
+
 def test_line_of_many_documents_keeps_its_last(spark):
     rows = [(i, "a line that all documents share\nown %d" % i) for i in range(50)]
     got = {r.doc_id: r.text for r in dedup_lines(frame(spark, rows)).collect()}
@@ -161,11 +180,21 @@ def test_contamination_matches_brute_force(spark):
     key = lambda x: (-1 if x[0] is None else x[0], *map(str, x[1:]))
     want = sorted(brute.contamination(docs, items), key=key)
     assert sorted(((x.doc_id, x.n_words, x.n_hit, x["items"]) for x in out.collect()), key=key) == want
+    shuffled = contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=0)
+    assert sorted(((x.doc_id, x.n_words, x.n_hit, x["items"]) for x in shuffled.collect()), key=key) == want
     kept = decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
     bad = {d for d, n, h, _ in want if h and 20 * h >= n}
     assert {x.doc_id for x in kept.collect()} == {d for d, _ in docs} - bad
 
 
+def test_window_of_many_items(spark):
+    """One word is an item 500 times over; a document has it 300 times."""
+    items = spark.createDataFrame([(i, "common") for i in range(500)] + [(999, "rare thing")], "item_id long, text string")
+    docs = [(1, "common " * 300), (2, "x common y"), (3, "rare common thing"), (4, "rare thing " + "z " * 60000)]
+    got = {x.doc_id: (x.n_words, x.n_hit, len(x["items"]), x.contaminated) for x in contamination(frame(spark, docs), items).collect()}
+    assert got == {1: (300, 300, 500, True), 2: (3, 1, 500, True), 3: (3, 1, 500, True), 4: (60002, 2, 1, False)}
+
+
 def test_personal_data_matches_brute_force(spark, folder, tmp_path):
     r = random.Random(4)
     texts = ["".join(r.choice("ab.@1234567890 -()+.%_éß😀,\n") for _ in range(r.randrange(100))) for _ in range(300)]
