@@ -303,8 +303,9 @@ def near_duplicates(
     reps = spool(reps.select("f1", "f2", "r.*"), f"{root}/classes")
     classes = reps.select("f1", "f2", F.col("doc").alias("rep"))
     keyed = reps.select(F.explode("bands").alias("key"), F.col("doc").alias("m"), "f1", "n")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("m", "f1", "n")).alias("o")).where("size > 1")
-    members = spool(keyed.join(shared.hint("merge"), "key").select("key", "m", "f1", "n", "size", "o"), f"{root}/members")
+    first = [F.min("m").alias("om"), F.min_by("f1", "m").alias("of"), F.min_by("n", "m").alias("on")]  # of one row, also where ids tie
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), *first).where("size > 1")
+    members = spool(keyed.join(shared.hint("merge"), "key"), f"{root}/members")
     ends = reps.join(members.select(F.col("m").alias("doc"), "f1"), ["doc", "f1"], "left_semi").select("doc", "f1", "marks", "bands", "fp")
     ends = spool(ends, f"{root}/ends")
     held = spool(texts.join(ends.select("doc", "f1", "fp"), ["doc", "fp"]).select("doc", "f1", "text"), f"{root}/texts")
@@ -318,8 +319,8 @@ def near_duplicates(
     # the first member of each bucket against the others
     least = least_agreement(bands * rows, percent)
     labels = components(spark, links, f"{root}/components") if not links.isEmpty() else None
-    pairs = members.where("(o.m <> m OR o.f1 <> f1)").where(100 * F.least("o.n", "n") >= percent * F.greatest("o.n", "n"))
-    pairs = pairs.select(F.col("o.m").alias("a"), F.col("o.f1").alias("fa"), F.col("m").alias("b"), F.col("f1").alias("fb")).distinct()
+    pairs = members.where("(om <> m OR of <> f1)").where(100 * F.least("on", "n") >= percent * F.greatest("on", "n"))
+    pairs = pairs.select(F.col("om").alias("a"), F.col("of").alias("fa"), F.col("m").alias("b"), F.col("f1").alias("fb")).distinct()
     pairs = pairs.join(ends.select(F.col("doc").alias("a"), F.col("f1").alias("fa"), F.col("marks").alias("ma")), ["a", "fa"])
     pairs = pairs.join(ends.select(F.col("doc").alias("b"), F.col("f1").alias("fb"), F.col("marks").alias("mb")), ["b", "fb"])
     pairs = spool(pairs.select("a", "fa", "b", "fb", "ma", "mb").mapInArrow(_agreeing(least), "a long, fa long, b long, fb long"), f"{root}/pairs")
@@ -329,7 +330,7 @@ def near_duplicates(
         labels = components(spark, links, f"{root}/components1")
 
     # what is still apart in a bucket of three or more, block by block
-    now = _labelled(members.where("size > 2").drop("size", "o"), labels)
+    now = _labelled(members.where("size > 2").select("key", "m", "f1", "n"), labels)
     apart = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     now = spool(now.join(apart.hint("merge"), "key", "left_semi"), f"{root}/apart")
     if not now.isEmpty():

@@ -14,7 +14,7 @@ import numpy as np
 
 _U = np.uint64
 #: Words that a worker remembers between batches, and their bytes.
-MEMORY, MEMORY_BYTES = 200_000, 16 << 20
+MEMORY, MEMORY_BYTES = 100_000, 8 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
