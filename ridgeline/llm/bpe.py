@@ -7,7 +7,11 @@ so that a merge costs a few steps however long the pre-token is.  Entries of a
 bucket that no longer describe a pair are skipped when they come up.
 
 Defined results: a null or empty text has no ids; ids decode to the bytes of
-the text; special tokens are never produced.
+the text; special tokens are never produced; of pairs with one rank the first
+in the text is merged first; a very long text is one list in a worker; rows are
+coded by text alone, so repeated rows get equal ids; an empty table gives an
+empty table; columns with the names of the new ones are replaced, all others
+stay.
 """
 
 from __future__ import annotations

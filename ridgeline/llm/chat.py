@@ -17,8 +17,10 @@ one task, in order (shard, seq).  A range shuffle on conversation and turn
 deals a very long conversation to several tasks.
 
 Defined results: null texts and roles are empty; null ids and turns sort
-first; turns with equal numbers are ordered by role, then text; an empty table
-gives no rows.
+first; turns with equal numbers are ordered by role, then text, and repeated
+rows are turns of their own; a very long text is copied as a whole, not byte by
+byte; an empty table gives no rows.  Only the four named columns are read, so
+others cannot clash.
 """
 
 from __future__ import annotations
@@ -62,6 +64,10 @@ def wrap(role: bytes) -> tuple[bytes, bytes]:
     return WRAP.get(role) or (b"<<ROLE:" + escape(role) + b":>>", b"<</ROLE>>")
 
 
+#: Bytes from which a cell is copied as a block instead of scattered.
+LONG = 1 << 14
+
+
 def assemble(parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Interleave columns of byte strings: row after row, column after column.
 
@@ -73,10 +79,16 @@ def assemble(parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         lens[:, j] = np.fromiter(map(len, column), np.int64, n)
     at = np.concatenate([[0], np.cumsum(lens.reshape(-1))])
     out = np.empty(int(at[-1]), np.uint8)
+    if len(out) >= 1 << 31:
+        raise ValueError("a batch of more than two gigabytes")
     for j, column in enumerate(parts):
-        data = np.frombuffer(b"".join(column), np.uint8)
-        begin = np.concatenate([[0], np.cumsum(lens[:, j])])[:-1]
-        out[np.arange(len(data)) + np.repeat(at[j:-1:k] - begin, lens[:, j])] = data
+        short, begins = lens[:, j] < LONG, at[j:-1:k]
+        data = np.frombuffer(b"".join([c for c, s in zip(column, short.tolist()) if s]), np.uint8)
+        sizes = lens[short, j]
+        begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        out[np.arange(len(data)) + np.repeat(begins[short] - begin, sizes)] = data
+        for i in np.flatnonzero(~short).tolist():
+            out[begins[i] : begins[i] + lens[i, j]] = np.frombuffer(column[i], np.uint8)
     return out, at
 
 
@@ -94,7 +106,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, seq = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             conv, roles = batch.column(0).to_pylist(), as_bytes(batch.column(2))
             wraps = {r: wrap(r) for r in set(roles)}
             texts = [escape(t) for t in as_bytes(batch.column(3))]

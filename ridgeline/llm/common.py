@@ -87,15 +87,20 @@ def result(df: DataFrame, *roots: str) -> DataFrame:
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Drop the folders of all results so far."""
-    while _results:
+def made() -> int:
+    """How many results are kept so far."""
+    return len(_results)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Drop the folders of all results, or of those ``made`` since then."""
+    while len(_results) > since:
         drop(spark, _results.pop())
 
 
-def spool(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
+def spool(df: DataFrame, path: str, partition_by: str | None = None, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to ``path`` and return the table read back with its schema."""
-    writer = df.write.mode("overwrite").option("compression", "zstd")
+    writer = df.write.mode("overwrite").option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)

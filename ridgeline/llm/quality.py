@@ -9,8 +9,10 @@ probability of a good text then replaces a conjunction of filters.
 Statistics, votes and posteriors are DataFrame expressions; the driver only
 runs the iteration over the counted vote vectors.
 
-Defined results: a null text has no words; an empty table gives an empty
-table; every row is judged by its own text, so repeated ids do not matter.
+Defined results: a null or empty text has no words; an empty table gives an
+empty table; every row is judged by its own text, a very long one as a whole,
+so repeated ids and rows do not matter; a posterior equal to the bound is kept.
+Only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import spool, work_dir
+from ridgeline.llm.common import result
 
 GAP = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 50
@@ -152,8 +154,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     The base fails texts under 50 words or with over half of their words in
     repeated three-word windows; these are never kept.
     """
-    spark = docs.sparkSession
-    drawn = spool(statistics(docs, id_col, text_col), f"{work_dir(spark, 'quality')}/statistics")
+    drawn = result(statistics(docs, id_col, text_col))
     names = [f"v{i}" for i in range(len(RULES))]
     voted = drawn.select("*", *[vote(r).cast("int").alias(n) for r, n in zip(RULES, names)])
     counts = voted.groupBy(*names).count().collect()

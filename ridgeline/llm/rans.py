@@ -15,12 +15,14 @@ any of Spark's filesystems can hold; ``before`` counts the ids of the shard's
 earlier blocks.  The table of frequencies is written beside them.
 
 Defined results: a null or empty text has only the end id; a null document id
-sorts first; rows that share an id are ordered by their ids' bytes; an empty
-table gives no blocks.
+sorts first; rows that share an id are ordered by their ids' bytes, equal ones
+stay as many; a very long document is whole in one block; an empty table gives
+no blocks.  Only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -154,6 +156,20 @@ def _byte_names() -> dict[int, str]:
     return {x: chr(x) for x in plain} | {x: chr(256 + i) for i, x in enumerate(rest)}
 
 
+#: The stages before the model that chunks are right for.
+STAGES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
 class Known(dict):
     """A dictionary that makes and keeps what it lacks."""
 
@@ -170,7 +186,8 @@ class ChunkTokenizer:
 
     A chunk of Latin letters, composed, with or without closing punctuation,
     is two pre-tokens at most; these go straight to the library's model.  All
-    other chunks go through its whole pipeline.
+    other chunks go through its whole pipeline.  This holds for the stages in
+    ``STAGES`` only; of a tokenizer with others, whole texts go through it.
     """
 
     def __init__(self, text: str):
@@ -178,6 +195,8 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(text)
+        described = json.loads(text)
+        self.chunked = all(described.get(k) == v for k, v in STAGES.items())
         self.tokenizer.encode_special_tokens = True  # in a text, their strings are plain text
         self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
@@ -236,6 +255,9 @@ class ChunkTokenizer:
         return ids
 
     def encode(self, texts: list[bytes | None], end_id: int) -> list[bytes]:
+        if not self.chunked:
+            got = self.tokenizer.encode_batch_fast([(t or b"").decode("utf-8") for t in texts], add_special_tokens=False)
+            return [array(self.code, [*g.ids, end_id]).tobytes() for g in got]
         if len(self.known) > MEMORY:
             self.known, self.older = Known(self._make), self.known
         end, get = array(self.code, [end_id]).tobytes(), self.known.__getitem__
@@ -272,7 +294,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "d
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all documents under ``path``."""
     spark = docs.sparkSession
-    tokens = spool(tokenise(docs, tokenizer_path, end_id, id_col, text_col), f"{path}/tokens")
+    tokens = spool(tokenise(docs, tokenizer_path, end_id, id_col, text_col), f"{path}/tokens", codec="zstd")
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = ChunkTokenizer(f.read())
     kind, size = tokenizer.kind, max(tokenizer.size, end_id + 1)

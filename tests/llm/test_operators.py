@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, chat, pii, quality, rans, toxicity
+from ridgeline.llm import bpe, chat, pii, quality, queries, rans, toxicity
 from ridgeline.llm.common import table
 from ridgeline.llm.components import components
 from ridgeline.llm.decontam import contamination, decontaminate
@@ -487,6 +487,82 @@ def test_chats_round_trip(spark):
     assert chat.read_chats(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_cells_are_interleaved_whatever_their_length(monkeypatch):
+    r = random.Random(3)
+    cells = [[bytes(r.randrange(256) for _ in range(r.choice([0, 1, 7, 40]))) for _ in range(30)] for _ in range(3)]
+    want = b"".join(cells[j][i] for i in range(30) for j in range(3))
+    for long in (1, 8, 1000):
+        monkeypatch.setattr(chat, "LONG", long)
+        data, at = chat.assemble(cells)
+        assert data.tobytes() == want and at[-1] == len(want)
+
+
+def test_long_turns(spark):
+    text = "</s>long <s> words " * 40000
+    got = chat.read_chats(chat.format_chats(spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string"))).first()
+    assert got.loss_sha256 == hashlib.sha256(text.encode()).hexdigest() and got.loss_chars == len(text)
+
+
+def test_other_tokenizers_go_through_their_whole_pipeline():
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        described = json.load(f)
+    assert rans.ChunkTokenizer(json.dumps(described)).chunked
+    described["normalizer"] = {"type": "NFC"}
+    own, lib = rans.ChunkTokenizer(json.dumps(described)), Tokenizer.from_str(json.dumps(described))
+    texts = ["Some Words, and MORE.", "", "É x  y"]
+    assert not own.chunked
+    assert [list(memoryview(x).cast(own.code)) for x in own.encode([t.encode() for t in texts], 1)] == [lib.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
+def test_token_files_of_odd_tables(spark, tmp_path):
+    """Empty, null ids, and a document much longer than a block."""
+    schema = "doc_id long, text string, shard string, ids string"
+    rans.write_ids(spark.createDataFrame([], schema), f"file://{tmp_path}/a", P.path("word_bpe_49k.json"), 1)
+    assert rans.read_ids(spark, f"file://{tmp_path}/a").count() == 0
+    rows = [(None, "x", "s", "i"), (2, "long words " * (rans.BLOCK // 2 + 1000), "s", "i"), (3, "end", "s", "i")]
+    rans.write_ids(spark.createDataFrame(rows, schema), f"file://{tmp_path}/b", P.path("word_bpe_49k.json"), 1)
+    got = sorted(((x.start, x.doc_id, x.n_tokens) for x in rans.read_ids(spark, f"file://{tmp_path}/b").collect()))
+    assert [x[1] for x in got] == [None, 2, 3] and got[0][0] == 0 and got[2][0] == got[0][2] + got[1][2] > rans.BLOCK
+
+
+def test_queries_match_their_sql(spark, folder):
+    """SQL of the queries that have one, in another engine."""
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        got, want = queries.queries()[name](spark, folder), con.sql(sql)
+        assert set(want.columns) == set(got.columns), name
+        assert sorted(map(str, (tuple(x[c] for c in want.columns) for x in got.collect()))) == sorted(map(str, want.fetchall())), name
+
+
+def test_verdicts_of_the_base_match_plain_rules(spark, corpus):
+    got = {x.doc_id: x for x in quality.judge(frame(spark, corpus)).collect()}
+    for i, t in corpus:
+        n, _, _, _, rep = brute.statistics(t)
+        assert got[i].base_failed == (n < 50 or 100 * rep > 50 * n) and got[i].kept == (not got[i].base_failed and got[i].quality >= 0.5)
+
+
+def test_results_are_released(spark, corpus):
+    import glob
+
+    from ridgeline.llm import common
+
+    common.release(spark)
+    base = common.work_dir(spark, "x").rsplit("/", 1)[0].removeprefix("file://")
+    before = set(glob.glob(f"{base}/ridgeline-*"))
+    out = [near_duplicates(frame(spark, corpus[:20])), repeated_passages(frame(spark, corpus[:20])), dedup_lines(frame(spark, corpus[:20])), contamination(frame(spark, corpus[:20]), spark.createDataFrame([(1, "a b")], "item_id long, text string"))]
+    assert all(x.count() >= 0 for x in out) and 0 < len(set(glob.glob(f"{base}/ridgeline-*")) - before) <= 4
+    common.release(spark)
+    assert not set(glob.glob(f"{base}/ridgeline-*")) - before
+
+
 def test_blocks_round_trip_and_notice_damage():
     r = np.random.default_rng(0)
     coder = rans.Coder(rans.frequencies(np.bincount(r.geometric(0.01, 10**5), minlength=3000)))
