@@ -98,7 +98,12 @@ def release(spark: SparkSession, since: int = 0) -> None:
         drop(spark, _results.pop())
 
 
-def spool(df: DataFrame, path: str, partition_by: str | None = None, codec: str = "zstd") -> DataFrame:
+#: Codec of work tables.  Streams of the denser zstd hold memory beside the
+#: heap until a collection, which many small files at once make too much of.
+CODEC = "snappy"
+
+
+def spool(df: DataFrame, path: str, partition_by: str | None = None, codec: str = CODEC) -> DataFrame:
     """Write ``df`` to ``path`` and return the table read back with its schema."""
     writer = df.write.mode("overwrite").option("compression", codec)
     if partition_by:

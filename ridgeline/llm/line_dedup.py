@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import as_bytes, drop, extended, id_key, result, spool, tune, with_columns, work_dir
+from ridgeline.llm.common import CODEC, as_bytes, drop, extended, id_key, result, spool, tune, with_columns, work_dir
 
 SPACE = b" \t\n\x0b\x0c\r"
 _MAX_UTF8 = 4
@@ -117,7 +117,7 @@ class LineStore:
         while len(self.levels) <= level:
             self.levels.append([])
         run, self._made = f"{self.name}_{self._made}", self._made + 1
-        writer = entries.select("h1", "h2", "n", "owner").write.format("parquet").option("path", f"{self.path}/{run}").option("compression", "zstd")
+        writer = entries.select("h1", "h2", "n", "owner").write.format("parquet").option("path", f"{self.path}/{run}").option("compression", CODEC)
         writer.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(run)
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
