@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns
 is written as Parquet and read again as the next stage's ``docs``.  All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``; extra columns of the input stay until
+then.
+
+Defined results: null and empty texts are kept, as they are neither toxic nor
+copies nor contaminated, and have no ids; a null id is one document before all
+others; rows that share an id stay or go together; of near copies the smallest
+id stays; without labels of both kinds nothing is toxic; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import bpe, toxicity
-from ridgeline.llm.common import id_key, table, work_dir
+from ridgeline.llm.common import drop, id_key, made, release, table, work_dir
 from ridgeline.llm.decontam import decontaminate
 from ridgeline.llm.line_dedup import dedup_lines
 from ridgeline.llm.minhash import near_duplicates
@@ -66,10 +73,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    root = work_dir(spark, "pipeline")
+    docs, last = table(spark, sf_dir, "documents"), None
+    root, before = work_dir(spark, "pipeline"), made()
     for i, (name, stage) in enumerate(STAGES):
         path = f"{root}/{i}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        release(spark, before)
+        if last:
+            drop(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
