@@ -99,11 +99,12 @@ def metres_label(x: Column) -> Column:
 
 
 def acres_label(x: Column) -> Column:
-    return F.concat(F.when(x < 10, F.format_string("%.2f", x)).otherwise(F.format_string("%.1f", x)), F.lit(" ac"))
+    """Null for null, as for the labels below."""
+    return F.concat(F.when(x < 10, F.format_string("%.2f", x)).when(x >= 10, F.format_string("%.1f", x)), F.lit(" ac"))
 
 
 def minutes_label(x: Column) -> Column:
-    return F.concat(F.format_string("%.1f", x), F.lit(" min"))
+    return F.when(x.isNotNull(), F.concat(F.format_string("%.1f", x), F.lit(" min")))
 
 
 def millisteradians_label(x: Column) -> Column:

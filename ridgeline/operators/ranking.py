@@ -17,6 +17,8 @@ from ridgeline.session import cut
 
 #: Cut points per metric that spread a population over tasks.
 CUTS = 32
+#: Values that are broadcast at most with their rank (32 bytes each).
+OFTEN = 50_000
 
 
 @dataclass(frozen=True)
@@ -39,8 +41,8 @@ class Metric:
 
 
 def metrics(eye: str = "2m", destinations: list[tuple[str, str]] = ()) -> list[Metric]:
-    """The registry for an eye height: eight fixed metrics and one per
-    destination (id, label)."""
+    """The registry for an eye height: eight metrics and one per destination
+    (id, label); names and groups are fixed values."""
     return [
         Metric("lake_area", "Visible lake area", "View", f"area_{eye}_p90_ac"),
         Metric("perceived", "Perceived lake size", "View", f"solid_{eye}_p90"),
@@ -84,17 +86,17 @@ def long_form(df: DataFrame, id_col: str, chosen: list[Metric]) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.explode(pairs).alias("x")).select("id", "x.metric", "x.v").where("v is not null")
 
 
-def midpoint_percentiles(values: DataFrame, by: str = "metric", value: str = "v") -> DataFrame:
-    """``values`` with ``p``: the midpoint of its tied ranks over n - 1, in
-    each group ``by``; 0.5 in a population of one.
+def ranked(values: DataFrame, by: str = "metric", value: str = "v") -> DataFrame:
+    """(by, value, ties, first, n): every distinct value of a group, how many
+    rows have it, how many rows are below it, and the group's rows.
 
-    Distinct values are counted first.  Cut points per group then deal them to
-    buckets; running counts are taken inside a bucket, and bucket totals give
-    the offsets, so that no task sees a whole population.
+    Cut points per group deal the distinct values to buckets; running counts
+    are taken inside a bucket, and bucket totals give the offsets, so that no
+    task sees a whole population.
     """
     counts = values.groupBy(by, value).agg(F.count("*").alias("ties"))
     cuts = counts.groupBy(by).agg(F.percentile_approx(value, [i / CUTS for i in range(1, CUTS)], 1000).alias("cuts"))
-    counts = counts.join(F.broadcast(cuts), by)  # one row per group
+    counts = counts.join(cuts, by)  # a row per group; broadcast by its size or shuffled
     counts = counts.withColumn("bucket", F.expr(f"size(filter(cuts, c -> c < {value}))")).drop("cuts")
     inside = Window.partitionBy(by, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     totals = counts.groupBy(by, "bucket").agg(F.sum("ties").alias("total"))
@@ -102,10 +104,24 @@ def midpoint_percentiles(values: DataFrame, by: str = "metric", value: str = "v"
     totals = totals.select(
         by, "bucket", F.coalesce(F.sum("total").over(over), F.lit(0)).alias("offset"), F.sum("total").over(Window.partitionBy(by)).alias("n")
     )
-    ranked = counts.withColumn("before", F.coalesce(F.sum("ties").over(inside), F.lit(0))).join(F.broadcast(totals), [by, "bucket"])
-    first = F.col("offset") + F.col("before")
-    p = F.when(F.col("n") <= 1, F.lit(0.5)).otherwise((first + first + F.col("ties") - 1) / F.lit(2.0) / (F.col("n") - 1))
-    return values.join(ranked.select(by, value, p.alias("p")), [by, value])
+    out = counts.withColumn("before", F.coalesce(F.sum("ties").over(inside), F.lit(0))).join(totals, [by, "bucket"])
+    return out.select(by, value, "ties", (F.col("offset") + F.col("before")).alias("first"), "n")
+
+
+def midpoint_percentiles(values: DataFrame, by: str = "metric", value: str = "v") -> DataFrame:
+    """``values`` with ``p``: the midpoint of its tied ranks over n - 1, in
+    each group ``by``; 0.5 in a population of one.
+
+    Ranks come back to rows by value.  Values with more than one of ``OFTEN``
+    rows are fewer than that by counting and are broadcast; no other value is
+    a large part of the shuffle.
+    """
+    ranks = ranked(values, by, value)
+    p = F.when(F.col("n") <= 1, F.lit(0.5)).otherwise((F.col("first") + F.col("first") + F.col("ties") - 1) / F.lit(2.0) / (F.col("n") - 1))
+    ranks = cut(ranks.select(by, value, p.alias("p"), "ties"))
+    often = F.col("ties") > -(-(ranks.agg(F.sum("ties")).first()[0] or 0) // OFTEN)
+    hot, rest = F.broadcast(ranks.where(often).drop("ties")), ranks.where(~often).drop("ties")
+    return values.join(hot, [by, value]).unionByName(values.join(hot, [by, value], "left_anti").join(rest, [by, value]))
 
 
 def lot_filter(kind: str = "any", residential: bool = False, min_acres: float = 0.0) -> Column:
@@ -150,11 +166,29 @@ def top(df: DataFrame, id_col: str, by: str = "score", k: int = 20) -> DataFrame
 
 
 def upper_medians(values: DataFrame, by: str = "metric", value: str = "v") -> DataFrame:
-    """Per group the element at index n // 2 of the sorted values, and n.
+    """Per group the element at index n // 2 of the sorted values, and n; on
+    counts of distinct values in buckets, as percentiles are."""
+    r = ranked(values, by, value).where(F.floor(F.col("n") / 2).between(F.col("first"), F.col("first") + F.col("ties") - 1))
+    return r.select(by, F.col(value).alias("upper_median"), "n")
+
+
+def quantiles(values: DataFrame, q: float, by: str = "metric", value: str = "v") -> DataFrame:
+    """(by, q): per group the ``q`` quantile, between its two neighbours in
+    proportion; on counts of distinct values in buckets."""
+    at = q * (F.col("n") - 1)
+    r = ranked(values, by, value).withColumn("at", at).withColumn("low", F.floor("at")).withColumn("high", F.ceil("at"))
+    holds = lambda place: F.col(place).between(F.col("first"), F.col("first") + F.col("ties") - 1)
+    r = r.where(holds("low") | holds("high")).groupBy(by).agg(
+        F.max(F.when(holds("low"), F.col(value))).alias("a"), F.max(F.when(holds("high"), F.col(value))).alias("b"), F.first(F.col("at") - F.col("low")).alias("f")
+    )
+    return r.select(by, (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("q"))
 
-    Found on counts of distinct values by the same buckets as percentiles.
-    """
-    counts = values.groupBy(by, value).agg(F.count("*").alias("ties"))
-    ends = Window.partitionBy(by).orderBy(value)
-    run = counts.withColumn("upto", F.sum("ties").over(ends)).withColumn("n", F.sum("ties").over(Window.partitionBy(by)))
-    return run.where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(by).agg(F.min(value).alias("upper_median"), F.first("n").alias("n"))
+
+def message(scored: DataFrame, weights: dict[str, int]) -> DataFrame:
+    """(text): one row that says why there are no candidates; no row if there
+    are some."""
+    if not any(w > 0 for w in weights.values()):
+        return scored.sparkSession.createDataFrame([("No metric has a weight.",)], "text string")
+    said = "No lot has a value for every weighted metric and passes the filters"
+    said += "; only lots with a listing have an asking price." if weights.get("asking", 0) > 0 else "."
+    return scored.limit(1).agg(F.count("*").alias("n")).where("n = 0").select(F.lit(said).alias("text"))

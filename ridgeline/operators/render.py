@@ -21,31 +21,52 @@ LEGEND = (
 )
 
 
-def turbo(t: Column) -> dict[str, Column]:
-    """Red, green and blue (0 to 255) at ``t`` in [0, 1].
+def _polynomial(name: str, t: float) -> float:
+    v = 0.0
+    for c in reversed(TURBO[name]):
+        v = v * t + c
+    return v
 
-    The polynomial is within a few steps of the map, more at its dark end; the
-    legend has exact values.
+
+#: The 256 steps of the ramp and the legend's place on it.
+STEPS = 256
+_AT = [min(STEPS - 1, int((i / (len(LEGEND) - 1)) ** 0.5 * STEPS)) for i in range(len(LEGEND))]
+
+
+def ramp() -> list[tuple[int, int, int]]:
+    """The colours of all steps: the polynomial, moved by what it lacks at the
+    legend's stops, in proportion between them.
+
+    Stops are exact; between them the colour map may differ by a few units.
     """
-    out = {}
-    for name, c in TURBO.items():
-        v = F.lit(c[5])
-        for a in reversed(c[:5]):
-            v = v * t + a
-        out[name] = F.rint(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)) * 255).cast("int")
+    out = []
+    for i in range(STEPS):
+        k = max(j for j in range(len(_AT)) if _AT[j] <= i)
+        j = min(k + 1, len(_AT) - 1)
+        f = (i - _AT[k]) / (_AT[j] - _AT[k]) if j > k else 0.0
+        colour = []
+        for ch, name in enumerate("rgb"):
+            lacks = [(LEGEND[s][ch] + 0.5) / 255 - _polynomial(name, _AT[s] / (STEPS - 1)) for s in (k, j)]
+            v = _polynomial(name, i / (STEPS - 1)) + lacks[0] * (1 - f) + lacks[1] * f
+            colour.append(int(max(0.0, min(1.0, v)) * 255))
+        out.append(tuple(colour))
     return out
 
 
-def heat(values: DataFrame, value: str, vmax: Column) -> DataFrame:
+def heat(values: DataFrame, value: str, vmax: Column, colours: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """``values`` with r, g, b and a of a square-root heat ramp; cells at or
-    below zero are transparent."""
+    below zero are transparent.
+
+    ``colours`` are the 256 steps of another map, or of this one's own table;
+    the ramp above is the default.  Fractions are cut off, not rounded.
+    """
+    colours = colours or ramp()
+    table = [F.array(*(F.lit(c[k]) for c in colours)) for k in range(3)]
     v = F.col(value)
     norm = F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / vmax)))
+    step = F.least(F.lit(len(colours) - 1), F.floor(norm * len(colours)).cast("int"))
     alpha = F.when(v > 0, F.greatest(F.lit(LEAST_ALPHA), F.floor(F.sqrt(norm) * 255))).otherwise(0).cast("int")
-    df = values
-    for name, c in turbo(norm).items():
-        df = df.withColumn(name, c)
-    return df.withColumn("a", alpha)
+    return values.select("*", *[F.get(t, step).alias(n) for t, n in zip(table, "rgb")], alpha.alias("a"))
 
 
 def legend(spark: SparkSession) -> DataFrame:
@@ -71,7 +92,7 @@ def pack_rows(grid: DataFrame) -> DataFrame:
     low = F.expr("transform(zs, v -> concat(lpad(hex(v & 255), 2, '0'), lpad(hex((v >> 8) & 255), 2, '0')))")
     cells = F.sort_array(F.collect_list(F.struct("col", decimetres(F.col("z")).alias("v"))))
     rows = grid.groupBy("row").agg(F.transform(cells, lambda c: c["v"]).alias("zs"))
-    return rows.select("row", F.base64(F.unhex(F.array_join(low, ""))).alias("data"))
+    return rows.select("row", F.regexp_replace(F.base64(F.unhex(F.array_join(low, ""))), r"\s", "").alias("data"))
 
 
 def unpack_rows(packed: DataFrame) -> DataFrame:
@@ -83,6 +104,34 @@ def unpack_rows(packed: DataFrame) -> DataFrame:
     return at.select("row", "col", ((byte(1) + byte(3) * 256) / 10.0).alias("z"))
 
 
+def heights_at(packed: DataFrame, cells: DataFrame) -> DataFrame:
+    """(row, col, z) of some cells (row, col) only: of a packed row two bytes
+    are decoded per cell that is asked for, and rows not asked for stay as they
+    are."""
+    asked = cells.select("row", "col").distinct()
+    got = asked.join(packed.select("row", "data"), "row")
+    # four characters of base64 hold three bytes; a height lies in at most two such groups
+    first = F.floor(F.col("col") * 2 / 3)
+    some = F.unbase64(F.expr("substring(data, int(floor(col * 2 / 3) * 4 + 1), 8)"))
+    at = (F.col("col") * 2 - first * 3).cast("int")
+    byte = lambda i: F.conv(F.hex(F.substring(F.col("some"), F.col("at") + i, F.lit(1))), 16, 10).cast("int")
+    got = got.withColumn("some", some).withColumn("at", at)
+    return got.select("row", "col", ((byte(1) + byte(2) * 256) / 10.0).alias("z"))
+
+
+def inside(points: DataFrame, x0: Column, y0: Column, width: Column, height: Column, res: Column) -> DataFrame:
+    """``points`` within an extent that reaches right and down from its corner
+    (x0, y0); its borders belong to it."""
+    return points.where(F.col("x").between(x0, x0 + width * res) & F.col("y").between(y0 - height * res, y0))
+
+
+def stop_colour(score: Column, low: Column, high: Column) -> Column:
+    """(r, g, b) of a score's place between the lowest and highest one."""
+    t = F.when(high > low, (score - low) / (high - low)).otherwise(F.lit(1.0))
+    colours = F.array(*[F.struct(*(F.lit(v).alias(n) for v, n in zip(c, "rgb"))) for c in LEGEND])
+    return F.element_at(colours, stop_index(t) + 1)
+
+
 def assign(name: str, json: Column) -> Column:
     """A script that sets a global variable to a JSON value."""
     return F.concat(F.lit(f"var {name} = "), json, F.lit(";"))

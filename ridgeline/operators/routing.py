@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.scalar import round_even
-from ridgeline.session import cut
+from ridgeline.session import cut, importable
+
+#: Edges (24 bytes each) that are sent to the tasks as arrays; beyond that,
+#: shortest paths relax in rounds.
+SEARCHED = 10_000_000
 
 #: Speeds in km/h by road class where no limit is tagged.
 SPEEDS = {
@@ -41,14 +49,18 @@ def travel_times(edges: DataFrame) -> DataFrame:
     return out.withColumn("travel_s", F.col("length_m") / (F.col("speed_kph") / 3.6))
 
 
-def shortest(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def shortest(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000, searched: int = SEARCHED) -> DataFrame:
     """(dest, node, seconds): least time from each node to the nearest of a
     destination's nodes, along edges (src, dst, travel_s).
 
-    Only nodes that improved in the last round go on; rounds are written out,
-    so that the lineage stays short and lost executors cost one round.
+    Up to ``searched`` edges, by count, go to the tasks, and a heap search per
+    destination runs in one of them.  Beyond that only nodes that improved in
+    the last round go on; rounds are written out, so that the lineage stays
+    short and lost executors cost one round.
     """
     back = cut(edges.where("src <> dst").groupBy(F.col("dst").alias("node"), F.col("src").alias("next")).agg(F.min("travel_s").alias("w")))
+    if back.count() <= searched:
+        return _searched(back, sources)
     best = cut(sources.select("dest", "node").distinct().withColumn("seconds", F.lit(0.0)))
     front = best
     for _ in range(most_rounds):
@@ -61,6 +73,65 @@ def shortest(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) ->
     raise RuntimeError(f"paths did not settle in {most_rounds} rounds")
 
 
+def _searched(back: DataFrame, sources: DataFrame) -> DataFrame:
+    """Heap searches over reversed edges (node, next, w), one per destination."""
+    spark = back.sparkSession
+    importable(spark)
+    pdf = back.select("node", "next", "w").toPandas().sort_values("node", kind="stable")
+    shared = spark.sparkContext.broadcast(tuple(pdf[c].to_numpy() for c in ("node", "next", "w")))
+
+    def run(some: pd.DataFrame) -> pd.DataFrame:
+        node, nxt, w = shared.value
+        best: dict[int, float] = {}
+        heap = [(0.0, int(n)) for n in some.node.unique()]
+        while heap:
+            t, n = heapq.heappop(heap)
+            if n in best:
+                continue
+            best[n] = t
+            a, b = np.searchsorted(node, [n, n + 1])
+            for m, d in zip(nxt[a:b].tolist(), w[a:b].tolist()):
+                if m not in best:
+                    heapq.heappush(heap, (t + d, m))
+        return pd.DataFrame({"dest": some.dest.iloc[0], "node": list(best), "seconds": list(best.values())})
+
+    return sources.select("dest", F.col("node").cast("long").alias("node")).where("node is not null").groupBy("dest").applyInPandas(run, "dest string, node long, seconds double")
+
+
+def clip(nodes: DataFrame, edges: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Edges (src, dst) of which one end (id, x, y) at least lies in the box
+    (x1, y1, x2, y2), borders included."""
+    inside = nodes.where(F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3])).select(F.col("id"))
+    a = edges.join(inside.withColumnRenamed("id", "src").withColumn("__a", F.lit(True)), "src", "left")
+    a = a.join(inside.withColumnRenamed("id", "dst").withColumn("__b", F.lit(True)), "dst", "left")
+    return a.where("__a OR __b").select(*edges.columns)
+
+
+def largest_component(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """``edges`` of the connected component, regardless of direction, with the
+    most nodes; of equals the one with the smallest node.
+
+    Each round takes the least label among neighbours and then the label of
+    that label, so that long chains shorten by doubling.
+    """
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    both = cut(both.union(both.select("b", "a")).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
+    for _ in range(most_rounds):
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("next"), F.col("label").alias("was"))
+        hop = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
+        new = cut(step.join(hop, F.col("next") == F.col("at"), "left").select("node", F.least("next", "far").alias("label"), "was"))
+        labels = new.select("node", "label")
+        if new.where("label <> was").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    best = labels.groupBy("label").agg(F.count("*").alias("n")).agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
+    kept = labels.join(F.broadcast(best), "label").select(F.col("node").alias("src"))  # one row
+    return edges.join(kept, "src", "left_semi")
+
+
 def minutes(parcels: DataFrame, times: DataFrame, dests: list[str]) -> DataFrame:
     """One column per destination: calibrated minutes to one decimal from each
     parcel's node, null where there is no way."""

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.geo import crosses, segment_distance
+from ridgeline.session import cut
 
 
 def edges(rings: DataFrame, poly: str, ring: str) -> DataFrame:
@@ -31,8 +32,11 @@ def boxes(edge: DataFrame) -> DataFrame:
     )
 
 
-def bounds(points: DataFrame, margin: float, step: float) -> DataFrame:
-    """Box around all points, widened and snapped outward to a grid."""
+def bounds(points: DataFrame, margin: float, step: float, more: DataFrame | None = None) -> DataFrame:
+    """Box around all points, and those of ``more``, widened and snapped
+    outward to a grid."""
+    if more is not None:
+        points = points.select("x", "y").union(more.select("x", "y"))
     lo = lambda c: (F.floor((F.min(c) - margin) / step) * step).cast("double")
     hi = lambda c: (F.ceil((F.max(c) + margin) / step) * step).cast("double")
     return points.agg(lo("x").alias("x1"), lo("y").alias("y1"), hi("x").alias("x2"), hi("y").alias("y2"))
@@ -41,15 +45,51 @@ def bounds(points: DataFrame, margin: float, step: float) -> DataFrame:
 def contains(points: DataFrame, edge: DataFrame, id_col: str = "id", cell: float = 1000.0) -> DataFrame:
     """(id, poly) for points (id, x, y) inside polygons.
 
-    Boxes and points are dealt to square buckets and joined there by equality,
-    then by box; edges come last.
+    Space is cut into square tiles.  A tile of a polygon's box that no edge
+    touches is inside or outside as a whole, which its centre decides.  Only
+    points in touched tiles meet edges, and of these only the ones in their own
+    band of tiles, so that a polygon of many edges or points is no single key.
     """
     tile = lambda c: F.floor(F.col(c) / cell)
-    span = boxes(edge).withColumn("tx", F.explode(F.sequence(tile("bx1"), tile("bx2")))).withColumn("ty", F.explode(F.sequence(tile("by1"), tile("by2"))))
+    bands = edge.withColumn("ty", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))))
+    rim = touched(edge, cell).select(F.col("col").cast("long").alias("tx"), F.col("row").cast("long").alias("ty"), "poly")
+    span = boxes(edge).select("poly", F.explode(F.sequence(tile("bx1"), tile("bx2"))).alias("tx"), F.sequence(tile("by1"), tile("by2")).alias("tys"))
+    span = span.select("poly", "tx", F.explode("tys").alias("ty")).join(rim, ["tx", "ty", "poly"], "left_anti")
+
+    def inside(at: DataFrame, keys: list[str]) -> DataFrame:
+        """Keys of rows (keys, x, y, ty, poly) that lie in their polygon."""
+        hit = at.join(bands, ["poly", "ty"]).where(crosses(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2"))))
+        return hit.groupBy(*keys).agg(F.count("*").alias("n")).where("n % 2 = 1").select(*keys)
+
+    centres = span.withColumn("x", (F.col("tx") + 0.5) * cell).withColumn("y", (F.col("ty") + 0.5) * cell)
+    whole = inside(centres, ["tx", "ty", "poly"])
     p = points.select(F.col(id_col).alias("id"), "x", "y").withColumn("tx", tile("x")).withColumn("ty", tile("y"))
-    near = p.join(span, ["tx", "ty"]).where(F.col("x").between(F.col("bx1"), F.col("bx2")) & F.col("y").between(F.col("by1"), F.col("by2")))
-    hit = near.select("id", "x", "y", "poly").join(edge, "poly").where(crosses(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2"))))
-    return hit.groupBy("id", "poly").agg(F.count("*").alias("n")).where("n % 2 = 1").select(F.col("id").alias(id_col), "poly")
+    near = inside(p.join(rim, ["tx", "ty"]), ["id", "poly"])
+    return p.join(whole, ["tx", "ty"]).select("id", "poly").union(near).select(F.col("id").alias(id_col), "poly")
+
+
+def within(points: DataFrame, edge: DataFrame, distance: float, id_col: str = "id", cell: float = 1000.0) -> DataFrame:
+    """Ids of points in the polygons widened by ``distance``: inside one, or
+    that near to an edge; if it is negative, in the polygons drawn in by it:
+    inside one and farther than that from every edge."""
+    inner = contains(points, edge, id_col, cell).select(id_col).distinct()
+    near = boundary_distance(points, edge, id_col, reach=abs(distance)).select(id_col)
+    return inner.union(near).distinct() if distance >= 0 else inner.join(near, id_col, "left_anti")
+
+
+def snap_to_cells(points: DataFrame, res: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+    """``points`` with ``row`` and ``col`` of their cell, and x and y moved to
+    its centre; rows and columns count from (x0, y0)."""
+    out = points.withColumn("col", F.floor((F.col("x") - x0) / res).cast("int")).withColumn("row", F.floor((F.col("y") - y0) / res).cast("int"))
+    return out.withColumn("x", x0 + (F.col("col") + 0.5) * res).withColumn("y", y0 + (F.col("row") + 0.5) * res)
+
+
+def sample_points(edge: DataFrame, cells: DataFrame, step: float, res: float, inset: float) -> DataFrame:
+    """(row, col, x, y) of a lattice over the polygons drawn in by ``inset``,
+    on cells (row, col) of theirs, moved to the centres of these."""
+    pts = lattice(bounds(edge.selectExpr("stack(2, x1, y1, x2, y2) AS (x, y)"), -inset, 1.0), step).withColumn("id", F.struct("x", "y"))
+    kept = within(pts, edge, -inset).select("id.x", "id.y")
+    return snap_to_cells(kept, res).join(cells.select("row", "col").distinct(), ["row", "col"], "left_semi").select("row", "col", "x", "y")
 
 
 def rasterise(cells: DataFrame, edge: DataFrame, cell: float = 1000.0) -> DataFrame:
@@ -112,10 +152,10 @@ def boundary_distance(points: DataFrame, edge: DataFrame, id_col: str = "id", re
         return _boundary_within(points, edge, id_col, cell)
     span = max(p[1], e[1]) - min(p[0], e[0]) + max(p[3], e[3]) - min(p[2], e[2])
     while True:
-        parts.append(_boundary_within(todo, edge, id_col, cell))
+        parts.append(cut(_boundary_within(todo, edge, id_col, cell)))  # each round is read twice
         if cell >= span:
             break
-        todo = todo.join(parts[-1].select(id_col), id_col, "left_anti")
+        todo = cut(todo.join(parts[-1].select(id_col), id_col, "left_anti"))
         if todo.isEmpty():
             break
         cell *= 4
@@ -131,25 +171,56 @@ def _boundary_within(points: DataFrame, edge: DataFrame, id_col: str, reach: flo
     return p.join(e, ["tx", "ty"]).groupBy("id").agg(F.min(d).alias("distance")).where(F.col("distance") <= reach).withColumnRenamed("id", id_col)
 
 
-def polygon_distance(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, distance) of polygons from two edge tables; 0 if they meet.
+def polygon_distance(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+    """(a, b, distance) of polygons from two edge tables that are no farther
+    apart than ``reach``; 0 if they meet.
 
     Edges of disjoint polygons are nearest at an end of one of them; meeting
-    is an edge crossing or a first vertex inside the other polygon.
+    is an edge crossing or a first vertex inside the other polygon.  Edges meet
+    in the square buckets of side ``reach`` that both touch, one of them
+    widened by it.
     """
     a = left.select(F.col("poly").alias("a"), *[F.col(c).alias("a" + c) for c in ("x1", "y1", "x2", "y2")])
     b = right.select(F.col("poly").alias("b"), *[F.col(c).alias("b" + c) for c in ("x1", "y1", "x2", "y2")])
-    j = a.join(b)
+
+    def dealt(df: DataFrame, n: str, wide: float) -> DataFrame:
+        lo = lambda c: F.floor((F.least(n + c + "1", n + c + "2") - wide) / reach)
+        hi = lambda c: F.floor((F.greatest(n + c + "1", n + c + "2") + wide) / reach)
+        return df.withColumn("tx", F.explode(F.sequence(lo("x"), hi("x")))).withColumn("ty", F.explode(F.sequence(lo("y"), hi("y"))))
+
+    j = dealt(a, "a", 0.0).join(dealt(b, "b", reach), ["tx", "ty"])
     A1, A2, B1, B2 = (F.col("ax1"), F.col("ay1")), (F.col("ax2"), F.col("ay2")), (F.col("bx1"), F.col("by1")), (F.col("bx2"), F.col("by2"))
     side = lambda p, q, r: F.signum((q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]))
     cross = (side(A1, A2, B1) * side(A1, A2, B2) < 0) & (side(B1, B2, A1) * side(B1, B2, A2) < 0)
     d = F.least(segment_distance(*A1, *B1, *B2), segment_distance(*A2, *B1, *B2), segment_distance(*B1, *A1, *A2), segment_distance(*B2, *A1, *A2))
-    near = j.groupBy("a", "b").agg(F.min(F.when(cross, 0.0).otherwise(d)).alias("d"))
-    first = lambda e, n: e.groupBy("poly").agg(F.min(F.struct("x1", "y1")).alias("v")).select(F.col("poly").alias(n), F.col("v.x1").alias("x"), F.col("v.y1").alias("y"))
-    in_b = contains(first(left, "id"), right).select(F.col("id").alias("a"), F.col("poly").alias("b"))
-    in_a = contains(first(right, "id"), left).select(F.col("poly").alias("a"), F.col("id").alias("b"))
-    inside = in_b.union(in_a).distinct().withColumn("inside", F.lit(True))
-    return near.join(inside, ["a", "b"], "left").select("a", "b", F.when(F.col("inside"), 0.0).otherwise(F.col("d")).alias("distance"))
+    near = j.groupBy("a", "b").agg(F.min(F.when(cross, 0.0).otherwise(d)).alias("distance")).where(F.col("distance") <= reach)
+    first = lambda e: e.groupBy("poly").agg(F.min(F.struct("x1", "y1")).alias("v")).select(F.col("poly").alias("id"), F.col("v.x1").alias("x"), F.col("v.y1").alias("y"))
+    in_b = contains(first(left), right).select(F.col("id").alias("a"), F.col("poly").alias("b"))
+    in_a = contains(first(right), left).select(F.col("poly").alias("a"), F.col("id").alias("b"))
+    met = in_b.union(in_a).withColumn("distance", F.lit(0.0))
+    return near.union(met).groupBy("a", "b").agg(F.min("distance").alias("distance"))
+
+
+def nearest_polygon(left: DataFrame, right: DataFrame, cell: float = 1000.0) -> DataFrame:
+    """(a, b, distance): for each polygon of ``left`` the nearest of ``right``,
+    ties to the lowest; polygons without one in reach try again with a reach
+    four times as wide."""
+    ends = [F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))]
+    p, q = left.agg(*ends).first(), right.agg(*ends).first()
+    if None in (*p, *q):
+        return polygon_distance(left, right, cell).limit(0)
+    span = max(p[1], q[1]) - min(p[0], q[0]) + max(p[3], q[3]) - min(p[2], q[2])
+    todo, parts = left, []
+    while True:
+        found = polygon_distance(todo, right, cell).groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m"))
+        parts.append(cut(found.select("a", "m.b", "m.distance")))
+        if cell >= span:
+            break
+        todo = cut(todo.join(parts[-1].select(F.col("a").alias("poly")), "poly", "left_anti"))
+        if todo.isEmpty():
+            break
+        cell *= 4
+    return reduce(DataFrame.union, parts)
 
 
 def count_within(points: DataFrame, radius: float, id_col: str = "id") -> DataFrame:
@@ -168,7 +239,7 @@ def nearest(points: DataFrame, nodes: DataFrame, cell: float, id_col: str = "id"
 
     A node found in the 3 x 3 buckets around a point is the nearest if it is
     no farther than a bucket's side.  Points without one try again with
-    buckets twice as wide, until all are done or the buckets cover all nodes.
+    buckets four times as wide, until all are done or the buckets cover all nodes.
     """
     todo = points.select(F.col(id_col).alias("id"), "x", "y")
     ends = nodes.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
@@ -188,10 +259,10 @@ def nearest(points: DataFrame, nodes: DataFrame, cell: float, id_col: str = "id"
         found = found.groupBy("id").agg(F.min(F.struct("d2", "node")).alias("m")).select("id", "m.node", "m.d2")
         if not last:
             found = found.where(F.col("d2") <= cell * cell)
-        parts.append(found)
+        parts.append(cut(found))  # each round is read twice
         if last:
             break
-        todo = todo.join(found.select("id"), "id", "left_anti")
+        todo = cut(todo.join(parts[-1].select("id"), "id", "left_anti"))
         if todo.isEmpty():
             break
         cell *= 4
@@ -243,11 +314,12 @@ def representative_point(edge: DataFrame) -> DataFrame:
 
 def polygonise(ways: DataFrame, group: str) -> DataFrame:
     """Stitch open ways - arrays of (x, y) - that share end points into closed
-    rings, per group: rows (group, ring, pos, x, y)."""
+    rings, per group: rows (group, ring, pos, x, y).  Ways that do not close
+    have ring -1 for each, so that they can be seen and are no rings."""
 
     def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [[(p["x"], p["y"]) for p in w] for w in pdf.way if len(w) > 1]
-        rings = []
+        rings, loose = [], []
         while parts:
             line = parts.pop(0)
             grown = True
@@ -259,9 +331,9 @@ def polygonise(ways: DataFrame, group: str) -> DataFrame:
                         parts.pop(i)
                         grown = True
                         break
-            if line[0] == line[-1]:
-                rings.append(line)
-        rows = [(pdf[group].iloc[0], r, k, x, y) for r, ring in enumerate(rings) for k, (x, y) in enumerate(ring)]
+            (rings if line[0] == line[-1] else loose).append(line)
+        numbered = [*enumerate(rings), *((-1, line) for line in loose)]
+        rows = [(pdf[group].iloc[0], r, k, x, y) for r, ring in numbered for k, (x, y) in enumerate(ring)]
         return pd.DataFrame(rows, columns=[group, "ring", "pos", "x", "y"])
 
     kind = ways.schema[group].dataType.simpleString()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions.scalar import SQUARE_METRES_PER_ACRE, round_even
+from ridgeline.functions.scalar import SQUARE_METRES_PER_ACRE, finite, round_even
+from ridgeline.operators.ranking import quantiles
 
 
 def zonal(values: DataFrame, zones: DataFrame, zone: str, measures: dict[str, str], q: float = 0.9) -> DataFrame:
@@ -33,9 +34,12 @@ def share(part: Column, whole: Column, digits: int = 1) -> Column:
     return round_even(F.when(whole > 0, part / whole).otherwise(0.0) * 100, digits)
 
 
-def usable(cells: DataFrame, zones: DataFrame, zone: str, slope: str, most: float = 15.0, cell_area: float = 100.0) -> DataFrame:
-    """Per zone: cells of at most ``most`` slope in acres and in percent."""
-    got = cells.where(F.col(slope).isNotNull()).groupBy(zone).agg(F.count("*").alias("n"), F.count_if(F.col(slope) <= most).alias("ok"))
+def usable(cells: DataFrame, zones: DataFrame, zone: str, slope: str, most: float = 15.0, cell_area: float = 100.0, lake: Column | None = None) -> DataFrame:
+    """Per zone: cells of at most ``most`` slope in acres and in percent, of
+    those that have a finite slope and are not of the ``lake``; no mask of the
+    analysis applies here."""
+    land = finite(F.col(slope)) if lake is None else finite(F.col(slope)) & ~F.coalesce(lake, F.lit(False))
+    got = cells.where(land & F.col(zone).isNotNull()).groupBy(zone).agg(F.count("*").alias("n"), F.count_if(F.col(slope) <= most).alias("ok"))
     n, ok = F.coalesce("n", F.lit(0)), F.coalesce("ok", F.lit(0))
     return zones.select(zone).distinct().join(got, zone, "left").select(
         zone, round_even(ok * cell_area / SQUARE_METRES_PER_ACRE, 2).alias("usable_acres"), share(ok, n).alias("usable_pct")
@@ -48,9 +52,10 @@ def layer_report(values: DataFrame, layer: str, value: str) -> DataFrame:
     return values.groupBy(layer).agg(F.max(v).alias("max_v"), F.avg(v).alias("mean_v"), (F.avg((v > 0).cast("double")) * 100).alias("nonzero_pct"))
 
 
-def colour_scale(values: DataFrame, metric: str, eye: str, value: str, q: float = 0.98) -> DataFrame:
+def colour_scale(values: DataFrame, metric: str, eye: str, value: str, q: float = 0.98, nodata: float = -9998.0) -> DataFrame:
     """Per metric the largest, over eye heights, of the ``q`` quantile of
-    positive values; 1 where there are none."""
+    positive values above ``nodata``; 1 where there are none."""
     v = F.col(value).cast("double")
-    per = values.groupBy(metric, eye).agg(F.percentile(F.when(v > 0, v), q).alias("s"))
-    return per.groupBy(metric).agg(F.coalesce(F.max("s"), F.lit(1.0)).alias("vmax"))
+    pos = values.select(F.struct(metric, eye).alias("layer"), v.alias("v")).where((F.col("v") > nodata) & (F.col("v") > 0))
+    per = quantiles(pos, q, "layer").select(F.col(f"layer.{metric}").alias(metric), "q")
+    return values.select(metric).distinct().join(per, metric, "left").groupBy(metric).agg(F.coalesce(F.max("q"), F.lit(1.0)).alias("vmax"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.plans import scoring, terrain
+from ridgeline.plans import files, scoring, terrain
 
-_MODULES = (scoring, terrain)
+_MODULES = (scoring, terrain, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions import scalar as S
-from ridgeline.operators import linkage, ranking, zonal
+from ridgeline.operators import linkage, ranking, render, zonal
 from ridgeline.plans.standins import CELLS, LISTINGS, PARCELS, fill, view
 from ridgeline.session import table
 
@@ -197,7 +199,7 @@ def scalar_numbers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def azimuth_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    o = table(spark, folder, "orders").where("o_orderkey % 1000 <> 500 OR o_custkey <> 700")
+    o = table(spark, folder, "orders")
     az = S.bearing(F.col("o_custkey") - 700.0, F.col("o_orderkey") % 1000 - 500.0)
     b = F.least(F.lit(12), F.width_bucket(az, F.lit(0.0), F.lit(360.0), F.lit(12).cast("int")))
     return o.groupBy(b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
@@ -210,6 +212,70 @@ def tile_enumeration(spark: SparkSession, folder: str) -> DataFrame:
     return both.select(S.tile_name(F.col("lat"), F.col("lon")).alias("tile")).distinct().orderBy("tile")
 
 
+def land_zones(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells of zones in the mask, and usable land off the lake with a slope,
+    which heeds no mask."""
+    x = view(spark, folder, _FLAGGED)
+    ids = view(spark, folder, PARCELS).select("parcel_idx")
+    stats = zonal.zonal(x.where("mask AND parcel_idx IS NOT NULL"), ids, "parcel_idx", {"area_2m": "area_2m"})
+    return stats.join(zonal.usable(x, ids, "parcel_idx", "slope", lake=F.col("lake")), "parcel_idx").select("parcel_idx", "cells", "area_2m_mean", "usable_acres", "usable_pct")
+
+
+_FLAGGED = """
+SELECT CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_partkey AS BIGINT) END AS parcel_idx, l_quantity * CAST(1000 AS DOUBLE) AS area_2m,
+  CASE WHEN l_linenumber = 6 THEN CAST('NaN' AS DOUBLE) WHEN l_linenumber = 5 THEN NULL ELSE l_discount * CAST(200 AS DOUBLE) END AS slope,
+  l_returnflag = 'R' AS lake, l_linestatus = 'O' AS mask
+FROM {lineitem}
+"""
+
+
+def parcel_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns that a map keeps, then every drive time there is."""
+    p = view(spark, folder, PARCELS)
+    keep = ["parcel_idx", "address", "acres", "year_built", "shore_dist_m"]
+    return p.select(*keep, *[c for c in p.columns if c.startswith("drive_")])
+
+
+def parcel_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of a parcel's popup, with what stands for missing values."""
+    p = view(spark, folder, PARCELS)
+    return p.select(
+        "parcel_idx", S.money(F.col("land_value")).alias("land"), S.money(F.col("improvement_value")).alias("improvements"),
+        S.acres_label(F.coalesce("acres", F.lit(0.0))).alias("lot"), S.metres_label(F.coalesce("shore_dist_m", F.lit(0.0))).alias("shore"),
+        F.coalesce(S.minutes_label(F.col("drive_i68_min")), F.lit("-")).alias("drive"), S.millisteradians_label((F.col("parcel_idx") % 1000 + 1) / 1024.0).alias("seen"),
+        F.coalesce("land_use", F.lit("")).alias("use"), S.year_of(F.concat((F.col("parcel_idx") % 90 + 1930).cast("string"), F.lit("0131"))).alias("sold"),
+    )
+
+
+def score_colours(spark: SparkSession, folder: str) -> DataFrame:
+    """The legend colour of every order's price on a linear ramp."""
+    o = table(spark, folder, "orders")
+    ends = o.agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
+    c = render.stop_colour(F.col("o_totalprice"), F.col("lo"), F.col("hi"))
+    return o.join(F.broadcast(ends)).select(F.col("o_orderkey").alias("id"), c.alias("c")).select("id", "c.*")  # one row
+
+
+def score_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """What is said without weights, without candidates, and with some."""
+    p, reg = parcels(spark, folder), ranking.metrics("2m", DESTINATIONS)
+    none = ranking.lot_filter(min_acres=1e9)
+    said = []
+    for name, weights, keep in (("no weights", {}, None), ("no lots", {"shore": 1}, none), ("no listings", {"asking": 5}, none), ("some", {"shore": 1}, None)):
+        out = ranking.score(p, "parcel_idx", reg, weights, keep)
+        said.append(ranking.message(out, weights).select(F.lit(name).alias("name"), "text"))
+    return reduce(DataFrame.union, said)
+
+
+def score_reweighted(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranked again with other weights: the same query, nothing remembered."""
+    reg = ranking.metrics("2m", DESTINATIONS)
+    out = ranking.score(parcels(spark, folder), "parcel_idx", reg, REWEIGHTED, ranking.lot_filter())
+    return ranking.top(out, "parcel_idx").select("parcel_idx", "score")
+
+
+REWEIGHTED = {"lot_size": 50, "shore": 30, "improvements": 20}
+
+
 _AZ = "(((degrees(atan2(o_custkey - 700.0::DOUBLE, o_orderkey % 1000 - 500.0::DOUBLE))) % 360) + 360) % 360"
 _UNPIVOT = "SELECT '{0}' AS field, drive_{0}_min AS v FROM ({1})"
 
@@ -248,12 +314,38 @@ SELECT p_partkey AS id, trim(regexp_replace(upper('  12-' || p_name || ' Rd. #4
 WITH o AS (SELECT *, o_totalprice / 7 AS v FROM orders)
 SELECT o_orderkey AS id, {_q("v", 1)} AS even1, floor(v * 10 + 0.5) / 10 AS up1, CAST(trunc(v) AS BIGINT) AS cut, floor(v / 10) * 10 AS down, ceil(v / 10) * 10 AS up,
   {_q("v / 4046.86::DOUBLE", 6)} AS ac, CAST(greatest(0, least(498, floor(v / 100))) AS INT) AS cell, {_q(_AZ, 6)} AS azimuth FROM o""",
-    "azimuth_histogram": f"SELECT CAST(least(12, floor({_AZ} / 30) + 1) AS INT) AS bin, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey % 1000 <> 500 OR o_custkey <> 700 GROUP BY 1",
+    "azimuth_histogram": f"SELECT CAST(least(12, floor({_AZ} / 30) + 1) AS INT) AS bin, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1",
     "tile_enumeration": """
 SELECT DISTINCT printf('n%02dw%03d', CAST(lat + 1 AS INT), CAST(abs(lon) AS INT)) AS tile FROM
   (SELECT unnest(range(CAST(floor(min(n_nationkey / 7.0 + 38)) AS BIGINT), CAST(ceil(max(n_nationkey / 7.0 + 38)) AS BIGINT))) AS lat FROM nation), (SELECT unnest([-80, -79, -78]) AS lon) ORDER BY tile""",
 }
+_STOPS = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(render.LEGEND)) + ") AS t(i, r, g, b))"
+SQL |= {
+    "land_zones": f"""
+WITH b AS ({fill(PARCELS)}), x AS ({fill(_FLAGGED)}),
+z AS (SELECT parcel_idx, count(*) AS cells, avg(area_2m) AS m FROM x WHERE mask AND parcel_idx IS NOT NULL GROUP BY 1),
+u AS (SELECT parcel_idx, count(*) AS n, count(*) FILTER (WHERE slope <= 15) AS ok FROM x WHERE NOT lake AND slope IS NOT NULL AND NOT isnan(slope) GROUP BY 1)
+SELECT b.parcel_idx, CAST(coalesce(cells, 0) AS BIGINT) AS cells, {_q("coalesce(m, 0)", 4)} AS area_2m_mean, {_q("coalesce(ok, 0) * 100.0::DOUBLE / 4046.86::DOUBLE", 2)} AS usable_acres,
+  {_q("CASE WHEN n > 0 THEN ok / n::DOUBLE ELSE 0 END * 100", 1)} AS usable_pct
+FROM b LEFT JOIN z USING (parcel_idx) LEFT JOIN u USING (parcel_idx)""",
+    "parcel_columns": f"SELECT parcel_idx, address, acres, year_built, shore_dist_m, drive_i68_min, drive_honi_min, drive_wisp_min, drive_grocery_min, drive_hospital_min FROM ({fill(PARCELS)})",
+    "parcel_labels": f"""
+WITH p AS ({fill(PARCELS)}), v AS (SELECT *, (parcel_idx % 1000 + 1) / 1024.0::DOUBLE * 1000 AS s FROM p)
+SELECT parcel_idx, CASE WHEN land_value = 0 THEN '-' ELSE '$' || format('{{:,}}', CAST(floor(land_value + 0.5) AS BIGINT)) END AS land,
+  CASE WHEN improvement_value = 0 THEN '-' ELSE '$' || format('{{:,}}', CAST(floor(improvement_value + 0.5) AS BIGINT)) END AS improvements,
+  CASE WHEN coalesce(acres, 0) < 10 THEN printf('%.2f', coalesce(acres, 0)) ELSE printf('%.1f', floor(acres * 10 + 0.5) / 10) END || ' ac' AS lot,
+  CASE WHEN shore_dist_m <= 15 THEN 'waterfront' ELSE CAST(floor(shore_dist_m + 0.5) AS BIGINT) || ' m' END AS shore,
+  coalesce(printf('%.1f', drive_i68_min) || ' min', '-') AS drive,
+  CASE WHEN s < 1 THEN printf('%.3f', floor(s * 1000 + 0.5) / 1000) WHEN s < 10 THEN printf('%.2f', floor(s * 100 + 0.5) / 100) WHEN s < 100 THEN printf('%.1f', floor(s * 10 + 0.5) / 10) ELSE printf('%.0f', floor(s + 0.5)) END || ' msr' AS seen,
+  coalesce(land_use, '') AS use, CAST(parcel_idx % 90 + 1930 AS VARCHAR) AS sold FROM v""",
+    "score_colours": f"""
+WITH o AS (SELECT o_orderkey AS id, (o_totalprice - min(o_totalprice) OVER ()) / (max(o_totalprice) OVER () - min(o_totalprice) OVER ()) AS t FROM orders)
+SELECT id, r, g, b FROM o JOIN {_STOPS} s ON s.i = CAST(floor(t * t * 23 + 0.5) AS INT)""",
+    "score_messages": "SELECT * FROM (VALUES ('no weights', 'No metric has a weight.'), ('no lots', 'No lot has a value for every weighted metric and passes the filters.'), ('no listings', 'No lot has a value for every weighted metric and passes the filters; only lots with a listing have an asking price.')) AS t(name, text)",
+    "score_reweighted": score_sql("2m", REWEIGHTED, "true"),
+}
 _PLAIN = (
+    land_zones, parcel_columns, parcel_labels, score_colours, score_messages, score_reweighted,
     score_asking, score_breakdown, score_no_weights, midpoint_percentile, upper_median, zonal_stats, usable_share, layer_report, p98_scale,
     listing_join, listing_unmatched, listing_matches, join_by_position, best_views, drive_report, scalar_text, scalar_numbers, azimuth_histogram, tile_enumeration,
 )

@@ -27,18 +27,20 @@ SELECT CAST(p_partkey AS BIGINT) AS parcel_idx, p_name AS address,
   CAST((p_partkey * 7) % 701 AS DOUBLE) / CAST(10 AS DOUBLE) AS drive_hospital_min
 FROM {part}
 """
-#: Grid cells of parcels; a fifth of the parcels has none.
+#: Grid cells of parcels; a fifth of the parcels has none, its cells are the
+#: neighbour's.  Solid angles are sevenths, so that no mean of them is halfway
+#: between two roundings.
 CELLS = """
-SELECT CAST(l_partkey AS BIGINT) AS parcel_idx, l_quantity * CAST(1000 AS DOUBLE) AS area_2m, l_quantity * CAST(1500 AS DOUBLE) AS area_8m,
-  l_discount AS solid_2m, l_discount + l_tax AS solid_8m, l_discount * CAST(200 AS DOUBLE) AS slope
-FROM {lineitem} WHERE l_partkey % 5 <> 3
+SELECT CAST(CASE WHEN l_partkey % 5 = 3 THEN l_partkey - 1 ELSE l_partkey END AS BIGINT) AS parcel_idx, l_quantity * CAST(1000 AS DOUBLE) AS area_2m, l_quantity * CAST(1500 AS DOUBLE) AS area_8m,
+  l_discount / CAST(7 AS DOUBLE) AS solid_2m, (l_discount + l_tax) / CAST(7 AS DOUBLE) AS solid_8m, l_discount * CAST(200 AS DOUBLE) AS slope
+FROM {lineitem}
 """
 LISTINGS = """
 SELECT CAST(p_partkey AS BIGINT) AS pos,
-  CASE WHEN p_partkey % 7 = 0 THEN 'nowhere ' || CAST(p_partkey AS VARCHAR(20)) WHEN p_partkey % 11 = 0 THEN '' ELSE ' ' || upper(p_name) || '.' END AS address,
+  CASE WHEN p_partkey % 7 = 0 THEN 'nowhere ' || CAST(p_partkey AS VARCHAR(20)) WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN 'far off ' || p_name ELSE ' ' || upper(p_name) || '.' END AS address,
   CASE WHEN p_partkey % 10 = 0 THEN '' ELSE '$' || CAST(CAST(floor(p_retailprice) AS INT) AS VARCHAR(20)) || ',000' END AS price,
   'u' || CAST(p_partkey AS VARCHAR(20)) AS url
-FROM {part} WHERE p_partkey % 3 <> 1
+FROM {part}
 """
 #: A raster of one row per vector, scaled to metres.
 GRID = """
@@ -51,6 +53,14 @@ NODES = """
 SELECT CAST(s_suppkey AS BIGINT) AS id, CAST((s_suppkey * 6007) % 10007 AS DOUBLE) AS x, CAST((s_suppkey * 3001) % 9973 AS DOUBLE) AS y FROM {supplier}
 """
 
+#: Directed roads with classes and some limits, one per line of an order.
+EDGES = """
+SELECT CAST(l_suppkey AS BIGINT) AS src, CAST((l_partkey * 7) % 101 AS BIGINT) AS dst, l_quantity * CAST(100 AS DOUBLE) AS length_m,
+  CASE CAST(l_linenumber AS INT) WHEN 1 THEN 'primary' WHEN 2 THEN 'residential' WHEN 3 THEN 'track' WHEN 4 THEN 'path' ELSE 'service' END AS highway,
+  CASE WHEN l_linenumber = 3 AND l_orderkey % 3 = 0 THEN CAST(30 AS DOUBLE) WHEN l_orderkey % 5 = 0 AND l_linenumber = 1 THEN CAST(90 AS DOUBLE) END AS maxspeed_kph
+FROM {lineitem}
+"""
+
 
 def fill(text: str, **names: str) -> str:
     """SQL for DuckDB: names in braces replaced, the table's own by default."""

@@ -41,13 +41,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
-    Where ``spark.checkpoint.dir`` is unset (local tests) a temporary folder
-    is set first and removed at exit.
+    Where that setting is unset a temporary folder is set first and removed at
+    exit; only a local master may do so.
     """
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, or a temporary one of this
+    process where executors are threads of it."""
     global _own
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and _own is None:
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    if _own is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         _own = tempfile.mkdtemp(prefix="ridgeline-")
         atexit.register(shutil.rmtree, _own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{_own}")
-    return df.checkpoint()
+    return f"file://{_own}"

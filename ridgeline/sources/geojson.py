@@ -68,6 +68,14 @@ def destination_points(cfg: DataFrame) -> DataFrame:
     return g.select("g.id", "g.label", F.explode("g.points").alias("p")).select("id", "label", "p.*")
 
 
+MEMBERS = "elements array<struct<type:string,members:array<struct<type:string,role:string,geometry:array<struct<lon:double,lat:double>>>>>>"
+
+
+def read_relation(spark: SparkSession, path: str) -> DataFrame:
+    """``relation_ways`` of a stored map-feature answer."""
+    return relation_ways(spark.read.schema(MEMBERS).json(path, multiLine=True))
+
+
 def relation_ways(doc: DataFrame) -> DataFrame:
     """Ways of the first relation of a map-feature answer ``elements``:
     (outer, way), those with a geometry of two points or more; a way is an
