@@ -45,7 +45,7 @@ def travel_times(edges: DataFrame) -> DataFrame:
     table = F.create_map(*[F.lit(x) for kv in SPEEDS.items() for x in kv])
     mean = edges.groupBy("highway").agg(F.avg("maxspeed_kph").alias("__mean"))
     speed = F.coalesce("maxspeed_kph", F.try_element_at(table, F.col("highway")).cast("double"), F.col("__mean"), F.lit(float(FALLBACK)))
-    out = edges.join(F.broadcast(mean), "highway", "left").withColumn("speed_kph", speed).drop("__mean")  # a row per road class
+    out = edges.join(mean, "highway", "left").withColumn("speed_kph", speed).drop("__mean")  # broadcast by its size
     return out.withColumn("travel_s", F.col("length_m") / (F.col("speed_kph") / 3.6))
 
 

@@ -68,6 +68,13 @@ def contains(points: DataFrame, edge: DataFrame, id_col: str = "id", cell: float
     return p.join(whole, ["tx", "ty"]).select("id", "poly").union(near).select(F.col("id").alias(id_col), "poly")
 
 
+def inside_any(points: DataFrame, edge: DataFrame, id_col: str = "id") -> DataFrame:
+    """``points`` with ``inside``: whether one of the polygons holds them.  The
+    union of polygons is not drawn; being in it is being in one of them."""
+    held = contains(points, edge, id_col).select(id_col).distinct().withColumn("inside", F.lit(True))
+    return points.join(held, id_col, "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+
+
 def within(points: DataFrame, edge: DataFrame, distance: float, id_col: str = "id", cell: float = 1000.0) -> DataFrame:
     """Ids of points in the polygons widened by ``distance``: inside one, or
     that near to an edge; if it is negative, in the polygons drawn in by it:

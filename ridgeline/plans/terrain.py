@@ -141,6 +141,11 @@ def lake_samples(spark: SparkSession, folder: str) -> DataFrame:
     return vector.sample_points(e, vector.rasterise(_cells(spark), e), 200.0, 250.0, 40.0)
 
 
+def union_points(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each point lies in the union of all polygons."""
+    return vector.inside_any(view(spark, folder, POINTS), polygons(spark)).select("id", "inside")
+
+
 def extent_points(spark: SparkSession, folder: str) -> DataFrame:
     """Points in a raster's extent of 300 x 200 cells from (1000, 9000)."""
     lit = lambda v: F.lit(float(v))
@@ -541,6 +546,7 @@ WITH e AS (SELECT * FROM {EDGE_SQL} WHERE poly = 1), l AS (SELECT 540.0::DOUBLE
 i AS (SELECT x, y FROM l, e WHERE {_CROSS} GROUP BY ALL HAVING count(*) % 2 = 1), d AS (SELECT x, y FROM (SELECT x, y, {_SEGMENT} AS v FROM i, e) GROUP BY x, y HAVING min(v) > 40),
 c AS (SELECT row, col FROM {_CELLS_SQL}, e WHERE {_CROSS} GROUP BY ALL HAVING count(*) % 2 = 1)
 SELECT row, col, col * 250.0::DOUBLE + 125 AS x, row * 250.0::DOUBLE + 125 AS y FROM (SELECT CAST(floor(y / 250) AS INT) AS row, CAST(floor(x / 250) AS INT) AS col FROM d) JOIN c USING (row, col)""",
+    "union_points": f"WITH p AS ({fill(POINTS)}), i AS (SELECT DISTINCT id FROM (SELECT id, poly FROM p, {EDGE_SQL} WHERE {_CROSS} GROUP BY ALL HAVING count(*) % 2 = 1)) SELECT p.id, i.id IS NOT NULL AS inside FROM p LEFT JOIN i USING (id)",
     "extent_points": f"SELECT id FROM ({fill(POINTS)}) WHERE x >= 1000 AND x <= 4000 AND y <= 9000 AND y >= 7000",
     "config_bounds": f"WITH p AS (SELECT x, y FROM ({fill(POINTS)}) UNION ALL SELECT n_nationkey * 700.0::DOUBLE - 900, n_nationkey * 90.0::DOUBLE - 400 FROM nation) SELECT floor(min(x) - 35) AS x1, floor(min(y) - 35) AS y1, ceil(max(x) + 35) AS x2, ceil(max(y) + 35) AS y2 FROM p",
     "representative_points": "SELECT * FROM (VALUES " + ", ".join(f"({p}, true)" for p in RINGS) + ") AS t(poly, inside)",
@@ -601,7 +607,7 @@ SELECT src, dst FROM e JOIN c ON c.node = e.src WHERE label = (SELECT label FROM
 QUERIES = {
     f.__name__: f
     for f in (
-        grid_slope, grid_bilinear, grid_warp, buffered_points, lake_samples, extent_points, config_bounds, simplified_line, representative_points, polygonised_rings,
+        grid_slope, grid_bilinear, grid_warp, buffered_points, lake_samples, union_points, extent_points, config_bounds, simplified_line, representative_points, polygonised_rings,
         polygon_nearest, forward_view, road_graph, dem_lookup, grid_dilate, grid_flatten, grid_masks, pip_points, rasterize_last_wins, rasterize_fill, lattice_points, data_bounds,
         boundary_distance, polygon_distance, within_distance_count, openness_argmax, nearest_snap, utm_forward, utm_round_trip, mercator_forward,
         los_visible, los_browser_steps, los_agreement, inspector_totals, cumulative_view, viewshed_sweep, edge_speed_fill, drive_times, drive_pivot,

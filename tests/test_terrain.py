@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.operators import ranking, render, routing, vector, visibility, zonal
-from ridgeline.sources import paged, tables
+from ridgeline.sources import fetch, paged, tables
 
 RES = 10.0
 
@@ -253,6 +253,57 @@ def test_filters_go_to_the_service(spark):
     assert all(q["geometry"] == "-80,39,-79,40" and q["where"] == "1=1 AND size > 10" for q in Service.asked) and len(Service.asked) == 4
 
 
+class Files(BaseHTTPRequestHandler):
+    failures = 0
+    posted: list[str] = []
+
+    def answer(self, data):
+        if Files.failures > 0:
+            Files.failures -= 1
+            self.send_response(503)
+            self.end_headers()
+            return
+        self.send_response(200)
+        self.send_header("Content-Length", str(len(data) + (10 if "broken" in self.path else 0)))
+        self.end_headers()
+        self.wfile.write(data)
+
+    def do_GET(self):
+        self.answer(b"tile" * 1000)
+
+    def do_POST(self):
+        Files.posted.append(self.rfile.read(int(self.headers["Content-Length"])).decode())
+        way = {"type": "way", "role": "outer", "geometry": [{"lon": 1.0, "lat": 2.0}, {"lon": 3.0, "lat": 4.0}]}
+        self.answer(json.dumps({"elements": [{"type": "node"}, {"type": "relation", "members": [way]}]}).encode())
+
+    def log_message(self, *args):
+        pass
+
+
+def test_downloads_are_whole_or_missing(spark, tmp_path):
+    server = HTTPServer(("127.0.0.1", 0), Files)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        Files.failures = 2
+        fetch.download(spark, f"{url}/t", f"file://{tmp_path}/t.bin", wait=0)
+        assert (tmp_path / "t.bin").read_bytes() == b"tile" * 1000
+        with pytest.raises(Exception):
+            fetch.download(spark, f"{url}/broken", f"file://{tmp_path}/b.bin", wait=0)
+        Files.failures = 9
+        with pytest.raises(OSError):
+            fetch.download(spark, f"{url}/u", f"file://{tmp_path}/u.bin", wait=0)
+        assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["t.bin"]
+        fetch.download(spark, f"{url}/t", f"file://{tmp_path}/t.bin", wait=0)  # it is there
+        Files.failures = 0
+        for _ in range(2):
+            ways = fetch.fetch_relation(spark, f"{url}/api", 7, f"file://{tmp_path}/r.json", wait=0).collect()
+            assert [(x.outer, len(x.way)) for x in ways] == [(True, 2)]
+        assert len(Files.posted) == 1 and "rel%287%29" in Files.posted[0]
+    finally:
+        server.shutdown()
+
+
 def test_files_are_published_whole(spark, tmp_path):
     path = f"file://{tmp_path}/a/b.txt"
     for text in (b"one", b"two and more", b""):
