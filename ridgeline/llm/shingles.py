@@ -1,8 +1,10 @@
 """Word and shingle hashing over a batch of UTF-8 texts.
 
-A word is hashed by keyed BLAKE2b with a key drawn per run, so that nobody can
-write two words of one hash; shingles are mixed from such hashes.  Where a
-result must not rest on hashes at all, ``common_shingles`` counts on the words.
+Words of up to 16 bytes are hashed together, as two numbers and a length, with
+secret numbers added before every mixing step; longer ones by keyed BLAKE2b.
+The key is drawn per run, so that nobody can write two words of one hash.
+Shingles are mixed from such hashes.  Where a result must not rest on hashes at
+all, ``common_shingles`` counts on the words.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ from hashlib import blake2b
 import numpy as np
 
 _U = np.uint64
-#: Words that a worker remembers between batches, and their bytes.
-MEMORY, MEMORY_BYTES = 100_000, 8 << 20
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Masks of the first n bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,29 +38,34 @@ def split(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-class Hasher(dict):
-    """Numbers of words, and 128 bits of hash for each number."""
+class Hasher:
+    """128 bits of hash for every word, under one key."""
 
     def __init__(self, key: bytes):
-        super().__init__()
-        self.key, self._digests, self._bytes = key, bytearray(), 0
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self._digests += blake2b(word, digest_size=16, key=self.key).digest()
-        self._bytes += len(word)
-        return n
+        self.key = key
+        self.lanes = np.frombuffer(blake2b(b"lanes", key=key, digest_size=48).digest(), "<u8").reshape(2, 3)
 
     def words(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes (n, 2) of the words of all texts, and where each text starts
         among them (one more entry than texts)."""
-        if len(self) > MEMORY or self._bytes > MEMORY_BYTES:
-            self.clear()
-            self._digests, self._bytes = bytearray(), 0
-        numbers = [np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in map(split, texts)]
-        at = np.concatenate([[0], np.cumsum([len(x) for x in numbers], dtype=np.int64)])
-        table = np.frombuffer(bytes(self._digests), "<u8").reshape(-1, 2)
-        return table[np.concatenate(numbers)] if at[-1] else np.zeros((0, 2), np.uint64), at
+        texts = [t or b"" for t in texts]
+        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        whole = b"\n".join([*texts, b" " * 16]).lower()
+        data = np.frombuffer(whole, np.uint8)
+        edge = np.diff(np.concatenate([[True], _SPACE[data]]).astype(np.int8))
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        n = end - start
+        # eight bytes from every place on, little-endian
+        eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        one = eight[start] & _FIRST[np.minimum(n, 8)]
+        two = eight[start + 8] & _FIRST[np.clip(n - 8, 0, 8)]
+        out = np.empty((len(start), 2), np.uint64)
+        for i, (a, b, c) in enumerate(self.lanes):
+            out[:, i] = mix(mix(mix(one ^ a) + two + b) ^ (n.astype(np.uint64) + c))
+        for i in np.flatnonzero(n > 16).tolist():
+            out[i] = np.frombuffer(blake2b(whole[start[i] : end[i]], digest_size=16, key=self.key).digest(), "<u8")
+        return out, np.searchsorted(start, begins)
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:

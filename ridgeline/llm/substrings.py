@@ -54,30 +54,39 @@ STEP = 1 << 16
 DROP = 8
 
 
-def minimisers(hashes: np.ndarray, k: int, window: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Seeds of one text, where each occurs, and how far on the first seed is
-    that ends ``piece`` words or more on, with a hash of both (-1 if there is
-    none).  Of places of one seed that overlap, every k-th word has one."""
+def minimisers(hashes: np.ndarray, at: np.ndarray, k: int, window: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds of all texts (text ``i`` has the words from ``at[i]`` to
+    ``at[i + 1]``): the number of their text, the seed, where it occurs, and how
+    far on the first seed is that ends ``piece`` words or more on, with a hash
+    of both (-1 if there is none).  Of places of one seed that overlap, every
+    k-th word has one."""
+    none = np.zeros(0, np.int64)
     h = windows(hashes, k)
     if not len(h):
-        return h, *(np.zeros(0, np.int64) for _ in range(3))
-    if len(h) <= window:
-        at = np.array([int(h.argmin())])
-    else:
+        return none, none.astype(np.uint64), none, none, none
+    first, last = at[:-1], at[1:] - k  # of the k-grams inside a text
+    chosen = [np.array([int(a + h[a : b + 1].argmin()) for a, b in zip(first, last) if 0 <= b - a < window], np.int64)]
+    if len(h) >= window:
         view = np.lib.stride_tricks.sliding_window_view(h, window)
-        at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
-    order = np.lexsort((at, h[at]))
-    pos, seeds = at[order], h[at][order]
+        low = view.argmin(axis=1) + np.arange(len(view))
+        text = np.searchsorted(at, np.arange(len(view)), side="right") - 1
+        chosen.append(low[np.arange(len(view)) + window - 1 <= last[text]])
+    places = np.unique(np.concatenate(chosen))
+    if not len(places):
+        return none, none.astype(np.uint64), none, none, none
+    text = np.searchsorted(at, places, side="right") - 1
+    order = np.lexsort((places, h[places], text))
+    pos, seeds, text = places[order], h[places][order], text[order]
     # a run of overlapping places is of a text that repeats within k words
-    new = np.concatenate([[True], (seeds[1:] != seeds[:-1]) | (np.diff(pos) >= k)])
+    new = np.concatenate([[True], (seeds[1:] != seeds[:-1]) | (text[1:] != text[:-1]) | (np.diff(pos) >= k)])
     stretch = (pos - pos[np.maximum.accumulate(np.where(new, np.arange(len(pos)), 0))]) // k
     keep = new | np.concatenate([[True], stretch[1:] != stretch[:-1]])
-    pos, seeds = pos[keep], seeds[keep]
-    there = np.searchsorted(at, pos + max(1, piece - k))
-    some = there < len(at)
-    there = at[np.minimum(there, len(at) - 1)]
-    both = (windows(np.stack([seeds, h[there]], axis=1).ravel(), 2)[::2] >> np.uint64(33)).astype(np.int64)
-    return seeds, pos, np.where(some, there - pos, 0), np.where(some, both, -1)
+    pos, seeds, text = pos[keep], seeds[keep], text[keep]
+    there = np.searchsorted(places, pos + max(1, piece - k))
+    far = places[np.minimum(there, len(places) - 1)]
+    some = (there < len(places)) & (far <= last[text])
+    both = (windows(np.stack([seeds, h[far]], axis=1).ravel(), 2)[::2] >> np.uint64(33)).astype(np.int64)
+    return text, seeds, pos - at[text], np.where(some, far - pos, 0), np.where(some, both, -1)
 
 
 def chain(a: list[int], b: list[int], gap: float = GAP) -> list[list[int]]:
@@ -214,14 +223,10 @@ def _seeder(k: int, window: int, piece: int, secret: bytes):
         for batch in slices(batches, "text", STEP_BYTES):
             hashes, at = hasher.words(as_bytes(batch.column(1)))
             hashes = np.ascontiguousarray(hashes[:, 0])
-            docs, out = batch.column(0).to_numpy(zero_copy_only=False), []
-            for i in range(len(docs)):
-                seeds, pos, step, both = minimisers(hashes[at[i] : at[i + 1]], k, window, piece)
-                out.append((seeds, both, np.full(len(seeds), docs[i]), pos * STEP + step))
-            s, f, d, p = (np.concatenate(c) for c in zip(*out))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.astype(np.int64)), pa.array(f.astype(np.int32)), pa.array(d.astype(np.int64)), pa.array(p.astype(np.int64))], names=["seed", "both", "doc", "at"]
-            )
+            text, seeds, pos, step, both = minimisers(hashes, at, k, window, piece)
+            docs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            columns = [seeds.astype(np.int64), both.astype(np.int32), docs[text], pos * STEP + step]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["seed", "both", "doc", "at"])
 
     return run
 
