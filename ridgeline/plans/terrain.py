@@ -161,7 +161,7 @@ def config_bounds(spark: SparkSession, folder: str) -> DataFrame:
 def simplified_line(spark: SparkSession, folder: str) -> DataFrame:
     """Per segment of customers, the line through their balances, thinned."""
     c = table(spark, folder, "customer").select(F.col("c_mktsegment").alias("id"), F.col("c_custkey").alias("pos"), F.col("c_custkey").cast("double").alias("x"), F.col("c_acctbal").alias("y"))
-    return vector.simplify(c, "id", 2000.0)
+    return vector.simplify(c, "id", 50.0)
 
 
 def representative_points(spark: SparkSession, folder: str) -> DataFrame:
@@ -549,6 +549,14 @@ SELECT row, col, col * 250.0::DOUBLE + 125 AS x, row * 250.0::DOUBLE + 125 AS y
     "union_points": f"WITH p AS ({fill(POINTS)}), i AS (SELECT DISTINCT id FROM (SELECT id, poly FROM p, {EDGE_SQL} WHERE {_CROSS} GROUP BY ALL HAVING count(*) % 2 = 1)) SELECT p.id, i.id IS NOT NULL AS inside FROM p LEFT JOIN i USING (id)",
     "extent_points": f"SELECT id FROM ({fill(POINTS)}) WHERE x >= 1000 AND x <= 4000 AND y <= 9000 AND y >= 7000",
     "config_bounds": f"WITH p AS (SELECT x, y FROM ({fill(POINTS)}) UNION ALL SELECT n_nationkey * 700.0::DOUBLE - 900, n_nationkey * 90.0::DOUBLE - 400 FROM nation) SELECT floor(min(x) - 35) AS x1, floor(min(y) - 35) AS y1, ceil(max(x) + 35) AS x2, ceil(max(y) + 35) AS y2 FROM p",
+    "simplified_line": """
+WITH RECURSIVE p AS (SELECT c_mktsegment AS id, c_custkey AS pos, c_custkey::DOUBLE AS x, c_acctbal AS y FROM customer),
+parts(id, a, b) AS (SELECT id, min(pos), max(pos) FROM p GROUP BY id
+  UNION ALL SELECT id, unnest([a, m]), unnest([m, b]) FROM (
+    SELECT s.id, s.a, s.b, arg_max(q.pos, abs((q.x - u.x) * (v.y - u.y) - (q.y - u.y) * (v.x - u.x)) / sqrt((v.x - u.x) ** 2 + (v.y - u.y) ** 2)) AS m
+    FROM parts s JOIN p q ON q.id = s.id AND q.pos > s.a AND q.pos < s.b JOIN p u ON u.id = s.id AND u.pos = s.a JOIN p v ON v.id = s.id AND v.pos = s.b GROUP BY s.id, s.a, s.b
+    HAVING max(abs((q.x - u.x) * (v.y - u.y) - (q.y - u.y) * (v.x - u.x)) / sqrt((v.x - u.x) ** 2 + (v.y - u.y) ** 2)) > 50) t)
+SELECT id, pos, x, y FROM p WHERE (id, pos) IN (SELECT (id, a) FROM parts UNION SELECT (id, b) FROM parts)""",
     "representative_points": "SELECT * FROM (VALUES " + ", ".join(f"({p}, true)" for p in RINGS) + ") AS t(poly, inside)",
     "polygonised_rings": "WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"({p}, {r}, {k}, {x}::DOUBLE, {y}::DOUBLE)" for p, r, k, x, y in _RING_ROWS) + """) AS t(poly, ring, k, x, y))
 SELECT poly, CAST(count(*) + 1 AS INT) AS n, abs(sum(a.x * b.y - b.x * a.y)) / 2 AS area FROM v a JOIN v b USING (poly, ring) WHERE b.k = a.k + 1 GROUP BY poly, ring""",
