@@ -6,14 +6,16 @@ inside is decided by the parity of crossings, so holes need no treatment.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.geo import crosses, segment_distance
-from ridgeline.session import cut
+from ridgeline.session import cut, importable
 
 
 def edges(rings: DataFrame, poly: str, ring: str) -> DataFrame:
@@ -241,15 +243,21 @@ def count_within(points: DataFrame, radius: float, id_col: str = "id") -> DataFr
     return p.join(q, ["tx", "ty"]).where(dx * dx + dy * dy < radius * radius).groupBy("id").agg(F.count("*").alias("n")).withColumnRenamed("id", id_col)
 
 
-def nearest(points: DataFrame, nodes: DataFrame, cell: float, id_col: str = "id") -> DataFrame:
+#: Nodes (24 bytes each) that are sent to the tasks as arrays.
+SEARCHED = 5_000_000
+
+
+def nearest(points: DataFrame, nodes: DataFrame, cell: float, id_col: str = "id", searched: int = SEARCHED) -> DataFrame:
     """(id, node, d2): the nearest node of every point; ties go to the lowest.
 
     A node found in the 3 x 3 buckets around a point is the nearest if it is
-    no farther than a bucket's side.  Points without one try again with
-    buckets four times as wide, until all are done or the buckets cover all nodes.
+    no farther than a bucket's side.  Points without one are searched for in
+    boxes of nodes, nearest box first, where the nodes are at most
+    ``searched``, by count; with more nodes they try again with buckets four
+    times as wide, until all are done or the buckets cover all nodes.
     """
     todo = points.select(F.col(id_col).alias("id"), "x", "y")
-    ends = nodes.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    ends = nodes.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
     reach = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if ends[0] is None or reach[0] is None:
         return todo.select("id", F.lit(None).cast("long").alias("node"), F.lit(None).cast("double").alias("d2")).limit(0).withColumnRenamed("id", id_col)
@@ -272,10 +280,44 @@ def nearest(points: DataFrame, nodes: DataFrame, cell: float, id_col: str = "id"
         todo = cut(todo.join(parts[-1].select("id"), "id", "left_anti"))
         if todo.isEmpty():
             break
+        if ends[4] <= searched:
+            parts.append(_nearest_in_boxes(todo, nodes))
+            break
         cell *= 4
     return reduce(DataFrame.union, parts).withColumnRenamed("id", id_col)
 
 
+def _nearest_in_boxes(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``nearest`` by boxes that hold about the square root of all nodes each:
+    only boxes whose near side is no farther than some box's far side count."""
+    spark = points.sparkSession
+    importable(spark)
+    at = nodes.select("id", "x", "y").toPandas()
+    side = max(1, int(len(at) ** 0.25))
+    place = lambda v: np.minimum(side - 1, ((v - v.min()) / max(float(v.max() - v.min()), 1e-9) * side).astype(int))
+    at = at.assign(box=place(at.x.to_numpy()) * side + place(at.y.to_numpy())).sort_values(["box", "id"], kind="stable")
+    box, x, y = (at[c].to_numpy() for c in ("box", "x", "y"))
+    first = np.flatnonzero(np.concatenate([[True], box[1:] != box[:-1]]))
+    bounds = [f.reduceat(v, first) for v in (x, y) for f in (np.minimum, np.maximum)]
+    shared = spark.sparkContext.broadcast((at.id.to_numpy(), x, y, np.append(first, len(at)), bounds))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, x, y, first, (x1, x2, y1, y2) = shared.value
+        for pdf in batches:
+            out = []
+            for px, py in zip(pdf.x.to_numpy(), pdf.y.to_numpy()):
+                near = np.maximum(0, np.maximum(x1 - px, px - x2)) ** 2 + np.maximum(0, np.maximum(y1 - py, py - y2)) ** 2
+                far = np.maximum(px - x1, x2 - px) ** 2 + np.maximum(py - y1, y2 - py) ** 2
+                some = np.concatenate([np.arange(first[i], first[i + 1]) for i in np.flatnonzero(near <= far.min() * (1 + 1e-12))])
+                d2 = (px - x[some]) * (px - x[some]) + (py - y[some]) * (py - y[some])
+                least = d2.min()
+                out.append((int(ids[some[d2 == least]].min()), float(least)))
+            yield pd.DataFrame({"id": pdf.id, "node": [n for n, _ in out], "d2": [d for _, d in out]})
+
+    kind = points.schema["id"].dataType.simpleString()
+    return points.select("id", "x", "y").where("x IS NOT NULL AND y IS NOT NULL").mapInPandas(run, f"id {kind}, node long, d2 double")
+
+
 def simplify(lines: DataFrame, id_col: str, tolerance: float) -> DataFrame:
     """Douglas-Peucker per line: rows (id, pos, x, y) that stay."""
 

@@ -157,6 +157,17 @@ def test_polygon_of_many_edges(spark):
     assert {x.id for x in vector.within(p, e, -60.0).collect()} == {i for i, x, y in pts if i in ins and away(x, y) > 60}
 
 
+@pytest.mark.parametrize("searched", [vector.SEARCHED, 0])
+def test_nearest_nodes_of_far_points(spark, searched):
+    """In boxes and in widening buckets; ties go to the lowest id."""
+    r = random.Random(13)
+    nodes = [(i, float(r.randrange(0, 500)), float(r.randrange(0, 500))) for i in range(700)] + [(900 + i, 9e4, 10.0 * i) for i in range(5)]
+    pts = [(i, r.uniform(-1, 1) * 10 ** r.randrange(1, 6), r.uniform(-1, 1) * 10 ** r.randrange(1, 6)) for i in range(80)] + [(99, 250.0, -3000.0)]
+    want = {i: min(((x - a) * (x - a) + (y - b) * (y - b), n) for n, a, b in nodes) for i, x, y in pts}
+    got = vector.nearest(spark.createDataFrame(pts, "id long, x double, y double"), spark.createDataFrame(nodes, "id long, x double, y double"), 20.0, searched=searched)
+    assert {x.id: (x.d2, x.node) for x in got.collect()} == want
+
+
 def test_ways_that_do_not_close_are_told_apart(spark):
     ways = spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]), (1, [(5.0, 5.0), (6.0, 6.0)])], "g int, way array<struct<x:double,y:double>>")
     got = {(r.ring, r.pos) for r in vector.polygonise(ways, "g").collect()}
