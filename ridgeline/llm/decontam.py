@@ -104,8 +104,8 @@ def contamination(
         ).alias("g")
     ).distinct()
     near = scanned.select("doc", "fp", F.explode("probes").alias("g")).join(_bounded(grams, gram_bytes, broadcast_bytes), "g", "left_semi")
-    near = near.select("doc", "fp").distinct()
-    held = texts.join(near, ["doc", "fp"], "left_semi").dropDuplicates(["doc", "fp"])
+    near = spool(near.select("doc", "fp").distinct(), f"{root}/hit")
+    held = texts.join(_bounded(near, ROW_BYTES * near.count(), broadcast_bytes), ["doc", "fp"], "left_semi").dropDuplicates(["doc", "fp"])
     held = spool(held.select("doc", "fp", item_words(F.col("text")).alias("words")), f"{root}/near")
 
     places = [
@@ -145,4 +145,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """``docs`` without the documents that ``contamination`` marks."""
     report = contamination(docs, benchmark, id_col=id_col, **options)
     bad = report.where("contaminated").select(id_key(id_col).alias("__rl_key")).distinct()
+    bad = _bounded(bad, ROW_BYTES * bad.count(), options.get("broadcast_bytes", BROADCAST_BYTES))
     return docs.withColumn("__rl_key", id_key(id_col)).join(bad, "__rl_key", "left_anti").drop("__rl_key")

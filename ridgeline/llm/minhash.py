@@ -308,7 +308,7 @@ def near_duplicates(
     members = spool(keyed.join(shared.hint("merge"), "key"), f"{root}/members")
     ends = reps.join(members.select(F.col("m").alias("doc"), "f1"), ["doc", "f1"], "left_semi").select("doc", "f1", "marks", "bands", "fp")
     ends = spool(ends, f"{root}/ends")
-    held = spool(texts.join(ends.select("doc", "f1", "fp"), ["doc", "fp"]).select("doc", "f1", "text"), f"{root}/texts")
+    held = spool(texts.join(ends.select("doc", "f1", "fp").hint("merge"), ["doc", "fp"]).select("doc", "f1", "text"), f"{root}/texts")
 
     twice = spool(drawn.groupBy("doc").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc"), f"{root}/twice")
     links = spark.createDataFrame([], "a long, b long")
