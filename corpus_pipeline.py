@@ -42,7 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group stays, the one with the smallest id."""
     groups = near_duplicates(docs, words=5, percent=80)
     kept = groups.where("kept").select(id_key("doc_id").alias("__kept")).distinct()
-    return docs.withColumn("__kept", id_key("doc_id")).join(kept, "__kept", "left_semi").select(*docs.columns)
+    return docs.withColumn("__kept", id_key("doc_id")).join(kept.hint("merge"), "__kept", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
