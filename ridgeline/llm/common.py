@@ -98,17 +98,13 @@ def release(spark: SparkSession, since: int = 0) -> None:
         drop(spark, _results.pop())
 
 
-#: Codec of work tables.  Streams of the denser zstd hold memory beside the
-#: heap until a collection, which many small files at once make too much of.
+#: Codec of work tables, which are read a few times soon after.
 CODEC = "snappy"
 
 
-def spool(df: DataFrame, path: str, partition_by: str | None = None, codec: str = CODEC) -> DataFrame:
+def spool(df: DataFrame, path: str, codec: str = CODEC) -> DataFrame:
     """Write ``df`` to ``path`` and return the table read back with its schema."""
-    writer = df.write.mode("overwrite").option("compression", codec)
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

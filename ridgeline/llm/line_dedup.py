@@ -33,7 +33,9 @@ SPACE = b" \t\n\x0b\x0c\r"
 _MAX_UTF8 = 4
 #: Lines that are broadcast at most (32 bytes each).
 HOT = 50_000
-_ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+#: Entries (32 bytes each) of the whole feed for each bucket of a run.
+PER_BUCKET = 1_000_000
+_ORDERED, _PARTS = "spark.sql.legacy.bucketedTableScan.outputOrdering", "spark.sql.shuffle.partitions"
 
 
 def line_key(line: bytes) -> bytes:
@@ -74,14 +76,16 @@ FEED = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.Lo
 class LineStore:
     """Sorted runs of (h1, h2, n, owner), in levels, under one shared folder."""
 
-    def __init__(self, spark: SparkSession, path: str, min_docs: int = 3, fanout: int = 2):
+    def __init__(self, spark: SparkSession, path: str, entries: int, min_docs: int = 3, fanout: int = 2):
+        """For about ``entries`` in all; until ``close`` the session shuffles
+        into as many parts as a run has buckets, never more than before."""
         self.spark, self.path, self.min_docs, self.fanout = spark, path, min_docs, fanout
         self.levels: list[list[str]] = []
         self.name, self._made = f"ridgeline_lines_{uuid.uuid4().hex}", 0
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        # each bucket is one sorted file
-        self._was = spark.conf.get(_ORDERED)
-        spark.conf.set(_ORDERED, "true")
+        self._was = {k: spark.conf.get(k) for k in (_ORDERED, _PARTS)}
+        spark.conf.set(_ORDERED, "true")  # each bucket is one sorted file
+        spark.conf.set(_PARTS, str(max(1, min(int(self._was[_PARTS]), -(-entries // PER_BUCKET)))))
+        self.buckets = int(spark.conf.get(_PARTS))
 
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(t) for level in self.levels for t in level]
@@ -102,7 +106,8 @@ class LineStore:
             for t in level:
                 self._drop(t)
         self.levels = []
-        self.spark.conf.set(_ORDERED, self._was)
+        for k, v in self._was.items():
+            self.spark.conf.set(k, v)
 
     def _merge(self, runs: list[DataFrame]) -> DataFrame:
         def two(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -155,9 +160,10 @@ def dedup_lines(
     for cut in cuts:
         part = part - (F.col("doc") > F.lit(cut)).cast("int")
     feed = docs.select(key.alias("doc"), F.col(f"`{text_col}`").alias("text")).select("doc", "text", part.alias("part"))
-    feed = spool(feed.mapInArrow(_hasher(min_chars, seed), FEED), f"{root}/feed", "part")
+    feed = spool(feed.mapInArrow(_hasher(min_chars, seed), FEED), f"{root}/feed")
+    total = feed.count()
 
-    store = LineStore(spark, f"{root}/store", min_docs, fanout)
+    store = LineStore(spark, f"{root}/store", total, min_docs, fanout)
     try:
         for k in range(len(cuts) + 1):
             batch = feed.where(F.col("part") == k)
@@ -167,7 +173,7 @@ def dedup_lines(
         repeated = spool(store.merged().where(F.col("n") >= min_docs).select("h1", "h2", "n", "owner"), f"{root}/repeated")
     finally:
         store.close()
-    lines, hot = feed.select("h1", "h2", "doc"), F.col("n") > -(-feed.count() // HOT)
+    lines, hot = feed.select("h1", "h2", "doc"), F.col("n") > -(-total // HOT)
     often = F.broadcast(repeated.where(hot).drop("n"))
     seldom = lines.join(often, ["h1", "h2"], "left_anti").join(repeated.where(~hot).drop("n"), ["h1", "h2"])
     cut = lines.join(often, ["h1", "h2"]).union(seldom).where(F.col("doc") != F.col("owner"))
