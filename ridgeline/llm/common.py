@@ -87,6 +87,11 @@ def result(df: DataFrame, *roots: str) -> DataFrame:
     return out
 
 
+def keep(path: str) -> None:
+    """Count a folder that a returned table reads among the results."""
+    _results.append(path)
+
+
 def made() -> int:
     """How many results are kept so far."""
     return len(_results)

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, chat, pii, rans, toxicity
-from ridgeline.llm.common import table, work_dir
+from ridgeline.llm import bpe, chat, packing, pii, rans, toxicity
+from ridgeline.llm.common import keep, table, work_dir
 from ridgeline.llm.decontam import contamination
 from ridgeline.llm.line_dedup import dedup_lines
 from ridgeline.llm.minhash import near_duplicates
@@ -176,7 +176,7 @@ FROM e GROUP BY conv_id
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = work_dir(spark, "ids")
+    keep(path := work_dir(spark, "ids"))
     rans.write_ids(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return rans.read_ids(spark, path)
 
@@ -186,7 +186,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs).drop("votes")
 
 
-_ALL = (op1_line_dedup, op2_minhash_near_dedup, op3_pii, op4_decontamination, op5_substring_dedup, op6_byte_bpe, op7_toxicity, op8_chat_format, op9_token_files, op10_quality_rules)
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, size=4096)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+_ALL = (op1_line_dedup, op2_minhash_near_dedup, op3_pii, op4_decontamination, op5_substring_dedup, op6_byte_bpe, op7_toxicity, op8_chat_format, op9_token_files, op10_quality_rules, op11_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
