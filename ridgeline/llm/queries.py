@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, chat, packing, pii, rans, toxicity
+from ridgeline.llm import bpe, chat, merkle, packing, pii, rans, toxicity, vector_codes
 from ridgeline.llm.common import keep, table, work_dir
 from ridgeline.llm.decontam import contamination
 from ridgeline.llm.line_dedup import dedup_lines
@@ -192,7 +192,114 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-_ALL = (op1_line_dedup, op2_minhash_near_dedup, op3_pii, op4_decontamination, op5_substring_dedup, op6_byte_bpe, op7_toxicity, op8_chat_format, op9_token_files, op10_quality_rules, op11_packing)
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vector_codes.encode(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+#: One round: every part's nearest entry, then the floors of the means.
+_ROUND = """
+, a{n} AS MATERIALIZED (
+  SELECT r, p, v, least_entry.k AS k, least_entry.d AS d FROM (
+    SELECT r, p, any_value(x.v) AS v, min(struct_pack(d := list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), k := c.k)) AS least_entry
+    FROM parts x JOIN c{n} c USING (p) GROUP BY r, p)
+)"""
+_MOVE = """
+, c{m} AS MATERIALIZED (
+  SELECT c.p, c.k, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN (
+    SELECT p, k, list(CAST(floor(CAST(s AS DOUBLE) / n) AS HUGEINT) ORDER BY i) AS v FROM (
+      SELECT p, k, i, sum(y) AS s, count(*) AS n FROM (SELECT p, k, unnest(v) AS y, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY p, k, i)
+    GROUP BY p, k) m USING (p, k)
+)"""
+SQL_OP12 = (
+    r"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), wide AS (SELECT CAST(greatest(1, ceil(max(len(q)) / 4)) AS BIGINT) AS w FROM kept), padded AS (
+  SELECT r, w, list_concat(q, list_transform(range(4 * w - len(q)), lambda i: 0::HUGEINT)) AS q FROM kept, wide
+), parts AS MATERIALIZED (
+  SELECT r, p, q[p * w + 1:(p + 1) * w] AS v FROM padded, range(4) t(p)
+), c0 AS MATERIALIZED (SELECT p, r - 1 AS k, v FROM parts WHERE r <= 256)"""
+    + "".join(_ROUND.format(n=n) + _MOVE.format(n=n, m=n + 1) for n in range(4))
+    + _ROUND.format(n=4)
+    + r"""
+, coded AS (
+  SELECT r, string_agg(lpad(lower(to_hex(k)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY r
+), books AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c4
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), books
+"""
+)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = merkle.leaf_hash(*fields, F.col("text"))
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    shown = F.when(even, merkle.leaf_hash(*fields, F.translate("text", "\n", ""))).otherwise(leaf)
+    out = merkle.prove(docs.select("doc_id", "source", leaf.alias("leaf"), shown.alias("shown")), more=["shown"])
+    siblings = F.array_join(F.transform("proof", lambda s: F.concat(s["before"], s["after"])), "")
+    out = out.withColumn("proof_sha256", F.sha2(siblings, 256)).withColumn("folded_root", merkle.folded(F.col("shown"), F.col("proof")))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _crc32_is_even(digits: str) -> str:
+    """SQL for the parity of the CRC-32 of ASCII digits."""
+    bit = "lambda c, b: xor(c >> 1, (c & 1) * 3988292384)"
+    byte = f"lambda c, x: list_reduce(range(8), {bit}, xor(c, x))"
+    codes = f"list_transform(range(1, length({digits}) + 1), lambda i: CAST(ascii(substr({digits}, i, 1)) AS BIGINT))"
+    return f"(xor(list_reduce({codes}, {byte}, 4294967295), 4294967295) & 1) = 0"
+
+
+def _field(name: str) -> str:
+    text = f"CAST({name} AS VARCHAR)"
+    return f"coalesce(CAST(strlen({text}) AS VARCHAR) || ':' || {text}, '-')"
+
+
+_FIELDS = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))
+SQL_OP13 = rf"""
+WITH RECURSIVE leaves AS MATERIALIZED (
+  SELECT doc_id, source, leaf, CASE WHEN doc_id IS NOT NULL AND {_crc32_is_even("CAST(doc_id AS VARCHAR)")} THEN sha256({_FIELDS} || {_field("replace(text, chr(10), '')")}) ELSE leaf END AS shown
+  FROM (SELECT *, sha256({_FIELDS} || {_field("text")}) AS leaf FROM documents)
+), placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, shown) - 1 AS i, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER () AS r
+  FROM leaves
+), low AS (
+  SELECT tree, 0 AS level, i, leaf AS node, count(*) OVER (PARTITION BY tree) AS n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, i // 3, sha256(string_agg(node, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM low WHERE n > 1 GROUP BY tree, level, i // 3
+), subroots AS MATERIALIZED (SELECT tree, level AS height, node FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, tree AS i, node, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(node, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM high WHERE n > 1 GROUP BY level, i // 3
+), nodes AS MATERIALIZED (
+  SELECT l.tree, level, i, l.node FROM low l WHERE n > 1
+  UNION ALL SELECT s.tree, s.height + h.level, h.i, h.node FROM subroots s, high h WHERE h.n > 1
+), walk AS (
+  SELECT p.r, p.tree, t AS level, CASE WHEN t < s.height THEN p.i // CAST(pow(3, t) AS BIGINT) ELSE p.tree // CAST(pow(3, t - s.height) AS BIGINT) END AS i
+  FROM placed p JOIN subroots s USING (tree), range(60) v(t) WHERE t < s.height + (SELECT max(level) FROM high)
+), steps AS MATERIALIZED (
+  SELECT w.r, w.level, coalesce(string_agg(x.node, '' ORDER BY x.i) FILTER (WHERE x.i < w.i), '') AS before, coalesce(string_agg(x.node, '' ORDER BY x.i) FILTER (WHERE x.i > w.i), '') AS after
+  FROM walk w JOIN nodes x ON x.tree = w.tree AND x.level = w.level AND x.i // 3 = w.i // 3 GROUP BY w.r, w.level
+), fold AS (
+  SELECT r, 0 AS level, shown AS node FROM placed
+  UNION ALL
+  SELECT f.r, f.level + 1, sha256(s.before || f.node || s.after) FROM fold f JOIN steps s ON f.r = s.r AND f.level = s.level
+), folded AS (SELECT r, arg_max(node, level) AS folded_root FROM fold GROUP BY r),
+proofs AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY level)) AS proof_sha256 FROM steps GROUP BY r)
+SELECT p.doc_id, p.leaf, s.node AS subroot, h.node AS root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, f.folded_root, f.folded_root = h.node AS verified
+FROM placed p JOIN subroots s USING (tree) JOIN folded f USING (r) LEFT JOIN proofs q USING (r), (SELECT node FROM high WHERE n = 1) h
+"""
+
+
+_ALL = (op1_line_dedup, op2_minhash_near_dedup, op3_pii, op4_decontamination, op5_substring_dedup, op6_byte_bpe, op7_toxicity, op8_chat_format, op9_token_files, op10_quality_rules, op11_packing, op12_vector_codes, op13_merkle_manifest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -200,4 +307,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": SQL_OP1, "op2_minhash_near_dedup": SQL_OP2, "op4_decontamination": SQL_OP4, "op8_chat_format": SQL_OP8}
+    return {"op1_line_dedup": SQL_OP1, "op2_minhash_near_dedup": SQL_OP2, "op4_decontamination": SQL_OP4, "op8_chat_format": SQL_OP8, "op12_vector_codes": SQL_OP12, "op13_merkle_manifest": SQL_OP13}
