@@ -69,11 +69,16 @@ def crosses(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Colu
     return ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)
 
 
-def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Distance from a point to a segment."""
+def segment_square(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Squared distance from a point to a segment."""
     dx, dy = x2 - x1, y2 - y1
     length = dx * dx + dy * dy
     t = F.when(length > 0, ((px - x1) * dx + (py - y1) * dy) / length).otherwise(0.0)
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
     ex, ey = px - (x1 + t * dx), py - (y1 + t * dy)
-    return F.sqrt(ex * ex + ey * ey)
+    return ex * ex + ey * ey
+
+
+def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Distance from a point to a segment."""
+    return F.sqrt(segment_square(px, py, x1, y1, x2, y2))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.scalar import round_even
+from ridgeline.operators.chains import opened, ranked
 from ridgeline.session import cut, importable
 
 #: Edges (24 bytes each) that are sent to the tasks as arrays; beyond that,
@@ -107,6 +109,51 @@ def clip(nodes: DataFrame, edges: DataFrame, box: tuple[float, float, float, flo
     return a.where("__a OR __b").select(*edges.columns)
 
 
+def passed_nodes(edges: DataFrame) -> DataFrame:
+    """(node, low, high): nodes that a road only passes, with their two
+    neighbours.  Each neighbour has one edge to or from the node, in a one-way
+    road, or one of either kind; parallel edges and loops end a road."""
+    one, none = F.lit(1), F.lit(0)
+    ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), one.alias("out"), none.alias("into"))
+    ends = ends.union(edges.select("dst", "src", none, one)).groupBy("node", "other").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+    by = ends.groupBy("node").agg(
+        F.count("*").alias("n"), F.min("other").alias("low"), F.max("other").alias("high"), F.sum("out").alias("out"), F.sum("into").alias("into"),
+        F.max(F.greatest("out", "into")).alias("most"), F.bool_or(F.col("node") == F.col("other")).alias("loop"),
+    )
+    return by.where("n = 2 AND NOT loop AND most = 1 AND out = into").select("node", "low", "high")
+
+
+def simplify(edges: DataFrame, sums: list[str], sets: Sequence[str] = ()) -> DataFrame:
+    """``edges`` (src, dst, ...) with every chain over ``passed_nodes`` as one
+    edge: (src, dst, ``sums``, ``sets``, parts).
+
+    Columns of ``sums`` are summed along the chain, those of ``sets`` become the
+    sorted distinct values that are not null, and ``parts`` counts the edges.
+    Either direction of a road is a chain of its own.  A chain that returns to its
+    beginning is a loop there; a ring without any other node begins and ends at
+    its smallest one.  Least sums between the nodes that stay are the same as
+    before.
+    """
+    nodes = cut(passed_nodes(edges))
+    tail = nodes.select(F.col("node").alias("src"), F.col("low").alias("__l"), F.col("high").alias("__h"))
+    head = nodes.select(F.col("node").alias("dst"), F.lit(True).alias("__on"))
+    e = cut(edges.select("src", "dst", *sums, *sets).join(tail, "src", "left").join(head, "dst", "left"))
+    alone = e.where("__l IS NULL AND __on IS NULL")
+    alone = alone.select("src", "dst", *sums, *[F.array_compact(F.array(c)).alias(c) for c in sets], F.lit(1).cast("long").alias("parts"))
+    chained = e.where("__l IS NOT NULL OR __on IS NOT NULL")
+    before = F.when(F.col("__l") == F.col("dst"), F.col("__h")).otherwise(F.col("__l"))
+    prev = F.when(before.isNotNull(), F.struct(before.alias("src"), F.col("src").alias("dst")))
+    placed, rings = ranked(chained.select(F.struct("src", "dst").alias("id"), prev.alias("prev"), F.col("src").alias("node")))
+    if not rings.isEmpty():
+        placed = placed.union(ranked(opened(rings))[0])
+    placed = placed.select("id.src", "id.dst", F.col("first.src").alias("fs"), F.col("first.dst").alias("fd"), "span")
+    every = chained.select("src", "dst", *sums, *sets).join(placed, ["src", "dst"])
+    out = every.groupBy("fs", "fd").agg(
+        F.max_by("dst", "span").alias("dst"), *[F.sum(c).alias(c) for c in sums], *[F.sort_array(F.collect_set(c)).alias(c) for c in sets], F.count("*").alias("parts")
+    )
+    return out.select(F.col("fs").alias("src"), "dst", *sums, *sets, "parts").union(alone)
+
+
 def largest_component(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """``edges`` of the connected component, regardless of direction, with the
     most nodes; of equals the one with the smallest node.

@@ -6,16 +6,15 @@ inside is decided by the parity of crossings, so holes need no treatment.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions.geo import crosses, segment_distance
-from ridgeline.session import cut, importable
+from ridgeline.functions.geo import crosses, segment_distance, segment_square
+from ridgeline.operators.space import nearest_items
+from ridgeline.session import cut
 
 
 def edges(rings: DataFrame, poly: str, ring: str) -> DataFrame:
@@ -52,22 +51,31 @@ def contains(points: DataFrame, edge: DataFrame, id_col: str = "id", cell: float
     points in touched tiles meet edges, and of these only the ones in their own
     band of tiles, so that a polygon of many edges or points is no single key.
     """
+    return decided(points.select(F.col(id_col).alias("id"), "x", "y"), edge, cell).withColumnRenamed("id", id_col)
+
+
+def decided(p: DataFrame, edge: DataFrame, cell: float = 1000.0, own: DataFrame | None = None) -> DataFrame:
+    """``contains`` for points (id, x, y); with ``own`` (id, sid) as if the
+    edges ``sid`` on which a point lies were not there, which decides for the
+    place beside it, to the right or, of a level edge, above."""
     tile = lambda c: F.floor(F.col(c) / cell)
     bands = edge.withColumn("ty", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))))
-    rim = touched(edge, cell).select(F.col("col").cast("long").alias("tx"), F.col("row").cast("long").alias("ty"), "poly")
+    rim = touched(edge, cell, 1e-6).select(F.col("col").cast("long").alias("tx"), F.col("row").cast("long").alias("ty"), "poly")
     span = boxes(edge).select("poly", F.explode(F.sequence(tile("bx1"), tile("bx2"))).alias("tx"), F.sequence(tile("by1"), tile("by2")).alias("tys"))
     span = span.select("poly", "tx", F.explode("tys").alias("ty")).join(rim, ["tx", "ty", "poly"], "left_anti")
 
-    def inside(at: DataFrame, keys: list[str]) -> DataFrame:
+    def inside(at: DataFrame, keys: list[str], without: DataFrame | None = None) -> DataFrame:
         """Keys of rows (keys, x, y, ty, poly) that lie in their polygon."""
         hit = at.join(bands, ["poly", "ty"]).where(crosses(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2"))))
+        if without is not None:
+            hit = hit.join(without.select("id", "sid"), ["id", "sid"], "left_anti")
         return hit.groupBy(*keys).agg(F.count("*").alias("n")).where("n % 2 = 1").select(*keys)
 
     centres = span.withColumn("x", (F.col("tx") + 0.5) * cell).withColumn("y", (F.col("ty") + 0.5) * cell)
     whole = inside(centres, ["tx", "ty", "poly"])
-    p = points.select(F.col(id_col).alias("id"), "x", "y").withColumn("tx", tile("x")).withColumn("ty", tile("y"))
-    near = inside(p.join(rim, ["tx", "ty"]), ["id", "poly"])
-    return p.join(whole, ["tx", "ty"]).select("id", "poly").union(near).select(F.col("id").alias(id_col), "poly")
+    p = p.withColumn("tx", tile("x")).withColumn("ty", tile("y"))
+    near = inside(p.join(rim, ["tx", "ty"]), ["id", "poly"], own)
+    return p.join(whole, ["tx", "ty"]).select("id", "poly").union(near)
 
 
 def inside_any(points: DataFrame, edge: DataFrame, id_col: str = "id") -> DataFrame:
@@ -109,17 +117,19 @@ def rasterise(cells: DataFrame, edge: DataFrame, cell: float = 1000.0) -> DataFr
     return got.select("id.row", "id.col", "zone")
 
 
-def touched(edge: DataFrame, res: float = 1.0) -> DataFrame:
-    """(row, col, poly) of the unit cells that a polygon's edges touch; cell
-    (r, c) covers [c, c + 1) x [r, r + 1) times ``res``."""
+def touched(edge: DataFrame, res: float = 1.0, room: float = 0.0) -> DataFrame:
+    """(row, col, poly) of the unit cells that a polygon's edges touch, or come
+    as near as ``room`` to; cell (r, c) covers [c, c + 1) x [r, r + 1) times
+    ``res``."""
     e = edge.select("poly", *[(F.col(c) / res).alias(c) for c in ("x1", "y1", "x2", "y2")])
-    lo, hi = (lambda a, b: F.floor(F.least(a, b))), (lambda a, b: F.floor(F.greatest(a, b)))
+    lo, hi = (lambda a, b: F.floor(F.least(a, b) - room)), (lambda a, b: F.floor(F.greatest(a, b) + room))
     e = e.withColumn("col", F.explode(F.sequence(lo("x1", "x2"), hi("x1", "x2")))).withColumn("row", F.explode(F.sequence(lo("y1", "y2"), hi("y1", "y2"))))
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
 
     def clip(start: Column, d: Column, low: Column) -> tuple[Column, Column]:
-        t1, t2 = (low - start) / F.nullif(d, F.lit(0.0)), (low + 1 - start) / F.nullif(d, F.lit(0.0))
-        free = (start >= low) & (start <= low + 1)
+        low, high = low - room, low + 1 + room
+        t1, t2 = (low - start) / F.nullif(d, F.lit(0.0)), (high - start) / F.nullif(d, F.lit(0.0))
+        free = (start >= low) & (start <= high)
         return F.coalesce(F.least(t1, t2), F.when(free, 0.0).otherwise(2.0)), F.coalesce(F.greatest(t1, t2), F.when(free, 1.0).otherwise(-1.0))
 
     (a1, b1), (a2, b2) = clip(F.col("x1"), dx, F.col("col")), clip(F.col("y1"), dy, F.col("row"))
@@ -144,31 +154,21 @@ def lattice(box: DataFrame, step: float) -> DataFrame:
     return out.select((F.col("ox") + F.col("i") * step).cast("double").alias("x"), (F.col("oy") + F.col("j") * step).cast("double").alias("y"))
 
 
-def boundary_distance(points: DataFrame, edge: DataFrame, id_col: str = "id", reach: float | None = None, cell: float = 1000.0) -> DataFrame:
+def boundary_distance(points: DataFrame, edge: DataFrame, id_col: str = "id", reach: float | None = None) -> DataFrame:
     """Smallest distance from each point to a polygon's edges; with ``reach``
     only for points no farther than that.
 
-    Points meet the edges whose box, widened by ``cell``, has their bucket.
-    Points without an edge that near try again with ``cell`` four times as
-    wide, until all are done or it spans points and edges.
+    Edges are dealt to parts of space, and every point meets those whose boxes
+    can hold its nearest one (``space.nearest_items``).
     """
     if reach is not None:
         return _boundary_within(points, edge, id_col, reach)
-    around = lambda df, xs, ys: df.agg(F.least(*map(F.min, xs)), F.greatest(*map(F.max, xs)), F.least(*map(F.min, ys)), F.greatest(*map(F.max, ys))).first()
-    p, e = around(points, ("x", "x"), ("y", "y")), around(edge, ("x1", "x2"), ("y1", "y2"))
-    todo, parts = points.where("x IS NOT NULL AND y IS NOT NULL"), []
-    if None in (*p, *e):
-        return _boundary_within(points, edge, id_col, cell)
-    span = max(p[1], e[1]) - min(p[0], e[0]) + max(p[3], e[3]) - min(p[2], e[2])
-    while True:
-        parts.append(cut(_boundary_within(todo, edge, id_col, cell)))  # each round is read twice
-        if cell >= span:
-            break
-        todo = cut(todo.join(parts[-1].select(id_col), id_col, "left_anti"))
-        if todo.isEmpty():
-            break
-        cell *= 4
-    return reduce(DataFrame.union, parts)
+    a, b = ("x1", "x2"), ("y1", "y2")
+    items = edge.select(*[F.col(c).alias("e" + c) for c in ("x1", "y1", "x2", "y2")], F.lit(0).cast("long").alias("none")).distinct()
+    box = [f(*["e" + c for c in cs]).alias(n) for f, cs, n in ((F.least, a, "x1"), (F.least, b, "y1"), (F.greatest, a, "x2"), (F.greatest, b, "y2"))]
+    square = segment_square(*map(F.col, ("x", "y", "ex1", "ey1", "ex2", "ey2")))
+    out = nearest_items(points.select(F.col(id_col).alias("id"), "x", "y"), items.select("*", *box), square, "none")
+    return out.select(F.col("id").alias(id_col), F.sqrt("m.d2").alias("distance"))
 
 
 def _boundary_within(points: DataFrame, edge: DataFrame, id_col: str, reach: float) -> DataFrame:
@@ -243,79 +243,17 @@ def count_within(points: DataFrame, radius: float, id_col: str = "id") -> DataFr
     return p.join(q, ["tx", "ty"]).where(dx * dx + dy * dy < radius * radius).groupBy("id").agg(F.count("*").alias("n")).withColumnRenamed("id", id_col)
 
 
-#: Nodes (24 bytes each) that are sent to the tasks as arrays.
-SEARCHED = 5_000_000
-
-
-def nearest(points: DataFrame, nodes: DataFrame, cell: float, id_col: str = "id", searched: int = SEARCHED) -> DataFrame:
+def nearest(points: DataFrame, nodes: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, node, d2): the nearest node of every point; ties go to the lowest.
 
-    A node found in the 3 x 3 buckets around a point is the nearest if it is
-    no farther than a bucket's side.  Points without one are searched for in
-    boxes of nodes, nearest box first, where the nodes are at most
-    ``searched``, by count; with more nodes they try again with buckets four
-    times as wide, until all are done or the buckets cover all nodes.
+    Nodes, one for each place, are dealt to parts of space, and every point
+    meets those whose boxes can hold its nearest one (``space.nearest_items``).
     """
-    todo = points.select(F.col(id_col).alias("id"), "x", "y")
-    ends = nodes.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
-    reach = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if ends[0] is None or reach[0] is None:
-        return todo.select("id", F.lit(None).cast("long").alias("node"), F.lit(None).cast("double").alias("d2")).limit(0).withColumnRenamed("id", id_col)
-    span = max(ends[1], reach[1]) - min(ends[0], reach[0]) + max(ends[3], reach[3]) - min(ends[2], reach[2])
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    parts = []
-    while True:
-        tile = lambda c, w=cell: F.floor(F.col(c) / w)
-        q = nodes.select(F.col("id").alias("node"), F.col("x").alias("qx"), F.col("y").alias("qy"), tile("x").alias("tx"), tile("y").alias("ty"))
-        q = q.withColumn("o", around).select("node", "qx", "qy", (F.col("tx") + F.col("o.i")).alias("tx"), (F.col("ty") + F.col("o.j")).alias("ty"))
-        dx, dy = F.col("x") - F.col("qx"), F.col("y") - F.col("qy")
-        last = cell >= 2 * span
-        found = todo.withColumn("tx", tile("x")).withColumn("ty", tile("y")).join(q, ["tx", "ty"]).withColumn("d2", dx * dx + dy * dy)
-        found = found.groupBy("id").agg(F.min(F.struct("d2", "node")).alias("m")).select("id", "m.node", "m.d2")
-        if not last:
-            found = found.where(F.col("d2") <= cell * cell)
-        parts.append(cut(found))  # each round is read twice
-        if last:
-            break
-        todo = cut(todo.join(parts[-1].select("id"), "id", "left_anti"))
-        if todo.isEmpty():
-            break
-        if ends[4] <= searched:
-            parts.append(_nearest_in_boxes(todo, nodes))
-            break
-        cell *= 4
-    return reduce(DataFrame.union, parts).withColumnRenamed("id", id_col)
-
-
-def _nearest_in_boxes(points: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``nearest`` by boxes that hold about the square root of all nodes each:
-    only boxes whose near side is no farther than some box's far side count."""
-    spark = points.sparkSession
-    importable(spark)
-    at = nodes.select("id", "x", "y").toPandas()
-    side = max(1, int(len(at) ** 0.25))
-    place = lambda v: np.minimum(side - 1, ((v - v.min()) / max(float(v.max() - v.min()), 1e-9) * side).astype(int))
-    at = at.assign(box=place(at.x.to_numpy()) * side + place(at.y.to_numpy())).sort_values(["box", "id"], kind="stable")
-    box, x, y = (at[c].to_numpy() for c in ("box", "x", "y"))
-    first = np.flatnonzero(np.concatenate([[True], box[1:] != box[:-1]]))
-    bounds = [f.reduceat(v, first) for v in (x, y) for f in (np.minimum, np.maximum)]
-    shared = spark.sparkContext.broadcast((at.id.to_numpy(), x, y, np.append(first, len(at)), bounds))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, x, y, first, (x1, x2, y1, y2) = shared.value
-        for pdf in batches:
-            out = []
-            for px, py in zip(pdf.x.to_numpy(), pdf.y.to_numpy()):
-                near = np.maximum(0, np.maximum(x1 - px, px - x2)) ** 2 + np.maximum(0, np.maximum(y1 - py, py - y2)) ** 2
-                far = np.maximum(px - x1, x2 - px) ** 2 + np.maximum(py - y1, y2 - py) ** 2
-                some = np.concatenate([np.arange(first[i], first[i + 1]) for i in np.flatnonzero(near <= far.min() * (1 + 1e-12))])
-                d2 = (px - x[some]) * (px - x[some]) + (py - y[some]) * (py - y[some])
-                least = d2.min()
-                out.append((int(ids[some[d2 == least]].min()), float(least)))
-            yield pd.DataFrame({"id": pdf.id, "node": [n for n, _ in out], "d2": [d for _, d in out]})
-
-    kind = points.schema["id"].dataType.simpleString()
-    return points.select("id", "x", "y").where("x IS NOT NULL AND y IS NOT NULL").mapInPandas(run, f"id {kind}, node long, d2 double")
+    items = nodes.where("x IS NOT NULL AND y IS NOT NULL").groupBy(F.col("x").alias("x1"), F.col("y").alias("y1")).agg(F.min("id").alias("node"))
+    dx, dy = F.col("x") - F.col("x1"), F.col("y") - F.col("y1")
+    items = items.select("node", "x1", "y1", F.col("x1").alias("x2"), F.col("y1").alias("y2"))
+    out = nearest_items(points.select(F.col(id_col).alias("id"), "x", "y"), items, dx * dx + dy * dy, "node")
+    return out.select(F.col("id").alias(id_col), "m.node", "m.d2")
 
 
 def simplify(lines: DataFrame, id_col: str, tolerance: float) -> DataFrame:
@@ -359,31 +297,3 @@ def representative_point(edge: DataFrame) -> DataFrame:
 
     kind = edge.schema["poly"].dataType.simpleString()
     return edge.groupBy("poly").applyInPandas(pick, f"poly {kind}, x double, y double")
-
-
-def polygonise(ways: DataFrame, group: str) -> DataFrame:
-    """Stitch open ways - arrays of (x, y) - that share end points into closed
-    rings, per group: rows (group, ring, pos, x, y).  Ways that do not close
-    have ring -1 for each, so that they can be seen and are no rings."""
-
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [[(p["x"], p["y"]) for p in w] for w in pdf.way if len(w) > 1]
-        rings, loose = [], []
-        while parts:
-            line = parts.pop(0)
-            grown = True
-            while line[0] != line[-1] and grown:
-                grown = False
-                for i, other in enumerate(parts):
-                    if other[0] == line[-1] or other[-1] == line[-1]:
-                        line += (other if other[0] == line[-1] else other[::-1])[1:]
-                        parts.pop(i)
-                        grown = True
-                        break
-            (rings if line[0] == line[-1] else loose).append(line)
-        numbered = [*enumerate(rings), *((-1, line) for line in loose)]
-        rows = [(pdf[group].iloc[0], r, k, x, y) for r, ring in numbered for k, (x, y) in enumerate(ring)]
-        return pd.DataFrame(rows, columns=[group, "ring", "pos", "x", "y"])
-
-    kind = ways.schema[group].dataType.simpleString()
-    return ways.select(group, "way").groupBy(group).applyInPandas(stitch, f"{group} {kind}, ring int, pos int, x double, y double")

@@ -60,6 +60,18 @@ SELECT CAST(l_suppkey AS BIGINT) AS src, CAST((l_partkey * 7) % 101 AS BIGINT) A
   CASE WHEN l_linenumber = 3 AND l_orderkey % 3 = 0 THEN CAST(30 AS DOUBLE) WHEN l_orderkey % 5 = 0 AND l_linenumber = 1 THEN CAST(90 AS DOUBLE) END AS maxspeed_kph
 FROM {lineitem}
 """
+#: Streets of many short pieces: the lines of an order lead from one crossing to
+#: another, or round in a ring of their own; two of three orders both ways.
+STREETS = """
+SELECT CASE WHEN k = 1 AND NOT ring THEN o % 97 WHEN k = 1 THEN 1000 + o * 8 ELSE 999 + o * 8 + k END AS src,
+  CASE WHEN k = m AND NOT ring THEN (o * 7) % 101 WHEN k = m THEN 1000 + o * 8 ELSE 1000 + o * 8 + k END AS dst, length_m, highway, o % 3 <> 0 AS both_ways
+FROM (SELECT CAST(l_orderkey AS BIGINT) AS o, CAST(l_linenumber AS BIGINT) AS k, CAST(max(l_linenumber) OVER (PARTITION BY l_orderkey) AS BIGINT) AS m, l_orderkey % 10 = 0 AS ring,
+  l_quantity * CAST(100 AS DOUBLE) AS length_m, CASE CAST(l_linenumber % 3 AS INT) WHEN 1 THEN 'tertiary' WHEN 2 THEN 'residential' END AS highway FROM {lineitem}) l
+"""
+#: The same as directed edges.
+LANES = """
+SELECT src, dst, length_m, highway FROM {streets} s UNION ALL SELECT dst AS src, src AS dst, length_m, highway FROM {streets} t WHERE both_ways
+"""
 
 
 def fill(text: str, **names: str) -> str:
@@ -78,4 +90,9 @@ def grid(spark: SparkSession, folder: str) -> DataFrame:
     return view(spark, folder, GRID, cells=cells)
 
 
+def lanes(spark: SparkSession, folder: str) -> DataFrame:
+    return view(spark, folder, LANES, streets=view(spark, folder, STREETS))
+
+
+LANES_SQL = fill(LANES, streets=f"({fill(STREETS)})")
 GRID_SQL = fill(GRID, cells="(SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding) AS z FROM embeddings)")
