@@ -5,18 +5,17 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.scalar import round_even
-from ridgeline.operators.chains import opened, ranked
+from ridgeline.operators.chains import ranked
+from ridgeline.operators.space import placed, split
 from ridgeline.session import cut, importable
 
-#: Edges (24 bytes each) that are sent to the tasks as arrays; beyond that,
-#: shortest paths relax in rounds.
-SEARCHED = 10_000_000
+#: Nodes of a region, whose searches run in one task.
+PER_REGION = 20_000
 
 #: Speeds in km/h by road class where no limit is tagged.
 SPEEDS = {
@@ -51,22 +50,49 @@ def travel_times(edges: DataFrame) -> DataFrame:
     return out.withColumn("travel_s", F.col("length_m") / (F.col("speed_kph") / 3.6))
 
 
-def shortest(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000, searched: int = SEARCHED) -> DataFrame:
+def shortest(edges: DataFrame, sources: DataFrame, at: DataFrame | None = None, per_region: int = PER_REGION, most_rounds: int = 10_000) -> DataFrame:
     """(dest, node, seconds): least time from each node to the nearest of a
-    destination's nodes, along edges (src, dst, travel_s).
-
-    Up to ``searched`` edges, by count, go to the tasks, and a heap search per
-    destination runs in one of them.  Beyond that only nodes that improved in
-    the last round go on; rounds are written out, so that the lineage stays
-    short and lost executors cost one round.
+    destination's nodes (dest, node), along edges (src, dst, travel_s).
+
+    With the places of nodes, ``at`` (id, x, y), the graph is cut into regions
+    of about ``per_region`` nodes.  Searches within a region give the times from
+    where roads enter it to where they leave it; over these the destinations'
+    times spread, a region further each round; from the entries a second search
+    reaches all nodes of a region.  A graph that is no larger is one region;
+    without places nodes of a larger one pass times on to their neighbours, a
+    road further each round.  Rounds are written out, so that lost executors
+    cost one round; no task holds more than a region.
     """
     back = cut(edges.where("src <> dst").groupBy(F.col("dst").alias("node"), F.col("src").alias("next")).agg(F.min("travel_s").alias("w")))
-    if back.count() <= searched:
-        return _searched(back, sources)
-    best = cut(sources.select("dest", "node").distinct().withColumn("seconds", F.lit(0.0)))
-    front = best
+    starts = sources.select("dest", F.col("node").cast("long").alias("node")).where("node IS NOT NULL").distinct().withColumn("seconds", F.lit(0.0))
+    if back.select("node").union(back.select("next")).distinct().count() <= per_region:
+        return _inward(back.withColumn("region", F.lit(0)), starts.withColumn("region", F.lit(0)))
+    if at is None:
+        return _spread(starts, back.select("node", "next", "w"), most_rounds)
+    parts = split(at, per_region)
+    shared = at.sparkSession.sparkContext.broadcast(parts)
+    region = cut(at.where("x IS NOT NULL AND y IS NOT NULL").select("id", placed(shared)("x", "y").alias("region")))
+    of = lambda df, c, n: df.join(region.select(F.col("id").alias(c), F.col("region").alias(n)), c, "left").withColumn(n, F.coalesce(n, F.lit(-1)))
+    roads = cut(of(of(back, "node", "region"), "next", "to"))
+    inner, across = roads.where("region = to"), cut(roads.where("region <> to"))
+    starts = of(starts, "node", "region")
+    asked = across.select(F.col("to").alias("region"), F.col("next").alias("node"), F.lit(None).cast("string").alias("dest")).distinct()
+    asked = asked.union(starts.select("region", "node", "dest")).withColumn("leaves", F.lit(False))
+    asked = asked.union(across.select("region", "node", F.lit(None).cast("string"), F.lit(True)).distinct())
+    through = asked.groupBy("region").cogroup(inner.groupBy("region")).applyInPandas(_through, "dest string, node long, leaves long, seconds double")
+    step = across.select(F.col("node").alias("leaves"), F.col("next").alias("enters"), "w")
+    hops = cut(through.join(step, "leaves").groupBy("dest", "node", "enters").agg(F.min(F.col("seconds") + F.col("w")).alias("w")))
+    first = hops.where("dest IS NOT NULL").groupBy("dest", F.col("enters").alias("node")).agg(F.min("w").alias("seconds"))
+    best = _spread(first, hops.where("dest IS NULL").select("node", F.col("enters").alias("next"), "w"), most_rounds)
+    return _inward(inner, starts.unionByName(of(best, "node", "region")))
+
+
+def _spread(starts: DataFrame, hops: DataFrame, most_rounds: int) -> DataFrame:
+    """(dest, node, seconds) from ``starts`` over hops (node, next, w); only
+    what improved in the last round goes on."""
+    best = front = cut(starts.select("dest", "node", "seconds"))
     for _ in range(most_rounds):
-        reach = front.join(back, "node").groupBy("dest", F.col("next").alias("node")).agg(F.min(F.col("seconds") + F.col("w")).alias("via"))
+        reach = front.join(hops, "node").groupBy("dest", F.col("next").alias("node")).agg(F.min(F.col("seconds") + F.col("w")).alias("via"))
         both = cut(best.join(reach, ["dest", "node"], "full").withColumn("new", F.col("via").isNotNull() & (F.col("seconds").isNull() | (F.col("via") < F.col("seconds")))))
         best = both.select("dest", "node", F.when(F.col("new"), F.col("via")).otherwise(F.col("seconds")).alias("seconds"))
         front = both.where("new").select("dest", "node", F.col("via").alias("seconds"))
@@ -75,29 +101,49 @@ def shortest(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000, se
     raise RuntimeError(f"paths did not settle in {most_rounds} rounds")
 
 
-def _searched(back: DataFrame, sources: DataFrame) -> DataFrame:
-    """Heap searches over reversed edges (node, next, w), one per destination."""
-    spark = back.sparkSession
-    importable(spark)
-    pdf = back.select("node", "next", "w").toPandas().sort_values("node", kind="stable")
-    shared = spark.sparkContext.broadcast(tuple(pdf[c].to_numpy() for c in ("node", "next", "w")))
+class _Roads:
+    """The roads (node, next, w) of one region, by node."""
+
+    def __init__(self, roads: pd.DataFrame):
+        self.out: dict[int, list[tuple[int, float]]] = {}
+        for a, b, w in zip(roads.node.tolist(), roads.next.tolist(), roads.w.tolist()):
+            self.out.setdefault(a, []).append((b, w))
 
-    def run(some: pd.DataFrame) -> pd.DataFrame:
-        node, nxt, w = shared.value
+    def search(self, starts: list[tuple[float, int]]) -> dict[int, float]:
         best: dict[int, float] = {}
-        heap = [(0.0, int(n)) for n in some.node.unique()]
+        heap = sorted(starts)
         while heap:
             t, n = heapq.heappop(heap)
-            if n in best:
-                continue
-            best[n] = t
-            a, b = np.searchsorted(node, [n, n + 1])
-            for m, d in zip(nxt[a:b].tolist(), w[a:b].tolist()):
-                if m not in best:
-                    heapq.heappush(heap, (t + d, m))
-        return pd.DataFrame({"dest": some.dest.iloc[0], "node": list(best), "seconds": list(best.values())})
+            if n not in best:
+                best[n] = t
+                for m, w in self.out.get(n, ()):
+                    if m not in best:
+                        heapq.heappush(heap, (t + w, m))
+        return best
+
+
+def _through(asked: pd.DataFrame, roads: pd.DataFrame) -> pd.DataFrame:
+    """Times (dest, node, leaves, seconds) from each place that is asked for to
+    where roads leave a region."""
+    graph, leaves = _Roads(roads), set(asked.node[asked.leaves].tolist())
+    rows = []
+    for dest, n in zip(asked.dest[~asked.leaves].tolist(), asked.node[~asked.leaves].tolist()):
+        rows += [(dest, n, m, t) for m, t in graph.search([(0.0, n)]).items() if m in leaves]
+    return pd.DataFrame(rows, columns=["dest", "node", "leaves", "seconds"])
+
+
+def _inward(roads: DataFrame, starts: DataFrame) -> DataFrame:
+    """(dest, node, seconds) within each region, from starts with their times."""
+    importable(roads.sparkSession)
+
+    def run(known: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        graph, out = _Roads(some), []
+        for dest, own in known.groupby("dest", dropna=False):
+            best = graph.search(list(zip(own.seconds.tolist(), own.node.tolist())))
+            out.append(pd.DataFrame({"dest": dest, "node": list(best), "seconds": list(best.values())}))
+        return pd.concat(out) if out else pd.DataFrame({"dest": [], "node": [], "seconds": []})
 
-    return sources.select("dest", F.col("node").cast("long").alias("node")).where("node is not null").groupBy("dest").applyInPandas(run, "dest string, node long, seconds double")
+    return starts.groupBy("region").cogroup(roads.groupBy("region")).applyInPandas(run, "dest string, node long, seconds double")
 
 
 def clip(nodes: DataFrame, edges: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
@@ -143,9 +189,7 @@ def simplify(edges: DataFrame, sums: list[str], sets: Sequence[str] = ()) -> Dat
     chained = e.where("__l IS NOT NULL OR __on IS NOT NULL")
     before = F.when(F.col("__l") == F.col("dst"), F.col("__h")).otherwise(F.col("__l"))
     prev = F.when(before.isNotNull(), F.struct(before.alias("src"), F.col("src").alias("dst")))
-    placed, rings = ranked(chained.select(F.struct("src", "dst").alias("id"), prev.alias("prev"), F.col("src").alias("node")))
-    if not rings.isEmpty():
-        placed = placed.union(ranked(opened(rings))[0])
+    placed = ranked(chained.select(F.struct("src", "dst").alias("id"), prev.alias("prev"), F.col("src").alias("node")))
     placed = placed.select("id.src", "id.dst", F.col("first.src").alias("fs"), F.col("first.dst").alias("fd"), "span")
     every = chained.select("src", "dst", *sums, *sets).join(placed, ["src", "dst"])
     out = every.groupBy("fs", "fd").agg(

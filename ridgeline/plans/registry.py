@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.plans import files, roads, scoring, terrain
+from ridgeline.plans import files, roads, scoring, shapes, terrain
 
-_MODULES = (scoring, terrain, files, roads)
+_MODULES = (scoring, terrain, files, roads, shapes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import scalar as S
 from ridgeline.operators import routing
-from ridgeline.plans.standins import LANES_SQL, lanes
+from ridgeline.plans.standins import GRID_SQL, LANES_SQL, fill, grid, lanes, view
 
 
 def simplified_roads(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,8 +57,26 @@ times(dest, node, seconds) USING KEY (dest, node) AS (SELECT * FROM (VALUES {row
 _LANE_TIMES_SQL = f"SELECT src, dst, length_m / (CASE highway WHEN 'tertiary' THEN 55 ELSE 35 END / 3.6::DOUBLE) AS travel_s FROM ({LANES_SQL})"
 _q = lambda x, d: f"(round_even(({x}) * 1e{d}::DOUBLE, 0) / 1e{d}::DOUBLE)"
 
+#: Paths over the raster from cell to cell, slower up and down.
+TRACKS = """
+SELECT a.id AS src, b.id AS dst, CAST(10 AS DOUBLE) + abs(a.z - b.z) + CASE WHEN b.z > a.z THEN b.z - a.z ELSE 0 END AS travel_s
+FROM (SELECT CAST(row AS BIGINT) * 4096 + col AS id, row, col, z FROM {cells} c) a
+JOIN (SELECT CAST(row AS BIGINT) * 4096 + col AS id, row + dr AS r, col + dc AS c, z FROM {cells} d, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) AS v(dr, dc)) b ON a.row = b.r AND a.col = b.c
+"""
+_CAMPS = [("camp", 0), ("camp", 120 * 4096 + 40), ("summit", 77 * 4096 + 13)]
+
+
+def walking_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Times over tracks to two destinations, the raster cut into regions."""
+    g = grid(spark, folder)
+    at = g.select((F.col("row").cast("long") * 4096 + F.col("col")).alias("id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
+    out = routing.shortest(view(spark, folder, TRACKS, cells=g), spark.createDataFrame(_CAMPS, "dest string, node long"), at, 3000)
+    return out.select("dest", "node", S.round_even(F.col("seconds"), 4).alias("seconds"))
+
+
 SQL: dict[str, str] = {
     "simplified_roads": f"WITH RECURSIVE {_CHAINS_SQL} SELECT src, dst, {_q('len', 3)} AS length_m, array_to_string(list_sort(list_distinct(list_filter(hw, lambda x: x IS NOT NULL))), '+') AS highway, CAST(n AS BIGINT) AS parts FROM chains",
     "simplified_drive_times": f"WITH RECURSIVE {_times_sql(_LANE_TIMES_SQL, _FROM)} SELECT dest, node, {_q('seconds', 4)} AS seconds FROM times WHERE node < 1000",
+    "walking_times": f"WITH RECURSIVE {_times_sql(fill(TRACKS, cells=f'({GRID_SQL})'), _CAMPS)} SELECT dest, node, {_q('seconds', 4)} AS seconds FROM times",
 }
-QUERIES = {f.__name__: f for f in (simplified_roads, simplified_drive_times)}
+QUERIES = {f.__name__: f for f in (simplified_roads, simplified_drive_times, walking_times)}

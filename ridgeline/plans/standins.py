@@ -72,6 +72,15 @@ FROM (SELECT CAST(l_orderkey AS BIGINT) AS o, CAST(l_linenumber AS BIGINT) AS k,
 LANES = """
 SELECT src, dst, length_m, highway FROM {streets} s UNION ALL SELECT dst AS src, src AS dst, length_m, highway FROM {streets} t WHERE both_ways
 """
+#: Polygons around suppliers, edge by edge: octagons of many sizes, some with a
+#: hole, some smaller than a cell; larger ones overlap.  Corners are exact.
+SHAPES = """
+SELECT CAST(s_suppkey AS INT) AS poly, ring, pos, x + r * dx AS x1, y + r * dy AS y1, x + r * ex AS x2, y + r * ey AS y2 FROM (
+  SELECT s_suppkey, ring, CAST((s_suppkey * 6007) % 10007 + 1000 AS DOUBLE) AS x, CAST((s_suppkey * 3001) % 9973 + 1000 AS DOUBLE) AS y,
+    CAST(CASE WHEN s_suppkey % 7 = 0 THEN 20 ELSE 60 + (s_suppkey * 53) % 300 END AS DOUBLE) / CAST(1 + ring AS DOUBLE) AS r
+  FROM {supplier}, (VALUES (0), (1)) AS h(ring) WHERE ring = 0 OR s_suppkey % 5 = 0) s,
+  (VALUES (0, 2, 1, 1, 2), (1, 1, 2, -1, 2), (2, -1, 2, -2, 1), (3, -2, 1, -2, -1), (4, -2, -1, -1, -2), (5, -1, -2, 1, -2), (6, 1, -2, 2, -1), (7, 2, -1, 2, 1)) AS c(pos, dx, dy, ex, ey)
+"""
 
 
 def fill(text: str, **names: str) -> str:
@@ -95,4 +104,5 @@ def lanes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LANES_SQL = fill(LANES, streets=f"({fill(STREETS)})")
+SHAPES_SQL = fill(SHAPES)
 GRID_SQL = fill(GRID, cells="(SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding) AS z FROM embeddings)")

@@ -9,7 +9,7 @@ from ridgeline.functions import geo
 from ridgeline.functions import scalar as S
 from ridgeline.operators import grid as G
 from ridgeline.operators import render, routing, sampling, vector, visibility
-from ridgeline.plans.standins import EDGES, GRID_SQL, NODES, POINTS, fill, grid, view
+from ridgeline.plans.standins import EDGES, GRID_SQL, NODES, POINTS, SHAPES, SHAPES_SQL, fill, grid, view
 from ridgeline.session import table
 from ridgeline.sources import geojson
 
@@ -87,63 +87,57 @@ def bilinear_sql(points: str, keys: str, out: str = "z") -> str:
 
 # --- polygons ----------------------------------------------------------------
 
-#: Rings (poly, [(x, y)...]): a square with a hole, overlapping ones, a triangle
-#: off the buckets' origin, and a polygon smaller than a cell.
-RINGS = {
-    1: [[(500, 500), (4500, 500), (4500, 4500), (500, 4500), (500, 500)], [(2000, 2000), (3000, 2000), (3000, 3000), (2000, 3000), (2000, 2000)]],
-    2: [[(4000, 4000), (8000, 4200), (7600, 8100), (3900, 7800), (4000, 4000)]],
-    3: [[(7000, 500), (9900, 900), (8300, 3700), (7000, 500)]],
-    4: [[(5010, 9010), (5060, 9020), (5040, 9070), (5010, 9010)]],
-}
-_RING_ROWS = [(p, r, k, float(x), float(y)) for p, rings in RINGS.items() for r, ring in enumerate(rings) for k, (x, y) in enumerate(ring)]
-_EDGE_ROWS = [(p, float(a[0]), float(a[1]), float(b[0]), float(b[1])) for p, rings in RINGS.items() for ring in rings for a, b in zip(ring, ring[1:])]
-EDGE_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({p}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for p, a, b, c, d in _EDGE_ROWS) + ") AS t(poly, x1, y1, x2, y2))"
 _CROSS = "(y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1"
-_CELLS_SQL = "(SELECT r AS row, c AS col, c * 250.0::DOUBLE + 125 AS x, r * 250.0::DOUBLE + 125 AS y FROM (SELECT CAST(unnest(range(40)) AS INT) AS r), (SELECT CAST(unnest(range(40)) AS INT) AS c))"
+EDGE_SQL = f"(SELECT poly, x1, y1, x2, y2 FROM ({SHAPES_SQL}))"
+#: Cells of 250 m over all polygons.
+_CELLS_SQL = f"""(SELECT r AS row, c AS col, c * 250.0::DOUBLE + 125 AS x, r * 250.0::DOUBLE + 125 AS y
+  FROM (SELECT CAST(unnest(range(CAST(floor(max(greatest(y1, y2)) / 250) + 1 AS BIGINT))) AS INT) AS r FROM {EDGE_SQL}), (SELECT CAST(unnest(range(CAST(floor(max(greatest(x1, x2)) / 250) + 1 AS BIGINT))) AS INT) AS c FROM {EDGE_SQL}))"""
 
 
-def polygons(spark: SparkSession) -> DataFrame:
-    """Edges of the polygons above, by way of their rings."""
-    rows = spark.createDataFrame(_RING_ROWS, "poly int, ring int, pos int, x double, y double")
-    rings = rows.groupBy("poly", "ring").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x", "y"))), lambda p: F.struct(p["x"], p["y"])).alias("way"))
-    return vector.edges(rings, "poly", "way")
+def polygons(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges of the polygons around suppliers, by way of their rings."""
+    rows = view(spark, folder, SHAPES)
+    rings = rows.groupBy("poly", "ring").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("v"))
+    ring = F.transform(F.concat("v", F.slice("v", 1, 1)), lambda p: F.struct(p["x"], p["y"]))
+    return vector.edges(rings.select("poly", ring.alias("way")), "poly", "way")
 
 
-def _cells(spark: SparkSession) -> DataFrame:
-    ids = spark.range(40 * 40).select((F.col("id") / 40).cast("int").alias("row"), (F.col("id") % 40).cast("int").alias("col"))
+def _cells(spark: SparkSession, folder: str) -> DataFrame:
+    far = polygons(spark, folder).agg(F.floor(F.max(F.greatest("x1", "x2")) / 250).alias("c"), F.floor(F.max(F.greatest("y1", "y2")) / 250).alias("r"))
+    ids = far.select(F.explode(F.sequence(F.lit(0), F.col("r").cast("int"))).alias("row"), F.sequence(F.lit(0), F.col("c").cast("int")).alias("cols")).select("row", F.explode("cols").alias("col"))
     return ids.withColumn("x", F.col("col") * 250.0 + 125).withColumn("y", F.col("row") * 250.0 + 125)
 
 
 def pip_points(spark: SparkSession, folder: str) -> DataFrame:
-    return vector.contains(view(spark, folder, POINTS), polygons(spark))
+    return vector.contains(view(spark, folder, POINTS), polygons(spark, folder))
 
 
 def rasterize_last_wins(spark: SparkSession, folder: str) -> DataFrame:
-    return vector.rasterise(_cells(spark), polygons(spark))
+    return vector.rasterise(_cells(spark, folder), polygons(spark, folder))
 
 
 def rasterize_fill(spark: SparkSession, folder: str) -> DataFrame:
-    zones = vector.rasterise(_cells(spark), polygons(spark))
-    return vector.fill_missing(zones, polygons(spark), 250.0).groupBy("zone").agg(F.count("*").alias("cells"))
+    zones = vector.rasterise(_cells(spark, folder), polygons(spark, folder))
+    return vector.fill_missing(zones, polygons(spark, folder), 250.0).groupBy("zone").agg(F.count("*").alias("cells"))
 
 
 def buffered_points(spark: SparkSession, folder: str) -> DataFrame:
     """Points in the polygons widened by 300 m, and whether drawn in by 150 m
     they still hold them."""
-    p, e = view(spark, folder, POINTS), polygons(spark)
+    p, e = view(spark, folder, POINTS), polygons(spark, folder)
     inner = vector.within(p, e, -150.0).withColumn("deep", F.lit(True))
     return vector.within(p, e, 300.0).join(inner, "id", "left").select("id", F.coalesce("deep", F.lit(False)).alias("deep"))
 
 
 def lake_samples(spark: SparkSession, folder: str) -> DataFrame:
-    """Sample points on a lattice over polygon 1, drawn in, on its cells."""
-    e = polygons(spark).where("poly = 1")
-    return vector.sample_points(e, vector.rasterise(_cells(spark), e), 200.0, 250.0, 40.0)
+    """Sample points on a lattice over polygon 4, drawn in, on its cells."""
+    e = polygons(spark, folder).where("poly = 4")
+    return vector.sample_points(e, vector.rasterise(_cells(spark, folder), e), 100.0, 250.0, 40.0)
 
 
 def union_points(spark: SparkSession, folder: str) -> DataFrame:
     """Whether each point lies in the union of all polygons."""
-    return vector.inside_any(view(spark, folder, POINTS), polygons(spark)).select("id", "inside")
+    return vector.inside_any(view(spark, folder, POINTS), polygons(spark, folder)).select("id", "inside")
 
 
 def extent_points(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,26 +160,15 @@ def simplified_line(spark: SparkSession, folder: str) -> DataFrame:
 
 def representative_points(spark: SparkSession, folder: str) -> DataFrame:
     """Of every polygon, whether its point lies inside."""
-    p = vector.representative_point(polygons(spark)).withColumnRenamed("poly", "id")
-    own = vector.contains(p, polygons(spark)).where("id = poly").select("id", F.lit(True).alias("inside"))
+    p = vector.representative_point(polygons(spark, folder)).withColumnRenamed("poly", "id")
+    own = vector.contains(p, polygons(spark, folder)).where("id = poly").select("id", F.lit(True).alias("inside"))
     return p.select("id").join(own, "id", "left").select(F.col("id").alias("poly"), F.coalesce("inside", F.lit(False)).alias("inside"))
 
 
-def polygonised_rings(spark: SparkSession, folder: str) -> DataFrame:
-    """Rings cut into single edges, every other one turned round, and stitched
-    again: their vertices and areas."""
-    e = polygons(spark).withColumn("turn", F.pmod(F.xxhash64("x1", "y1"), F.lit(2)) == 1)
-    a, b = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
-    ways = e.select("poly", F.when(F.col("turn"), F.array(b, a)).otherwise(F.array(a, b)).alias("way"))
-    r = vector.polygonise(ways, "poly").groupBy("poly", "ring").agg(F.sort_array(F.collect_list(F.struct("pos", "x", "y"))).alias("v"))
-    area = F.expr("abs(aggregate(sequence(0, size(v) - 2), 0D, (a, i) -> a + v[i].x * v[i + 1].y - v[i + 1].x * v[i].y)) / 2")
-    return r.where("ring >= 0").select("poly", F.size("v").alias("n"), area.alias("area"))
-
-
 def lattice_points(spark: SparkSession, folder: str) -> DataFrame:
     box = vector.bounds(view(spark, folder, POINTS), 130.0, 10.0)
     pts = vector.lattice(box, 500.0).withColumn("id", F.struct("x", "y"))
-    return vector.contains(pts, polygons(spark)).select("id.x", "id.y").distinct()
+    return vector.contains(pts, polygons(spark, folder)).select("id.x", "id.y").distinct()
 
 
 def data_bounds(spark: SparkSession, folder: str) -> DataFrame:
@@ -193,21 +176,21 @@ def data_bounds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def boundary_distance(spark: SparkSession, folder: str) -> DataFrame:
-    d = vector.boundary_distance(view(spark, folder, POINTS), polygons(spark))
+    d = vector.boundary_distance(view(spark, folder, POINTS), polygons(spark, folder))
     r = S.round_even(F.col("distance"), 1)
     return d.select("id", r.alias("distance"), (r <= 15).alias("waterfront"))
 
 
 def polygon_distance(spark: SparkSession, folder: str) -> DataFrame:
-    e = polygons(spark)
+    e = polygons(spark, folder)
     out = vector.polygon_distance(e, e, 3000.0).where("a < b")
     return out.select("a", "b", S.round_even(F.col("distance"), 1).alias("distance"))
 
 
 def polygon_nearest(spark: SparkSession, folder: str) -> DataFrame:
-    """From every polygon to the nearest of two others."""
-    e = polygons(spark)
-    out = vector.nearest_polygon(e, e.where("poly in (1, 4)"), 100.0)
+    """From every polygon to the nearest of those with a hole."""
+    e = polygons(spark, folder)
+    out = vector.nearest_polygon(e, e.where("poly % 5 = 0"), 400.0)
     return out.select("a", "b", S.round_even(F.col("distance"), 1).alias("distance"))
 
 
@@ -223,7 +206,7 @@ def openness_argmax(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def nearest_snap(spark: SparkSession, folder: str) -> DataFrame:
-    return vector.nearest(view(spark, folder, POINTS), view(spark, folder, NODES), 300.0)
+    return vector.nearest(view(spark, folder, POINTS), view(spark, folder, NODES))
 
 
 # --- projections -------------------------------------------------------------
@@ -324,13 +307,14 @@ def _lake_points(g: DataFrame, width: int) -> DataFrame:
 
 
 def viewshed_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    """Cumulative layers of all lake points over the land near the lake."""
+    """Cumulative layers of all lake points over the land near the lake, swept
+    in tiles of 200 cells."""
     g = grid(spark, folder)
     height, width = _shape(g)
     water = g.where("z < -20")
     land = G.dilate(water.select("row", "col"), 2, height, width).join(water, ["row", "col"], "left_anti")
-    pts = _lake_points(g, width).repartition("pt_id")
-    out = visibility.summed_views(pts, visibility.raster(g, height, width), _WATER, _EYES, mask=land)
+    pts = _lake_points(g, width)
+    out = visibility.summed_views(pts, g, _WATER, _EYES, mask=land, tile=200)
     return out.select("row", "col", "area_2m", "area_8m", S.round_even(F.col("solid_2m"), 6).alias("solid_2m"), S.round_even(F.col("solid_8m"), 6).alias("solid_8m"))
 
 
@@ -339,7 +323,7 @@ def forward_view(spark: SparkSession, folder: str) -> DataFrame:
     g = grid(spark, folder)
     height, width = _shape(g)
     obs = spark.createDataFrame([(i, r, c, 2.0) for i, (r, c) in enumerate(_OBSERVERS)], "obs_id long, row int, col int, eye double")
-    out = visibility.forward_views(obs, _lake_points(g, width), visibility.raster(g, height, width))
+    out = visibility.forward_views(obs, _lake_points(g, width), g, tile=150)
     return out.groupBy("obs_id").agg(F.count_if("visible").alias("visible"), F.count("*").alias("points"))
 
 
@@ -412,7 +396,7 @@ def drive_times(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def drive_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    snapped = vector.nearest(view(spark, folder, POINTS), view(spark, folder, NODES), 300.0).select("id", "node")
+    snapped = vector.nearest(view(spark, folder, POINTS), view(spark, folder, NODES)).select("id", "node")
     return routing.minutes(snapped, _times(spark, folder), ["grocery", "hospital"])
 
 
@@ -542,7 +526,7 @@ WITH p AS ({fill(POINTS)}), e AS {EDGE_SQL}, i AS (SELECT DISTINCT id FROM (SELE
 d AS (SELECT id, min(v) AS v FROM (SELECT id, {_SEGMENT} AS v FROM p, e) GROUP BY id)
 SELECT id, i.id IS NOT NULL AND v > 150 AS deep FROM d LEFT JOIN i USING (id) WHERE i.id IS NOT NULL OR v <= 300""",
     "lake_samples": f"""
-WITH e AS (SELECT * FROM {EDGE_SQL} WHERE poly = 1), l AS (SELECT 540.0::DOUBLE + i * 200 AS x, 540.0::DOUBLE + j * 200 AS y FROM (SELECT unnest(range(30)) AS i), (SELECT unnest(range(30)) AS j)),
+WITH e AS MATERIALIZED (SELECT * FROM {EDGE_SQL} WHERE poly = 4), o AS (SELECT floor(min(x1) + 40) AS ox, floor(min(y1) + 40) AS oy FROM e), l AS (SELECT ox + i * 100 AS x, oy + j * 100 AS y FROM o, (SELECT unnest(range(60)) AS i), (SELECT unnest(range(60)) AS j)),
 i AS (SELECT x, y FROM l, e WHERE {_CROSS} GROUP BY ALL HAVING count(*) % 2 = 1), d AS (SELECT x, y FROM (SELECT x, y, {_SEGMENT} AS v FROM i, e) GROUP BY x, y HAVING min(v) > 40),
 c AS (SELECT row, col FROM {_CELLS_SQL}, e WHERE {_CROSS} GROUP BY ALL HAVING count(*) % 2 = 1)
 SELECT row, col, col * 250.0::DOUBLE + 125 AS x, row * 250.0::DOUBLE + 125 AS y FROM (SELECT CAST(floor(y / 250) AS INT) AS row, CAST(floor(x / 250) AS INT) AS col FROM d) JOIN c USING (row, col)""",
@@ -557,9 +541,7 @@ parts(id, a, b) AS (SELECT id, min(pos), max(pos) FROM p GROUP BY id
     FROM parts s JOIN p q ON q.id = s.id AND q.pos > s.a AND q.pos < s.b JOIN p u ON u.id = s.id AND u.pos = s.a JOIN p v ON v.id = s.id AND v.pos = s.b GROUP BY s.id, s.a, s.b
     HAVING max(abs((q.x - u.x) * (v.y - u.y) - (q.y - u.y) * (v.x - u.x)) / sqrt((v.x - u.x) ** 2 + (v.y - u.y) ** 2)) > 50) t)
 SELECT id, pos, x, y FROM p WHERE (id, pos) IN (SELECT (id, a) FROM parts UNION SELECT (id, b) FROM parts)""",
-    "representative_points": "SELECT * FROM (VALUES " + ", ".join(f"({p}, true)" for p in RINGS) + ") AS t(poly, inside)",
-    "polygonised_rings": "WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"({p}, {r}, {k}, {x}::DOUBLE, {y}::DOUBLE)" for p, r, k, x, y in _RING_ROWS) + """) AS t(poly, ring, k, x, y))
-SELECT poly, CAST(count(*) + 1 AS INT) AS n, abs(sum(a.x * b.y - b.x * a.y)) / 2 AS area FROM v a JOIN v b USING (poly, ring) WHERE b.k = a.k + 1 GROUP BY poly, ring""",
+    "representative_points": f"SELECT DISTINCT poly, true AS inside FROM {EDGE_SQL}",
     "lattice_points": f"""
 WITH p AS ({fill(POINTS)}), b AS (SELECT floor((min(x) - 130) / 10) * 10 AS x1, floor((min(y) - 130) / 10) * 10 AS y1, ceil((max(x) + 130) / 10) * 10 AS x2, ceil((max(y) + 130) / 10) * 10 AS y2 FROM p),
 l AS (SELECT floor(x1) + i * 500 AS x, floor(y1) + j * 500 AS y FROM b, (SELECT unnest(range(60)) AS i), (SELECT unnest(range(60)) AS j) WHERE floor(x1) + i * 500 <= x2 AND floor(y1) + j * 500 <= y2)
@@ -567,7 +549,7 @@ SELECT DISTINCT x, y FROM (SELECT x, y, poly FROM l, {EDGE_SQL} WHERE {_CROSS} G
     "data_bounds": f"SELECT floor((min(x) - 1300) / 10) * 10 AS x1, floor((min(y) - 1300) / 10) * 10 AS y1, ceil((max(x) + 1300) / 10) * 10 AS x2, ceil((max(y) + 1300) / 10) * 10 AS y2 FROM ({fill(POINTS)})",
     "boundary_distance": f"SELECT id, {_q('v', 1)} AS distance, {_q('v', 1)} <= 15 AS waterfront FROM (SELECT id, min(v) AS v FROM (SELECT id, {_SEGMENT} AS v FROM ({fill(POINTS)}), {EDGE_SQL}) GROUP BY id)",
     "polygon_distance": f"WITH {_APART} SELECT a, b, {_q('v', 1)} AS distance FROM apart WHERE a < b AND v <= 3000",
-    "polygon_nearest": f"WITH {_APART} SELECT a, arg_min(b, v * 1000 + b) AS b, {_q('min(v)', 1)} AS distance FROM apart WHERE b IN (1, 4) GROUP BY a",
+    "polygon_nearest": f"WITH {_APART} SELECT a, arg_min(b, v * 1000 + b) AS b, {_q('min(v)', 1)} AS distance FROM apart WHERE b % 5 = 0 GROUP BY a",
     "within_distance_count": f"WITH p AS ({fill(POINTS)}) SELECT a.id, CAST(count(*) AS BIGINT) AS n FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 360000 GROUP BY a.id",
     "openness_argmax": f"""
 WITH p AS ({fill(POINTS)}), n AS (SELECT a.id, count(*) AS n FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 360000 GROUP BY a.id), q AS (SELECT quantile_cont(n, 0.2) AS q FROM n)
@@ -615,7 +597,7 @@ SELECT src, dst FROM e JOIN c ON c.node = e.src WHERE label = (SELECT label FROM
 QUERIES = {
     f.__name__: f
     for f in (
-        grid_slope, grid_bilinear, grid_warp, buffered_points, lake_samples, union_points, extent_points, config_bounds, simplified_line, representative_points, polygonised_rings,
+        grid_slope, grid_bilinear, grid_warp, buffered_points, lake_samples, union_points, extent_points, config_bounds, simplified_line, representative_points,
         polygon_nearest, forward_view, road_graph, dem_lookup, grid_dilate, grid_flatten, grid_masks, pip_points, rasterize_last_wins, rasterize_fill, lattice_points, data_bounds,
         boundary_distance, polygon_distance, within_distance_count, openness_argmax, nearest_snap, utm_forward, utm_round_trip, mercator_forward,
         los_visible, los_browser_steps, los_agreement, inspector_totals, cumulative_view, viewshed_sweep, edge_speed_fill, drive_times, drive_pivot,

@@ -26,6 +26,7 @@ def importable(spark: SparkSession) -> None:
 def session(master: str = "local[*]", partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; ``conf`` keys use ``__`` for dots."""
     b = SparkSession.builder.master(master).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
+    b = b.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # else what ``cut`` writes stays
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     for k, v in conf.items():
