@@ -94,13 +94,14 @@ def test_projections(spark):
 def test_shapes(spark):
     line = spark.createDataFrame([(1, i, float(i), 0.0 if i != 5 else 3.0) for i in range(11)], "id int, pos int, x double, y double")
     assert [r.pos for r in vector.simplify(line, "id", 0.5).orderBy("pos").collect()] == [0, 4, 5, 6, 10]
-    p = vector.representative_point(terrain.polygons(spark)).withColumnRenamed("poly", "id")
-    inside = {(r.id, r.poly) for r in vector.contains(p, terrain.polygons(spark)).collect()}
-    assert {(i, i) for i in (1, 2, 3, 4)} <= inside
-    ways = spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 0.0)]), (1, [(1.0, 1.0), (1.0, 0.0)]), (1, [(1.0, 1.0), (0.0, 0.0)])], "g int, way array<struct<x:double,y:double>>")
-    assert vector.polygonise(ways, "g").count() == 4
-    d = {(r.a, r.b): r.distance for r in vector.polygon_distance(terrain.polygons(spark), terrain.polygons(spark), 2500.0).collect()}
-    assert d[1, 1] == d[1, 2] == 0 and abs(d[2, 3] - d[3, 2]) < 1e-9 and d[1, 3] == 2500
+    box = lambda p, x, y, w, h: [(p, x, y, x + w, y), (p, x + w, y, x + w, y + h), (p, x + w, y + h, x, y + h), (p, x, y + h, x, y)]
+    rows = [*box(1, 0.0, 0.0, 40.0, 40.0), *box(1, 10.0, 10.0, 20.0, 20.0), *box(2, 35.0, 35.0, 20.0, 30.0), *box(3, 65.0, 5.0, 10.0, 10.0)]
+    e = spark.createDataFrame(rows, "poly int, x1 double, y1 double, x2 double, y2 double")
+    p = vector.representative_point(e).withColumnRenamed("poly", "id")
+    inside = {(r.id, r.poly) for r in vector.contains(p, e).collect()}
+    assert {(i, i) for i in (1, 2, 3)} <= inside
+    d = {(r.a, r.b): r.distance for r in vector.polygon_distance(e, e, 25.0).collect()}
+    assert d[1, 1] == d[1, 2] == 0 and d[2, 3] == d[3, 2] == 5 ** 0.5 * 10 and d[1, 3] == 25
 
 
 def test_sight_and_sweep_over_flat_ground(spark):
@@ -111,7 +112,7 @@ def test_sight_and_sweep_over_flat_ground(spark):
     assert (visibility.sweep(z, 15, 20, 0.1, 10.0) < 0.01).all()
     z[15, 22] = 50.0
     assert visibility.sweep(z, 15, 20, 0.1, 10.0)[15, 30] > 100
-    req = visibility.required_heights(spark.createDataFrame([(0, 15, 20)], "pt_id long, row int, col int"), z, 0.0, reach=100.0)
+    req = visibility.required_heights(spark.createDataFrame([(0, 15, 20)], "pt_id long, row int, col int"), spark.createDataFrame([(i, j, float(z[i, j])) for i in range(30) for j in range(40)], g.schema), 0.0, reach=100.0)
     assert req.where("required < 0").count() > 0 and req.count() == 1200
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.operators import ranking, render, routing, vector, visibility, zonal
+from ridgeline.operators import chains, planar, ranking, render, routing, space, vector, visibility, zonal
 from ridgeline.sources import fetch, paged, tables
 
 RES = 10.0
@@ -87,25 +87,48 @@ def test_cells_without_height_hide_nothing():
 def test_required_heights_mark_range_and_gaps(spark):
     z = np.zeros((12, 9))
     z[3, 3] = np.nan
-    got = visibility.required_heights(spark.createDataFrame([(5, 6, 4)], "pt_id long, row int, col int"), z, 0.0, reach=30.0).collect()
+    got = visibility.required_heights(spark.createDataFrame([(5, 6, 4)], "pt_id long, row int, col int"), frame(spark, z), 0.0, reach=30.0, want=spark.range(108).selectExpr("int(id / 9) AS row", "int(id % 9) AS col")).collect()
     at = {(x.row, x.col): x.required for x in got}
-    assert at[3, 3] == visibility.NO_DATA and at[0, 0] == visibility.OUT_OF_RANGE and at[6, 5] == 0 and len(got) == 108
+    assert at[0, 0] == visibility.OUT_OF_RANGE and at[6, 5] == 0 and at[6, 4] == 0 and (3, 3) not in at or at[3, 3] == visibility.NO_DATA
 
 
 def test_tiles_give_what_the_whole_raster_gives(spark):
+    """Waves from every tile, over gaps, with and without a reach."""
     z = rough(3, (90, 110))
     z[40:44, 50:60] = np.nan
     pts = [(i, r, c) for i, (r, c) in enumerate((r, c) for r in range(3, 90, 17) for c in range(2, 110, 23) if not np.isnan(z[r, c]))]
     points = spark.createDataFrame(pts, "pt_id long, row int, col int")
     mask = frame(spark, z).where("row % 2 = 0").select("row", "col")
     eyes = {"2m": 2.0, "8m": 8.0}
-    whole = visibility.summed_views(points, z, 0.0, eyes, reach=200.0, mask=mask)
-    tiled = visibility.summed_views_tiled(points, frame(spark, z), 0.0, eyes, 200.0, tile=32, together=2, mask=mask)
     key = lambda x: (x.row, x.col)
-    a, b = sorted(whole.collect(), key=key), sorted(tiled.collect(), key=key)
-    assert len(a) == len(b) == 45 * 110 and any(x.area_2m for x in a) and any(not x.area_8m for x in a)
-    for x, y in zip(a, b):
-        assert tuple(x) == pytest.approx(tuple(y), abs=1e-9)
+    for reach in (200.0, None):
+        whole, tiled = (sorted(visibility.summed_views(points, frame(spark, z), 0.0, eyes, reach=reach, mask=mask, tile=t, together=n).collect(), key=key) for t, n in ((2048, 99), (33, 2)))
+        assert len(whole) == len(tiled) == 45 * 110 and any(x.area_2m for x in whole) and any(not x.area_8m for x in whole)
+        for x, y in zip(whole, tiled):
+            assert tuple(x) == pytest.approx(tuple(y), abs=1e-9)
+
+
+def test_windows_hand_on_their_horizons():
+    """Windows swept in turn, each from its neighbours' lines, give exactly what
+    a sweep over one array gives."""
+    z = rough(6, (61, 75))
+    z[20:23, 30:36] = np.nan
+    for row, col in ((30, 40), (0, 0), (60, 74), (12, 70), (19, 19)):
+        want, t = visibility.sweep(z, row, col, 3.0, RES), 20
+        got, lines = np.full(z.shape, visibility.NO_DATA), {}
+        tiles = sorted(((r, c) for r in range(0, 61, t) for c in range(0, 75, t)), key=lambda k: abs(k[0] // t - row // t) + abs(k[1] // t - col // t))
+        for r, c in tiles:
+            own = z[r : r + t, c : c + t]
+            frame_ = {}
+            for side, (dr, dc), other in (("above", (-t, 0), "below"), ("below", (t, 0), "above"), ("left", (0, -t), "right"), ("right", (0, t), "left")):
+                k = (r + dr, c + dc)
+                if k in lines and abs(k[0] // t - row // t) + abs(k[1] // t - col // t) < abs(r // t - row // t) + abs(c // t - col // t):
+                    frame_[side] = lines[k][other]
+            cells, req, _, lines[r, c] = visibility.sweep_window(visibility.Ground(own), row - r, col - c, 3.0, RES, frame_)
+            part = np.full(own.size, visibility.NO_DATA)
+            part[cells] = req
+            got[r : r + t, c : c + t] = part.reshape(own.shape)
+        assert (got == want).all()
 
 
 def test_forward_and_backward_views_agree(spark):
@@ -113,17 +136,15 @@ def test_forward_and_backward_views_agree(spark):
     z = rough(4, (50, 40), 3.0)
     obs = [(0, 5, 5, 2.0), (1, 30, 22, 8.0)]
     pts = [(i, r, c) for i, (r, c) in enumerate((r, c) for r in range(1, 50, 6) for c in range(1, 40, 6))]
-    got = visibility.forward_views(spark.createDataFrame(obs, "obs_id long, row int, col int, eye double"), spark.createDataFrame(pts, "pt_id long, row int, col int"), z).collect()
+    got = visibility.forward_views(spark.createDataFrame(obs, "obs_id long, row int, col int, eye double"), spark.createDataFrame(pts, "pt_id long, row int, col int"), frame(spark, z), tile=17).collect()
     assert len(got) == len(obs) * len(pts)
     same = sum(x.visible == (visibility.sweep(z, pts[x.pt_id][1], pts[x.pt_id][2], z[pts[x.pt_id][1:]] + visibility.TARGET_HEIGHT, RES)[obs[x.obs_id][1:3]] <= obs[x.obs_id][3]) for x in got)
     assert same / len(got) > 0.9
-    with pytest.raises(ValueError, match="more targets"):
-        visibility.forward_views(spark.createDataFrame(obs, "obs_id long, row int, col int, eye double"), spark.range(5).selectExpr("id AS pt_id", "0 AS row", "0 AS col"), z[:2, :2])
 
 
 def test_rasters_are_gathered_up_to_their_bound(spark, monkeypatch):
     monkeypatch.setattr(visibility, "RASTER_BYTES", 100)
-    with pytest.raises(ValueError, match="give a reach"):
+    with pytest.raises(ValueError, match="not gathered"):
         visibility.raster(frame(spark, np.zeros((5, 5))), 5, 5)
 
 
@@ -157,30 +178,146 @@ def test_polygon_of_many_edges(spark):
     assert {x.id for x in vector.within(p, e, -60.0).collect()} == {i for i, x, y in pts if i in ins and away(x, y) > 60}
 
 
-@pytest.mark.parametrize("searched", [vector.SEARCHED, 0])
-def test_nearest_nodes_of_far_points(spark, searched):
-    """In boxes and in widening buckets; ties go to the lowest id."""
+@pytest.mark.parametrize("per_part, most", [(64, 200_000), (3, 200_000), (3, 7)])
+def test_nearest_nodes_of_far_points(spark, monkeypatch, per_part, most):
+    """Whatever the parts; ties go to the lowest id, a third of all nodes lie in
+    one place, and far clusters are found."""
+    monkeypatch.setattr(space.split, "__defaults__", (per_part, most))
+    monkeypatch.setattr(space.nearest_items, "__defaults__", (per_part,))
+    monkeypatch.setattr(space, "SHARE", 9)
     r = random.Random(13)
-    nodes = [(i, float(r.randrange(0, 500)), float(r.randrange(0, 500))) for i in range(700)] + [(900 + i, 9e4, 10.0 * i) for i in range(5)]
-    pts = [(i, r.uniform(-1, 1) * 10 ** r.randrange(1, 6), r.uniform(-1, 1) * 10 ** r.randrange(1, 6)) for i in range(80)] + [(99, 250.0, -3000.0)]
+    nodes = [(i, float(r.randrange(0, 500)), float(r.randrange(0, 500))) for i in range(700)] + [(900 + i, 9e4, 10.0 * i) for i in range(5)] + [(2000 - i, 77.0, 77.0) for i in range(300)]
+    pts = [(i, r.uniform(-1, 1) * 10 ** r.randrange(1, 6), r.uniform(-1, 1) * 10 ** r.randrange(1, 6)) for i in range(80)] + [(99, 250.0, -3000.0)] + [(i, 77.0, 78.0) for i in range(100, 140)]
     want = {i: min(((x - a) * (x - a) + (y - b) * (y - b), n) for n, a, b in nodes) for i, x, y in pts}
-    got = vector.nearest(spark.createDataFrame(pts, "id long, x double, y double"), spark.createDataFrame(nodes, "id long, x double, y double"), 20.0, searched=searched)
+    got = vector.nearest(spark.createDataFrame([*pts, (7000, None, 1.0)], "id long, x double, y double"), spark.createDataFrame(nodes, "id long, x double, y double"))
     assert {x.id: (x.d2, x.node) for x in got.collect()} == want
 
 
+def test_nearest_without_nodes_or_points(spark):
+    some = spark.createDataFrame([(1, 0.0, 0.0)], "id long, x double, y double")
+    assert vector.nearest(some, some.limit(0)).count() == vector.nearest(some.limit(0), some).count() == 0
+    assert [tuple(x) for x in vector.nearest(some, some).collect()] == [(1, 1, 0.0)]
+
+
+def ways_frame(spark, rows):
+    return spark.createDataFrame(rows, "g int, way array<struct<x:double,y:double>>")
+
+
 def test_ways_that_do_not_close_are_told_apart(spark):
-    ways = spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]), (1, [(5.0, 5.0), (6.0, 6.0)])], "g int, way array<struct<x:double,y:double>>")
-    got = {(r.ring, r.pos) for r in vector.polygonise(ways, "g").collect()}
+    ways = ways_frame(spark, [(1, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]), (1, [(5.0, 5.0), (6.0, 6.0)])])
+    got = {(min(r.ring, 0), r.pos) for r in planar.polygonise(ways, "g").collect()}
     assert got == {(0, 0), (0, 1), (0, 2), (0, 3), (-1, 0), (-1, 1)}
 
 
-def test_searches_and_rounds_find_the_same_paths(spark):
+def test_rings_at_branches_crossings_and_in_holes(spark):
+    """A spur before a ring's second half, diagonals that cross, a bridge between
+    rings, and a ring inside another: areas of faces, holes negative."""
+    box = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]
+    ways = [(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0)]), (1, [(4.0, 4.0), (6.0, 6.0)]), (1, [(4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]), (1, box(1.0, 1.0, 1.0))]
+    ways += [(2, [(0.0, 0.0), (4.0, 4.0)]), (2, [(0.0, 4.0), (4.0, 0.0)]), (2, box(0.0, 0.0, 4.0))]
+    ways += [(3, box(0.0, 0.0, 2.0)), (3, [(2.0, 1.0), (5.0, 1.0)]), (3, box(5.0, 0.0, 2.0)), (None, box(0.0, 0.0, 1.0)), (4, [])]
+    out = planar.polygonise(ways_frame(spark, ways), "g").collect()
+    rings = {}
+    for r in out:
+        rings.setdefault((r.g, r.ring, r.hole), {})[r.pos] = (r.x, r.y)
+    area = lambda v: sum(v[i][0] * v[i + 1][1] - v[i + 1][0] * v[i][1] for i in range(len(v) - 1)) / 2
+    got = sorted((str(g), area(v), hole is not None) for (g, ring, hole), v in rings.items() if ring >= 0)
+    assert got == sorted([("1", 16.0, False), ("1", 1.0, False), ("1", -1.0, True), *[("2", 4.0, False)] * 4, *[("3", 4.0, False)] * 2, ("None", 1.0, False)])
+    assert {(r.g, r.x, r.y) for r in out if r.ring == -1} == {(1, 4.0, 4.0), (1, 6.0, 6.0), (3, 2.0, 1.0), (3, 5.0, 1.0)}
+    assert planar.polygonise(ways_frame(spark, []), "g").count() == 0
+
+
+def squares(spark, rows):
+    """Edge table of boxes (poly, x, y, width, height)."""
+    out = []
+    for p, x, y, w, h in rows:
+        c = [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+        out += [(p, *map(float, (*a, *b))) for a, b in zip(c, c[1:])]
+    return spark.createDataFrame(out, "poly int, x1 double, y1 double, x2 double, y2 double")
+
+
+def test_overlays_match_cells(spark):
+    """Random boxes on a lattice, shared and repeated edges too, by unit cells."""
+    r = random.Random(8)
+    boxes = lambda n: [(i, r.randrange(12), r.randrange(12), r.randrange(1, 6), r.randrange(1, 6)) for i in range(n)]
+    a, b = boxes(9), boxes(6)
+    a.append((50, *a[0][1:]))
+    cells = lambda rows: {(i, j) for _, x, y, w, h in rows for i in range(x, x + w) for j in range(y, y + h)}
+    A, B = cells(a), cells(b)
+    for how, want in (("union", A | B), ("difference", A - B), ("intersection", A & B)):
+        rings = planar.overlay(squares(spark, a), squares(spark, b), how, cell=5.0)
+        got = [x.area for x in planar.ring_areas(rings).collect()]
+        assert sum(got) == len(want), how
+    assert sum(x.area for x in planar.ring_areas(planar.overlay(squares(spark, a), None, "union")).collect()) == len(A)
+    assert planar.overlay(squares(spark, a), squares(spark, a), "difference").count() == 0
+
+
+def test_buffers_hold_what_is_within(spark):
+    e = spark.createDataFrame([(1, 0.0, 0.0, 40.0, 7.0), (1, 40.0, 7.0, 33.0, 51.0), (1, 33.0, 51.0, -9.0, 22.0), (1, -9.0, 22.0, 0.0, 0.0)], "poly int, x1 double, y1 double, x2 double, y2 double")
+    r = random.Random(2)
+    p = spark.createDataFrame([(i, r.uniform(-25, 60), r.uniform(-25, 70)) for i in range(600)], "id long, x double, y double")
+    for d in (8.0, -6.0):
+        drawn = planar.buffer(e, d, 32).select(F.col("g").alias("poly"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("ax").alias("x2"), F.col("ay").alias("y2"))
+        assert {x.id for x in vector.contains(p, drawn, cell=20.0).collect()} == {x.id for x in vector.within(p, e, d, cell=20.0).collect()}
+
+
+def test_regions_and_rounds_find_the_same_paths(spark):
+    """Equal to a heap search on the whole graph, for any regions."""
+    import heapq
+
     r = random.Random(9)
-    edges = spark.createDataFrame([(r.randrange(80), r.randrange(80), float(r.randrange(1, 40))) for _ in range(220)], "src long, dst long, travel_s double")
-    sources = spark.createDataFrame([("a", 3), ("a", 3), ("a", 70), ("b", 999)], "dest string, node long")
-    rows = lambda df: {(x.dest, x.node): x.seconds for x in df.collect()}
-    got = rows(routing.shortest(edges, sources))
-    assert got == rows(routing.shortest(edges, sources, searched=0)) and got["b", 999] == 0 and len(got) > 20
+    place = {i: (r.uniform(0, 100), r.uniform(0, 100)) for i in range(160)}
+    near = lambda i: sorted(place, key=lambda j: (place[i][0] - place[j][0]) ** 2 + (place[i][1] - place[j][1]) ** 2)[1:5]
+    rows = [(i, j, float(r.randrange(1, 40))) for i in place for j in near(i)] + [(i, r.randrange(160), 99.0) for i in range(0, 160, 9)]
+    starts = [("a", 3), ("a", 3), ("a", 70), ("b", 155), ("c", 999)]
+    want = {}
+    for d in "abc":
+        heap, best = [(0.0, n) for k, n in starts if k == d], {}
+        while heap:
+            t, n = heapq.heappop(heap)
+            if n not in best:
+                best[n] = t
+                for i, j, w in rows:
+                    if j == n and i != j:
+                        heapq.heappush(heap, (t + w, i))
+        want |= {(d, n): t for n, t in best.items()}
+    edges, sources = spark.createDataFrame(rows, "src long, dst long, travel_s double"), spark.createDataFrame(starts, "dest string, node long")
+    at = spark.createDataFrame([(i, *p) for i, p in place.items() if i != 17], "id long, x double, y double")
+    for args in ({}, {"per_region": 1}, {"at": at, "per_region": 20}):
+        got = {(x.dest, x.node): x.seconds for x in routing.shortest(edges, sources, **args).collect()}
+        assert got == want, args
+
+
+def test_chains_become_one_edge(spark):
+    """One-way and two-way chains, a loop, rings without a crossing, parallel
+    roads; compared with a walk from node to node."""
+    rows = [(1, 2, 1.0, "a"), (2, 3, 2.0, None), (3, 4, 3.0, "b")]  # one way
+    rows += [(a, b, 1.0, "c") for x, y in ((4, 5), (5, 6), (6, 7)) for a, b in ((x, y), (y, x))]  # both ways
+    rows += [(7, 8, 1.0, "d"), (7, 8, 5.0, "d"), (8, 9, 1.0, "d"), (9, 10, 1.0, "e"), (10, 8, 1.0, "d")]  # parallel, then a loop at 8
+    rows += [(20 + i, 20 + (i + 1) % 37, 1.0, "r") for i in range(37)] + [(a, b, 1.0, "s") for i in range(5) for a, b in ((60 + i, 60 + (i + 1) % 5), (60 + (i + 1) % 5, 60 + i))]
+    rows += [(70, 70, 2.0, "t")]
+    out = routing.simplify(spark.createDataFrame(rows, "src long, dst long, length_m double, highway string"), ["length_m"], ["highway"])
+    got = sorted((x.src, x.dst, x.length_m, "".join(x.highway), x.parts) for x in out.collect())
+    assert got == sorted([
+        (1, 4, 6.0, "ab", 3), (4, 7, 3.0, "c", 3), (7, 4, 3.0, "c", 3), (7, 8, 1.0, "d", 1), (7, 8, 5.0, "d", 1), (8, 8, 3.0, "de", 3),
+        (20, 20, 37.0, "r", 37), (60, 60, 5.0, "s", 5), (60, 60, 5.0, "s", 5), (70, 70, 2.0, "t", 1),
+    ])
+    none = spark.createDataFrame([], "src long, dst long, length_m double")
+    assert routing.simplify(none, ["length_m"]).count() == 0
+
+
+@pytest.mark.parametrize("lengths", [[1], [2, 2, 3], [64, 65, 1, 130]])
+def test_links_are_ranked(spark, lengths):
+    rows, want, at = [], set(), 0
+    for k, n in enumerate(lengths):
+        ring = k % 2 == 1
+        for i in range(n):
+            rows.append((at + i, at + (i - 1) % n if ring or i else None, at + i))
+            want.add((at + i, at, i + 1, ring))
+        at += n
+    random.Random(1).shuffle(rows)
+    got = chains.ranked(spark.createDataFrame(rows, "id long, prev long, node long"))
+    assert {tuple(x) for x in got.collect()} == want
 
 
 def test_largest_component_and_clip(spark):
