@@ -11,10 +11,10 @@ Chains are stretches of at most ``CHAIN`` tokens, cut so that a batch is one
 matrix; every token of a text is in one.
 
 Training reads at most ``TRAIN_ROWS`` labelled documents per label, the first
-by a hash of their id.  Of a text of more than ``TRAIN_PIECES`` times
-``TRAIN_CHARS`` it learns from that many pieces, evenly spaced from beginning
-to end, so that no text takes another's place; whatever is scored is scored
-whole.
+by a hash of their id, and of these every word, however long the text.  Their
+tokens stay in the executors: an epoch is one ``treeAggregate`` of gradients,
+which are whole numbers of 2**-``FIXED``, so that the order of adding them up
+changes nothing.  The driver holds the weights, whose number is fixed.
 
 Defined results: null and empty texts have no tokens and the score of a text
 without toxic tokens; without labels of both kinds, as in an empty table, every
@@ -33,17 +33,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import extended, slices, tune, with_columns
+from ridgeline.llm.common import drop, extended, slices, spool, tune, with_columns, work_dir
 
 CHAIN = 64
 BITS = 20
 TRAIN_ROWS = 2500
-TRAIN_PIECES = 4
-TRAIN_CHARS = 2048
+EPOCHS = 40
+FIXED = 32
+#: Tokens of training texts that are one block.
+BLOCK = 1 << 20
 MEMORY = 400_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -169,69 +172,140 @@ def _summaries(tokens: list[list[str]], p: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], toxic: list[int], prior: float, epochs: int = 40) -> Model:
-    """Fit on documents in the given (hashed, hence mixed) order; every fourth
-    one calibrates the document score."""
-    zero = Model(np.zeros(1 << BITS, np.float32), np.zeros((2, 2)), 0.0, np.array([-40.0, 0, 0, 0, 0, 0]))
-    if len(set(toxic)) < 2:
-        return zero
-    # every token is a number; features hang on distinct words only
-    ids: dict[str, int] = {}
-    docs = [np.fromiter((ids.setdefault(w, len(ids)) for w in t.split()), np.int32) for t in texts]
-    none = 1 << BITS  # a slot whose weight stays zero
-    slots = np.full((len(ids), 6), none, np.int32)
-    for w, i in ids.items():
-        found = word_slots(w)
-        slots[i, : len(found)] = found
-    del ids
-    hints = slots[:, [0, 2, 3, 4, 5]]
-    train = [i for i in range(len(texts)) if i % 4 != 3]
-    n = [sum(1 for i in train if toxic[i] == y) for y in (0, 1)]
-    seen = np.zeros((2, none + 1), np.int32)
-    for i in train:
-        seen[toxic[i], np.unique(hints[np.unique(docs[i])])] += 1
+def _nothing() -> Model:
+    return Model(np.zeros(1 << BITS, np.float32), np.zeros((2, 2)), 0.0, np.array([-40.0, 0, 0, 0, 0, 0]))
+
+
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(y, fits, tokens, slots) of (y, fits, text): every token as the number
+    of its word in the text, and the words' slots."""
+    for batch in slices(batches, "text", 2 << 20):
+        tokens, found = [], []
+        for text in batch.column(2).to_pylist():
+            ids: dict[str, int] = {}
+            tokens.append(np.fromiter((ids.setdefault(w, len(ids)) for w in text.split()), np.int32).tobytes())
+            table = np.full((len(ids), 6), 1 << BITS, np.int32)  # a slot whose weight stays zero
+            for w, i in ids.items():
+                some = word_slots(w)
+                table[i, : len(some)] = some
+            found.append(table.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.binary()), pa.array(found, pa.binary())], names=["y", "fits", "tokens", "slots"])
+
+
+def _table(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int32).reshape(-1, 6)
+
+
+def _count_hints(acc: np.ndarray | None, row) -> np.ndarray:
+    """Documents of either label by word and prefix slots; row 2: all slots."""
+    acc = np.zeros((3, (1 << BITS) + 1), np.int32) if acc is None else acc
+    slots = _table(row["slots"])
+    acc[row["y"], np.unique(slots[:, [0, 2, 3, 4, 5]])] += 1
+    acc[2, np.unique(slots)] = 1
+    return acc
+
+
+class _Block:
+    """Tokens of training texts, or of whole chains of one, with their marks
+    and weights; ``docs`` has (label, tokens, slots, tokens by word)."""
+
+    def __init__(self, docs: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], used: np.ndarray, seed: np.ndarray, up: float):
+        base = np.cumsum([0, *(len(t) for _, _, t, _ in docs)])
+        self.lengths = np.array([len(d) for _, d, _, _ in docs], np.int64)
+        self.flat = np.concatenate([d + b for (_, d, _, _), b in zip(docs, base)])
+        slots, times = (np.concatenate([d[i] for d in docs]) for i in (2, 3))
+        toxic = np.repeat(np.array([d[0] for d in docs], np.int8), self.lengths)
+        self.y = (seed[slots[:, [0, 2, 3, 4, 5]]].any(axis=1)[self.flat] & (toxic == 1)).astype(np.float64)
+        # a toxic document counts as in the population, a word once per document
+        self.importance = np.where(toxic == 1, up, 1.0) / times[self.flat]
+        self.slots = np.searchsorted(used, slots)
+        first, _ = chains(self.lengths)
+        inner = np.ones(len(self.flat), bool)
+        inner[first] = False
+        after = np.flatnonzero(inner)
+        self.observed = np.zeros((2, 2))
+        np.add.at(self.observed, (self.y[after - 1].astype(int), self.y[after].astype(int)), 1)
+        self.begun, self.chains = self.y[first].sum(), len(first)
+
+    def gradient(self, w: np.ndarray, theta: np.ndarray) -> np.ndarray:
+        """Of the weights, the transitions and the start; and the chains."""
+        emit = w[self.slots].sum(axis=1)[self.flat]
+        p, expected, starts = marginals(emit, self.lengths, theta[:4].reshape(2, 2), theta[4], pairs=True)
+        per_word = np.bincount(self.flat, (self.y - p) * self.importance, minlength=len(self.slots))
+        g = np.bincount(self.slots.reshape(-1), np.repeat(per_word, 6), minlength=len(w))
+        more = [*(self.observed - expected).reshape(-1), self.begun - starts, self.chains]
+        return np.rint(np.concatenate([g, more]) * 2.0**FIXED).astype(np.int64)
+
+
+def fit(rows: DataFrame, prior: float) -> Model:
+    """Fit on training texts (y, fits, text): the chain on those with ``fits``,
+    the document score on the others."""
+    spark = rows.sparkSession
+    tune(spark)
+    root = work_dir(spark, "toxicity")
+    kept = spool(rows.mapInArrow(_encode, "y int, fits boolean, tokens binary, slots binary"), root)
+    n = {r["y"]: r["n"] for r in kept.where("fits").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        drop(spark, root)
+        return _nothing()
+    own = kept.where("fits").select("y", "tokens", "slots").rdd
+    seen = own.treeAggregate(None, _count_hints, lambda a, b: b if a is None else a if b is None else np.concatenate([a[:2] + b[:2], np.maximum(a[2:], b[2:])]))
     # share of toxic documents among those with the feature, as in the population
     up = prior / (1 - prior) * (n[0] + 1) / (n[1] + 1)
     seed = (seen[1] >= 4) & (up * (seen[1] - 1.0) > seen[0] + 1.0)
-    seed[none] = False
-    marked = seed[hints].any(axis=1)
-
-    lengths = np.array([len(docs[i]) for i in train], np.int64)
-    flat = np.concatenate([docs[i] for i in train])
-    in_toxic = np.repeat(np.array([toxic[i] for i in train], np.int8), lengths)
-    y = (marked[flat] & (in_toxic == 1)).astype(np.float64)
-    # a toxic document counts as in the population, a word once per document
-    again = np.concatenate([1 / c[x] for d in (docs[i] for i in train) for _, x, c in [np.unique(d, return_inverse=True, return_counts=True)]])
-    importance = np.where(in_toxic == 1, up, 1.0) * again
-    first, size = chains(lengths)
-    inner = np.ones(len(flat), bool)
-    inner[first] = False
-    nxt = np.flatnonzero(inner)
-    observed = np.zeros((2, 2))
-    np.add.at(observed, (y[nxt - 1].astype(int), y[nxt].astype(int)), 1)
-
-    w = np.zeros(none + 1)
-    grad2, grad2t = np.full(none + 1, 1e-6), np.full(5, 1e-6)
+    seed[-1] = False
+    used = np.flatnonzero(seen[2])
+    used = used[used < 1 << BITS]
+    shared = spark.sparkContext.broadcast((used, seed))
+
+    def blocks(part: Iterator) -> Iterator[_Block]:
+        held, total = [], 0
+        for r in part:
+            tokens, slots = np.frombuffer(r["tokens"], np.int32), _table(r["slots"])
+            times = np.bincount(tokens, minlength=len(slots))
+            for a in range(0, len(tokens), BLOCK):  # a multiple of the chains' length
+                held.append((r["y"], tokens[a : a + BLOCK], slots, times))
+                total += len(held[-1][1])
+                if total >= BLOCK:
+                    yield _Block(held, *shared.value, up)
+                    held, total = [], 0
+        if held:
+            yield _Block(held, *shared.value, up)
+
+    made = own.mapPartitions(blocks).persist(StorageLevel.MEMORY_AND_DISK)
+    w = np.zeros(len(used) + 1)  # the last is of the slot that stays zero
+    grad2, grad2t = np.full(len(w), 1e-6), np.full(5, 1e-6)
     theta = np.array([0.0, -3.0, 0.0, -1.0, -3.0])
-    for _ in range(epochs):
-        emit = w[slots].sum(axis=1)[flat]
-        p, expected, starts = marginals(emit, lengths, theta[:4].reshape(2, 2), theta[4], pairs=True)
-        per_word = np.bincount(flat, (y - p) * importance, minlength=len(slots))
-        g = np.bincount(slots.reshape(-1), np.repeat(per_word, slots.shape[1]), minlength=none + 1) - 0.01 * w
-        g[none] = 0
+    for _ in range(EPOCHS):
+        now = spark.sparkContext.broadcast((w, theta))
+        total = made.treeAggregate(np.zeros(len(w) + 6, np.int64), lambda acc, b, now=now: acc + b.gradient(*now.value), lambda a, b: a + b) / 2.0**FIXED
+        now.unpersist()
+        g = total[: len(w)] - 0.01 * w
+        g[-1] = 0
         grad2 += g * g
-        w += 0.5 * g / np.sqrt(grad2)
-        gt = np.concatenate([(observed - expected).reshape(-1), [y[first].sum() - starts]]) / max(1, len(first)) - 0.001 * theta
+        w = w + 0.5 * g / np.sqrt(grad2)
+        gt = total[len(w) : -1] / max(1.0, total[-1]) - 0.001 * theta
         grad2t += gt * gt
-        theta += 0.2 * gt / np.sqrt(grad2t)
-    model = Model(w[:none].astype(np.float32), theta[:4].reshape(2, 2).copy(), float(theta[4]), np.zeros(6))
-
-    check = range(3, len(texts), 4)
-    some = [texts[i].split() for i in check]
-    x, t = _summaries(some, model.token_marginals(some)), np.array([toxic[i] for i in check], float)
+        theta = theta + 0.2 * gt / np.sqrt(grad2t)
+    made.unpersist()
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[used] = w[:-1]
+    model = Model(weights, theta[:4].reshape(2, 2).copy(), float(theta[4]), np.zeros(6))
+    sent = spark.sparkContext.broadcast(model)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            tokens = [t.split() for t in batch.column(1).to_pylist()]
+            x = _summaries(tokens, sent.value.token_marginals(tokens))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
+
+    got = rows.where("NOT fits").select("y", "text").mapInArrow(summed, "y int, x array<double>").orderBy("y", "x").collect()  # a quarter of the training rows
+    drop(spark, root)
+    if not got:
+        return _nothing()
+    x, t = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float)
     share = np.where(t == 1, prior, 1 - prior) / np.where(t == 1, max(t.sum(), 1), max((1 - t).sum(), 1))
-    weight = share * len(t)
-    model.doc = _logistic(x, t, weight)
+    model.doc = _logistic(x, t, share * len(t))
     return model
 
 
@@ -267,21 +341,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where(in_training(F.col("id")) & F.col("y").isin(0, 1))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    some = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS) for y in (0, 1)]
-    sample = some[0].union(some[1])
+    order = (F.xxhash64("id"), F.col("id"))
+    some = [known.where(F.col("y") == y).orderBy(*order).limit(TRAIN_ROWS) for y in (0, 1)]
+    place = F.row_number().over(Window.orderBy(*order))  # of 2 * TRAIN_ROWS ids at most
+    sample = some[0].union(some[1]).withColumn("fits", place % 4 != 0)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(sample), "id").where("text is not null")
-    rows = rows.select("id", "y", _pieces("text").alias("text"), F.xxhash64("text").alias("h"))
-    got = rows.groupBy("id", "y").agg(F.min_by("text", "h").alias("text")).orderBy(F.xxhash64("id"), "id").collect()
+    rows = rows.groupBy("id", "y", "fits").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
-    return fit([r["text"] for r in got], [r["y"] for r in got], min(max(prior, 1e-4), 1 - 1e-4))
-
-
-def _pieces(text: str) -> Column:
-    """A text of bounded length whole, of a longer one pieces spread over it."""
-    step = f"(length({text}) - {TRAIN_CHARS}) div {TRAIN_PIECES - 1}"
-    pieces = f"transform(sequence(0, {TRAIN_PIECES - 1}), i -> substring({text}, 1 + int(i * ({step})), {TRAIN_CHARS}))"
-    return F.expr(f"CASE WHEN length({text}) <= {TRAIN_PIECES * TRAIN_CHARS} THEN {text} ELSE array_join({pieces}, ' ') END")
+    return fit(rows.select("y", "fits", "text"), min(max(prior, 1e-4), 1 - 1e-4))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False) -> DataFrame:

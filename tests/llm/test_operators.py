@@ -461,6 +461,27 @@ def test_toxicity_learns_and_rejects(spark):
     assert max(x.score for x in toxicity.score(frame(spark, docs), none).collect()) < 1e-6
 
 
+def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
+    """Spans in the middle of long labelled texts are learned, whatever the
+    blocks; and the result does not hang on them."""
+    r = random.Random(4)
+    bad = ["vile", "scumbag", "nasty", "hateful"]
+    docs = []
+    for i in range(160):
+        w = words(r, 3000)
+        if i % 2:
+            w[1400:1400] = r.sample(bad, 3)
+        docs.append((i, " ".join(w)))
+    lab = spark.createDataFrame([(i, 1, i % 2) for i in range(160)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(frame(spark, docs), lab)
+    short = [(1000, "a b c d " + " ".join(bad[:3])), (1001, "a b c d e f")]
+    got = {x.doc_id: x.score for x in toxicity.score(frame(spark, short), model).collect()}
+    assert got[1000] > 0.7 > 0.5 > got[1001]
+    monkeypatch.setattr(toxicity, "BLOCK", 64 * 20)
+    again = toxicity.train(frame(spark, docs).repartition(7), lab)
+    assert np.allclose(again.weights, model.weights, atol=1e-6) and np.allclose(again.doc, model.doc, atol=1e-6)
+
+
 def test_toxicity_query(spark, folder):
     got = {x.doc_id: x for x in op7_toxicity(spark, "/root/testdata/sf0.01").collect()}
     lab = [x for x in table(spark, "/root/testdata/sf0.01", "labels").collect() if got[x.doc_id].held_out]

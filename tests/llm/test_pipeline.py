@@ -55,6 +55,17 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
         assert all(x.round_trip for x in got)
 
 
+def test_rows_of_an_id_go_together(spark, tmp_path):
+    r = random.Random(6)
+    bad = ["vile", "scumbag", "nasty", "hateful"]
+    text = lambda toxic: " ".join([f"w{r.randrange(400)}" for _ in range(40)] + (r.sample(bad, 3) if toxic else []))
+    rows = [(i, text(i % 5 == 0)) for i in range(400)] + [(9000, text(False)), (9000, text(True)), (9001, text(False)), (9001, text(False)), (None, text(True)), (None, text(False))]
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, t, "own") for i, t in rows], "doc_id long, text string, score string")
+    got = [(x.doc_id, x.score) for x in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()]
+    assert [x for x in got if x[0] is None or x[0] >= 9000] == [(9001, "own")] * 2
+
+
 def test_stages_find_near_copies_and_keep_the_rest(spark):
     """All pairs of similarity 0.8 or more lose one document; recall is 1 against brute force."""
     r = random.Random(17)
