@@ -7,7 +7,7 @@ then.
 
 Defined results: null and empty texts are kept, as they are neither toxic nor
 copies nor contaminated, and have no ids; a null id is one document before all
-others; rows that share an id stay or go together; of near copies the smallest
+others; rows that share an id stay or go together, and go if one is toxic; of near copies the smallest
 id stays; without labels of both kinds nothing is toxic; an empty table gives
 an empty table.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import bpe, toxicity
-from ridgeline.llm.common import drop, id_key, made, release, table, work_dir
+from ridgeline.llm.common import drop, id_key, keep, made, release, spool, table, work_dir
 from ridgeline.llm.decontam import decontaminate
 from ridgeline.llm.line_dedup import dedup_lines
 from ridgeline.llm.minhash import near_duplicates
@@ -29,8 +29,15 @@ TOXIC = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score too high go, and with them all rows of their id."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
+    keep(root := work_dir(spark, "toxic"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])  # a column may be called score
+    scored = spool(toxicity.score(docs.select("text", rest.alias("rest"), id_key("doc_id").alias("__id")), model), f"{root}/scored")
+    toxic = F.col("score") >= TOXIC
+    mixed = scored.groupBy("__id").agg(F.bool_or(toxic).alias("some"), F.bool_and(toxic).alias("all")).where("some AND NOT all")
+    mixed = spool(mixed.select("__id"), f"{root}/mixed")  # ids of several rows only; joined by its size
+    return scored.where(~toxic).join(mixed, "__id", "left_anti").select(*[F.col("text" if c == "text" else f"rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
