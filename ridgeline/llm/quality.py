@@ -1,6 +1,7 @@
 """Quality rules combined by weak supervision.
 
-Each rule votes good (+1), bad (-1) or abstains (0) from text statistics.  Vote
+Each rule votes good (+1), bad (-1) or abstains (0) from text statistics, and no
+two rules from one statistic, as votes count as independent given the text.  Vote
 vectors are counted over the whole corpus - at most 3**len(RULES) of them,
 however large it is - and expectation-maximisation estimates, without labels,
 how often each rule votes each way on good and on bad texts.  The posterior
@@ -27,6 +28,8 @@ from ridgeline.llm.common import result
 
 GAP = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 50
+#: Hash of a window of three words, by those of the words.
+WINDOW = "xxhash64(h[i], h[i + 1], h[i + 2])"
 
 
 @dataclass(frozen=True)
@@ -43,8 +46,6 @@ RULES = (
     Rule("length", f"n_words < {MIN_WORDS}", "n_words >= 80"),
     Rule("word_length", "word_chars < 2.5 * n_words OR word_chars > 10 * n_words", "word_chars BETWEEN 3 * n_words AND 8 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
-    Rule("symbol_chars", "50 * n_symbols > word_chars", "1000 * n_symbols <= word_chars"),
-    Rule("symbol_words", "4 * n_symbol_words > n_words", "50 * n_symbol_words <= n_words"),
     Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0 AND n_lines > 2"),
     Rule("repeated_words", "10 * n_repeat_words > 3 * n_words", "20 * n_repeat_words <= n_words"),
     Rule("line_ends", "5 * n_ended < n_lines", "10 * n_ended >= 8 * n_lines AND n_lines > 0"),
@@ -65,17 +66,17 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     hashed = base.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     grams = hashed.withColumn(
-        "g", F.expr("CASE WHEN size(h) >= 3 THEN transform(sequence(0, size(h) - 3), i -> xxhash64(h[i], h[i + 1], h[i + 2])) END")
-    )
-    # only texts with a repeated window sort their windows
-    ranked = grams.withColumn(
-        "p", F.expr("CASE WHEN size(array_distinct(g)) < size(g) THEN sort_array(transform(g, (x, i) -> struct(x AS x, i AS i))) END")
+        "g", F.expr(f"CASE WHEN size(h) >= 3 THEN transform(sequence(0, size(h) - 3), i -> {WINDOW}) END")
     )
+    # only texts with two windows of one hash sort theirs, by hash and then words,
+    # so that windows count as equal by their words alone
+    window = "struct(x AS x, array(words[i], words[i + 1], words[i + 2]) AS w, i AS i)"
+    ranked = grams.withColumn("p", F.expr(f"CASE WHEN size(array_distinct(g)) < size(g) THEN sort_array(transform(g, (x, i) -> {window})) END"))
     again = ranked.withColumn(
         "at",
         F.expr(
-            "sort_array(transform(filter(p, (e, j) -> (j > 0 AND p[greatest(j - 1, 0)].x = e.x) "
-            "OR (j < size(p) - 1 AND p[least(j + 1, size(p) - 1)].x = e.x)), e -> e.i))"
+            "sort_array(transform(filter(p, (e, j) -> (j > 0 AND p[greatest(j - 1, 0)].w = e.w) "
+            "OR (j < size(p) - 1 AND p[least(j + 1, size(p) - 1)].w = e.w)), e -> e.i))"
         ),
     )
     repeat = F.expr(
@@ -92,9 +93,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce(repeat, F.lit(0)).cast("long").alias("n_repeat_words"),
         count("lines").alias("n_lines"),
         count(F.filter("lines", lambda l: l.rlike(r"[.!?:;\"'’”)][\x20\x09-\x0D]*$"))).alias("n_ended"),
-        count(F.array_distinct("h")).alias("n_distinct"),
+        count(F.array_distinct("words")).alias("n_distinct"),
         F.col("n_digits").cast("long").alias("n_digits"),
-        F.when(F.col("n_symbols") > 0, count(F.filter("words", lambda w: w.rlike(r"[#*$%&|<>]")))).otherwise(0).alias("n_symbol_words"),
     )
 
 

@@ -626,6 +626,13 @@ def test_quality_statistics_and_verdicts(spark, corpus, folder):
     assert model.weights[0][1] > 0 > model.weights[0][-1]
 
 
+def test_windows_of_one_hash_are_told_apart_by_words(spark, corpus, monkeypatch):
+    monkeypatch.setattr(quality, "WINDOW", "h[i] * 0")
+    rows = [(i, t) for i, t in corpus if len(t or "") < 9000] + [(90, "a b c a b c x y a b c"), (91, "p q r s p q r p q"), (92, "z z z z")]
+    got = sorted((x.id, x.n_repeat_words) for x in quality.statistics(frame(spark, rows)).collect())
+    assert got == sorted((i, brute.statistics(t)[4]) for i, t in rows) and any(n for _, n in got)
+
+
 def test_empty_tables(spark):
     none = frame(spark, []).drop("n_lines", "score", "ids")
     items = spark.createDataFrame([], "item_id long, text string")
