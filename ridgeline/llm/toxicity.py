@@ -45,8 +45,8 @@ BITS = 20
 TRAIN_ROWS = 2500
 EPOCHS = 40
 FIXED = 32
-#: Tokens of training texts that are one block.
-BLOCK = 1 << 20
+#: Tokens of training texts that are one block, and of one task at least.
+BLOCK, SHARE = 1 << 20, 1 << 17
 MEMORY = 400_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -244,11 +244,13 @@ def fit(rows: DataFrame, prior: float) -> Model:
     tune(spark)
     root = work_dir(spark, "toxicity")
     kept = spool(rows.mapInArrow(_encode, "y int, fits boolean, tokens binary, slots binary"), root)
-    n = {r["y"]: r["n"] for r in kept.where("fits").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    held = kept.where("fits").groupBy("y").agg(F.count("*").alias("n"), F.sum(F.length("tokens") / 4).alias("tokens")).collect()
+    n = {r["y"]: r["n"] for r in held}
     if len(n) < 2:
         drop(spark, root)
         return _nothing()
-    own = kept.where("fits").select("y", "tokens", "slots").rdd
+    # tasks by tokens, as every epoch runs all of them
+    own = kept.where("fits").select("y", "tokens", "slots").rdd.coalesce(1 + int(sum(r["tokens"] for r in held)) // SHARE)
     seen = own.treeAggregate(None, _count_hints, lambda a, b: b if a is None else a if b is None else np.concatenate([a[:2] + b[:2], np.maximum(a[2:], b[2:])]))
     # share of toxic documents among those with the feature, as in the population
     up = prior / (1 - prior) * (n[0] + 1) / (n[1] + 1)
