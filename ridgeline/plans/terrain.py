@@ -42,6 +42,25 @@ def grid_warp(spark: SparkSession, folder: str) -> DataFrame:
     return G.warp(t, ["row", "col"], F.col("row") * 0.75 + F.col("col") * 0.25, F.col("col") * 0.75 - 3.5, g, height, width).select("row", "col", S.round_even(F.col("z"), 6).alias("z"))
 
 
+#: Two tiles of heights by degrees that overlap; the first has gaps.
+TILES = """
+SELECT 0 AS place, row, col, CASE WHEN (row * 7 + col) % 17 = 0 THEN NULL ELSE z END AS z FROM {g} a WHERE col < 40
+UNION ALL SELECT 1 AS place, row, col, z + CAST(1000 AS DOUBLE) AS z FROM {g} b WHERE col >= 30 AND (row + col) % 11 > 0
+"""
+
+
+def grid_reproject(spark: SparkSession, folder: str) -> DataFrame:
+    """Two tiles by degrees, the second over the first, at the cells of a raster
+    in web Mercator of 150 m that reaches beyond them."""
+    g = grid(spark, folder)
+    height, width = _shape(g)
+    source = view(spark, folder, TILES, g=g)
+    t = g.where("row < 90").select("row", "col", (F.col("col") * 150.0 - 9017100).alias("x"), (4789000 - F.col("row") * 150.0).alias("y"))
+    lon, lat = geo.mercator_inverse(F.col("x"), F.col("y"))
+    out = G.reproject(t, ["row", "col"], lon, lat, source, -81.0, 39.5, 0.001, -0.001, height, width)
+    return out.select("row", "col", S.round_even(F.col("z"), 4).alias("z"))
+
+
 def _shape(g: DataFrame) -> tuple[int, int]:
     """Height and width of a raster; 0 and 0 if it is empty."""
     row, col = g.agg(F.max("row"), F.max("col")).first()
@@ -53,6 +72,22 @@ def grid_dilate(spark: SparkSession, folder: str) -> DataFrame:
     return G.dilate(g.where("z > 25").select("row", "col"), 2, *_shape(g))
 
 
+def grid_dilate_far(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells within 100 moves of the highest ones, and whether they lie within
+    60 cells as the crow flies."""
+    g = grid(spark, folder)
+    top = g.where("z > 43").select("row", "col")
+    near = G.dilate(top, 60, *_shape(g), round=True).withColumn("near", F.lit(True))
+    return G.dilate(top, 100, *_shape(g)).join(near, ["row", "col"], "left").select("row", "col", F.coalesce("near", F.lit(False)).alias("near"))
+
+
+def grid_distance(spark: SparkSession, folder: str) -> DataFrame:
+    """How far every cell is from the lowest ones, in metres."""
+    g = grid(spark, folder)
+    d = G.distances(g.where("z < -33").select("row", "col"), *_shape(g))
+    return d.select("row", "col", S.round_even(F.col("distance") * 10, 6).alias("distance"))
+
+
 def grid_flatten(spark: SparkSession, folder: str) -> DataFrame:
     g = grid(spark, folder).withColumn("lake", F.col("z") < -10)
     return G.flatten(g, "lake").select("row", "col", S.round_even(F.col("z"), 6).alias("z"), "lake")
@@ -159,7 +194,7 @@ def simplified_line(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def representative_points(spark: SparkSession, folder: str) -> DataFrame:
-    """Of every polygon, whether its point lies inside."""
+    """Of every polygon, whether its point lies inside, and not in its hole."""
     p = vector.representative_point(polygons(spark, folder)).withColumnRenamed("poly", "id")
     own = vector.contains(p, polygons(spark, folder)).where("id = poly").select("id", F.lit(True).alias("inside"))
     return p.select("id").join(own, "id", "left").select(F.col("id").alias("poly"), F.coalesce("inside", F.lit(False)).alias("inside"))
@@ -446,7 +481,9 @@ SELECT row, col, r, g, b, a FROM (SELECT row, col, CAST(least(255, floor(t * 256
 
 
 def legend_stops(spark: SparkSession, folder: str) -> DataFrame:
-    return render.legend(spark)
+    """The legend's stops with the number of parts by size that each colours."""
+    part = table(spark, folder, "part").select(render.stop_index(F.col("p_size") / 50.0).alias("i"))
+    return render.legend(spark).join(part.groupBy("i").agg(F.count("*").alias("parts")), "i")
 
 
 def dem_pack(spark: SparkSession, folder: str) -> DataFrame:
@@ -509,7 +546,15 @@ SQL: dict[str, str] = {
     "grid_slope": f"WITH {_NEIGHBOURS} SELECT row, col, {_q('sqrt(dx * dx + dy * dy) * 100', 4)} AS slope FROM d",
     "grid_bilinear": f"WITH g AS ({GRID_SQL}), {_DIM}, p AS (SELECT id, y / 20 AS r, x / 160 AS c FROM ({fill(POINTS)}), dim WHERE y / 20 BETWEEN 0 AND hh - 1 AND x / 160 BETWEEN 0 AND ww - 1) SELECT id, {_q('z', 6)} AS z FROM {bilinear_sql('p', 'id')}",
     "grid_warp": f"WITH g AS ({GRID_SQL}), {_DIM}, p AS (SELECT * FROM (SELECT row, col, row * 0.75::DOUBLE + col * 0.25::DOUBLE AS r, col * 0.75::DOUBLE - 3.5::DOUBLE AS c, hh - 1 AS lr, ww - 1 AS lc FROM g, dim) WHERE r BETWEEN 0 AND lr AND c BETWEEN 0 AND lc) SELECT row, col, {_q('z', 6)} AS z FROM {bilinear_sql('p', 'row, col')}",
+    "grid_reproject": f"""
+WITH g AS ({GRID_SQL}), dim AS (SELECT max(row) + 1 AS hh, max(col) + 1 AS ww FROM g), m AS (SELECT * FROM ({fill(TILES)}) WHERE z IS NOT NULL),
+t AS (SELECT row, col, (degrees(2 * atan(exp((4789000 - row * 150.0::DOUBLE) / 6378137::DOUBLE)) - pi() / 2) - 39.5::DOUBLE) / -0.001::DOUBLE - 0.5::DOUBLE AS r, (degrees((col * 150.0::DOUBLE - 9017100) / 6378137::DOUBLE) + 81) / 0.001::DOUBLE - 0.5::DOUBLE AS c FROM g WHERE row < 90),
+n AS (SELECT t.row, t.col, CAST(floor(r) AS INT) + i AS mr, CAST(floor(c) AS INT) + j AS mc, (CASE i WHEN 1 THEN r - floor(r) ELSE 1 - r + floor(r) END) * (CASE j WHEN 1 THEN c - floor(c) ELSE 1 - c + floor(c) END) AS w
+  FROM t, dim, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS k(i, j) WHERE r BETWEEN -0.5 AND hh - 0.5 AND c BETWEEN -0.5 AND ww - 0.5)
+SELECT row, col, {_q('arg_max(v, place)', 4)} AS z FROM (SELECT n.row, n.col, place, sum(w * z) / sum(w) AS v FROM n JOIN m ON m.row = mr AND m.col = mc WHERE w > 0 GROUP BY ALL) GROUP BY row, col""",
     "grid_dilate": f"WITH g AS ({GRID_SQL}), s AS (SELECT row, col FROM g WHERE z > 25) SELECT DISTINCT g.row, g.col FROM g JOIN s ON abs(g.row - s.row) + abs(g.col - s.col) <= 2",
+    "grid_dilate_far": f"WITH g AS ({GRID_SQL}), s AS (SELECT row, col FROM g WHERE z > 43), d AS (SELECT g.row, g.col, min(abs(g.row - s.row) + abs(g.col - s.col)) AS a, min((g.row - s.row) ** 2 + (g.col - s.col) ** 2) AS b FROM g, s GROUP BY ALL) SELECT row, col, b <= 3600 AS near FROM d WHERE a <= 100 OR b <= 3600 AND a <= 100",
+    "grid_distance": f"WITH g AS ({GRID_SQL}), s AS (SELECT row, col FROM g WHERE z < -33) SELECT g.row, g.col, {_q('sqrt(min((g.row - s.row) ** 2 + (g.col - s.col) ** 2)) * 10', 6)} AS distance FROM g, s GROUP BY ALL",
     "grid_flatten": f"WITH g AS ({GRID_SQL}) SELECT row, col, {_q('CASE WHEN z < -10 THEN (SELECT median(z) FROM g WHERE z < -10) ELSE z END', 6)} AS z, z < -10 AS lake FROM g",
     "grid_masks": f"WITH g AS ({GRID_SQL}), s AS (SELECT row, col FROM g WHERE z < -20), n AS (SELECT DISTINCT g.row, g.col FROM g JOIN s ON abs(g.row - s.row) + abs(g.col - s.col) <= 1) SELECT row, CAST(count(*) AS BIGINT) AS cells FROM n JOIN g USING (row, col) WHERE NOT z < -20 GROUP BY row",
     "pip_points": f"SELECT id, poly FROM ({fill(POINTS)}), {EDGE_SQL} WHERE {_CROSS} GROUP BY id, poly HAVING count(*) % 2 = 1",
@@ -587,7 +632,7 @@ SELECT src, dst FROM e JOIN c ON c.node = e.src WHERE label = (SELECT label FROM
     + ", ".join(f"(SELECT {_q('seconds / 60 * 1.4::DOUBLE', 1)} FROM times t WHERE t.node = snap.node AND dest = '{d}') AS drive_{d}_min" for d in ("grocery", "hospital"))
     + " FROM snap",
     "heat_rgba": _heat_sql(),
-    "legend_stops": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {i}::DOUBLE / 23, {r}, {g}, {b})" for i, (r, g, b) in enumerate(render.LEGEND)) + ") AS t(i, frac, r, g, b)",
+    "legend_stops": "SELECT t.*, n.parts FROM (SELECT CAST(floor((p_size / 50.0::DOUBLE) ** 2 * 23 + 0.5) AS INT) AS i, CAST(count(*) AS BIGINT) AS parts FROM part GROUP BY 1) n JOIN (VALUES " + ", ".join(f"({i}, {i}::DOUBLE / 23, {r}, {g}, {b})" for i, (r, g, b) in enumerate(render.LEGEND)) + ") AS t(i, frac, r, g, b) USING (i)",
     "dem_pack": f"SELECT row, col, round_even((z + 1000) * 10, 0) / 10 AS z FROM ({GRID_SQL})",
     "strided_sample": "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) SELECT o_orderkey FROM o WHERE i % greatest(1, n // 120) = 0 ORDER BY i LIMIT 120",
     "chunk_sizes": "SELECT CAST(c - 1 AS INT) AS chunk, CAST(count(*) AS BIGINT) AS n, min(o_orderkey) AS first FROM (SELECT o_orderkey, ntile(56) OVER (ORDER BY o_orderkey) AS c FROM orders) GROUP BY c",
@@ -597,8 +642,8 @@ SELECT src, dst FROM e JOIN c ON c.node = e.src WHERE label = (SELECT label FROM
 QUERIES = {
     f.__name__: f
     for f in (
-        grid_slope, grid_bilinear, grid_warp, buffered_points, lake_samples, union_points, extent_points, config_bounds, simplified_line, representative_points,
-        polygon_nearest, forward_view, road_graph, dem_lookup, grid_dilate, grid_flatten, grid_masks, pip_points, rasterize_last_wins, rasterize_fill, lattice_points, data_bounds,
+        grid_slope, grid_bilinear, grid_warp, grid_reproject, buffered_points, lake_samples, union_points, extent_points, config_bounds, simplified_line, representative_points,
+        polygon_nearest, forward_view, road_graph, dem_lookup, grid_dilate, grid_dilate_far, grid_distance, grid_flatten, grid_masks, pip_points, rasterize_last_wins, rasterize_fill, lattice_points, data_bounds,
         boundary_distance, polygon_distance, within_distance_count, openness_argmax, nearest_snap, utm_forward, utm_round_trip, mercator_forward,
         los_visible, los_browser_steps, los_agreement, inspector_totals, cumulative_view, viewshed_sweep, edge_speed_fill, drive_times, drive_pivot,
         heat_rgba, legend_stops, dem_pack, strided_sample, chunk_sizes, geojson_export, json_config,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import time
 import urllib.parse
@@ -29,17 +30,24 @@ def opened(url: str, form: dict[str, str] | None = None, attempts: int = 4, wait
     raise ValueError("attempts must be positive")
 
 
-def download(spark: SparkSession, url: str, path: str, **how) -> str:
+def download(spark: SparkSession, url: str, path: str, attempts: int = 4, wait: float = 5.0, **how) -> str:
     """Copy ``url`` to the file ``path`` in pieces, unless it is there; it gets
-    its name when it is complete, so that a broken download leaves none."""
-    if not tables.exists(spark, path):
-        with opened(url, **how) as answer, tables.replaced(spark, path) as out:
-            whole, got = answer.headers.get("Content-Length"), 0
-            while piece := answer.read(CHUNK):
-                out.write(piece)
-                got += len(piece)
-            if whole and got != int(whole):
-                raise OSError(f"{got} of {whole} bytes of {url}")
+    its name when it is complete, so that a broken download leaves none and is
+    tried again from the beginning."""
+    for i in range(attempts if not tables.exists(spark, path) else 0):
+        try:
+            with opened(url, attempts=1, **how) as answer, tables.replaced(spark, path) as out:
+                whole, got = answer.headers.get("Content-Length"), 0
+                while piece := answer.read(CHUNK):
+                    out.write(piece)
+                    got += len(piece)
+                if whole and got != int(whole):
+                    raise OSError(f"{got} of {whole} bytes of {url}")
+            break
+        except (OSError, http.client.HTTPException):
+            if i + 1 == attempts:
+                raise
+            time.sleep(wait)
     return path
 
 

@@ -2,24 +2,63 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.functions.scalar import round_even
+from ridgeline.operators.sampling import numbered
 
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 
 
+#: Bytes of a file's beginning that show how its features begin.
+HEAD = 1 << 16
+
+
+def _feature(properties: T.StructType) -> T.StructType:
+    geometry = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))])
+    return T.StructType([T.StructField("properties", properties), T.StructField("geometry", geometry)])
+
+
+def _drawn(f: Column) -> Column:
+    return f["geometry"].isNotNull() & (F.size(f["geometry"]["coordinates"]) > 0)
+
+
+def _opening(spark: SparkSession, path: str) -> str | None:
+    """How a collection's features begin, letter by letter, if with their type."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(conf).open(p)
+    try:
+        head = bytes(stream.readNBytes(HEAD)).decode("utf-8", "replace")
+    finally:
+        stream.close()
+    found = re.search(r'"features"\s*:\s*\[\s*(\{\s*"type"\s*:\s*"Feature")', head)
+    return found[1] if found else None
+
+
 def read_features(spark: SparkSession, path: str, properties: T.StructType) -> DataFrame:
     """Properties and ``rings`` of a collection's polygons, in file order as a
-    dense ``idx``; features without geometry are dropped before numbering."""
-    geometry = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))])
-    feature = T.StructType([T.StructField("properties", properties), T.StructField("geometry", geometry)])
-    schema = T.StructType([T.StructField("features", T.ArrayType(feature))])
-    whole = spark.read.schema(schema).json(path, multiLine=True)
-    kept = F.filter("features", lambda f: f["geometry"].isNotNull() & (F.size(f["geometry"]["coordinates"]) > 0))
-    rows = whole.select(F.posexplode(kept).alias("idx", "f"))
+    dense ``idx``; features without geometry are dropped before numbering.
+
+    Where features begin with their type, as writers have it, the file is split
+    where they begin, so that many tasks read it; the beginning is never part of
+    a text, as quotes in texts are escaped, and must not open an object inside a
+    feature.  A collection that begins its features otherwise is one row.
+    """
+    opening = _opening(spark, path)
+    if opening is None:
+        whole = spark.read.schema(T.StructType([T.StructField("features", T.ArrayType(_feature(properties)))])).json(path, multiLine=True)
+        rows = whole.select(F.posexplode(F.filter("features", _drawn)).alias("idx", "f"))
+    else:
+        parts = spark.read.option("lineSep", opening).text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("at"))
+        parts = parts.where(~F.ltrim("value").startswith("{"))  # what comes before the first feature
+        # what follows a feature's end is not read
+        rows = parts.select("at", F.from_json(F.concat(F.lit(opening), "value"), _feature(properties)).alias("f")).where(_drawn(F.col("f")))
+        rows = numbered(rows, "at").withColumn("idx", F.col("idx").cast("int"))
     rings = F.transform("f.geometry.coordinates", lambda r: F.transform(r, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))))
     return rows.select("idx", "f.properties.*", rings.alias("rings"))
 

@@ -12,6 +12,7 @@ filter, so Spark filters what it holds.
 
 from __future__ import annotations
 
+import http.client
 import json
 import time
 import urllib.parse
@@ -69,7 +70,7 @@ class PagedReader(DataSourceReader):
             try:
                 with urllib.request.urlopen(target, timeout=60) as answer:
                     return json.load(answer)
-            except OSError:
+            except (OSError, ValueError, http.client.HTTPException):  # broken answers too
                 if i + 1 == self.attempts:
                     raise
                 time.sleep(self.wait)

@@ -160,6 +160,25 @@ def test_geojson_and_config(spark, tmp_path):
     assert [(r.outer, len(r.way)) for r in geojson.relation_ways(doc).collect()] == [(True, 2)]
 
 
+def test_collections_are_read_in_splits(spark, tmp_path):
+    """Many tasks, file order, texts that hold a feature's beginning, nulls."""
+    ring = [[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 0.0]]
+    made = [{"type": "Feature", "properties": {"n": f'{i} {{"type": "Feature" é' * (1 + i % 3)}, "geometry": {"type": "Polygon", "coordinates": [ring]} if i % 5 else None} for i in range(3000)]
+    for k, indent in enumerate((None, 1)):
+        (tmp_path / f"{k}.json").write_text(json.dumps({"type": "FeatureCollection", "features": made}, indent=indent, ensure_ascii=False))
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+        try:
+            df = geojson.read_features(spark, f"file://{tmp_path}/{k}.json", T.StructType([T.StructField("n", T.StringType())]))
+            got = df.orderBy("idx").collect()
+            text = spark.read.option("lineSep", geojson._opening(spark, f"file://{tmp_path}/{k}.json")).text(f"file://{tmp_path}/{k}.json")
+            assert text.rdd.getNumPartitions() > 5
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        kept = [f for f in made if f["geometry"]]
+        assert [(r.idx, r.n, len(r.rings[0])) for r in got] == [(i, f["properties"]["n"], 4) for i, f in enumerate(kept)]
+
+
 def test_paged_source(spark, tmp_path):
     rows = [{"properties": {"OBJECTID": i, "name": f"p{i}"}} for i in range(25)]
     (tmp_path / "count.json").write_text(json.dumps({"count": 25}))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.operators import chains, planar, ranking, render, routing, space, vector, visibility, zonal
+from ridgeline.operators import chains, grid, planar, ranking, render, routing, space, vector, visibility, zonal
 from ridgeline.sources import fetch, paged, tables
 
 RES = 10.0
@@ -148,6 +148,29 @@ def test_rasters_are_gathered_up_to_their_bound(spark, monkeypatch):
         visibility.raster(frame(spark, np.zeros((5, 5))), 5, 5)
 
 
+@pytest.mark.parametrize("round_", [False, True])
+def test_dilation_and_distances_match_plain_loops(spark, round_):
+    r = random.Random(12)
+    for n, steps in ((1, 3), (25, 4), (60, 0), (9, 40)):
+        given = [(r.randrange(22), r.randrange(30)) for _ in range(n)] + [(0, 0)]
+        cells = spark.createDataFrame(given, "row int, col int")
+        off = (lambda a, b: (a * a + b * b) ** 0.5) if round_ else (lambda a, b: abs(a) + abs(b))
+        far = {(i, j): min(off(i - a, j - b) for a, b in given) for i in range(22) for j in range(30)}
+        got = [tuple(x) for x in grid.dilate(cells, steps, 22, 30, round_).select("row", "col").collect()]
+        assert len(got) == len(set(got)) and set(got) == {k for k, v in far.items() if v <= steps}
+        if round_:
+            assert {(x.row, x.col): x.distance for x in grid.distances(cells, 22, 30).collect()} == pytest.approx(far)
+    none = spark.createDataFrame([], "row int, col int")
+    assert grid.dilate(none, 3, 22, 30).count() == grid.distances(none, 22, 30).count() == 0
+
+
+def test_gaps_of_weight_zero_do_not_count(spark):
+    g = spark.createDataFrame([(0, 0, 1.0), (0, 1, 3.0), (1, 0, None), (1, 1, None)], "row int, col int, z double")
+    p = spark.createDataFrame([(1, 0.0, 0.5), (2, 0.5, 0.5), (3, 0.0, 1.0)], "id int, r double, c double")
+    got = {x.id: x.z for x in grid.bilinear(grid.corners(p, F.col("r"), F.col("c"), 2, 2), ["id"], g).collect()}
+    assert got == {1: 2.0, 2: None, 3: 3.0}
+
+
 def test_polygon_of_many_edges(spark):
     """Inner tiles are decided whole, the others by the edges of their band."""
     n = 400
@@ -227,6 +250,44 @@ def test_rings_at_branches_crossings_and_in_holes(spark):
     assert planar.polygonise(ways_frame(spark, []), "g").count() == 0
 
 
+def test_thinned_polygons_share_their_borders(spark):
+    """Zones of a lattice with ragged borders, one of them an island: the area
+    stays whole, every inner edge has two owners, and nothing crosses."""
+    r = random.Random(3)
+    n, zone = 24, {}
+    for i in range(n):
+        cutoff = n // 2 + r.randrange(-2, 3)
+        for j in range(n):
+            zone[i, j] = 1 if j < cutoff else 2
+    for i in range(n // 2 + r.randrange(-1, 2), n):
+        for j in range(n):
+            zone[i, j] += 2
+    zone |= {(i, j): 9 for i in range(3, 8) for j in range(2, 6)} | {(20, 2): 7}
+    rows = []
+    for (i, j), z in zone.items():
+        for a, b, di, dj in (((j, i), (j + 1, i), -1, 0), ((j + 1, i), (j + 1, i + 1), 0, 1), ((j + 1, i + 1), (j, i + 1), 1, 0), ((j, i + 1), (j, i), 0, -1)):
+            if zone.get((i + di, j + dj)) != z:
+                rows.append((z, *map(float, a), *map(float, b)))
+    edge = spark.createDataFrame(rows, "poly int, x1 double, y1 double, x2 double, y2 double")
+    got = planar.thin(edge, 1.6).collect()
+    owners = {}
+    for e in got:
+        owners.setdefault((e.x1, e.y1, e.x2, e.y2), []).append(e.poly)
+    outer = lambda k: k[0] == k[2] in (0, n) or k[1] == k[3] in (0, n)
+    assert all(len(v) == (1 if outer(k) else 2) for k, v in owners.items()) and len(got) < len(rows) / 3
+    inside = lambda p, x, y: sum((e.y1 > y) != (e.y2 > y) and x < (e.x2 - e.x1) * (y - e.y1) / (e.y2 - e.y1) + e.x1 for e in got if e.poly == p) % 2
+    for _ in range(400):
+        x, y = r.uniform(0, n), r.uniform(0, n)
+        assert sum(inside(p, x, y) for p in set(zone.values())) == 1
+    assert sum(e.poly == 7 for e in got) == 4  # a ring keeps its points
+    side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    ks = list(owners)
+    for m, s in enumerate(ks):
+        for t in ks[:m]:
+            a, b, c, d = s[:2], s[2:], t[:2], t[2:]
+            assert not (side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0)
+
+
 def squares(spark, rows):
     """Edge table of boxes (poly, x, y, width, height)."""
     out = []
@@ -458,6 +519,18 @@ def test_files_are_published_whole(spark, tmp_path):
         tables.publish(spark, text, path)
         assert (tmp_path / "a/b.txt").read_bytes() == text
     assert [p.name for p in (tmp_path / "a").iterdir() if "part" in p.name and not p.name.endswith(".crc")] == []
+    (tmp_path / "d").mkdir()
+    with pytest.raises(OSError, match="folder"):
+        tables.publish(spark, b"x", f"file://{tmp_path}/d")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(tables, "_put", lambda *a: (_ for _ in ()).throw(OSError("no rename")))
+        tables_before = b"as it was"
+        (tmp_path / "a/b.txt").write_bytes(tables_before)
+        (tmp_path / "a/.b.txt.crc").unlink(missing_ok=True)
+        with pytest.raises(OSError, match="no rename"):
+            tables.publish(spark, b"new", path)
+        assert (tmp_path / "a/b.txt").read_bytes() == tables_before
+    assert sorted(p.name for p in tmp_path.rglob("*part*") if not p.name.endswith(".crc")) == []
     with pytest.raises(ValueError, match="one row"):
         tables.write_metadata(spark.range(2), f"file://{tmp_path}/m.json")
 
