@@ -281,7 +281,7 @@ def fit(rows: DataFrame, prior: float) -> Model:
     for _ in range(EPOCHS):
         now = spark.sparkContext.broadcast((w, theta))
         total = made.treeAggregate(np.zeros(len(w) + 6, np.int64), lambda acc, b, now=now: acc + b.gradient(*now.value), lambda a, b: a + b) / 2.0**FIXED
-        now.unpersist()
+        now.destroy()
         g = total[: len(w)] - 0.01 * w
         g[-1] = 0
         grad2 += g * g
@@ -290,6 +290,7 @@ def fit(rows: DataFrame, prior: float) -> Model:
         grad2t += gt * gt
         theta = theta + 0.2 * gt / np.sqrt(grad2t)
     made.unpersist()
+    shared.destroy()
     weights = np.zeros(1 << BITS, np.float32)
     weights[used] = w[:-1]
     model = Model(weights, theta[:4].reshape(2, 2).copy(), float(theta[4]), np.zeros(6))
