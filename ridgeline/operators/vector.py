@@ -118,22 +118,23 @@ def rasterise(cells: DataFrame, edge: DataFrame, cell: float = 1000.0) -> DataFr
 
 
 def touched(edge: DataFrame, res: float = 1.0, room: float = 0.0) -> DataFrame:
-    """(row, col, poly) of the unit cells that a polygon's edges touch, or come
-    as near as ``room`` to; cell (r, c) covers [c, c + 1) x [r, r + 1) times
-    ``res``."""
-    e = edge.select("poly", *[(F.col(c) / res).alias(c) for c in ("x1", "y1", "x2", "y2")])
-    lo, hi = (lambda a, b: F.floor(F.least(a, b) - room)), (lambda a, b: F.floor(F.greatest(a, b) + room))
+    """(row, col, poly) of the cells that a polygon's edges touch, their borders
+    included, or come as near as ``room`` cells to; cell (r, c) covers [c, c + 1]
+    x [r, r + 1] times ``res``.
+
+    An edge touches a cell whose box it reaches and whose corners are not all on
+    one side of it; no place along the edge is computed, so that corners on an
+    edge are found exactly.
+    """
+    lo = lambda a, b: F.ceil(F.least(a, b) / res - room) - 1
+    hi = lambda a, b: F.floor(F.greatest(a, b) / res + room)
+    e = edge.select("poly", "x1", "y1", "x2", "y2")
     e = e.withColumn("col", F.explode(F.sequence(lo("x1", "x2"), hi("x1", "x2")))).withColumn("row", F.explode(F.sequence(lo("y1", "y2"), hi("y1", "y2"))))
+    left, right, low, high = ((F.col(c) + d) * res for c, d in (("col", -room), ("col", 1 + room), ("row", -room), ("row", 1 + room)))
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-
-    def clip(start: Column, d: Column, low: Column) -> tuple[Column, Column]:
-        low, high = low - room, low + 1 + room
-        t1, t2 = (low - start) / F.nullif(d, F.lit(0.0)), (high - start) / F.nullif(d, F.lit(0.0))
-        free = (start >= low) & (start <= high)
-        return F.coalesce(F.least(t1, t2), F.when(free, 0.0).otherwise(2.0)), F.coalesce(F.greatest(t1, t2), F.when(free, 1.0).otherwise(-1.0))
-
-    (a1, b1), (a2, b2) = clip(F.col("x1"), dx, F.col("col")), clip(F.col("y1"), dy, F.col("row"))
-    meets = F.greatest(a1, a2, F.lit(0.0)) <= F.least(b1, b2, F.lit(1.0))
+    sides = [dx * (y - F.col("y1")) - dy * (x - F.col("x1")) for x in (left, right) for y in (low, high)]
+    meets = (F.greatest("x1", "x2") >= left) & (F.least("x1", "x2") <= right) & (F.greatest("y1", "y2") >= low) & (F.least("y1", "y2") <= high)
+    meets = meets & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
     return e.where(meets).select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "poly").distinct()
 
 
