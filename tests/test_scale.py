@@ -1,6 +1,8 @@
 """What larger tables showed: borders, reach of searches, sizes of results."""
 
-from ridgeline.operators import vector
+from pyspark.sql import functions as F
+
+from ridgeline.operators import vector, visibility
 
 
 def box(spark, x1, y1, x2, y2, poly=1):
@@ -13,3 +15,19 @@ def test_edges_on_a_border_touch_the_cells_of_both_sides(spark):
     assert {(r.row, r.col) for r in got.collect()} == {(1, 1), (1, 2)}
     got = vector.touched(box(spark, 510, 250, 740, 490), 250.0)
     assert {(r.row, r.col) for r in got.collect()} == {(0, 2), (1, 2)}
+
+
+def test_rays_of_many_rows_and_hidden_ones_end_early(spark):
+    """Rows beyond 46,340, whose squared distance is no integer; both forms of
+    the march agree, and of what lies beyond the limit only that is known."""
+    rows = [(0, 0, 60_000, 0), (0, 0, 30, 0), (0, 1, 25, 1), (0, 0, 7, 1), (0, 1, 90, 0)]
+    pairs = spark.createDataFrame(rows, "orow int, ocol int, trow int, tcol int")
+    grid = spark.range(0, 60_001).select(F.col("id").cast("int").alias("row"), F.explode(F.array(F.lit(0), F.lit(1))).alias("col"), (F.col("id") % 7 * 2.5).alias("z"))
+    keys = ["orow", "ocol", "trow", "tcol"]
+    look = lambda some, m: sorted(visibility.sight(some, keys, grid, 60_001, 2, F.lit(30.0), F.lit(15.0), most=m).collect())
+    got = look(pairs, visibility.RASTER_BYTES)
+    assert {r.trow: r.visible for r in got}[60_000] is False and any(r.visible for r in got)
+    near = pairs.where("trow < 100")
+    assert look(near, 0) == look(near, visibility.RASTER_BYTES) == [r for r in got if r.trow < 100]
+    whole, part = ({tuple(r[:4]): r.required for r in visibility.required_by_rays(pairs, keys, grid, 60_001, 2, F.lit(30.0), F.lit(0.0), limit=m).collect()} for m in (float("inf"), 8.0))
+    assert len(whole) == 5 and all(part[k] == v if v <= 8 else 8 < part[k] <= v for k, v in whole.items())
