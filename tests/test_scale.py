@@ -1,5 +1,6 @@
 """What larger tables showed: borders, reach of searches, sizes of results."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ridgeline.operators import vector, visibility
@@ -31,3 +32,54 @@ def test_rays_of_many_rows_and_hidden_ones_end_early(spark):
     assert look(near, 0) == look(near, visibility.RASTER_BYTES) == [r for r in got if r.trow < 100]
     whole, part = ({tuple(r[:4]): r.required for r in visibility.required_by_rays(pairs, keys, grid, 60_001, 2, F.lit(30.0), F.lit(0.0), limit=m).collect()} for m in (float("inf"), 8.0))
     assert len(whole) == 5 and all(part[k] == v if v <= 8 else 8 < part[k] <= v for k, v in whole.items())
+
+
+def test_sweeps_end_where_nothing_is_seen(spark, monkeypatch):
+    """Thirty tiles in a row behind a wall; a sweep of them all has thirty waves."""
+    z = np.random.default_rng(5).normal(0, 2, (120, 4))
+    z[20] += 60
+    z[4] += 60
+    grid = spark.createDataFrame([(i, j, float(z[i, j])) for i in range(120) for j in range(4)], "row int, col int, z double")
+    calls, cut = [], visibility.cut
+    monkeypatch.setattr(visibility, "cut", lambda df: calls.append(1) or cut(df))
+    obs = spark.createDataFrame([(0, 12, 1, 2.0)], "obs_id long, row int, col int, eye double")
+    targets = grid.select((F.col("row").cast("long") * 4 + F.col("col")).alias("pt_id"), "row", "col")
+    got = {r.pt_id: r.visible for r in visibility.forward_views(obs, targets, grid, tile=4).collect()}
+    need = visibility.sweep(z, 12, 1, z[12, 1] + 2.0, 10.0).ravel()
+    assert got == {i: bool(0 <= v <= visibility.TARGET_HEIGHT) for i, v in enumerate(need)} and any(got.values())
+    assert len(calls) < 30
+
+
+def test_counts_of_crowded_tiles_shared_out(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    pts = [(i, float(a), float(b)) for i, (a, b) in enumerate([*r.integers(0, 60, (400, 2)), *[(7, 7)] * 300])]
+    x, y = (np.array([p[k] for p in pts]) for k in (1, 2))
+    want = (np.subtract.outer(x, x) ** 2 + np.subtract.outer(y, y) ** 2 < 400).sum(axis=1)
+    assert (vector._counted(x, y, x, y, 20.0) == want).all()
+    monkeypatch.setattr(vector, "CROWD", 100)
+    got = vector.count_within(spark.createDataFrame(pts, "id long, x double, y double"), 20.0).collect()
+    assert {r.id: r.n for r in got} == dict(enumerate(want.tolist()))
+
+
+def test_long_edges_are_searched_by_their_stretches(spark, monkeypatch):
+    """A point meets few of many long edges; a tile inside a polygon is enough
+    for its points."""
+    r = np.random.default_rng(4)
+    lines = [(i, *map(float, (*a, *(a + d)))) for i, (a, d) in enumerate(zip(r.uniform(0, 1000, (600, 2)), r.uniform(-300, 300, (600, 2))))]
+    edge = spark.createDataFrame(lines, "poly int, x1 double, y1 double, x2 double, y2 double")
+    pts = [(i, *map(float, p)) for i, p in enumerate(r.uniform(0, 1000, (200, 2)))]
+    points = spark.createDataFrame(pts, "id long, x double, y double")
+    e = np.array(lines)[:, 1:]
+    d = e[:, 2:] - e[:, :2]
+    def least(p):
+        t = np.clip(((p - e[:, :2]) * d).sum(axis=1) / (d * d).sum(axis=1), 0, 1)
+        return np.hypot(*(e[:, :2] + t[:, None] * d - p).T).min()
+    got = {r.id: r.distance for r in vector.boundary_distance(points, edge).collect()}
+    assert all(abs(got[i] - least(np.array(p))) < 1e-9 for i, *p in pts) and len(got) == 200
+    squares = box(spark, 0, 0, 800, 800).union(box(spark, 100, 100, 900, 900, 2))
+    met = []
+    inside = vector._Tiles.inside
+    monkeypatch.setattr(vector._Tiles, "inside", lambda self, at, keys, without=None: (met.append(at.count()) if "id" in keys else None) or inside(self, at, keys, without))
+    got = {r.id: r.inside for r in vector.inside_any(points, squares).collect()}
+    assert got == {i: 0 < x < 800 and 0 < y < 800 or 100 < x < 900 and 100 < y < 900 for i, x, y in pts}
+    assert met[0] < 300  # of 400 pairs
