@@ -102,13 +102,14 @@ def inside_any(points: DataFrame, edge: DataFrame, id_col: str = "id") -> DataFr
     return points.join(held, id_col, "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
-def _held(p: DataFrame, edge: DataFrame) -> DataFrame:
-    """(id) of points (id, x, y) inside some polygon.  Tiles are so small that
-    boxes of polygons have sixteen on average.  Of the tiles that lie in a polygon
+def _held(p: DataFrame, edge: DataFrame, cell: float | None = None) -> DataFrame:
+    """(id) of points (id, x, y) inside some polygon.  Tiles are, by default, so
+    small that boxes of polygons have sixteen on average.  Of the tiles that lie in a polygon
     as a whole, one is enough for the points in it; only the others meet edges."""
     box = F.col("bx2") - F.col("bx1"), F.col("by2") - F.col("by1")
-    mean = boxes(edge).agg(F.avg(box[0] * box[1])).first()[0]
-    cell = (mean / 16) ** 0.5 if mean else 1000.0
+    if cell is None:
+        mean = boxes(edge).agg(F.avg(box[0] * box[1])).first()[0]
+        cell = (mean / 16) ** 0.5 if mean else 1000.0
     tiles = _Tiles(edge, cell)
     p = p.withColumn("tx", F.floor(F.col("x") / cell)).withColumn("ty", F.floor(F.col("y") / cell))
     full = cut(tiles.whole().select("tx", "ty").distinct().withColumn("full", F.lit(True)))
@@ -117,11 +118,11 @@ def _held(p: DataFrame, edge: DataFrame) -> DataFrame:
     return p.where("full").select("id").union(near.select("id")).distinct()
 
 
-def within(points: DataFrame, edge: DataFrame, distance: float, id_col: str = "id") -> DataFrame:
+def within(points: DataFrame, edge: DataFrame, distance: float, id_col: str = "id", cell: float | None = None) -> DataFrame:
     """Ids of points in the polygons widened by ``distance``: inside one, or
     that near to an edge; if it is negative, in the polygons drawn in by it:
     inside one and farther than that from every edge."""
-    inner = _held(points.select(F.col(id_col).alias("id"), "x", "y"), edge).select(F.col("id").alias(id_col))
+    inner = _held(points.select(F.col(id_col).alias("id"), "x", "y"), edge, cell).select(F.col("id").alias(id_col))
     near = boundary_distance(points, edge, id_col, reach=abs(distance)).select(id_col)
     return inner.union(near).distinct() if distance >= 0 else inner.join(near, id_col, "left_anti")
 
