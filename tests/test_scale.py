@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ridgeline.operators import vector, visibility
+from ridgeline.streaming import listings
 
 
 def box(spark, x1, y1, x2, y2, poly=1):
@@ -83,3 +84,15 @@ def test_long_edges_are_searched_by_their_stretches(spark, monkeypatch):
     got = {r.id: r.inside for r in vector.inside_any(points, squares).collect()}
     assert got == {i: 0 < x < 800 and 0 < y < 800 or 100 < x < 900 and 100 < y < 900 for i, x, y in pts}
     assert met[0] < 300  # of 400 pairs
+
+
+def test_streams_store_listings_and_not_pairs(spark, monkeypatch):
+    """Forty listings and thirty parcels of one address; arrays of eight."""
+    said = spark.createDataFrame([*[("1 Main St.", f"${i}", f"u{i}") for i in range(40)], ("9 Elm", "", "v"), ("", "$1", "w")], "address string, price string, url string")
+    parcels = spark.createDataFrame([*[(i, "1 MAIN ST") for i in range(30)], (90, ""), (91, "2 OAK")], "id int, address string")
+    monkeypatch.setattr(listings, "TOGETHER", 8)
+    known = listings.known_listings(said, parcels, "address")
+    assert known.count() == 40
+    got = listings.listed_parcels(known, parcels, "address", "id")
+    want = listings.match_listings(said, parcels, "address", "id")
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.count() == 1200
