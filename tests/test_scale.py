@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ridgeline.operators import vector, visibility
+from ridgeline.operators import planar, vector, visibility
 from ridgeline.streaming import listings
 
 
@@ -96,3 +96,28 @@ def test_streams_store_listings_and_not_pairs(spark, monkeypatch):
     got = listings.listed_parcels(known, parcels, "address", "id")
     want = listings.match_listings(said, parcels, "address", "id")
     assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.count() == 1200
+
+
+def test_segments_on_one_line_are_cut_as_one(spark, monkeypatch):
+    """Forty level and forty upright segments that overlap: two runs."""
+    rows = [(0, float(i), 5.0, float(i + 9), 5.0) for i in range(40)] + [(0, 7.0, float(i), 7.0, float(i + 9)) for i in range(40)]
+    segs = planar.ordered(spark.createDataFrame(rows, "g int, x1 double, y1 double, x2 double, y2 double"))
+    sizes, met = [], planar._met
+    monkeypatch.setattr(planar, "_met", lambda s, cell: sizes.append(s.count()) or met(s, cell))
+    got = planar.noded(segs).select("x1", "y1", "x2", "y2").distinct().collect()
+    assert sizes == [2]
+    assert {tuple(r) for r in got} == {(float(i), 5.0, float(i + 1), 5.0) for i in range(48)} | {(7.0, float(i), 7.0, float(i + 1)) for i in range(48)}
+
+
+def test_groups_meet_in_squares_of_their_own_size(spark, monkeypatch):
+    """Buffers of thirty polygons in one place are drawn like that of one."""
+    cells, met = [], planar._met
+    monkeypatch.setattr(planar, "_met", lambda s, cell: cells.append(cell) or met(s, cell))
+    lines = [(0.0, 0.0, 90.0, 7.0), (0.0, 50.0, 80.0, 3.0), (10.0, 0.0, 40.0, 60.0)]
+    for n in (1, 30):
+        segs = planar.ordered(spark.createDataFrame([(g, *s) for g in range(n) for s in lines], "g int, x1 double, y1 double, x2 double, y2 double"))
+        assert planar.noded(segs).count() == 9 * n
+    assert abs(cells[0] - cells[1]) < 1e-9
+    points = spark.createDataFrame([(g, g, 5.0, 5.0) for g in range(30)], "id int, g int, x double, y double")
+    edge = box(spark, 0, 0, 10, 10).drop("poly").crossJoin(spark.range(30).select(F.col("id").alias("g"), F.col("id").alias("poly")))
+    assert sorted(tuple(r) for r in vector.decided(points, edge).collect()) == [(g, g) for g in range(30)]
