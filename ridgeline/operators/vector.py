@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions.geo import crosses, segment_distance, segment_square
+from ridgeline.functions.geo import crosses, segment_square
 from ridgeline.operators.space import nearest_items
 from ridgeline.session import cut, importable
 
@@ -26,6 +26,8 @@ CROWD = 200_000
 #: Points, and polygons, of a touched tile that meet in one task, and numbers of
 #: a matrix of points by edges.
 TILE, MATRIX = 4000, 1 << 21
+#: Polygons of either kind whose distances one task measures.
+PAIRED = 1000, 2000
 
 
 def edges(rings: DataFrame, poly: str, ring: str) -> DataFrame:
@@ -264,29 +266,114 @@ def polygon_distance(left: DataFrame, right: DataFrame, reach: float) -> DataFra
     apart than ``reach``; 0 if they meet.
 
     Edges of disjoint polygons are nearest at an end of one of them; meeting
-    is an edge crossing or a first vertex inside the other polygon.  Edges meet
-    in the square buckets of side ``reach`` that both touch, one of them
-    widened by it.
+    is an edge crossing or a first vertex inside the other polygon.  Polygons
+    meet in the square tiles that both boxes touch, one of them widened by
+    ``reach``, and a pair is measured in the one tile that holds the lower
+    corner of what their boxes share; at most ``PAIRED`` of either kind are one
+    task's, and pairs are not shuffled.
     """
-    a = left.select(F.col("poly").alias("a"), *[F.col(c).alias("a" + c) for c in ("x1", "y1", "x2", "y2")])
-    b = right.select(F.col("poly").alias("b"), *[F.col(c).alias("b" + c) for c in ("x1", "y1", "x2", "y2")])
-
-    def dealt(df: DataFrame, n: str, wide: float) -> DataFrame:
-        lo = lambda c: F.floor((F.least(n + c + "1", n + c + "2") - wide) / reach)
-        hi = lambda c: F.floor((F.greatest(n + c + "1", n + c + "2") + wide) / reach)
-        return df.withColumn("tx", F.explode(F.sequence(lo("x"), hi("x")))).withColumn("ty", F.explode(F.sequence(lo("y"), hi("y"))))
-
-    j = dealt(a, "a", 0.0).join(dealt(b, "b", reach), ["tx", "ty"])
-    A1, A2, B1, B2 = (F.col("ax1"), F.col("ay1")), (F.col("ax2"), F.col("ay2")), (F.col("bx1"), F.col("by1")), (F.col("bx2"), F.col("by2"))
-    side = lambda p, q, r: F.signum((q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]))
-    cross = (side(A1, A2, B1) * side(A1, A2, B2) < 0) & (side(B1, B2, A1) * side(B1, B2, A2) < 0)
-    d = F.least(segment_distance(*A1, *B1, *B2), segment_distance(*A2, *B1, *B2), segment_distance(*B1, *A1, *A2), segment_distance(*B2, *A1, *A2))
-    near = j.groupBy("a", "b").agg(F.min(F.when(cross, 0.0).otherwise(d)).alias("distance")).where(F.col("distance") <= reach)
-    first = lambda e: e.groupBy("poly").agg(F.min(F.struct("x1", "y1")).alias("v")).select(F.col("poly").alias("id"), F.col("v.x1").alias("x"), F.col("v.y1").alias("y"))
-    in_b = contains(first(left), right).select(F.col("id").alias("a"), F.col("poly").alias("b"))
-    in_a = contains(first(right), left).select(F.col("poly").alias("a"), F.col("id").alias("b"))
-    met = in_b.union(in_a).withColumn("distance", F.lit(0.0))
-    return near.union(met).groupBy("a", "b").agg(F.min("distance").alias("distance"))
+    importable(left.sparkSession)
+    size = boxes(left.select("poly", "x1", "y1", "x2", "y2").union(right.select("poly", "x1", "y1", "x2", "y2"))).agg(F.avg(F.greatest(F.col("bx2") - F.col("bx1"), F.col("by2") - F.col("by1")))).first()[0]
+    side = max(float(reach), size or 0.0) or 1.0
+
+    def dealt(edge: DataFrame, n: str, wide: float) -> DataFrame:
+        e = edge.groupBy("poly").agg(
+            F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias(n + "e"),
+            *[(g(f(c + "1"), f(c + "2")) + d).alias(n + c + k) for c in "xy" for f, g, d, k in ((F.min, F.least, -wide, "1"), (F.max, F.greatest, wide, "2"))],
+        )
+        tiles = lambda c: F.sequence(F.floor(F.col(n + c + "1") / side), F.floor(F.col(n + c + "2") / side))
+        return e.withColumnRenamed("poly", n).withColumn("tx", F.explode(tiles("x"))).withColumn("ty", F.explode(tiles("y")))
+
+    a, b, keys = cut(dealt(left, "a", 0.0)), cut(dealt(right, "b", reach)), ["tx", "ty"]
+    share = lambda most: F.ceil(F.count("*") / most).cast("int")
+    shares = cut(a.groupBy(*keys).agg(share(PAIRED[0]).alias("mine")).join(b.groupBy(*keys).agg(share(PAIRED[1]).alias("theirs")), keys))  # a row per tile
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = a.join(shares, keys).withColumn("i", part("a", "mine")).withColumn("j", every("theirs")).drop("mine", "theirs")
+    b = b.join(shares, keys).withColumn("j", part("b", "theirs")).withColumn("i", every("mine")).drop("mine", "theirs")
+    keys = [*keys, "i", "j"]
+
+    def run(key: tuple, some: pa.Table, others: pa.Table) -> pa.Table:
+        i, j, d = _apart(_Many(some, "a"), _Many(others, "b"), side, (key[0].as_py(), key[1].as_py()), reach)
+        return pa.table({"a": some.column("a").take(pa.array(i)), "b": others.column("b").take(pa.array(j)), "distance": d})
+
+    kind = lambda df: df.schema["poly"].dataType.simpleString()
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(run, f"a {kind(left)}, b {kind(right)}, distance double")
+
+
+class _Many:
+    """Polygons of a task: boxes, and edges of polygon i from ``first[i]``, ``n[i]``
+    of them."""
+
+    def __init__(self, table: pa.Table, name: str):
+        self.box = np.stack([table.column(name + c).to_numpy() for c in ("x1", "y1", "x2", "y2")])
+        held = table.column(name + "e").combine_chunks()
+        self.n = np.diff(held.offsets.to_numpy())
+        self.first = np.cumsum(self.n) - self.n
+        flat = held.flatten()
+        self.e = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")])
+
+
+def _apart(a: _Many, b: _Many, side: float, tile: tuple[int, int], reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of polygons no farther apart than ``reach`` whose pair
+    belongs to a tile; the boxes of ``b`` are widened by that."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for at in range(0, len(a.n), 64):
+        box = a.box[:, at : at + 64, None]
+        low, high = np.maximum(box[:2], b.box[:2, None]), np.minimum(box[2:], b.box[2:, None])
+        i, j = np.nonzero((low <= high).all(axis=0) & (np.floor(low[0] / side) == tile[0]) & (np.floor(low[1] / side) == tile[1]))
+        i += at
+        for s in _runs(a.n[i] * b.n[j], 1 << 20):
+            d = _distances(a, b, i[s], j[s])
+            near = d <= reach
+            found.append((i[s][near], j[s][near], d[near]))
+    return tuple(np.concatenate(v) for v in zip(*found))
+
+
+def _each(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owners and places of ``n`` things each, and where each owner begins."""
+    first = np.cumsum(n) - n
+    own = np.repeat(np.arange(len(n)), n)
+    return own, np.arange(len(own)) - first[own], first
+
+
+def _distances(a: _Many, b: _Many, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of pairs of polygons; 0 if they meet."""
+    own, at, first = _each(a.n[i] * b.n[j])
+    width = b.n[j][own]
+    p, q = a.first[i][own] + at // width, b.first[j][own] + at % width
+    gap = np.zeros(len(own))
+    for k in (0, 1):
+        lo, hi = (lambda e, w: np.minimum(e[k], e[k + 2])[w]), (lambda e, w: np.maximum(e[k], e[k + 2])[w])
+        g = np.maximum(0.0, np.maximum(lo(a.e, p) - hi(b.e, q), lo(b.e, q) - hi(a.e, p)))
+        gap += g * g
+    # no edges are nearer than their boxes; corners are no nearer than polygons
+    bound = np.minimum.reduceat((a.e[0][p] - b.e[0][q]) ** 2 + (a.e[1][p] - b.e[1][q]) ** 2, first)
+    some = np.flatnonzero(gap <= bound[own] * (1 + 1e-9))
+    own, A, B = own[some], a.e[:, p[some]], b.e[:, q[some]]
+    square = np.minimum.reduce([_square(*A[:2], B), _square(*A[2:], B), _square(*B[:2], A), _square(*B[2:], A)])
+    turn = lambda e, x, y: np.sign((e[2] - e[0]) * (y - e[1]) - (e[3] - e[1]) * (x - e[0]))
+    square[(turn(A, *B[:2]) * turn(A, *B[2:]) < 0) & (turn(B, *A[:2]) * turn(B, *A[2:]) < 0)] = 0.0
+    out = np.sqrt(np.minimum.reduceat(square, np.flatnonzero(np.concatenate([[True], np.diff(own) > 0]))))
+    for one, k, two, m in ((a, i, b, j), (b, j, a, i)):
+        apart = np.flatnonzero(out > 0)
+        x, y = one.e[0][one.first[k[apart]]], one.e[1][one.first[k[apart]]]
+        own, at, first = _each(two.n[m[apart]])
+        if len(own):
+            e = two.e[:, two.first[m[apart]][own] + at]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                hit = ((e[1] > y[own]) != (e[3] > y[own])) & (x[own] < (e[2] - e[0]) * (y[own] - e[1]) / (e[3] - e[1]) + e[0])
+            out[apart[np.add.reduceat(hit.astype(np.int64), first) % 2 == 1]] = 0.0
+    return out
+
+
+def _square(x: np.ndarray, y: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Squared distances from points to edges (``geo.segment_square``)."""
+    dx, dy = e[2] - e[0], e[3] - e[1]
+    length = dx * dx + dy * dy
+    t = np.clip(((x - e[0]) * dx + (y - e[1]) * dy) / np.where(length > 0, length, 1.0), 0.0, 1.0)
+    ex, ey = x - (e[0] + t * dx), y - (e[1] + t * dy)
+    return ex * ex + ey * ey
 
 
 def nearest_polygon(left: DataFrame, right: DataFrame, cell: float = 1000.0) -> DataFrame:

@@ -121,3 +121,33 @@ def test_groups_meet_in_squares_of_their_own_size(spark, monkeypatch):
     points = spark.createDataFrame([(g, g, 5.0, 5.0) for g in range(30)], "id int, g int, x double, y double")
     edge = box(spark, 0, 0, 10, 10).drop("poly").crossJoin(spark.range(30).select(F.col("id").alias("g"), F.col("id").alias("poly")))
     assert sorted(tuple(r) for r in vector.decided(points, edge).collect()) == [(g, g) for g in range(30)]
+
+
+def test_pairs_of_polygons_are_measured_in_one_task(spark, monkeypatch):
+    """Triangles, some in others or crossing them, by shares of three and four;
+    pairs are not shuffled."""
+    r = np.random.default_rng(6)
+    monkeypatch.setattr(vector, "PAIRED", (3, 4))
+    at = [(p := r.uniform(0, 300, 2)) + r.uniform(-1, 1, (3, 2)) * s for s in r.choice([4, 25, 90], 40)]
+    rows = [(i, *map(float, (*t[k], *t[(k + 1) % 3]))) for i, t in enumerate(at) for k in range(3)]
+    edge = spark.createDataFrame(rows, "poly int, x1 double, y1 double, x2 double, y2 double")
+    out = vector.polygon_distance(edge, edge, 30.0)
+    above = out._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInArrow")
+    assert len(above) > 1 and "Exchange" not in above[0]
+
+    cross = lambda u, v, w: (v[0] - u[0]) * (w[1] - u[1]) - (v[1] - u[1]) * (w[0] - u[0])
+    within = lambda p, t: len({cross(t[k], t[(k + 1) % 3], p) > 0 for k in range(3)}) == 1
+
+    def away(p, u, v):
+        t = np.clip((p - u) @ (v - u) / ((v - u) @ (v - u)), 0, 1)
+        return np.hypot(*(p - u - t * (v - u)))
+
+    def apart(s, t):
+        sides = [(s[k], s[(k + 1) % 3], t[m], t[(m + 1) % 3]) for k in range(3) for m in range(3)]
+        if within(s[0], t) or within(t[0], s) or any(cross(a, b, c) * cross(a, b, d) < 0 and cross(c, d, a) * cross(c, d, b) < 0 for a, b, c, d in sides):
+            return 0.0
+        return min(min(away(a, c, d), away(c, a, b)) for a, b, c, d in sides)
+
+    want = {(i, j): d for i, s in enumerate(at) for j, t in enumerate(at) if (d := apart(s, t)) <= 30}
+    got = [tuple(x) for x in out.collect()]
+    assert len(got) == len(want) and all(abs(want[i, j] - d) < 1e-9 for i, j, d in got)
