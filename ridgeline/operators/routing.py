@@ -57,19 +57,28 @@ def shortest(edges: DataFrame, sources: DataFrame, at: DataFrame | None = None,
     With the places of nodes, ``at`` (id, x, y), the graph is cut into regions
     of about ``per_region`` nodes.  Searches within a region give the times from
     where roads enter it to where they leave it; over these the destinations'
-    times spread, a region further each round; from the entries a second search
-    reaches all nodes of a region.  A graph that is no larger is one region;
-    without places nodes of a larger one pass times on to their neighbours, a
-    road further each round.  Rounds are written out, so that lost executors
-    cost one round; no task holds more than a region.
+    times spread in the same way, until few enough nodes are left for one
+    region; from the entries a second search reaches all nodes of a region.
+    Without places, or where regions have mostly entries, nodes pass times on to
+    their neighbours, a step further each round.  Rounds are written out, so that
+    lost executors cost one round; no task holds more than a region.
     """
     back = cut(edges.where("src <> dst").groupBy(F.col("dst").alias("node"), F.col("src").alias("next")).agg(F.min("travel_s").alias("w")))
     starts = sources.select("dest", F.col("node").cast("long").alias("node")).where("node IS NOT NULL").distinct().withColumn("seconds", F.lit(0.0))
-    if back.select("node").union(back.select("next")).distinct().count() <= per_region:
+    return _over(back, starts, at, per_region, most_rounds)
+
+
+def _over(back: DataFrame, starts: DataFrame, at: DataFrame | None, per_region: int, most_rounds: int) -> DataFrame:
+    """(dest, node, seconds) from ``starts``, which have times, over roads
+    (node, next, w)."""
+    nodes = lambda df: df.select("node").union(df.select("next")).distinct()
+    n = nodes(back).count()
+    if n <= per_region:
         return _inward(back.withColumn("region", F.lit(0)), starts.withColumn("region", F.lit(0)))
     if at is None:
         return _spread(starts, back.select("node", "next", "w"), most_rounds)
-    parts = split(at, per_region)
+    at = cut(at.join(nodes(back).withColumnRenamed("node", "id"), "id", "left_semi"))
+    parts = split(at, per_region, compact=True)
     shared = at.sparkSession.sparkContext.broadcast(parts)
     region = cut(at.where("x IS NOT NULL AND y IS NOT NULL").select("id", placed(shared)("x", "y").alias("region")))
     of = lambda df, c, n: df.join(region.select(F.col("id").alias(c), F.col("region").alias(n)), c, "left").withColumn(n, F.coalesce(n, F.lit(-1)))
@@ -82,8 +91,10 @@ def shortest(edges: DataFrame, sources: DataFrame, at: DataFrame | None = None,
     through = asked.groupBy("region").cogroup(inner.groupBy("region")).applyInPandas(_through, "dest string, node long, leaves long, seconds double")
     step = across.select(F.col("node").alias("leaves"), F.col("next").alias("enters"), "w")
     hops = cut(through.join(step, "leaves").groupBy("dest", "node", "enters").agg(F.min(F.col("seconds") + F.col("w")).alias("w")))
-    first = hops.where("dest IS NOT NULL").groupBy("dest", F.col("enters").alias("node")).agg(F.min("w").alias("seconds"))
-    best = _spread(first, hops.where("dest IS NULL").select("node", F.col("enters").alias("next"), "w"), most_rounds)
+    first = hops.join(starts.select("dest", "node", "seconds"), ["dest", "node"]).groupBy("dest", F.col("enters").alias("node")).agg(F.min(F.col("seconds") + F.col("w")).alias("seconds"))
+    above = cut(hops.where("dest IS NULL").select("node", F.col("enters").alias("next"), "w"))
+    fewer = 2 * nodes(above).count() <= n
+    best = _over(above, cut(first), at, per_region, most_rounds) if fewer else _spread(first, above, most_rounds)
     return _inward(inner, starts.unionByName(of(best, "node", "region")))
 
 

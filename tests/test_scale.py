@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ridgeline.operators import planar, vector, visibility
+from ridgeline.operators import planar, routing, vector, visibility
 from ridgeline.streaming import listings
 
 
@@ -151,3 +151,18 @@ def test_pairs_of_polygons_are_measured_in_one_task(spark, monkeypatch):
     want = {(i, j): d for i, s in enumerate(at) for j, t in enumerate(at) if (d := apart(s, t)) <= 30}
     got = [tuple(x) for x in out.collect()]
     assert len(got) == len(want) and all(abs(want[i, j] - d) < 1e-9 for i, j, d in got)
+
+
+def test_regions_of_a_long_graph_are_compact(spark, monkeypatch):
+    """A track of 300 by 4 places: regions across it, and no round for each."""
+    def no(*a):
+        raise AssertionError("times went round by round")
+
+    monkeypatch.setattr(routing, "_spread", no)
+    at = spark.range(1200).select("id", (F.col("id") % 4).cast("double").alias("x"), F.floor(F.col("id") / 4).cast("double").alias("y"))
+    ways = [(i, j) for i in range(1200) for j in (i + 4, *([i + 1] if i % 4 < 3 else [])) if j < 1200]
+    edges = spark.createDataFrame([(a, b, 1.0) for i, j in ways for a, b in ((i, j), (j, i))], "src long, dst long, travel_s double")
+    out = routing.shortest(edges, spark.createDataFrame([("a", 0), ("a", 1199), ("b", 2)], "dest string, node long"), at, 60)
+    got = {(r.dest, r.node): r.seconds for r in out.collect()}
+    want = {("a", i): min(i % 4 + i // 4, 3 - i % 4 + 299 - i // 4) for i in range(1200)} | {("b", i): abs(i % 4 - 2) + i // 4 for i in range(1200)}
+    assert got == want
