@@ -12,7 +12,7 @@ matrix; every token of a text is in one.
 
 Training reads at most ``TRAIN_ROWS`` labelled documents per label, the first
 by a hash of their id, and of these every word, however long the text.  Their
-tokens stay in the executors: an epoch is one ``treeAggregate`` of gradients,
+tokens stay in the executors: an epoch is one job that adds up gradients,
 which are whole numbers of 2**-``FIXED``, so that the order of adding them up
 changes nothing.  The driver holds the weights, whose number is fixed.
 
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import drop, extended, slices, spool, tune, with_columns, work_dir
+from ridgeline.llm.common import extended, slices, tune, with_columns
 
 CHAIN = 64
 BITS = 20
@@ -47,6 +47,8 @@ EPOCHS = 40
 FIXED = 32
 #: Tokens of training texts that are one block, and of one task at least.
 BLOCK, SHARE = 1 << 20, 1 << 17
+#: Entries of a gradient that are added up together.
+STRETCH = 1 << 13
 MEMORY = 400_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -177,11 +179,11 @@ def _nothing() -> Model:
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(y, fits, tokens, slots) of (y, fits, text): every token as the number
-    of its word in the text, and the words' slots."""
+    """(y, tokens, slots) of (y, text): every token as the number of its word
+    in the text, and the words' slots."""
     for batch in slices(batches, "text", 2 << 20):
         tokens, found = [], []
-        for text in batch.column(2).to_pylist():
+        for text in batch.column(1).to_pylist():
             ids: dict[str, int] = {}
             tokens.append(np.fromiter((ids.setdefault(w, len(ids)) for w in text.split()), np.int32).tobytes())
             table = np.full((len(ids), 6), 1 << BITS, np.int32)  # a slot whose weight stays zero
@@ -189,99 +191,158 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 some = word_slots(w)
                 table[i, : len(some)] = some
             found.append(table.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.binary()), pa.array(found, pa.binary())], names=["y", "fits", "tokens", "slots"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary()), pa.array(found, pa.binary())], names=["y", "tokens", "slots"])
 
 
 def _table(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.int32).reshape(-1, 6)
 
 
-def _count_hints(acc: np.ndarray | None, row) -> np.ndarray:
-    """Documents of either label by word and prefix slots; row 2: all slots."""
-    acc = np.zeros((3, (1 << BITS) + 1), np.int32) if acc is None else acc
-    slots = _table(row["slots"])
-    acc[row["y"], np.unique(slots[:, [0, 2, 3, 4, 5]])] += 1
-    acc[2, np.unique(slots)] = 1
-    return acc
+def _count_hints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, n0, n1) of a task: its documents of either label by word and
+    prefix slots; other slots that occur have none."""
+    acc, seen = np.zeros((2, (1 << BITS) + 1), np.int32), np.zeros((1 << BITS) + 1, bool)
+    for batch in batches:
+        for y, raw in zip(batch.column(0).to_pylist(), batch.column(2)):
+            slots = _table(raw.as_buffer())
+            acc[y, np.unique(slots[:, [0, 2, 3, 4, 5]])] += 1
+            seen[slots] = True
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(acc[0, at].astype(np.int64)), pa.array(acc[1, at].astype(np.int64))], names=["slot", "n0", "n1"])
 
 
+@dataclass
 class _Block:
-    """Tokens of training texts, or of whole chains of one, with their marks
-    and weights; ``docs`` has (label, tokens, slots, tokens by word)."""
-
-    def __init__(self, docs: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], used: np.ndarray, seed: np.ndarray, up: float):
+    """Tokens of training texts, or of whole chains of one: texts' lengths, the
+    tokens' words, marks and weights, the words' slots."""
+
+    lengths: np.ndarray
+    flat: np.ndarray
+    y: np.ndarray
+    importance: np.ndarray
+    slots: np.ndarray
+
+    @classmethod
+    def made(cls, docs: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], used: np.ndarray, seed: np.ndarray, up: float) -> _Block:
+        """Of ``docs`` (label, tokens, slots, tokens by word)."""
         base = np.cumsum([0, *(len(t) for _, _, t, _ in docs)])
-        self.lengths = np.array([len(d) for _, d, _, _ in docs], np.int64)
-        self.flat = np.concatenate([d + b for (_, d, _, _), b in zip(docs, base)])
+        lengths = np.array([len(d) for _, d, _, _ in docs], np.int64)
+        flat = np.concatenate([d + b for (_, d, _, _), b in zip(docs, base)]).astype(np.int32)
         slots, times = (np.concatenate([d[i] for d in docs]) for i in (2, 3))
-        toxic = np.repeat(np.array([d[0] for d in docs], np.int8), self.lengths)
-        self.y = (seed[slots[:, [0, 2, 3, 4, 5]]].any(axis=1)[self.flat] & (toxic == 1)).astype(np.float64)
+        toxic = np.repeat(np.array([d[0] for d in docs], np.int8), lengths)
+        y = seed[slots[:, [0, 2, 3, 4, 5]]].any(axis=1)[flat] & (toxic == 1)
         # a toxic document counts as in the population, a word once per document
-        self.importance = np.where(toxic == 1, up, 1.0) / times[self.flat]
-        self.slots = np.searchsorted(used, slots)
+        importance = np.where(toxic == 1, up, 1.0) / times[flat]
+        return cls(lengths, flat, y.astype(np.uint8), importance, np.searchsorted(used, slots).astype(np.int32))
+
+    @classmethod
+    def read(cls, row: list[pa.Scalar]) -> _Block:
+        parts = [np.frombuffer(c.as_buffer(), t) for c, t in zip(row, _KINDS.values())]
+        return cls(*parts[:-1], parts[-1].reshape(-1, 6))
+
+    def gradient(self, w: np.ndarray, theta: np.ndarray) -> np.ndarray:
+        """Of the weights, the transitions and the start; and the chains."""
+        y = self.y.astype(np.float64)
         first, _ = chains(self.lengths)
         inner = np.ones(len(self.flat), bool)
         inner[first] = False
         after = np.flatnonzero(inner)
-        self.observed = np.zeros((2, 2))
-        np.add.at(self.observed, (self.y[after - 1].astype(int), self.y[after].astype(int)), 1)
-        self.begun, self.chains = self.y[first].sum(), len(first)
-
-    def gradient(self, w: np.ndarray, theta: np.ndarray) -> np.ndarray:
-        """Of the weights, the transitions and the start; and the chains."""
+        observed = np.bincount(2 * self.y[after - 1] + self.y[after], minlength=4)
         emit = w[self.slots].sum(axis=1)[self.flat]
         p, expected, starts = marginals(emit, self.lengths, theta[:4].reshape(2, 2), theta[4], pairs=True)
-        per_word = np.bincount(self.flat, (self.y - p) * self.importance, minlength=len(self.slots))
+        per_word = np.bincount(self.flat, (y - p) * self.importance, minlength=len(self.slots))
         g = np.bincount(self.slots.reshape(-1), np.repeat(per_word, 6), minlength=len(w))
-        more = [*(self.observed - expected).reshape(-1), self.begun - starts, self.chains]
+        more = [*(observed - expected.reshape(-1)), y[first].sum() - starts, len(first)]
         return np.rint(np.concatenate([g, more]) * 2.0**FIXED).astype(np.int64)
 
 
+#: Columns of a block's row and what their bytes are.
+_KINDS = {"lengths": np.int64, "flat": np.int32, "y": np.uint8, "importance": np.float64, "slots": np.int32}
+
+
+def _added(parts: pa.Table) -> pa.Table:
+    """One stretch of the tasks' sums (at, value)."""
+    total = sum(np.frombuffer(v.as_buffer(), np.int64) for v in parts.column(1))
+    return pa.table({"at": parts.column(0).slice(0, 1), "value": pa.array([total.tobytes()], pa.binary())})
+
+
+def _sum_gradients(made: DataFrame, w: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Gradients of all blocks: each task adds up its own, and each stretch of
+    the tasks' sums is added up by itself."""
+    now = made.sparkSession.sparkContext.broadcast((w, theta))
+    n = len(w) + 6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = np.zeros(n, np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                acc += _Block.read([c[i] for c in batch.columns]).gradient(*now.value)
+        at = list(range(0, n, STRETCH))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([acc[a : a + STRETCH].tobytes() for a in at], pa.binary())], names=["at", "value"])
+
+    total = np.zeros(n, np.int64)
+    for r in made.mapInArrow(run, "at long, value binary").groupBy("at").applyInArrow(_added, "at long, value binary").collect():
+        some = np.frombuffer(r["value"], np.int64)
+        total[r["at"] : r["at"] + len(some)] = some
+    now.destroy()
+    return total / 2.0**FIXED
+
+
 def fit(rows: DataFrame, prior: float) -> Model:
     """Fit on training texts (y, fits, text): the chain on those with ``fits``,
-    the document score on the others."""
+    the document score on the others.
+
+    All passes run in the session's SQL workers, and what is read again lies on
+    the executors' disks: a second set of workers and blocks in the executors'
+    heap would stay there beside the first.
+    """
     spark = rows.sparkSession
     tune(spark)
-    root = work_dir(spark, "toxicity")
-    kept = spool(rows.mapInArrow(_encode, "y int, fits boolean, tokens binary, slots binary"), root)
-    held = kept.where("fits").groupBy("y").agg(F.count("*").alias("n"), F.sum(F.length("tokens") / 4).alias("tokens")).collect()
+    kept = rows.where("fits").select("y", "text").mapInArrow(_encode, "y int, tokens binary, slots binary").persist(StorageLevel.DISK_ONLY)
+    held = kept.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.length("tokens") / 4).alias("tokens")).collect()
     n = {r["y"]: r["n"] for r in held}
     if len(n) < 2:
-        drop(spark, root)
+        kept.unpersist()
         return _nothing()
     # tasks by tokens, as every epoch runs all of them
-    own = kept.where("fits").select("y", "tokens", "slots").rdd.coalesce(1 + int(sum(r["tokens"] for r in held)) // SHARE)
-    seen = own.treeAggregate(None, _count_hints, lambda a, b: b if a is None else a if b is None else np.concatenate([a[:2] + b[:2], np.maximum(a[2:], b[2:])]))
+    own = kept.coalesce(1 + int(sum(r["tokens"] for r in held)) // SHARE)
+    seen = own.mapInArrow(_count_hints, "slot long, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).orderBy("slot").toArrow()
+    used = seen.column("slot").to_numpy()
+    counts = [seen.column(c).to_numpy() for c in ("n0", "n1")]
     # share of toxic documents among those with the feature, as in the population
     up = prior / (1 - prior) * (n[0] + 1) / (n[1] + 1)
-    seed = (seen[1] >= 4) & (up * (seen[1] - 1.0) > seen[0] + 1.0)
+    seed = np.zeros((1 << BITS) + 1, bool)
+    seed[used] = (counts[1] >= 4) & (up * (counts[1] - 1.0) > counts[0] + 1.0)
     seed[-1] = False
-    used = np.flatnonzero(seen[2])
     used = used[used < 1 << BITS]
     shared = spark.sparkContext.broadcast((used, seed))
 
-    def blocks(part: Iterator) -> Iterator[_Block]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
-        for r in part:
-            tokens, slots = np.frombuffer(r["tokens"], np.int32), _table(r["slots"])
-            times = np.bincount(tokens, minlength=len(slots))
-            for a in range(0, len(tokens), BLOCK):  # a multiple of the chains' length
-                held.append((r["y"], tokens[a : a + BLOCK], slots, times))
-                total += len(held[-1][1])
-                if total >= BLOCK:
-                    yield _Block(held, *shared.value, up)
-                    held, total = [], 0
+
+        def packed() -> pa.RecordBatch:
+            b = _Block.made(held, *shared.value, up)
+            return pa.RecordBatch.from_arrays([pa.array([getattr(b, k).tobytes()], pa.binary()) for k in _KINDS], names=list(_KINDS))
+
+        for batch in batches:
+            for y, t, s in zip(*(batch.column(i) for i in range(3))):
+                tokens, slots = np.frombuffer(t.as_buffer(), np.int32), _table(s.as_buffer())
+                times = np.bincount(tokens, minlength=len(slots))
+                for a in range(0, len(tokens), BLOCK):  # a multiple of the chains' length
+                    held.append((y.as_py(), tokens[a : a + BLOCK], slots, times))
+                    total += len(held[-1][1])
+                    if total >= BLOCK:
+                        yield packed()
+                        held, total = [], 0
         if held:
-            yield _Block(held, *shared.value, up)
+            yield packed()
 
-    made = own.mapPartitions(blocks).persist(StorageLevel.MEMORY_AND_DISK)
+    made = own.mapInArrow(blocks, ", ".join(f"{k} binary" for k in _KINDS)).persist(StorageLevel.DISK_ONLY)
     w = np.zeros(len(used) + 1)  # the last is of the slot that stays zero
     grad2, grad2t = np.full(len(w), 1e-6), np.full(5, 1e-6)
     theta = np.array([0.0, -3.0, 0.0, -1.0, -3.0])
     for _ in range(EPOCHS):
-        now = spark.sparkContext.broadcast((w, theta))
-        total = made.treeAggregate(np.zeros(len(w) + 6, np.int64), lambda acc, b, now=now: acc + b.gradient(*now.value), lambda a, b: a + b) / 2.0**FIXED
-        now.destroy()
+        total = _sum_gradients(made, w, theta)
         g = total[: len(w)] - 0.01 * w
         g[-1] = 0
         grad2 += g * g
@@ -290,6 +351,7 @@ def fit(rows: DataFrame, prior: float) -> Model:
         grad2t += gt * gt
         theta = theta + 0.2 * gt / np.sqrt(grad2t)
     made.unpersist()
+    kept.unpersist()
     shared.destroy()
     weights = np.zeros(1 << BITS, np.float32)
     weights[used] = w[:-1]
@@ -303,7 +365,6 @@ def fit(rows: DataFrame, prior: float) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
     got = rows.where("NOT fits").select("y", "text").mapInArrow(summed, "y int, x array<double>").orderBy("y", "x").collect()  # a quarter of the training rows
-    drop(spark, root)
     if not got:
         return _nothing()
     x, t = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float)

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ridgeline.llm import merkle, packing, queries, vector_codes
+from ridgeline.llm import merkle, packing, queries, toxicity, vector_codes
 
 WORDS = P.path("word_bpe_49k.json")
 CLASH = ["doc", "start", "row", "block", "ids", "tree", "index", "size", "leaf", "proof", "root"]
@@ -193,3 +193,20 @@ def test_tampering_with_line_ends_shows(spark, folder):
         changed = zlib.crc32(str(r.doc_id).encode()) % 2 == 0 and "\n" in (rows[r.doc_id] or "")
         assert r.verified == (not changed)
     assert any(not r.verified for r in out)
+
+
+def test_training_needs_no_second_set_of_workers(spark, monkeypatch):
+    """RDD tasks have Python workers of their own, beside the idle ones of SQL,
+    and their blocks lie in the executors' heap; training has neither."""
+    from pyspark import RDD
+
+    def refuse(*_, **__):
+        raise AssertionError("an RDD of Python objects")
+
+    for name in ("mapPartitions", "treeAggregate", "persist"):
+        monkeypatch.setattr(RDD, name, refuse)
+    docs = spark.createDataFrame([(i, "plain words " + "vile scum " * (i % 2) + f"w{i}") for i in range(200)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int"))
+    tokens = [t.split() for t in ("a vile thing", "a plain thing")]
+    got = model.scores(tokens, model.token_marginals(tokens))
+    assert got[0] > got[1]
