@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ridgeline.functions.scalar import round_even
 from ridgeline.operators.chains import ranked
@@ -16,6 +20,10 @@ from ridgeline.session import cut, importable
 
 #: Nodes of a region, whose searches run in one task.
 PER_REGION = 20_000
+#: Ends of edges that one task joins to chains.
+PER_TASK = 1_000_000
+#: Nodes of many roads that are sent to all tasks.
+MOST_SENT = 500_000
 
 #: Speeds in km/h by road class where no limit is tagged.
 SPEEDS = {
@@ -166,23 +174,12 @@ def clip(nodes: DataFrame, edges: DataFrame, box: tuple[float, float, float, flo
     return a.where("__a OR __b").select(*edges.columns)
 
 
-def passed_nodes(edges: DataFrame) -> DataFrame:
-    """(node, low, high): nodes that a road only passes, with their two
-    neighbours.  Each neighbour has one edge to or from the node, in a one-way
-    road, or one of either kind; parallel edges and loops end a road."""
-    one, none = F.lit(1), F.lit(0)
-    ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), one.alias("out"), none.alias("into"))
-    ends = ends.union(edges.select("dst", "src", none, one)).groupBy("node", "other").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
-    by = ends.groupBy("node").agg(
-        F.count("*").alias("n"), F.min("other").alias("low"), F.max("other").alias("high"), F.sum("out").alias("out"), F.sum("into").alias("into"),
-        F.max(F.greatest("out", "into")).alias("most"), F.bool_or(F.col("node") == F.col("other")).alias("loop"),
-    )
-    return by.where("n = 2 AND NOT loop AND most = 1 AND out = into").select("node", "low", "high")
-
-
 def simplify(edges: DataFrame, sums: list[str], sets: Sequence[str] = ()) -> DataFrame:
-    """``edges`` (src, dst, ...) with every chain over ``passed_nodes`` as one
-    edge: (src, dst, ``sums``, ``sets``, parts).
+    """``edges`` (src, dst, ...) with every chain over nodes that a road only
+    passes as one edge: (src, dst, ``sums``, ``sets``, parts).  Such a node has
+    two neighbours and one edge to or from each, in a one-way road, or one of
+    either kind; parallel edges and loops end a road.  Nodes are whole numbers;
+    null ones end a road too.
 
     Columns of ``sums`` are summed along the chain, those of ``sets`` become the
     sorted distinct values that are not null, and ``parts`` counts the edges.
@@ -190,23 +187,135 @@ def simplify(edges: DataFrame, sums: list[str], sets: Sequence[str] = ()) -> Dat
     beginning is a loop there; a ring without any other node begins and ends at
     its smallest one.  Least sums between the nodes that stay are the same as
     before.
+
+    Nodes of more than four ends are known by counting; they are never passed.
+    All other ends of edges go to the task of their range of nodes, ``PER_TASK``
+    ends to a task, where chains are joined as far as it has their nodes; only
+    the pieces of chains that go on elsewhere are ranked and shuffled again.
+    Where neighbours' numbers are far apart these are all edges.
     """
-    nodes = cut(passed_nodes(edges))
-    tail = nodes.select(F.col("node").alias("src"), F.col("low").alias("__l"), F.col("high").alias("__h"))
-    head = nodes.select(F.col("node").alias("dst"), F.lit(True).alias("__on"))
-    e = cut(edges.select("src", "dst", *sums, *sets).join(tail, "src", "left").join(head, "dst", "left"))
-    alone = e.where("__l IS NULL AND __on IS NULL")
-    alone = alone.select("src", "dst", *sums, *[F.array_compact(F.array(c)).alias(c) for c in sets], F.lit(1).cast("long").alias("parts"))
-    chained = e.where("__l IS NOT NULL OR __on IS NOT NULL")
-    before = F.when(F.col("__l") == F.col("dst"), F.col("__h")).otherwise(F.col("__l"))
-    prev = F.when(before.isNotNull(), F.struct(before.alias("src"), F.col("src").alias("dst")))
-    placed = ranked(chained.select(F.struct("src", "dst").alias("id"), prev.alias("prev"), F.col("src").alias("node")))
-    placed = placed.select("id.src", "id.dst", F.col("first.src").alias("fs"), F.col("first.dst").alias("fd"), "span")
-    every = chained.select("src", "dst", *sums, *sets).join(placed, ["src", "dst"])
-    out = every.groupBy("fs", "fd").agg(
-        F.max_by("dst", "span").alias("dst"), *[F.sum(c).alias(c) for c in sums], *[F.sort_array(F.collect_set(c)).alias(c) for c in sets], F.count("*").alias("parts")
+    importable(edges.sparkSession)
+    kinds = {f.name: f.dataType for f in edges.schema.fields}
+    added = [F.col(c).cast("long" if isinstance(kinds[c], T.IntegralType) else "double").alias(c) for c in sums]
+    e = cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), *added, *sets).withColumn("eid", F.monotonically_increasing_id()))
+    busy = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).groupBy("node").agg(F.count("*").alias("n")).where("n > 4 AND node IS NOT NULL").select("node"))
+    n, few = e.count(), F.broadcast if busy.count() <= MOST_SENT else lambda df: df
+    for c in ("src", "dst"):
+        e = e.join(few(busy.select(F.col("node").alias(c), F.lit(True).alias(f"busy_{c}"))), c, "left").withColumn(f"busy_{c}", F.coalesce(f"busy_{c}", F.lit(False)))
+    alone = e.where("busy_src AND busy_dst").select("src", "dst", *sums, *[F.array_compact(F.array(c)).alias(c) for c in sets], F.lit(1).cast("long").alias("parts"))
+    # an edge's values go with its beginning, or where that is busy with its end
+    there = e.where("NOT busy_src").select(F.col("src").alias("node"), F.col("dst").alias("other"), "eid", F.lit(True).alias("out"), F.col("busy_dst").alias("busy"), *sums, *sets)
+    ends = there.union(e.where("NOT busy_dst").select("dst", "src", "eid", F.lit(False), "busy_src", *[F.when(F.col("busy_src"), F.col(c)).alias(c) for c in (*sums, *sets)]))
+    near = ends.repartitionByRange(1 + 2 * n // PER_TASK, "node")
+    values = ", ".join([f"`{c}` {e.schema[c].dataType.simpleString()}" for c in sums] + [f"`{c}` array<{e.schema[c].dataType.simpleString()}>" for c in sets])
+    pieces = cut(near.mapInArrow(_joined(tuple(sums), tuple(sets)), f"src long, dst long, {values}, parts long, id long, prev long, low long, whole boolean"))
+    out = ["src", "dst", *sums, *sets, "parts"]
+    open_ = pieces.where("NOT whole")
+    places = ranked(open_.select("id", "prev", F.col("low").alias("node")))
+    every = open_.join(places, "id").groupBy("first", "ring").agg(
+        F.min_by("src", "span").alias("src"), F.max_by("dst", "span").alias("dst"), F.min("low").alias("low"), *[F.sum(c).alias(c) for c in sums],
+        *[F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in sets], F.sum("parts").alias("parts"),
     )
-    return out.select(F.col("fs").alias("src"), "dst", *sums, *sets, "parts").union(alone)
+    at = lambda c: F.when(F.col("ring"), F.col("low")).otherwise(F.col(c)).alias(c)
+    chains = pieces.where("whole").select(*out).union(every.select(at("src"), at("dst"), *out[2:]))
+    chains = chains.withColumns({c: F.nullif(F.col(c), F.lit(_NO_NODE)) for c in ("src", "dst")}).union(alone)
+    return chains.withColumns({c: F.col(c).cast(kinds[c]) for c in ("src", "dst")})
+
+
+#: Stands for a null node within a task.
+_NO_NODE = -(2**63)
+
+
+def _joined(sums: tuple[str, ...], sets: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Joins the edges of a task's ends (node, other, eid, out, busy, values),
+    whose ``other`` may be ``busy``, to pieces of chains: (src, dst, ``sums``,
+    ``sets``, parts, id, prev, low, whole).
+
+    Edges' values count where they begin, as far as is known here.  A piece is ``whole`` if
+    it begins and ends here or is a ring; another one has the number of its last
+    edge, doubled, with one added where its chain ends, and the number before it
+    where its first edge comes from another task.  ``low`` is its least node.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = [b for b in batches if b.num_rows]
+        if not some:
+            return
+        t = pa.Table.from_batches(some).combine_chunks()
+        ints = lambda c: pc.fill_null(t.column(c), _NO_NODE).to_numpy()
+        node, other, out, busy = ints("node"), ints("other"), t.column("out").to_numpy(), t.column("busy").to_numpy()
+        eids, edge = np.unique(t.column("eid").to_numpy(), return_inverse=True)
+        held, n = out | busy, len(eids)
+        own, values = edge[held], t.filter(pa.array(held))
+        src, dst, before = np.empty(n, np.int64), np.empty(n, np.int64), _before(node, other, edge, out, n)
+        src[edge], dst[edge] = np.where(out, node, other), np.where(out, other, node)
+        leaves, arrives, follows = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+        leaves[own], arrives[edge[~out | busy]] = True, True
+        follows[before[before >= 0]] = True
+        # steps of 1, 2, 4 ... back, until all are at a beginning or have been round
+        every = np.arange(n)
+        first, least = np.where(before < 0, every, before), every
+        for _ in range(n.bit_length() + 1):
+            far = first[first]
+            if (far == first).all():
+                break
+            least, first = np.minimum(least, least[first]), far
+        ring = before[first] >= 0
+        names, piece = np.unique(np.where(ring, least, first), return_inverse=True)
+        last, m = names.copy(), len(names)
+        last[piece[~follows]] = np.flatnonzero(~follows)
+        round_ = ring[names]
+        low = np.full(m, np.iinfo(np.int64).max)
+        np.minimum.at(low, piece[own], node[held])
+        begins, ends = leaves[names], arrives[last]
+        cols = {"src": np.where(round_, low, src[names]), "dst": np.where(round_, low, dst[last])}
+        cols |= {c: _sum_by(values.column(c), piece[own], m) for c in sums} | {c: _set_by(values.column(c), piece[own], m) for c in sets}
+        prev = pa.array(2 * eids[names], mask=begins | round_)
+        cols |= {"parts": np.bincount(piece[own], minlength=m), "id": 2 * eids[last] + ends, "prev": prev, "low": low, "whole": round_ | (begins & ends)}
+        yield from pa.table(cols).to_batches(max_chunksize=50_000)
+
+    return run
+
+
+def _before(node: np.ndarray, other: np.ndarray, edge: np.ndarray, out: np.ndarray, n: int) -> np.ndarray:
+    """Per edge the one before it over a node that is only passed, or -1."""
+    _, code = np.unique(node, return_inverse=True)
+    count = np.bincount(code)
+    outs = np.bincount(code, out)
+    never = np.bincount(code, (node == other) | (node == _NO_NODE) | (other == _NO_NODE)) > 0
+    fit = ((count == 2) | (count == 4)) & (2 * outs == count) & ~never
+    before = np.full(n, -1)
+    for k in (2, 4):  # one way or both ways
+        rows = np.flatnonzero((fit & (count == k))[code])
+        rows = rows[np.lexsort((other[rows], out[rows], code[rows]))].reshape(-1, k)
+        o, e = other[rows], edge[rows]
+        if k == 2:
+            e = e[o[:, 0] != o[:, 1]]
+            before[e[:, 1]] = e[:, 0]
+        else:
+            e = e[(o[:, 0] != o[:, 1]) & (o[:, 0] == o[:, 2]) & (o[:, 1] == o[:, 3])]
+            before[e[:, 2]], before[e[:, 3]] = e[:, 1], e[:, 0]
+    return before
+
+
+def _sum_by(values: pa.ChunkedArray, key: np.ndarray, m: int) -> pa.Array:
+    """Sums by key below ``m``; null where there is no value."""
+    known = pc.is_valid(values).to_numpy()
+    v = pc.fill_null(values, 0).to_numpy()
+    total = np.zeros(m, v.dtype)
+    np.add.at(total, key, v)
+    return pa.array(total, mask=np.bincount(key[known], minlength=m) == 0)
+
+
+def _set_by(values: pa.ChunkedArray, key: np.ndarray, m: int) -> pa.Array:
+    """Sorted distinct values by key below ``m``."""
+    known = pc.is_valid(values).to_numpy()
+    names = pc.unique(values.drop_null())
+    names = names.take(pc.sort_indices(names))
+    code = pc.index_in(values, value_set=names).drop_null().to_numpy()
+    both = np.unique(key[known] * max(1, len(names)) + code)
+    at = np.searchsorted(both, np.arange(m + 1) * max(1, len(names)))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), names.take(pa.array(both % max(1, len(names)))))
 
 
 def largest_component(edges: DataFrame, most_rounds: int = 200) -> DataFrame:

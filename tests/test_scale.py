@@ -166,3 +166,24 @@ def test_regions_of_a_long_graph_are_compact(spark, monkeypatch):
     got = {(r.dest, r.node): r.seconds for r in out.collect()}
     want = {("a", i): min(i % 4 + i // 4, 3 - i % 4 + 299 - i // 4) for i in range(1200)} | {("b", i): abs(i % 4 - 2) + i // 4 for i in range(1200)}
     assert got == want
+
+
+def test_chains_are_joined_where_their_nodes_are(spark, monkeypatch):
+    """Streets of many pieces from three crossings, both ways and round: only
+    what goes on in another task is ranked, and tasks of any size agree."""
+    rows = [(1000 + 50 * o + k, 1000 + 50 * o + k + 1) for o in range(40) for k in range(30)]
+    rows += [(o % 3, 1000 + 50 * o) for o in range(30)] + [(1030 + 50 * o, o * 7 % 3) for o in range(30)]
+    rows += [(1030 + 50 * o, 1000 + 50 * o) for o in range(30, 35)] + [(0, 1), (0, 1), (None, 0), (1000 + 50 * 39, None)]
+    rows += [(b, a) for a, b in rows if a is not None and b is not None and (a // 50) % 2]
+    edges = spark.createDataFrame([(a, b, float(i % 9 + 1), "abc"[i % 3]) for i, (a, b) in enumerate(rows)], "src long, dst long, length_m double, highway string").repartition(4)
+    seen, ranked = [], routing.ranked
+    monkeypatch.setattr(routing, "ranked", lambda links: seen.append(links.count()) or ranked(links))
+
+    def look(size, sent):
+        monkeypatch.setattr(routing, "PER_TASK", size)
+        monkeypatch.setattr(routing, "MOST_SENT", sent)
+        return sorted(map(str, routing.simplify(edges, ["length_m"], ["highway"]).collect()))
+
+    got = look(1_000_000, 500_000)
+    assert seen == [0]  # of some 1,900 edges
+    assert look(300, 0) == look(3, 500_000) == got and seen[2] > seen[1] > 0
