@@ -22,7 +22,7 @@ from ridgeline.session import cut, importable
 PER_REGION = 20_000
 #: Ends of edges that one task joins to chains.
 PER_TASK = 1_000_000
-#: Nodes of many roads that are sent to all tasks.
+#: Nodes of many roads, or classes of roads, that are sent to all tasks.
 MOST_SENT = 500_000
 
 #: Speeds in km/h by road class where no limit is tagged.
@@ -52,9 +52,10 @@ def travel_times(edges: DataFrame) -> DataFrame:
     ``travel_s``: the tagged limit, else the table, else the mean of tagged
     edges of the class, else the fallback."""
     table = F.create_map(*[F.lit(x) for kv in SPEEDS.items() for x in kv])
-    mean = edges.groupBy("highway").agg(F.avg("maxspeed_kph").alias("__mean"))
+    mean = cut(edges.groupBy("highway").agg(F.avg("maxspeed_kph").alias("__mean")))
+    mean = F.broadcast(mean) if mean.count() <= MOST_SENT else mean  # edges dealt by class would be a few tasks' work
     speed = F.coalesce("maxspeed_kph", F.try_element_at(table, F.col("highway")).cast("double"), F.col("__mean"), F.lit(float(FALLBACK)))
-    out = edges.join(mean, "highway", "left").withColumn("speed_kph", speed).drop("__mean")  # broadcast by its size
+    out = edges.join(mean, "highway", "left").withColumn("speed_kph", speed).drop("__mean")
     return out.withColumn("travel_s", F.col("length_m") / (F.col("speed_kph") / 3.6))
 
 

@@ -187,3 +187,15 @@ def test_chains_are_joined_where_their_nodes_are(spark, monkeypatch):
     got = look(1_000_000, 500_000)
     assert seen == [0]  # of some 1,900 edges
     assert look(300, 0) == look(3, 500_000) == got and seen[2] > seen[1] > 0
+
+
+def test_edges_are_not_dealt_by_their_class(spark):
+    edges = spark.range(4000).selectExpr("id AS src", "id + 1 AS dst", "IF(id % 2 = 0, 'path', NULL) AS highway", "IF(id % 4 = 0, 50D, NULL) AS maxspeed_kph", "100D AS length_m")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = routing.travel_times(edges)
+        assert out.groupBy("highway", "speed_kph").count().collect() and "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert {(r.highway, r.speed_kph) for r in out.collect()} == {("path", 50.0), (None, 35.0)}
