@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ridgeline.operators import planar, routing, vector, visibility
+from ridgeline.operators import chains, planar, routing, vector, visibility
 from ridgeline.streaming import listings
 
 
@@ -199,3 +199,33 @@ def test_edges_are_not_dealt_by_their_class(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert {(r.highway, r.speed_kph) for r in out.collect()} == {("path", 50.0), (None, 35.0)}
+
+
+def test_links_are_joined_in_their_part_before_they_are_ranked(spark):
+    """Chains and rings over many parts, in one and in parts that they enter
+    again: as ranked link by link."""
+    r = np.random.default_rng(8)
+    rows, n = [], 0
+    for size in (1, 1, 2, 3, 4, 4, 7, 30, 65):
+        for ring in (False, True):
+            for spread in (1, 4):
+                ids = (r.permutation(size) + n).tolist()
+                rows += [(i, ids[k - 1] if k or ring else None, float(r.integers(3)), float(i % 2), int(r.integers(spread))) for k, i in enumerate(ids)]
+                n += size
+    links = spark.createDataFrame(rows, "id long, prev long, u double, v double, part int")
+    want = chains.ranked(links.select("id", "prev", F.struct("u", "v").alias("node")))
+    assert sorted(chains.ranked_near(links).collect()) == sorted(want.collect())
+
+
+def test_only_what_leaves_its_part_is_ranked(spark, monkeypatch):
+    """Blocks of lines that cross and stick out, a sixth of their half-edges to a part."""
+    n, seen, jumped = 12, [], chains._jumped
+    monkeypatch.setattr(chains, "_jumped", lambda state: seen.append(state.count()) or jumped(state))
+    monkeypatch.setattr(planar, "PER_PART", 100)
+    lines = [[(-0.5, float(i)), (n - 0.5, float(i))] for i in range(n)] + [[(float(i), -0.5), (float(i), n - 0.5)] for i in range(n)]
+    ways = spark.createDataFrame([(0, x) for x in lines], "g int, way array<struct<x:double,y:double>>")
+    out = planar.polygonise(ways, "g")
+    sizes = out.where("ring >= 0").groupBy("ring").count().collect()
+    assert len(sizes) == (n - 1) ** 2 and {x["count"] for x in sizes} == {5}
+    assert out.where("ring < 0").count() == 8 * n
+    assert seen and max(seen) < 4 * n * (n + 1) / 2  # stretches, of so many half-edges halved
