@@ -26,6 +26,8 @@ CROWD = 200_000
 #: Points, and polygons, of a touched tile that meet in one task, and numbers of
 #: a matrix of points by edges.
 TILE, MATRIX = 4000, 1 << 21
+#: Points of lines that are thinned together.
+POINTS = 200_000
 #: Polygons of either kind whose distances one task measures.
 PAIRED = 1000, 2000
 
@@ -103,7 +105,7 @@ def decided(p: DataFrame, edge: DataFrame, cell: float = 1000.0) -> DataFrame:
                 point.append(at + i)
                 poly.append(j)
         point, poly = np.concatenate(point), np.concatenate(poly)
-        return pa.table({"id": points.column("id").take(pa.array(point)), "poly": codes.dictionary.take(pa.array(poly))})
+        return pa.table({"id": points.column("id").cast(_nullable(points.schema.field("id").type)).take(pa.array(point)), "poly": codes.dictionary.take(pa.array(poly))})
 
     keys = [*keys, "a", "b"]
     kinds = f"id {p.schema['id'].dataType.simpleString()}, poly {edge.schema['poly'].dataType.simpleString()}"
@@ -114,6 +116,11 @@ def decided(p: DataFrame, edge: DataFrame, cell: float = 1000.0) -> DataFrame:
     return p.join(whole, [*by, "tx", "ty"]).select("id", "poly").union(near)
 
 
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """The type as Spark's own text has it: fields of a struct may be null."""
+    return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind]) if pa.types.is_struct(kind) else kind
+
+
 def hits(x: np.ndarray, y: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Which of the edges (x1, y1, x2, y2), none of them level, cross the ray
     from each point to the right (``geo.crosses``): one row per point."""
@@ -488,28 +495,62 @@ def nearest(points: DataFrame, nodes: DataFrame, id_col: str = "id") -> DataFram
 
 
 def simplify(lines: DataFrame, id_col: str, tolerance: float) -> DataFrame:
-    """Douglas-Peucker per line: rows (id, pos, x, y) that stay."""
-
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
-        x, y = pdf.x.to_numpy(), pdf.y.to_numpy()
-        keep, stack = {0, len(pdf) - 1}, [(0, len(pdf) - 1)]
-        while stack:
-            a, b = stack.pop()
-            if b - a < 2:
-                continue
-            dx, dy = x[b] - x[a], y[b] - y[a]
-            px, py = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
-            n = (dx * dx + dy * dy) ** 0.5
-            d = abs(px * dy - py * dx) / n if n > 0 else (px * px + py * py) ** 0.5
-            m = int(d.argmax())
-            if d[m] > tolerance:
-                keep.add(a + 1 + m)
-                stack += [(a, a + 1 + m), (a + 1 + m, b)]
-        return pdf.iloc[sorted(keep)]
+    """Douglas-Peucker per line: rows (id, pos, x, y) that stay.
 
+    Lines are thinned together, some ``POINTS`` at a time, as most have few points.
+    """
+    importable(lines.sparkSession)
     cols = lines.select(id_col, "pos", "x", "y")
-    return cols.groupBy(id_col).applyInPandas(thin, cols.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, most = [], 0, POINTS
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < most:
+                continue
+            t = pa.Table.from_batches(held)
+            if end := int(_begun(t)[-1]):  # the last line may go on
+                yield from _thinned(t.slice(0, end), tolerance)
+                t = t.slice(end)
+            held, rows = t.to_batches(), len(t)
+            most = max(POINTS, 2 * rows)
+        if rows:
+            yield from _thinned(pa.Table.from_batches(held), tolerance)
+
+    return cols.repartition(id_col).sortWithinPartitions(id_col, "pos").mapInArrow(run, cols.schema)
+
+
+def _begun(t: pa.Table) -> np.ndarray:
+    """Where lines begin, in rows that are sorted by line."""
+    code = t.column(0).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.concatenate([[True], np.diff(code) != 0]))
+
+
+def _thinned(t: pa.Table, tolerance: float) -> list[pa.RecordBatch]:
+    """Whole lines (id, pos, x, y), thinned all at once: a round looks at every
+    stretch that is left."""
+    x, y = t.column("x").to_numpy(), t.column("y").to_numpy()
+    a = _begun(t)
+    b = np.append(a[1:], len(x)) - 1
+    keep = np.zeros(len(x), bool)
+    keep[a] = keep[b] = True
+    while len(a := a[(some := b - a >= 2)]):
+        b = b[some]
+        nth, k, first = _each(b - a - 1)
+        i, s, e = a[nth] + 1 + k, a[nth], b[nth]
+        dx, dy, px, py = x[e] - x[s], y[e] - y[s], x[i] - x[s], y[i] - y[s]
+        n = (dx * dx + dy * dy) ** 0.5
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = np.where(n > 0, abs(px * dy - py * dx) / n, (px * px + py * py) ** 0.5)
+        far = np.maximum.reduceat(d, first)
+        far_off = far > tolerance
+        at = np.flatnonzero((d == far[nth]) & far_off[nth])
+        _, one = np.unique(nth[at], return_index=True)  # the first of equal ones
+        m = i[at[one]]
+        keep[m] = True
+        a, b = np.concatenate([a[far_off], m]), np.concatenate([m, b[far_off]])
+    return t.take(pa.array(np.flatnonzero(keep))).to_batches()
 
 
 def representative_point(edge: DataFrame) -> DataFrame:

@@ -229,3 +229,33 @@ def test_only_what_leaves_its_part_is_ranked(spark, monkeypatch):
     assert len(sizes) == (n - 1) ** 2 and {x["count"] for x in sizes} == {5}
     assert out.where("ring < 0").count() == 8 * n
     assert seen and max(seen) < 4 * n * (n + 1) / 2  # stretches, of so many half-edges halved
+
+
+def test_lines_are_thinned_together(spark, monkeypatch):
+    """As one by one, whether a line lies in one batch or goes on in the next."""
+    r = np.random.default_rng(3)
+    rows = [(i, k, float(x), float(y)) for i in range(40) for k, (x, y) in enumerate(r.integers(0, 9, (int(r.integers(1, 60)), 2)).cumsum(0))]
+
+    def plain(p):
+        if len(p) < 3:
+            return [q[1] for q in p]
+        (_, a, x, y), (_, b, u, v) = p[0], p[-1]
+        n = ((u - x) ** 2 + (v - y) ** 2) ** 0.5
+        d = [abs((s - x) * (v - y) - (t - y) * (u - x)) / n if n else ((s - x) ** 2 + (t - y) ** 2) ** 0.5 for _, _, s, t in p[1:-1]]
+        m = 1 + d.index(max(d))
+        return plain(p[: m + 1])[:-1] + plain(p[m:]) if max(d) > 4 else [a, b]
+
+    want = sorted((i, k) for i in range(40) for k in plain([q for q in rows if q[0] == i]))
+    lines = spark.createDataFrame(rows, "id long, pos int, x double, y double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for most in (1, 30, vector.POINTS):
+            monkeypatch.setattr(vector, "POINTS", most)
+            assert sorted((q.id, q.pos) for q in vector.simplify(lines, "id", 4.0).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_points_may_have_numbers_of_several_fields_without_nulls(spark):
+    p = spark.range(4).selectExpr("struct(id AS a, id AS b) AS id", "id + 0.5D AS x", "0.5D AS y")
+    assert sorted(r.id.a for r in vector.contains(p, box(spark, 1, 0, 3, 1), cell=1.0).collect()) == [1, 2]
