@@ -1,5 +1,7 @@
 """What larger tables showed: borders, reach of searches, sizes of results."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -259,3 +261,26 @@ def test_lines_are_thinned_together(spark, monkeypatch):
 def test_points_may_have_numbers_of_several_fields_without_nulls(spark):
     p = spark.range(4).selectExpr("struct(id AS a, id AS b) AS id", "id + 0.5D AS x", "0.5D AS y")
     assert sorted(r.id.a for r in vector.contains(p, box(spark, 1, 0, 3, 1), cell=1.0).collect()) == [1, 2]
+
+
+def test_buffers_are_drawn_at_any_angle(spark):
+    """Edges that nearly lie on each other, and their buffers' sides with them."""
+    r = random.Random(5)
+    rows = []
+    for poly in range(12):
+        turn = 10.0 ** -r.randrange(7, 14)
+        x, y = r.uniform(0, 9000), r.uniform(0, 9000)
+        v = [(x, y), (x + 300.0, y + 71.0), (x + 600.0, y + 142.0 + 600 * turn), (x + 600.0 + turn, y + 400.0), (x + 300.0, y + 400.0 + turn), (x + turn, y + 400.0)]
+        rows += [(poly, *a, *b) for a, b in zip(v, v[1:] + v[:1])]
+    e = spark.createDataFrame(rows, "poly int, x1 double, y1 double, x2 double, y2 double")
+    for d in (150.0, -60.0):
+        rings = planar.buffer(e, d)
+        area = {x.g: x.area for x in planar.ring_areas(rings).groupBy("g").agg(F.sum("area").alias("area")).collect()}
+        assert len(area) == 12
+        for poly in area:
+            own = [q[1:] for q in rows if q[0] == poly]
+            size, border = sum(a * y - x * b for a, b, x, y in own) / 2, sum(((a - x) ** 2 + (b - y) ** 2) ** 0.5 for a, b, x, y in own)
+            if d > 0:  # a convex polygon
+                assert size + border * d + 3.13 * d * d < area[poly] < size + border * d + 3.15 * d * d
+            else:
+                assert size + border * d < area[poly] < size + border * d + 4 * 2 * d * d
