@@ -268,9 +268,10 @@ def boundary_distance(points: DataFrame, edge: DataFrame, id_col: str = "id", re
     return out if reach is None else out.where(F.col("distance") <= reach)
 
 
-def polygon_distance(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+def polygon_distance(left: DataFrame, right: DataFrame, reach: float, once: bool = False) -> DataFrame:
     """(a, b, distance) of polygons from two edge tables that are no farther
-    apart than ``reach``; 0 if they meet.
+    apart than ``reach``; 0 if they meet.  With ``once`` only pairs with a < b
+    are measured, as of one table with itself.
 
     Edges of disjoint polygons are nearest at an end of one of them; meeting
     is an edge crossing or a first vertex inside the other polygon.  Polygons
@@ -301,7 +302,7 @@ def polygon_distance(left: DataFrame, right: DataFrame, reach: float) -> DataFra
     keys = [*keys, "i", "j"]
 
     def run(key: tuple, some: pa.Table, others: pa.Table) -> pa.Table:
-        i, j, d = _apart(_Many(some, "a"), _Many(others, "b"), side, (key[0].as_py(), key[1].as_py()), reach)
+        i, j, d = _apart(_Many(some, "a"), _Many(others, "b"), side, (key[0].as_py(), key[1].as_py()), reach, once)
         return pa.table({"a": some.column("a").take(pa.array(i)), "b": others.column("b").take(pa.array(j)), "distance": d})
 
     kind = lambda df: df.schema["poly"].dataType.simpleString()
@@ -319,18 +320,25 @@ class _Many:
         self.first = np.cumsum(self.n) - self.n
         flat = held.flatten()
         self.e = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")])
+        self.id = table.column(name).to_numpy()
+        low, high = np.minimum(self.e[:2], self.e[2:]), np.maximum(self.e[:2], self.e[2:])
+        self.edge = np.concatenate([low, high])  # boxes of edges
+        self.own = np.concatenate([np.minimum.reduceat(low, self.first, axis=1), np.maximum.reduceat(high, self.first, axis=1)]) if len(self.n) else self.edge
 
 
-def _apart(a: _Many, b: _Many, side: float, tile: tuple[int, int], reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _apart(a: _Many, b: _Many, side: float, tile: tuple[int, int], reach: float, once: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, distance) of polygons no farther apart than ``reach`` whose pair
     belongs to a tile; the boxes of ``b`` are widened by that."""
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for at in range(0, len(a.n), 64):
         box = a.box[:, at : at + 64, None]
         low, high = np.maximum(box[:2], b.box[:2, None]), np.minimum(box[2:], b.box[2:, None])
-        i, j = np.nonzero((low <= high).all(axis=0) & (np.floor(low[0] / side) == tile[0]) & (np.floor(low[1] / side) == tile[1]))
+        mine = (low <= high).all(axis=0) & (np.floor(low[0] / side) == tile[0]) & (np.floor(low[1] / side) == tile[1])
+        i, j = np.nonzero(mine & (a.id[at : at + 64, None] < b.id) if once else mine)
         i += at
-        for s in _runs(a.n[i] * b.n[j], 1 << 20):
+        near = _gap(a.own[:, i], b.own[:, j]) <= reach * reach * (1 + 1e-9)
+        i, j = i[near], j[near]
+        for s in _runs(a.n[i] + b.n[j], 1 << 16):  # what a processor's cache holds
             d = _distances(a, b, i[s], j[s])
             near = d <= reach
             found.append((i[s][near], j[s][near], d[near]))
@@ -344,26 +352,54 @@ def _each(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return own, np.arange(len(own)) - first[own], first
 
 
+def _gap(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Squared distances of boxes (x1, y1, x2, y2)."""
+    d = np.maximum(0.0, np.maximum(one[:2] - two[2:], two[:2] - one[2:]))
+    return d[0] * d[0] + d[1] * d[1]
+
+
+def _nearest_corner(one: _Many, k: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A polygon's corner that is nearest to a place, and its squared distance."""
+    own, at, first = _each(one.n[k])
+    e = one.first[k][own] + at
+    d = (one.e[0][e] - x[own]) ** 2 + (one.e[1][e] - y[own]) ** 2
+    least = np.minimum.reduceat(d, first)
+    hit = np.flatnonzero(d == least[own])
+    hit = hit[np.concatenate([[True], np.diff(own[hit]) > 0])]
+    return e[hit], least
+
+
+def _facing(one: _Many, k: np.ndarray, two: _Many, m: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of polygons that are as near to the other one's box as ``bound``:
+    these, pair by pair, and how many of each pair before and in it."""
+    own, at, _ = _each(one.n[k])
+    e = one.first[k][own] + at
+    near = _gap(one.edge[:, e], two.own[:, m][:, own]) <= bound[own]
+    n = np.bincount(own[near], minlength=len(k))
+    return e[near], np.cumsum(n) - n, n
+
+
 def _distances(a: _Many, b: _Many, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Distances of pairs of polygons; 0 if they meet."""
-    own, at, first = _each(a.n[i] * b.n[j])
-    width = b.n[j][own]
-    p, q = a.first[i][own] + at // width, b.first[j][own] + at % width
-    gap = np.zeros(len(own))
-    for k in (0, 1):
-        lo, hi = (lambda e, w: np.minimum(e[k], e[k + 2])[w]), (lambda e, w: np.maximum(e[k], e[k + 2])[w])
-        g = np.maximum(0.0, np.maximum(lo(a.e, p) - hi(b.e, q), lo(b.e, q) - hi(a.e, p)))
-        gap += g * g
+    if not len(i):
+        return np.zeros(0)
     # no edges are nearer than their boxes; corners are no nearer than polygons
-    bound = np.minimum.reduceat((a.e[0][p] - b.e[0][q]) ** 2 + (a.e[1][p] - b.e[1][q]) ** 2, first)
-    some = np.flatnonzero(gap <= bound[own] * (1 + 1e-9))
+    corner, _ = _nearest_corner(a, i, *((b.own[c] + b.own[c + 2])[j] / 2 for c in (0, 1)))
+    bound = _nearest_corner(b, j, a.e[0][corner], a.e[1][corner])[1] * (1 + 1e-9)
+    mine, begin, n = _facing(a, i, b, j, bound)
+    theirs, start, width = _facing(b, j, a, i, bound)
+    own, at, first = _each(n * width)
+    p, q = mine[begin[own] + at // width[own]], theirs[start[own] + at % width[own]]
+    some = np.flatnonzero(_gap(a.edge[:, p], b.edge[:, q]) <= bound[own])
     own, A, B = own[some], a.e[:, p[some]], b.e[:, q[some]]
     square = np.minimum.reduce([_square(*A[:2], B), _square(*A[2:], B), _square(*B[:2], A), _square(*B[2:], A)])
     turn = lambda e, x, y: np.sign((e[2] - e[0]) * (y - e[1]) - (e[3] - e[1]) * (x - e[0]))
     square[(turn(A, *B[:2]) * turn(A, *B[2:]) < 0) & (turn(B, *A[:2]) * turn(B, *A[2:]) < 0)] = 0.0
     out = np.sqrt(np.minimum.reduceat(square, np.flatnonzero(np.concatenate([[True], np.diff(own) > 0]))))
     for one, k, two, m in ((a, i, b, j), (b, j, a, i)):
-        apart = np.flatnonzero(out > 0)
+        # a corner inside a polygon lies in its box
+        x, y, box = one.e[0][one.first[k]], one.e[1][one.first[k]], two.own[:, m]
+        apart = np.flatnonzero((out > 0) & (box[0] <= x) & (x <= box[2]) & (box[1] <= y) & (y <= box[3]))
         x, y = one.e[0][one.first[k[apart]]], one.e[1][one.first[k[apart]]]
         own, at, first = _each(two.n[m[apart]])
         if len(own):

@@ -218,7 +218,7 @@ def boundary_distance(spark: SparkSession, folder: str) -> DataFrame:
 
 def polygon_distance(spark: SparkSession, folder: str) -> DataFrame:
     e = polygons(spark, folder)
-    out = vector.polygon_distance(e, e, 3000.0).where("a < b")
+    out = vector.polygon_distance(e, e, 3000.0, once=True)
     return out.select("a", "b", S.round_even(F.col("distance"), 1).alias("distance"))
 
 

@@ -284,3 +284,21 @@ def test_buffers_are_drawn_at_any_angle(spark):
                 assert size + border * d + 3.13 * d * d < area[poly] < size + border * d + 3.15 * d * d
             else:
                 assert size + border * d < area[poly] < size + border * d + 4 * 2 * d * d
+
+
+def test_few_edges_of_two_polygons_are_compared(spark, monkeypatch):
+    """Long polygons: a pair is measured once, by edges that face each other."""
+    line = lambda y, n: [(float(x), y) for x in range(n)] + [(float(n), y + 1.0), (-1.0, y + 1.0)]
+    rows = [(k, *p, *q) for k in range(6) for v in [line(4.0 * k, 40)] for p, q in zip(v, v[1:] + v[:1])]
+    e = spark.createDataFrame(rows, "poly int, x1 double, y1 double, x2 double, y2 double")
+    got = vector.polygon_distance(e, e, 20.0, once=True).collect()
+    assert sorted((r.a, r.b, r.distance) for r in got) == [(a, b, 4.0 * (b - a) - 1) for a in range(6) for b in range(a + 1, 6)]
+    import pyarrow as pa
+
+    def one(n, right):
+        edge = [dict(zip(("x1", "y1", "x2", "y2"), (r[1] + right, r[2], r[3] + right, r[4]))) for r in rows if r[0] == 0]
+        return vector._Many(pa.Table.from_pylist([{n: 0, n + "e": edge, n + "x1": right - 1.0, n + "y1": 0.0, n + "x2": right + 40.0, n + "y2": 1.0}]), n)
+
+    a, b, i = one("a", 0.0), one("b", 60.0), np.array([0])
+    assert vector._distances(a, b, i, i).tolist() == [19.0]
+    assert len(vector._facing(a, i, b, i, np.array([20.0**2]))[0]) < 5 < a.n[0]
