@@ -24,6 +24,9 @@ PER_REGION = 20_000
 PER_TASK = 1_000_000
 #: Nodes of many roads, or classes of roads, that are sent to all tasks.
 MOST_SENT = 500_000
+#: Ways through a node that are listed one by one, and nodes whose times are a
+#: matrix of a task.
+MOST_WAYS, MOST_DENSE = 256, 4000
 
 #: Speeds in km/h by road class where no limit is tagged.
 SPEEDS = {
@@ -97,7 +100,10 @@ def _over(back: DataFrame, starts: DataFrame, at: DataFrame | None, per_region:
     asked = across.select(F.col("to").alias("region"), F.col("next").alias("node"), F.lit(None).cast("string").alias("dest")).distinct()
     asked = asked.union(starts.select("region", "node", "dest")).withColumn("leaves", F.lit(False))
     asked = asked.union(across.select("region", "node", F.lit(None).cast("string"), F.lit(True)).distinct())
-    through = asked.groupBy("region").cogroup(inner.groupBy("region")).applyInPandas(_through, "dest string, node long, leaves long, seconds double")
+    # roads are few bytes and much work, so their size says nothing about the tasks they need
+    tasks = int(back.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked, within = (df.repartition(tasks, "region") for df in (asked, inner))
+    through = asked.groupBy("region").cogroup(within.groupBy("region")).applyInPandas(_through, "dest string, node long, leaves long, seconds double")
     step = across.select(F.col("node").alias("leaves"), F.col("next").alias("enters"), "w")
     hops = cut(through.join(step, "leaves").groupBy("dest", "node", "enters").agg(F.min(F.col("seconds") + F.col("w")).alias("w")))
     first = hops.join(starts.select("dest", "node", "seconds"), ["dest", "node"]).groupBy("dest", F.col("enters").alias("node")).agg(F.min(F.col("seconds") + F.col("w")).alias("seconds"))
@@ -145,11 +151,78 @@ class _Roads:
 def _through(asked: pd.DataFrame, roads: pd.DataFrame) -> pd.DataFrame:
     """Times (dest, node, leaves, seconds) from each place that is asked for to
     where roads leave a region."""
-    graph, leaves = _Roads(roads), set(asked.node[asked.leaves].tolist())
-    rows = []
-    for dest, n in zip(asked.dest[~asked.leaves].tolist(), asked.node[~asked.leaves].tolist()):
-        rows += [(dest, n, m, t) for m, t in graph.search([(0.0, n)]).items() if m in leaves]
-    return pd.DataFrame(rows, columns=["dest", "node", "leaves", "seconds"])
+    leaves = set(asked.node[asked.leaves].tolist())
+    starts = list(zip(asked.dest[~asked.leaves].tolist(), asked.node[~asked.leaves].tolist()))
+    out, found = _passed(roads, leaves | {n for _, n in starts}), []
+    held = sorted(leaves | {n for _, n in starts} | set(out))
+    if len(held) <= MOST_DENSE:
+        number = {n: i for i, n in enumerate(held)}
+        times = np.full((len(held), len(held)), np.inf)
+        for n, row in out.items():
+            times[number[n], [number[m] for m in row]] = list(row.values())
+        ends = sorted(number[n] for n in leaves)
+        kept = sorted({*ends, *(number[n] for _, n in starts)})
+        _settle(times, np.array(kept, int))
+        for dest, n in starts:
+            t = times[number[n], ends]
+            found += [(dest, n, held[ends[k]], float(t[k])) for k in np.flatnonzero(np.isfinite(t))]
+    else:
+        graph = _Roads(pd.DataFrame([(n, m, w) for n, row in out.items() for m, w in row.items()], columns=["node", "next", "w"]))
+        for dest, n in starts:
+            found += [(dest, n, m, t) for m, t in graph.search([(0.0, n)]).items() if m in leaves]
+    return pd.DataFrame(found, columns=["dest", "node", "leaves", "seconds"])
+
+
+def _passed(roads: pd.DataFrame, kept: set[int]) -> dict[int, dict[int, float]]:
+    """Roads, by node, with the same least times between ``kept`` nodes: other
+    nodes go, those with the fewest ways through first, and leave a road for
+    each way, as long as there are no more than ``MOST_WAYS``."""
+    out: dict[int, dict[int, float]] = {}
+    into: dict[int, dict[int, float]] = {}
+    for a, b, w in zip(roads.node.tolist(), roads.next.tolist(), roads.w.tolist()):
+        out.setdefault(a, {})[b] = into.setdefault(b, {})[a] = w
+        out.setdefault(b, {}), into.setdefault(a, {})
+    heap = [(len(into[n]) * len(out[n]), n) for n in out if n not in kept]
+    heapq.heapify(heap)
+    while heap:
+        ways, n = heapq.heappop(heap)
+        if n not in out or ways != len(into[n]) * len(out[n]):
+            continue  # another entry has what it became
+        if ways > MOST_WAYS:
+            break
+        before, after = into.pop(n), out.pop(n)
+        for a in before:
+            del out[a][n]
+        for b in after:
+            del into[b][n]
+        for a, v in before.items():
+            row = out[a]
+            for b, w in after.items():
+                if a != b and v + w < row.get(b, np.inf):
+                    row[b] = into[b][a] = v + w
+        for m in {*before, *after} - kept:
+            heapq.heappush(heap, (len(into[m]) * len(out[m]), m))
+    return out
+
+
+def _settle(times: np.ndarray, kept: np.ndarray) -> None:
+    """Least times between ``kept`` nodes, in place, of a matrix of roads (infinite
+    where there is none): other nodes go, those with the fewest roads first."""
+    roads, left = np.isfinite(times).sum(axis=1), np.ones(len(times), bool)
+    left[kept] = False
+    for _ in range(int(left.sum())):
+        n = int(np.where(left, roads, np.iinfo(np.int64).max).argmin())
+        left[n] = False
+        before, after = np.flatnonzero(np.isfinite(times[:, n])), np.flatnonzero(np.isfinite(times[n]))
+        both = np.ix_(before, after)
+        times[both] = np.minimum(times[both], times[before, n][:, None] + times[n, after])
+        times[n], times[:, n] = np.inf, np.inf
+        roads[before] = np.isfinite(times[before]).sum(axis=1)
+    some = times[np.ix_(kept, kept)]
+    np.fill_diagonal(some, 0.0)
+    for n in range(len(kept)):
+        np.minimum(some, some[:, n, None] + some[n], out=some)
+    times[np.ix_(kept, kept)] = some
 
 
 def _inward(roads: DataFrame, starts: DataFrame) -> DataFrame:

@@ -302,3 +302,21 @@ def test_few_edges_of_two_polygons_are_compared(spark, monkeypatch):
     a, b, i = one("a", 0.0), one("b", 60.0), np.array([0])
     assert vector._distances(a, b, i, i).tolist() == [19.0]
     assert len(vector._facing(a, i, b, i, np.array([20.0**2]))[0]) < 5 < a.n[0]
+
+
+def test_times_through_a_region_by_fewer_roads(monkeypatch):
+    """Nodes that are left out one by one, by a matrix or not at all: as searched."""
+    import pandas as pd
+
+    r = np.random.default_rng(4)
+    rows = {(a, b): float(r.integers(1, 50)) for a, b in r.integers(0, 90, (400, 2)).tolist() if a != b}
+    roads = pd.DataFrame([(a, b, w) for (a, b), w in rows.items()], columns=["node", "next", "w"])
+    asked = pd.DataFrame([(None, n, False) for n in (1, 5, 9)] + [("x", 5, False), ("x", 999, False)] + [(None, n, True) for n in (5, 40, 41, 998)], columns=["dest", "node", "leaves"])
+    graph = routing._Roads(roads)
+    want = {(d, n, m, t) for d, n in ((None, 1), (None, 5), (None, 9), ("x", 5), ("x", 999)) for m, t in graph.search([(0.0, n)]).items() if m in (5, 40, 41, 998)}
+    for ways, dense in ((256, 4000), (4, 4000), (0, 4000), (9, 1)):
+        monkeypatch.setattr(routing, "MOST_WAYS", ways)
+        monkeypatch.setattr(routing, "MOST_DENSE", dense)
+        assert set(routing._through(asked, roads).itertuples(index=False, name=None)) == want
+    monkeypatch.setattr(routing, "MOST_WAYS", 256)
+    assert len(routing._passed(roads, {1, 5, 9})) < 60
