@@ -320,3 +320,18 @@ def test_times_through_a_region_by_fewer_roads(monkeypatch):
         assert set(routing._through(asked, roads).itertuples(index=False, name=None)) == want
     monkeypatch.setattr(routing, "MOST_WAYS", 256)
     assert len(routing._passed(roads, {1, 5, 9})) < 60
+
+
+def test_a_second_sight_needs_no_join(spark):
+    """The first result goes along as a column, over a raster in tasks or joined."""
+    r = np.random.default_rng(6)
+    g = spark.createDataFrame([(i, j, float(r.integers(0, 30))) for i in range(12) for j in range(12)], "row int, col int, z double")
+    pairs = spark.createDataFrame([(o, p, t, u) for o, p in ((0, 0), (5, 7)) for t in range(12) for u in range(12)], "orow int, ocol int, trow int, tcol int")
+    keys, ends = ["orow", "ocol", "trow", "tcol"], (g, 12, 12, F.lit(25.0), F.lit(15.0))
+    for most in (1 << 20, 0):
+        a, b = visibility.sight(pairs, keys, *ends, step=4.0, most=most), visibility.sight(pairs, keys, *ends, step=10.0, up=True, most=most)
+        plain = [{tuple(x[k] for k in keys): x.visible for x in d.collect()} for d in (a, b)]
+        both = visibility.sight(a.withColumnRenamed("visible", "fine"), [*keys, "fine"], *ends, step=10.0, up=True, most=most)
+        got = visibility.agreement(both, "fine", "visible").first()
+        assert got.pairs == len(plain[0]) == 286
+        assert abs(got.percent - 100 * sum(plain[0][k] == plain[1][k] for k in plain[0]) / 286) < 1e-9
